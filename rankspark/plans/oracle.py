@@ -225,3 +225,59 @@ x_first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY topic_id, d
             FROM x_both) WHERE o = 1),
 x_fused AS (SELECT topic_id, doc_id, score,
             row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, src, src_rank) AS rank FROM x_first)""")
+
+
+def eval_ctes(run_ctes: str, run_name: str = "x_run") -> str:
+    """CTE list ending in e_topic (per-topic measures) and e_base (judged run)."""
+    from rankspark.operators import evaluate as E
+    specs = E.measure_specs()
+    per = ",\n  ".join(f'{e} AS "{n}"' for n, e, _, _ in specs)
+    derived = ",\n  ".join(f'{e} AS "{n}"' for n, e, _, _ in E.DERIVED)
+    ideal_k = ", ".join(f"sum(CASE WHEN pos <= {k} THEN rel / log2(pos + 1e0) ELSE 0e0 END) AS idcg_{k}"
+                        for k in E.CUTOFFS)
+    ideal_fill = ", ".join(f"coalesce(i.idcg_{k}, 0e0) AS idcg_{k}" for k in E.CUTOFFS)
+    return f"""{run_ctes},
+e_q AS ({QRELS}),
+e_run AS (SELECT topic_id, doc_id, score FROM {run_name} WHERE topic_id IN (SELECT topic_id FROM e_q)),
+e_b0 AS (
+  SELECT r.topic_id, r.doc_id, r.score::DOUBLE AS score, q.rel,
+    CASE WHEN q.rel >= 1 THEN 1 ELSE 0 END AS is_rel,
+    CASE WHEN q.rel >= 0 AND q.rel < 1 THEN 1 ELSE 0 END AS is_nonrel,
+    CASE WHEN q.rel IS NOT NULL THEN 1 ELSE 0 END AS in_pool,
+    (CASE WHEN q.rel > 0 THEN q.rel ELSE 0 END)::DOUBLE AS gain
+  FROM e_run r LEFT JOIN e_q q ON q.topic_id = r.topic_id AND q.doc_id = r.doc_id),
+e_base AS (
+  SELECT *, row_number() OVER w AS pos,
+    (sum(is_rel) OVER w)::BIGINT AS cum_rel, (sum(is_nonrel) OVER w)::BIGINT AS cum_nonrel,
+    (sum(in_pool) OVER w)::BIGINT AS cum_pool
+  FROM e_b0
+  WINDOW w AS (PARTITION BY topic_id ORDER BY score DESC, CAST(doc_id AS VARCHAR) DESC
+               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+e_ideal0 AS (SELECT topic_id, rel, row_number() OVER (PARTITION BY topic_id ORDER BY rel DESC) AS pos
+             FROM e_q WHERE rel > 0),
+e_ideal AS (SELECT topic_id, sum(rel / log2(pos + 1e0)) AS idcg, {ideal_k} FROM e_ideal0 GROUP BY topic_id),
+e_tj AS (
+  SELECT c.topic_id, c.r, c.n_nonrel, coalesce(i.idcg, 0e0) AS idcg, {ideal_fill}
+  FROM (SELECT topic_id, count(*) FILTER (WHERE rel >= 1) AS r,
+               count(*) FILTER (WHERE rel >= 0 AND rel < 1) AS n_nonrel FROM e_q GROUP BY topic_id) c
+  LEFT JOIN e_ideal i ON i.topic_id = c.topic_id),
+e_full AS (SELECT b.*, t.* EXCLUDE (topic_id) FROM e_base b JOIN e_tj t ON t.topic_id = b.topic_id),
+e_per AS (SELECT topic_id,
+  {per}
+  FROM e_full GROUP BY topic_id),
+e_topic AS (SELECT *, {derived} FROM e_per)"""
+
+
+def eval_summary_select() -> str:
+    from rankspark.operators import evaluate as E
+    names = E.report_names()
+    parts = ["SELECT 0 AS ord, 'num_q' AS name, count(*)::DOUBLE AS value FROM e_topic"]
+    i = 1
+    for n, _, kind, _ in E.measure_specs() + E.DERIVED:
+        agg = "sum" if kind == "sum" else "avg"
+        parts.append(f"SELECT {i}, '{names[n]}', {agg}(\"{n}\")::DOUBLE FROM e_topic")
+        i += 1
+    for g, src in E.GEOMETRIC:
+        parts.append(f"SELECT {i}, '{g}', exp(avg(ln(greatest(\"{src}\", {E.MIN_GEO_MEAN}))))::DOUBLE FROM e_topic")
+        i += 1
+    return "SELECT ord::INTEGER AS ord, name, value FROM (" + "\nUNION ALL ".join(parts) + ")"

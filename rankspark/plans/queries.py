@@ -10,6 +10,7 @@ from __future__ import annotations
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rankspark.functions.text import ARTICLE_FIELDS, article_fields, topic_text
 from rankspark.operators.index import Index, build_index
@@ -139,3 +140,85 @@ def find_text(spark, sf_dir):
     """H3: free-text search, first 10 per query, for every benchmark text."""
     return search(doc_index(spark, sf_dir), T.free_text_queries(spark, sf_dir),
                   model="bm25_doc", mode="document", k=10)
+
+
+# ---------------------------------------------------------------- evaluation
+
+from rankspark.operators import evaluate as E  # noqa: E402
+
+EVAL_RUN_SQL = O.run_cte_sql("articles", O.TOPIC_QUERIES, "bm25_field", "field_max", 1000)
+EVAL_CTES = "WITH " + O.eval_ctes(EVAL_RUN_SQL)
+
+
+def eval_inputs(spark, sf_dir):
+    """The field-max BM25 run of all topics (k=1000) and the judgements."""
+    return run_bm25_fieldmax(spark, sf_dir), T.qrels_view(spark, sf_dir)
+
+
+def by_topic(spark, sf_dir):
+    run, qrels = eval_inputs(spark, sf_dir)
+    return E.evaluate_by_topic(run, qrels, check=True)
+
+
+def _measure_cols(prefixes) -> list[str]:
+    names = [n for n, *_ in E.measure_specs() + E.DERIVED]
+    return [n for n in names if any(n == p or n.startswith(p) for p in prefixes)]
+
+
+EVAL_GROUPS = {
+    "eval_counts": ["num_ret", "num_rel", "num_rel_ret", "num_nonrel_judged_ret"],
+    "eval_map": ["map", "map_cut_"],
+    "eval_rprec": ["Rprec", "Rprec_mult_"],
+    "eval_bpref": ["bpref"],
+    "eval_recip_rank": ["recip_rank"],
+    "eval_iprec": ["iprec_at_recall_", "11pt_avg"],
+    "eval_cutoffs": ["P_", "recall_", "relative_P_", "ndcg_cut_"],
+    "eval_success": ["success_"],
+    "eval_ndcg": ["ndcg", "ndcg_cut_"],
+    "eval_set": ["set_P", "set_recall", "set_relative_P", "set_F", "set_map", "utility"],
+    "eval_infap": ["infAP"],
+}
+
+
+def _group_query(cols):
+    def q(spark, sf_dir):
+        return by_topic(spark, sf_dir).select("topic_id", *[f"`{c}`" for c in cols])
+    return q
+
+
+for _name, _prefixes in EVAL_GROUPS.items():
+    _cols = _measure_cols(_prefixes)
+    register(_name, EVAL_CTES + "\nSELECT topic_id, " + ", ".join(f'"{c}"' for c in _cols)
+             + " FROM e_topic")(_group_query(_cols))
+
+
+@register("eval_by_topic", EVAL_CTES + "\nSELECT * FROM e_topic")
+def eval_by_topic(spark, sf_dir):
+    return by_topic(spark, sf_dir)
+
+
+@register("eval_summary", EVAL_CTES + "\n" + O.eval_summary_select())
+def eval_summary(spark, sf_dir):
+    return E.summary(by_topic(spark, sf_dir))
+
+
+@register("eval_judged", EVAL_CTES + "\nSELECT topic_id::INTEGER AS topic_id, doc_id::BIGINT AS doc_id, "
+          "pos::INTEGER AS pos, rel::DOUBLE AS rel, cum_rel, cum_nonrel, cum_pool FROM e_base")
+def eval_judged(spark, sf_dir):
+    run, qrels = eval_inputs(spark, sf_dir)
+    return E.judged_run(run, qrels).select("topic_id", "doc_id", F.col("pos").cast("int").alias("pos"),
+                                           F.col("rel").cast("double").alias("rel"),
+                                           "cum_rel", "cum_nonrel", "cum_pool")
+
+
+@register("eval_topics", EVAL_CTES + "\nSELECT DISTINCT topic_id FROM e_run")
+def eval_topics(spark, sf_dir):
+    """topics evaluated = topics in both the run and the judgements."""
+    run, qrels = eval_inputs(spark, sf_dir)
+    return (run.select("topic_id").distinct()
+            .join(qrels.select("topic_id").distinct(), "topic_id", "left_semi"))
+
+
+@register("qrels_view", O.QRELS)
+def qrels_view(spark, sf_dir):
+    return T.qrels_view(spark, sf_dir)
