@@ -50,7 +50,9 @@ class Index:
     def forward(self) -> DataFrame | None:
         if self.tokenized is None:
             return None
-        return self.tokenized.select("doc_id", "field", "entries")
+        # Filter on dl, never on entries: a predicate on entries would be pushed
+        # below the projections and re-run the counting lambdas per element.
+        return self.tokenized.filter(F.col("dl") > 0).select("doc_id", "field", "entries")
 
     @property
     def spark(self) -> SparkSession:

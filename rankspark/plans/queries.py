@@ -222,3 +222,289 @@ def eval_topics(spark, sf_dir):
 @register("qrels_view", O.QRELS)
 def qrels_view(spark, sf_dir):
     return T.qrels_view(spark, sf_dir)
+
+
+# ---------------------------------------------------------------- sources, projections
+
+from rankspark.functions.analysis import PIPELINE, Analyzer, ENGLISH_STOP_WORDS, query_terms  # noqa: E402
+from rankspark.operators.index import forward_index, merge_index, term_ids  # noqa: E402
+from rankspark.operators.ingest import insert_if_absent  # noqa: E402
+from rankspark.operators.search import candidates, enrich, match_all, query_statistics  # noqa: E402
+from rankspark.session import scratch_path  # noqa: E402
+from rankspark.sinks import outputs as S  # noqa: E402
+from rankspark.sources import corpus as C  # noqa: E402
+
+ART_FLAT_SQL = (f"SELECT id, title, abstract, array_to_string(keywords, '|') AS keywords, "
+                f"array_to_string(list_transform(meshHeadings, lambda m: m.description || '/' || m.name), '|') "
+                f"AS mesh FROM ({O.ARTICLES})")
+
+
+def flat_articles(a: DataFrame) -> DataFrame:
+    return a.select("id", "title", "abstract", F.array_join("keywords", "|").alias("keywords"),
+                    F.array_join(F.transform("meshHeadings", lambda m: F.concat_ws("/", m["description"], m["name"])),
+                                 "|").alias("mesh"))
+
+
+@register("articles_view", ART_FLAT_SQL)
+def articles_view_q(spark, sf_dir):
+    """The article model over documents (nested parts flattened for comparison)."""
+    return flat_articles(T.articles_view(spark, sf_dir))
+
+
+@register("field_text", O.ARTICLE_WIDE)
+def field_text(spark, sf_dir):
+    """C4, D3: per-field searchable text."""
+    return article_fields(T.articles_view(spark, sf_dir))
+
+
+@register("topics_all", O.TOPICS)
+def topics_all_q(spark, sf_dir):
+    return T.topics_all(spark, sf_dir)
+
+
+@register("topic_text", O.TOPIC_QUERIES)
+def topic_text_q(spark, sf_dir):
+    return topic_queries(spark, sf_dir)
+
+
+@register("topic_by_id", f"SELECT * FROM ({O.TOPICS}) WHERE topic_set = 'bench' AND id = 1")
+def topic_by_id_q(spark, sf_dir):
+    """One topic by (set, id); a missing topic raises."""
+    return C.topic_by_id(T.topics_all(spark, sf_dir), "bench", 1)
+
+
+@register("topics_subset", f"SELECT * FROM ({O.TOPICS}) WHERE id IN (SELECT topic_id FROM ({O.QRELS}) WHERE rel = 2)")
+def topics_subset_q(spark, sf_dir):
+    """The topics a request names; here: every topic with a passage judgement."""
+    req = (T.qrels_view(spark, sf_dir).filter(F.col("rel") == 2)
+           .select(F.lit(T.TOPIC_SET).alias("topic_set"), F.col("topic_id").alias("id")).distinct())
+    return C.topics_subset(T.topics_all(spark, sf_dir), req)
+
+
+@register("doc_lookup", f"SELECT id, title FROM ({O.ARTICLES}) WHERE id IN (SELECT doc_id FROM labels)")
+def doc_lookup(spark, sf_dir):
+    """Stored articles by id (ids from the labels table), pushed to the scan as a semi join."""
+    ids = T.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))
+    return T.articles_view(spark, sf_dir).join(ids, "id", "left_semi").select("id", "title")
+
+
+@register("match_all", "SELECT doc_id, 1e0 AS score FROM documents")
+def match_all_q(spark, sf_dir):
+    return match_all(T.articles_view(spark, sf_dir))
+
+
+@register("json_roundtrip", ART_FLAT_SQL)
+def json_roundtrip(spark, sf_dir):
+    """Article -> JSON document -> article."""
+    return flat_articles(S.from_json_documents(S.to_json_documents(T.articles_view(spark, sf_dir))))
+
+
+@register("insert_if_absent", "SELECT doc_id AS id, CASE WHEN lang = 'en' THEN 'existing' ELSE 'inserted' END AS origin "
+                              "FROM documents")
+def insert_if_absent_q(spark, sf_dir):
+    """existing = English articles; batch = every article; only new ids are added."""
+    arts = T.articles_view(spark, sf_dir)
+    docs = T.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang")
+    existing = arts.join(docs.filter(F.col("lang") == "en"), "id", "left_semi")
+    new = insert_if_absent(existing, arts, "id", order_col="title")
+    return (existing.select("id", F.lit("existing").alias("origin"))
+            .unionByName(new.select("id", F.lit("inserted").alias("origin"))))
+
+
+# ---------------------------------------------------------------- analysis
+
+TOKENS_SQL = (f"SELECT doc_id, len(tk)::INTEGER AS n_tokens, array_to_string(tk, ' ') AS tokens "
+              f"FROM (SELECT doc_id, {O.tokens('text')} AS tk FROM documents)")
+_STOP = ", ".join(f"'{w}'" for w in ENGLISH_STOP_WORDS)
+TOKENS_NOSTOP_SQL = (f"SELECT doc_id, len(tk)::INTEGER AS n_tokens, array_to_string(tk, ' ') AS tokens "
+                     f"FROM (SELECT doc_id, list_filter({O.tokens('text')}, lambda s: NOT list_contains([{_STOP}], s)) "
+                     f"AS tk FROM documents)")
+
+
+def _tokens_q(analyzer):
+    def q(spark, sf_dir):
+        t = analyzer.tokens("text")
+        return T.table(spark, sf_dir, "documents").select(
+            "doc_id", F.size(t).cast("int").alias("n_tokens"), F.array_join(t, " ").alias("tokens"))
+    return q
+
+
+register("tokens", TOKENS_SQL)(_tokens_q(Analyzer()))
+register("tokens_nostop", TOKENS_NOSTOP_SQL)(_tokens_q(Analyzer(stop_words=ENGLISH_STOP_WORDS)))
+
+
+@register("lexicon_stemmed", "WITH " + O.index_ctes(O.DOCS_WIDE, ("text",), None, ENGLISH_STOP_WORDS, True)
+          + "\nSELECT term, df, cf FROM x_lex")
+def lexicon_stemmed(spark, sf_dir):
+    """Lexicon under the stop-word + stemming pipeline."""
+    return doc_index(spark, sf_dir, analyzer=PIPELINE).lexicon.select("term", "df", "cf")
+
+
+@register("query_terms", f"""SELECT topic_id, term, count(*) AS qtf
+FROM (SELECT topic_id::INTEGER AS topic_id, unnest({O.tokens('text')}) AS term FROM ({O.TOPIC_QUERIES}))
+GROUP BY topic_id, term""")
+def query_terms_q(spark, sf_dir):
+    """Query-term multiplicity per topic."""
+    return query_terms(topic_queries(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- index tables
+
+DOCS_IDX = "WITH " + O.index_ctes(O.DOCS_WIDE, ("text",), None)
+ART_IDX = "WITH " + O.index_ctes(O.ARTICLE_WIDE, ARTICLE_FIELDS, "_doc")
+
+
+@register("postings", DOCS_IDX + """
+SELECT p.field, p.term, p.doc_id, p.tf::INTEGER AS tf, d.dl::INTEGER AS dl
+FROM x_post p JOIN x_dl d ON d.doc_id = p.doc_id AND d.field = p.field""")
+def postings_q(spark, sf_dir):
+    """(field, term, doc, tf, dl) built in-row, no shuffle."""
+    return doc_index(spark, sf_dir).postings
+
+
+@register("doc_lengths", ART_IDX + "\nSELECT doc_id, field, dl::INTEGER AS dl FROM x_dl")
+def doc_lengths(spark, sf_dir):
+    return article_index(spark, sf_dir).doclen
+
+
+@register("lexicon", ART_IDX + "\nSELECT field, term, df, cf FROM x_lex")
+def lexicon_q(spark, sf_dir):
+    return article_index(spark, sf_dir).lexicon
+
+
+@register("collection_stats", ART_IDX + "\nSELECT field, n_docs, n_with_field, total_len FROM x_st")
+def collection_stats(spark, sf_dir):
+    return article_index(spark, sf_dir).stats
+
+
+def _halves(spark, sf_dir):
+    """Two indexes over a natural split of the corpus (English / the rest)."""
+    docs = T.table(spark, sf_dir, "documents")
+    en = F.coalesce(F.col("lang"), F.lit("")) == "en"
+    a = build_index(docs.filter(en), ("text",))
+    b = build_index(docs.filter(~en), ("text",))
+    return merge_index(a, b)
+
+
+@register("merge_postings", DOCS_IDX + """
+SELECT p.field, p.term, p.doc_id, p.tf::INTEGER AS tf, d.dl::INTEGER AS dl
+FROM x_post p JOIN x_dl d ON d.doc_id = p.doc_id AND d.field = p.field""")
+def merge_postings(spark, sf_dir):
+    """E5: postings of the two halves appended equal one build."""
+    return _halves(spark, sf_dir).postings
+
+
+@register("merge_lexicon", DOCS_IDX + "\nSELECT field, term, df, cf FROM x_lex")
+def merge_lexicon(spark, sf_dir):
+    """Lexicons summed per term (full outer join semantics)."""
+    return _halves(spark, sf_dir).lexicon
+
+
+@register("merge_doclens", DOCS_IDX + "\nSELECT doc_id, field, dl::INTEGER AS dl FROM x_dl")
+def merge_doclens(spark, sf_dir):
+    """Document tables appended."""
+    return _halves(spark, sf_dir).doclen
+
+
+@register("term_ids", DOCS_IDX + "\nSELECT term, (row_number() OVER (ORDER BY term) - 1)::BIGINT AS term_id FROM x_lex")
+def term_ids_q(spark, sf_dir):
+    """Dense term ids in term order, without a single-partition window."""
+    return term_ids(doc_index(spark, sf_dir).lexicon, "text")
+
+
+@register("forward_index", DOCS_IDX + """
+SELECT doc_id, field, string_agg(term || ':' || tf, ' ' ORDER BY term) AS entries
+FROM x_post GROUP BY doc_id, field""")
+def forward_index_q(spark, sf_dir):
+    """Doc -> term-sorted (term, tf) list (flattened to text)."""
+    fwd = forward_index(doc_index(spark, sf_dir))
+    return fwd.select(
+        "doc_id", "field",
+        F.array_join(F.transform("entries", lambda e: F.concat(e["term"], F.lit(":"), e["tf"].cast("string"))),
+                     " ").alias("entries"))
+
+
+@register("match_candidates", DOCS_IDX + f""",
+q AS (SELECT topic_id, term, count(*) AS qtf
+      FROM (SELECT topic_id::INTEGER AS topic_id, unnest({O.tokens('text')}) AS term FROM ({O.TOPIC_QUERIES}))
+      GROUP BY topic_id, term)
+SELECT q.topic_id, p.doc_id, p.term, p.tf::INTEGER AS tf, q.qtf, l.df
+FROM q JOIN x_post p ON p.term = q.term JOIN x_lex l ON l.term = p.term AND l.field = p.field""")
+def match_candidates(spark, sf_dir):
+    """query terms joined to postings (any term matches) with df attached."""
+    idx = doc_index(spark, sf_dir)
+    qstats, _ = query_statistics(idx, topic_queries(spark, sf_dir), "field_max")
+    return candidates(idx, qstats, ["text"]).select("topic_id", "doc_id", "term", "tf", "qtf", "df")
+
+
+# ---------------------------------------------------------------- joins after ranking, sinks
+
+DOC_RUN_CTES = O.run_cte_sql("articles", O.TOPIC_QUERIES, "bm25_doc", "document", 20)
+
+
+@register("run_enriched", "WITH " + DOC_RUN_CTES + f""",
+a AS ({O.ARTICLES})
+SELECT r.topic_id::INTEGER AS topic_id, r.doc_id::BIGINT AS doc_id, r.rank::INTEGER AS rank, r.score::DOUBLE AS score,
+       a.title FROM x_run r LEFT JOIN a ON a.id = r.doc_id""")
+def run_enriched(spark, sf_dir):
+    """each ranked hit with its stored article (after top-k); a missing article fails."""
+    out = enrich(run_bm25_doc(spark, sf_dir), T.articles_view(spark, sf_dir))
+    return out.select("topic_id", "doc_id", "rank", "score", "title")
+
+
+@register("response_nested", "WITH " + DOC_RUN_CTES + """
+SELECT topic_id::INTEGER AS topic_id, count(*) AS n_docs,
+       string_agg(rank || ':' || doc_id, ' ' ORDER BY rank) AS documents FROM x_run GROUP BY topic_id""")
+def response_nested(spark, sf_dir):
+    """Per topic, the ranked documents with their articles (flattened for comparison)."""
+    nested = S.nested_response(run_bm25_doc(spark, sf_dir), T.articles_view(spark, sf_dir))
+    return nested.select("topic_id", F.size("documents").cast("bigint").alias("n_docs"),
+                         F.array_join(F.transform("documents", lambda d: F.concat(
+                             d["rank"].cast("string"), F.lit(":"), d["article"]["doc_id"].cast("string"))),
+                             " ").alias("documents"))
+
+
+RUN_NAME = "rankspark"
+
+
+@register("run_lines", "WITH " + DOC_RUN_CTES + f"""
+SELECT printf('%d Q0 %d %d %.6f %s', topic_id, doc_id, rank, score, '{RUN_NAME}') AS line FROM x_run""")
+def run_lines_q(spark, sf_dir):
+    """The run file lines."""
+    return S.run_lines(run_bm25_doc(spark, sf_dir), RUN_NAME)
+
+
+@register("run_file_roundtrip", "WITH " + DOC_RUN_CTES + f"""
+SELECT topic_id::INTEGER AS topic_id, doc_id::BIGINT AS doc_id, rank::INTEGER AS rank, score::DOUBLE AS score,
+       '{RUN_NAME}' AS name FROM x_run""")
+def run_file_roundtrip(spark, sf_dir):
+    """B7 then A10: write the run file to shared storage and read it back."""
+    path = scratch_path(spark, "run")
+    S.write_run(run_bm25_doc(spark, sf_dir), RUN_NAME, path)
+    return C.read_run(spark, path)
+
+
+@register("qrels_file_roundtrip", O.QRELS)
+def qrels_file_roundtrip(spark, sf_dir):
+    """A5: judgements written as text and read back."""
+    path = scratch_path(spark, "qrels")
+    S.write_qrels(T.qrels_view(spark, sf_dir), path)
+    return C.read_qrels(spark, path)
+
+
+SUMMARY_SQL = EVAL_CTES + ",\ns AS (" + O.eval_summary_select() + ")"
+
+
+@register("report_parse", SUMMARY_SQL + "\nSELECT name, printf('%.4f', round(value, 4)) AS value FROM s")
+def report_parse(spark, sf_dir):
+    """Evaluator-style report text parsed back to (name, value)."""
+    return S.parse_report(S.report_lines(eval_summary(spark, sf_dir)))
+
+
+@register("latex_report", SUMMARY_SQL + r"""
+SELECT '\begin{tabular}{ |c|c| }' || chr(10) || '\hline' || chr(10)
+       || string_agg(printf('%s & %.4f \\', name, round(value, 4)), chr(10) ORDER BY ord)
+       || chr(10) || '\hline' || chr(10) || '\end{tabular}' AS latex FROM s""")
+def latex_report_q(spark, sf_dir):
+    """The LaTeX table of the summary."""
+    return S.latex_report(eval_summary(spark, sf_dir))
