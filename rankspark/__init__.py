@@ -1,0 +1 @@
+"""rankspark: ranked retrieval and evaluation as Spark DataFrame plans."""
