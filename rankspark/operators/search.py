@@ -16,12 +16,13 @@ Several models can be scored in the same pass (fusion needs two).
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankspark.functions.analysis import query_terms
 from rankspark.functions.models import DEFAULT_K, contribution
-from rankspark.operators.guards import BROADCAST_MAX_ROWS, bounded_values, checked_broadcast
+from rankspark.operators.guards import BROADCAST_MAX_ROWS, bounded_values
 from rankspark.operators.index import Index, term_bucket
 
 SCORE_DECIMALS = 6
@@ -41,27 +42,31 @@ def _fields_for(index: Index, mode: str, fields) -> list[str]:
 
 
 def query_statistics(index: Index, queries: DataFrame, mode: str = "document", fields=None,
-                     max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, int]:
-    """(topic_id, field, term, qtf, df, cf, n, avgdl) for every matched query term.
+                     max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(topic_id, field, term, qtf, df, cf, n, avgdl) per matched query term, and the query terms.
 
     Field-max statistics count only documents that have the field; document
     statistics count every document.
     """
     sel = _fields_for(index, mode, fields)
-    qt = query_terms(queries, index.analyzer)
-    terms, _ = checked_broadcast(qt.select("term").distinct(), max_rows)
+    # One count bounds everything: lexicon keys (field, term) are unique, so
+    # qstats has at most |query terms| x |fields| rows.
+    qt = query_terms(queries, index.analyzer).persist(StorageLevel.MEMORY_AND_DISK)
+    bound = qt.count() * len(sel)
+    small = bound <= max_rows
+    terms = qt.select("term").distinct()
     lex = (index.lexicon.filter(F.col("field").isin(sel))
-           .join(terms, "term", "left_semi"))
+           .join(F.broadcast(terms) if small else terms, "term", "left_semi"))
     n_col = "n_docs" if mode == "document" else "n_with_field"
     stats = (index.stats.filter(F.col("field").isin(sel))
              .select("field", F.col(n_col).cast("double").alias("n"),
                      F.try_divide(F.col("total_len").cast("double"), F.col(n_col)).alias("avgdl")))
     qstats = (qt.join(lex, "term").join(F.broadcast(stats), "field")
               .select("topic_id", "field", "term", "qtf", "df", "cf", "n", "avgdl"))
-    return checked_broadcast(qstats, max_rows)
+    return (F.broadcast(qstats) if small else qstats), qt
 
 
-def candidates(index: Index, qstats: DataFrame, fields: list[str]) -> DataFrame:
+def candidates(index: Index, qstats: DataFrame, fields: list[str], qterms: DataFrame | None = None) -> DataFrame:
     """Postings of the query terms (F1/F2), with their statistics attached.
 
     On a persisted index only the term buckets of the query terms are read
@@ -69,8 +74,9 @@ def candidates(index: Index, qstats: DataFrame, fields: list[str]) -> DataFrame:
     """
     postings = index.postings.filter(F.col("field").isin(fields))
     if index.buckets and "term_bucket" in postings.columns:
-        buckets = bounded_values(qstats.select(term_bucket(F.col("term"), index.buckets)
-                                               .alias("b")), "b", index.buckets)
+        terms = qterms if qterms is not None else qstats
+        buckets = bounded_values(terms.select(term_bucket(F.col("term"), index.buckets)
+                                              .alias("b")), "b", index.buckets)
         if buckets is not None and len(buckets) < index.buckets:
             postings = postings.filter(F.col("term_bucket").isin(buckets))
     return postings.select("field", "term", "doc_id", "tf", "dl").join(qstats, ["field", "term"])
@@ -84,8 +90,8 @@ def score_table(index: Index, queries: DataFrame, models: dict, mode: str = "doc
     field's sum (best_fields, no tie-breaker); document mode sums over terms.
     """
     sel = _fields_for(index, mode, fields)
-    qstats, _ = query_statistics(index, queries, mode, fields, max_rows)
-    cand = candidates(index, qstats, sel)
+    qstats, qt = query_statistics(index, queries, mode, fields, max_rows)
+    cand = candidates(index, qstats, sel, qt)
     contribs = {label: contribution(m, p) for label, (m, p) in models.items()}
     cand = cand.select("topic_id", "doc_id", "field",
                        *[c.alias(f"_w_{label}") for label, c in contribs.items()])
