@@ -47,8 +47,8 @@ def measure_specs() -> list[tuple[str, str, str, str]]:
     specs = [
         ("num_ret", "count(*)", "sum", "num_ret"),
         ("num_rel", "max(r)", "sum", "num_rel"),
-        ("num_rel_ret", "sum(is_rel)", "sum", "num_rel_ret"),
-        ("num_nonrel_judged_ret", "sum(is_nonrel)", "sum", "num_nonrel_judged_ret"),
+        ("num_rel_ret", "CAST(sum(is_rel) AS BIGINT)", "sum", "num_rel_ret"),
+        ("num_nonrel_judged_ret", "CAST(sum(is_nonrel) AS BIGINT)", "sum", "num_nonrel_judged_ret"),
         ("map", div("sum(CASE WHEN is_rel = 1 THEN CAST(cum_rel AS DOUBLE) / pos ELSE 0e0 END)", "max(r)"),
          "mean", "map"),
         ("Rprec", div("sum(CASE WHEN is_rel = 1 AND pos <= r THEN 1 ELSE 0 END)", "max(r)"), "mean", "Rprec"),

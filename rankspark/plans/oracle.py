@@ -89,9 +89,9 @@ def index_ctes(src_sql: str, fields=("text",), doc_field: str | None = "_doc",
 {p}_dl AS (SELECT doc_id, field, len(toks) AS dl FROM {p}_tok),
 {p}_post AS (SELECT field, term, doc_id, count(*) AS tf
              FROM (SELECT doc_id, field, unnest(toks) AS term FROM {p}_tok) GROUP BY field, term, doc_id),
-{p}_lex AS (SELECT field, term, count(*) AS df, sum(tf) AS cf FROM {p}_post GROUP BY field, term),
+{p}_lex AS (SELECT field, term, count(*) AS df, sum(tf)::BIGINT AS cf FROM {p}_post GROUP BY field, term),
 {p}_st AS (SELECT field, count(*) AS n_docs, count(*) FILTER (WHERE dl > 0) AS n_with_field,
-           sum(dl) AS total_len FROM {p}_dl GROUP BY field)"""
+           sum(dl)::BIGINT AS total_len FROM {p}_dl GROUP BY field)"""
 
 
 def sql_s_stem(s: str) -> str:
