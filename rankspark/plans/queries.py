@@ -340,7 +340,7 @@ def lexicon_stemmed(spark, sf_dir):
     return doc_index(spark, sf_dir, analyzer=PIPELINE).lexicon.select("term", "df", "cf")
 
 
-@register("query_terms", f"""SELECT topic_id, term, count(*) AS qtf
+@register("query_terms", f"""SELECT topic_id, term, count(*)::INTEGER AS qtf
 FROM (SELECT topic_id::INTEGER AS topic_id, unnest({O.tokens('text')}) AS term FROM ({O.TOPIC_QUERIES}))
 GROUP BY topic_id, term""")
 def query_terms_q(spark, sf_dir):
@@ -425,7 +425,7 @@ def forward_index_q(spark, sf_dir):
 
 
 @register("match_candidates", DOCS_IDX + f""",
-q AS (SELECT topic_id, term, count(*) AS qtf
+q AS (SELECT topic_id, term, count(*)::INTEGER AS qtf
       FROM (SELECT topic_id::INTEGER AS topic_id, unnest({O.tokens('text')}) AS term FROM ({O.TOPIC_QUERIES}))
       GROUP BY topic_id, term)
 SELECT q.topic_id, p.doc_id, p.term, p.tf::INTEGER AS tf, q.qtf, l.df
