@@ -83,9 +83,9 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                      F.size("lines").cast("long").alias("n_lines"),
                      (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
                      F.inline(F.array(F.struct(F.transform("words", lambda w: F.xxhash64(w)).alias("hashes")))))
-    grams = _paired(_paired(_paired(F.col("hashes"), 1), 2), 4)
-    row = row.select("*", F.size(F.array_distinct("hashes")).cast("long").alias("n_distinct"),
-                     F.inline(F.array(F.struct(grams.alias("grams"))))).drop("hashes")
+    row = row.withColumn("n_distinct", F.size(F.array_distinct("hashes")).cast("long"))
+    for source, target, by in (("hashes", "pairs", 1), ("pairs", "fours", 2), ("fours", "grams", 4)):
+        row = row.select("*", F.inline(F.array(F.struct(_paired(F.col(source), by).alias(target))))).drop(source)
     places = F.sort_array(F.transform("grams", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
     repeats = F.size("grams") > F.size(F.array_distinct("grams"))
     row = row.select("*", F.inline(F.array(F.struct(F.when(repeats, places).alias("places"))))).drop("grams")
