@@ -25,6 +25,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Most bytes of rows that go to a Python worker at once (a longer row goes alone).
+BATCH_BYTES = 8 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a task holds for Python, in the JVM and in the worker; a smaller setting of the session stays."""
+    now = spark.conf.get(_BATCH_CONF).rstrip("bB")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` in small batches."""
+    small_batches(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def broadcast_if(df: DataFrame, small: bool) -> DataFrame:
     """Hint a side whose measured size passed its bound; else leave the join to Spark."""
     return F.broadcast(df) if small else df

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankspark.llm.common import named, written
+from rankspark.llm.common import map_arrow, named, small_batches, written
 
 WINDOW = 10
 BLOCK_WORDS = 200_000
@@ -242,7 +242,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, carry: list[str], text_col: str
                     "items": pa.array(items, pa.list_(pa.string())), "longest": pa.array(longest, pa.int32())}
                 yield pa.RecordBatch.from_arrays([cols[c] for c in names], names=list(names))
 
-        state = state.mapInArrow(run, out.schema)
+        state = map_arrow(state, run, out.schema)
         if following:
             state, block = written(state, "decontaminate"), following
     return state.select(*[F.col(f"k{k}").alias(c) for k, c in enumerate(carry)], *found)
@@ -282,6 +282,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     keys = [f"c{k}" for k in range(len(columns))]
     text = keys[columns.index(text_col)]
     whole = docs.select(*[named(c).alias(k) for c, k in zip(columns, keys)])
+    small_batches(docs.sparkSession)
     cut = F.udf(cut_spans, "string", useArrow=True)
     done = []
     while not done or not whole.isEmpty():

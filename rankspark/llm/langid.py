@@ -36,6 +36,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from rankspark.llm.common import map_arrow
+
 BUCKET_BITS = 17
 SAMPLE_DOCS = 3000
 MAX_LANGUAGES = 512
@@ -44,7 +46,7 @@ SWITCH = 6.0
 CLIP = 3.0
 GRAMS = (1, 2, 3, 4)
 _WORD = re.compile(r"[^\W\d_]+")
-_MEMO = 300_000
+_MEMO = 150_000
 
 # Unicode ranges of scripts (first, last code point); letters outside are "other".
 SCRIPTS = {
@@ -159,7 +161,7 @@ def train(sample: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(own[at])],
                                              names=["lang", "bucket", "n"])
 
-    got = (sample.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket")
+    got = (map_arrow(sample, run, "lang string, bucket int, n long").groupBy("lang", "bucket")
            .agg(F.sum("n").alias("n")).toArrow())
     languages = sorted(set(got["lang"].to_pylist()))
     counts = np.zeros((len(languages), size), np.int64)
@@ -257,8 +259,8 @@ def identify(docs: DataFrame, model: Model, carry: list[Column], text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words(shared.value)
         for big in batches:
-            for at in range(0, len(big), 1000):
-                b = big.slice(at, 1000)
+            for at in range(0, len(big), 300):
+                b = big.slice(at, 300)
                 if len(known.number) > _MEMO:
                     known = Words(shared.value)
                 got = label(b.column("__text").to_pylist(), known, with_spans)
@@ -268,4 +270,4 @@ def identify(docs: DataFrame, model: Model, carry: list[Column], text_col: str =
                     cols.append(pa.array([[dict(zip(("start", "end", "lang"), s)) for s in g[2]] for g in got], kind))
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *cols], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)

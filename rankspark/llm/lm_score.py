@@ -35,12 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from rankspark.llm.common import broadcast_if
+from rankspark.llm.common import broadcast_if, map_arrow
 
 WORD_BITS = 18
 PAIR_BITS = 20
 MU = 8.0
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 500_000
 _MEMO = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)  # 2**64 / golden ratio, odd
 
@@ -110,7 +110,7 @@ def bucket_counts(rows: DataFrame, word_bits: int = WORD_BITS, pair_bits: int =
             yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(count[:, k].sum(axis=0)),
                                               pa.array(count[1, k])], names=["bucket", "background", "target"])
 
-    return (rows.select("text", "target").mapInArrow(run, "bucket int, background long, target long")
+    return (map_arrow(rows.select("text", "target"), run, "bucket int, background long, target long")
             .groupBy("bucket").agg(F.sum("background").alias("background"), F.sum("target").alias("target")))
 
 
@@ -162,4 +162,4 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str =
                 [b.column("id"), b.column("target"), pa.array(n, pa.int64()),
                  *(pa.array(x, pa.float64()) for x in (*loss, diff))], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)

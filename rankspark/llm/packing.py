@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from rankspark.llm.common import broadcast_if, written
+from rankspark.llm.common import broadcast_if, map_arrow, written
 
 MAX_LEN = 2048
 N_BUCKETS = 8
@@ -104,7 +104,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
                 held[k] += mine.sum()
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(local)], names=[*b.schema.names, "local"])
 
-    dealt = written(dealt.mapInArrow(number, StructType([*dealt.schema.fields, StructField("local", LongType())])), "packing")
+    dealt = written(map_arrow(dealt, number, StructType([*dealt.schema.fields, StructField("local", LongType())])), "packing")
     before = Window.partitionBy("bucket").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (dealt.groupBy("part", "bucket").count()
                .select("part", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset")))

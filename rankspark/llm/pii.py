@@ -32,6 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from rankspark.llm.common import map_arrow, small_batches
+
 KINDS = ("email", "ip", "card", "phone")
 TRIGGER = "[0-9@]"
 WINDOW, STRIDE, CONTEXT = 64, 32, 24
@@ -408,8 +410,8 @@ def training_windows(docs: DataFrame, text_col: str = "text", most: int = TRAIN_
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()),
                                               pa.array([o[1] for o in out], pa.string())], names=["window", "spans"])
 
-    rows = (docs.select(_texts(docs, text_col).alias("text")).filter(F.col("text").isNotNull())
-            .mapInArrow(run, "window string, spans string").groupBy("window").agg(F.max("spans").alias("spans"))
+    rows = (map_arrow(docs.select(_texts(docs, text_col).alias("text")).filter(F.col("text").isNotNull()),
+                      run, "window string, spans string").groupBy("window").agg(F.max("spans").alias("spans"))
             .orderBy(F.xxhash64("window"), "window").limit(most).collect())
     return [(r["window"], [(k, int(a), int(e)) for k, a, e in (x.split(":") for x in r["spans"].split(";") if x)]) for r in rows]
 
@@ -433,7 +435,7 @@ def find(docs: DataFrame, params: dict | None, carry: list[Column], text_col: st
                 cols = [pa.array([[dict(zip(("kind", "start", "end"), s)) for s in g[k]] for g in got], kind) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *cols], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)
 
 
 def mask(text: str | None, spans: list) -> str | None:
@@ -463,6 +465,7 @@ def redact(docs: DataFrame, text_col: str = "text", most: int = TRAIN_WINDOWS) -
         keys = ("kind", "start", "end")
         return pd.Series([mask(t, [dict(zip(keys, s)) for s in own]) for t, own in zip(texts, spans)])
 
+    small_batches(docs.sparkSession)
     masked = F.pandas_udf(run, "string")
     text = docs[text_col]
     has = F.coalesce(text.cast("string").rlike(TRIGGER), F.lit(False))

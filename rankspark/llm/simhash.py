@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankspark.llm.common import connected_components, written
+from rankspark.llm.common import connected_components, map_arrow, written
 
 SEED = 42
 SHINGLE = 3
@@ -72,8 +72,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([fingerprint(t.as_py(), shingle) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fps)], names=["id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")) \
-        .mapInArrow(run, "id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return map_arrow(rows, run, "id long, fp long")
 
 
 def block_masks(radius: int, agree: int) -> list[int]:
@@ -227,7 +227,7 @@ def near_pairs(nodes: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET
                 i, j = np.array(found).T
                 yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return map_arrow(dealt, run, "a long, b long")
 
 
 def unit_blocks(batches: Iterator[pa.RecordBatch], most: int = 1 << 14) -> Iterator[tuple]:

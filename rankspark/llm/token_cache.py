@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankspark.llm.common import map_arrow
+
 PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 OTHER_SPACE = re.compile(r"[^\S \n]")
 MEMO_PIECES = 500_000
@@ -116,7 +118,7 @@ def encode_misses(docs: DataFrame, cache: DataFrame, definition: str, text_col:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     distinct = (docs.select(F.sha2(text, 256).alias("digest"), text.alias("text"))
                 .groupBy("digest").agg(F.first("text").alias("text")))
-    return distinct.join(cache, "digest", "left_anti").mapInArrow(run, "digest string, n_tokens long")
+    return map_arrow(distinct.join(cache, "digest", "left_anti"), run, "digest string, n_tokens long")
 
 
 def token_counts(docs: DataFrame, cache_path: str, definition: str, id_col: str = "doc_id",

@@ -35,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankspark.llm.common import map_arrow
+
 SEGMENT_BYTES = 32 * 1024
 CHUNK_BYTES = 4 * 1024
 MIN_REVISIT_BYTES = 100
@@ -142,7 +144,7 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", payload: s
             out = [r for row in zip(*cols) for r in record_bytes(*row, segment_bytes, chunk_bytes)]
             yield pa.RecordBatch.from_pydict({"record": pa.array(out, pa.binary())})
 
-    records = plan_records(pages, key, payload, uri, min_bytes).mapInArrow(make, "record binary")
+    records = map_arrow(plan_records(pages, key, payload, uri, min_bytes), make, "record binary")
     (records.select(F.col("record").cast("string").alias("value")).write
      .option("lineSep", END.decode()).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED")
      .option("maxRecordsPerFile", records_per_file).text(path))
@@ -202,7 +204,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_pylist(rows, schema=_arrow(RECORD_SCHEMA))
 
     raw = spark.read.schema("value string").option("lineSep", VERSION.decode()).text(path)
-    return raw.select(F.col("value").cast("binary")).mapInArrow(parse, RECORD_SCHEMA)
+    return map_arrow(raw.select(F.col("value").cast("binary")), parse, RECORD_SCHEMA)
 
 
 def _arrow(ddl: str) -> pa.Schema:
@@ -259,5 +261,5 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True, on_
         F.max("total_length").alias("total"),
         F.array_sort(F.collect_list(F.struct("segment_number", "block"))).alias("parts"))
         .withColumnRenamed("origin", "record_id"))
-    return (records.filter(~segmented).mapInArrow(whole, PAGE_SCHEMA)
-            .unionByName(groups.mapInArrow(joined, PAGE_SCHEMA)))
+    return map_arrow(records.filter(~segmented), whole, PAGE_SCHEMA).unionByName(
+        map_arrow(groups, joined, PAGE_SCHEMA))
