@@ -74,10 +74,6 @@ class Analyzer:
             toks = F.transform(toks, s_stem)
         return toks
 
-    @property
-    def name(self) -> str:
-        return f"stop={bool(self.stop_words)},stem={self.stem}"
-
 
 DEFAULT = Analyzer()
 # The document engine's pipeline switch (stop words + stemming).

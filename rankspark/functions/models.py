@@ -101,7 +101,7 @@ def dfr_bm25(t: Terms, c: float = DFR_C) -> Column:
 
 
 def tf_idf(t: Terms) -> Column:
-    """Example user model (K1): qtf * tf * log2(n / df)."""
+    """Example user model (K1), for ``register_model``: qtf * tf * log2(n / df)."""
     return t.qtf * t.tf * F.log2(t.n / t.df)
 
 
@@ -111,7 +111,6 @@ MODELS: dict[str, Callable[..., Column]] = {
     "dfr_gbh2": dfr_gbh2,
     "bb2": bb2,
     "dfr_bm25": dfr_bm25,
-    "tf_idf": tf_idf,
 }
 
 

@@ -4,7 +4,10 @@ Conventions of the standard evaluator: order by score desc, then doc id as a
 string desc (the rank column is ignored); relevant = rel >= 1; judged
 nonrelevant = 0 <= rel < 1; rel < 0 = pooled but unjudged; a retrieved
 document missing from the judgements is nonrelevant and not pooled. Topics are
-evaluated when they are in both the run and the judgements.
+evaluated when they are in both the run and the judgements. Cutoffs of recall
+levels and R-precision multiples, floor(x * R + 0.9), are exact decimals here
+(0.7 * 3 + 0.9 is 3), as the definition reads; an evaluator that computes them
+in binary floating point gets 2 for that one.
 
 Plan: run ⋈ qrels (left, on topic+doc) → one window per topic over the run
 (bounded by the run depth k) → per-topic measures as conditional aggregates in
@@ -18,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankspark.session import materialize
+
 # Cutoffs and levels of the standard measure set.
 CUTOFFS = (5, 10, 15, 20, 30, 100, 200, 500, 1000)
 SUCCESS_CUTOFFS = (1, 5, 10)
@@ -107,12 +112,15 @@ GEOMETRIC = [("gm_map", "map"), ("gm_bpref", "bpref")]
 
 
 def validate(run: DataFrame, qrels: DataFrame) -> None:
-    """What makes the external evaluator fail also fails here."""
-    dup = run.groupBy("topic_id", "doc_id").count().filter(F.col("count") > 1).limit(1).collect()
-    if dup:
-        raise ValueError(f"duplicate document in run: {dup[0].asDict()}")
-    common = run.select("topic_id").distinct().join(qrels.select("topic_id").distinct(), "topic_id")
-    if not common.limit(1).collect():
+    """What makes the external evaluator fail also fails here. One pass over the run."""
+    judged = qrels.select(F.col("topic_id").alias("judged")).distinct()
+    pairs = run.groupBy("topic_id", "doc_id").count()
+    found = (pairs.groupBy("topic_id").agg(F.max("count").alias("most"))
+             .join(judged, F.col("topic_id") == F.col("judged"), "left")
+             .agg(F.max("most").alias("most"), F.count("judged").alias("common")).first())
+    if (found["most"] or 0) > 1:
+        raise ValueError("duplicate document in run")
+    if not found["common"]:
         raise ValueError("run and judgements share no topic")
 
 
@@ -172,8 +180,14 @@ def topic_judgements(qrels: DataFrame) -> DataFrame:
 
 
 def evaluate_by_topic(run: DataFrame, qrels: DataFrame, check: bool = False) -> DataFrame:
-    """One row per evaluated topic with every measure (wide)."""
+    """One row per evaluated topic with every measure (wide).
+
+    With ``check`` the run and the judgements are written to the shared
+    checkpoint folder first, so that the search runs once.
+    """
     if check:
+        run = materialize(run.select("topic_id", "doc_id", "score"), "run")
+        qrels = materialize(qrels.select("topic_id", "doc_id", "rel"), "qrels")
         validate(run, qrels)
     base = judged_run(run, qrels).join(topic_judgements(qrels), "topic_id")
     specs = measure_specs()
@@ -208,5 +222,5 @@ def report_names() -> dict:
 
 def evaluate(run: DataFrame, qrels: DataFrame, check: bool = True) -> tuple[DataFrame, DataFrame]:
     """(per-topic measures, summary (ord, name, value))."""
-    by_topic = evaluate_by_topic(run, qrels, check)
+    by_topic = materialize(evaluate_by_topic(run, qrels, check), "by-topic")
     return by_topic, summary(by_topic)

@@ -10,7 +10,7 @@ Layout
 table. Postings come straight out of the tokenized row (in-row term counts),
 so an in-session index needs no shuffle for postings or lengths; only the
 lexicon is a (partially pre-aggregated) ``groupBy``. A persisted index is
-shuffled once by term bucket and written sorted by term so a search reads
+rebalanced once by term bucket and written sorted by term so a search reads
 only the buckets of its query terms.
 
 Field modes: every listed field is indexed on its own (field-max search) and,
@@ -21,16 +21,20 @@ concatenated tokens (document search).
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field as dc_field, replace
+import uuid
+from dataclasses import dataclass, field as dc_field
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankspark.functions.analysis import DEFAULT, Analyzer, counted
+from rankspark.session import materialize
 
 DOC_FIELD = "_doc"
 DEFAULT_BUCKETS = 64
+_POSTING = ["field", "term", "doc_id", "tf", "dl"]
+_LENGTH = ["doc_id", "field", "dl"]
 
 
 @dataclass
@@ -68,24 +72,11 @@ def tokenized_fields(docs: DataFrame, fields, id_col: str = "doc_id",
     if doc_field and len(fields) > 1:
         items.append(F.struct(F.lit(doc_field).alias("field"),
                               F.concat(*[toks[f] for f in fields]).alias("tokens")))
-    exploded = spread(docs).select(F.col(id_col).cast("bigint").alias("doc_id"),
+    exploded = docs.select(F.col(id_col).cast("bigint").alias("doc_id"),
                                    F.inline(F.array(*items)))
     return counted(exploded, F.col("tokens"), ["doc_id", "field"])
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin small inputs over the cluster's cores.
-
-    A corpus in a few large row groups yields fewer scan tasks than cores and
-    tokenizing is CPU-bound. At scale the scan already has many splits and
-    this is a no-op (no shuffle is added).
-    """
-    want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
-
-
 def _postings(tokenized: DataFrame) -> DataFrame:
     # inline_outer + null filter: a plain inline makes the optimizer infer
     # size(entries) > 0 and push it below the projections, where it would
@@ -125,56 +116,81 @@ def term_bucket(term_col, buckets: int):
     return F.pmod(F.xxhash64(term_col), F.lit(buckets)).cast("int")
 
 
+def _published(spark: SparkSession, base: str) -> list:
+    """Every published version of an index (seq, version, meta); none for a new path."""
+    try:
+        return spark.read.schema("seq long, version string, meta string").json(f"{base}/_published").collect()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+
+
 def write_index(index: Index, path: str, buckets: int = DEFAULT_BUCKETS) -> Index:
-    """Persist an index (B1/B5/B6): write to a staging path, then publish.
+    """Persist an index (B1/B5/B6) as a new version of ``path`` and publish it.
+
+    Any index will do, merged and stored ones included: only postings and
+    lengths are needed. The tables go to a folder of their own; once all are
+    complete a record that names the folder is appended to ``_published``. A
+    reader takes the latest record, so it never sees a half-written version,
+    and a version that is being read stays as it is.
 
-    Postings are hash-shuffled once by (field, term bucket), sorted by term
-    inside each bucket and written partitioned by (field, term_bucket); the
-    lexicon is aggregated from what was written. Everything lands in a fresh
-    staging folder and the meta record is written last, so a reader only sees
-    complete indexes.
+    Postings are dealt out by (field, term bucket) with a rebalance, so Spark
+    sizes the partitions from the data and splits large ones: the list of a
+    frequent term may span files. Files are sorted by term.
     """
     spark = index.spark
-    if index.tokenized is None:
-        raise ValueError("write_index needs an in-session index (build_index)")
     base = path.rstrip("/")
-    # Tokenize once: lengths and postings both read the persisted rows (a lost
-    # block is recomputed from the source, so this survives executor loss).
-    tok = index.tokenized.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        tok.select("doc_id", "field", "dl").write.mode("overwrite").parquet(f"{base}/doclen")
-        (_postings(tok)
-         .withColumn("term_bucket", term_bucket(F.col("term"), buckets))
-         .repartition("field", "term_bucket")
-         .sortWithinPartitions("field", "term_bucket", "term", "doc_id")
-         .write.mode("overwrite").partitionBy("field", "term_bucket")
-         .parquet(f"{base}/postings"))
-    finally:
-        tok.unpersist()
-    written = spark.read.parquet(f"{base}/postings")
-    (lexicon_of(written).repartition("field").sortWithinPartitions("field", "term")
-     .write.mode("overwrite").partitionBy("field").parquet(f"{base}/lexicon"))
-    stats_of(spark.read.parquet(f"{base}/doclen")).coalesce(1) \
-        .write.mode("overwrite").parquet(f"{base}/stats")
+    version = f"{uuid.uuid4().hex[:12]}"
+    data = f"{base}/data-{version}"
+    index.doclen.select("doc_id", "field", "dl").write.parquet(f"{data}/doclen")
+    (index.postings.select("field", "term", "doc_id", "tf", "dl")
+     .withColumn("term_bucket", term_bucket(F.col("term"), buckets))
+     .hint("rebalance", "field", "term_bucket")
+     .sortWithinPartitions("field", "term_bucket", "term", "doc_id")
+     .write.partitionBy("field", "term_bucket").parquet(f"{data}/postings"))
+    written = spark.read.parquet(f"{data}/postings")
+    (lexicon_of(written).hint("rebalance", "field").sortWithinPartitions("field", "term")
+     .write.partitionBy("field").parquet(f"{data}/lexicon"))
+    stats_of(spark.read.parquet(f"{data}/doclen")).write.parquet(f"{data}/stats")
     meta = {"fields": list(index.fields), "doc_field": index.doc_field,
             "stop_words": list(index.analyzer.stop_words or []),
             "stem": index.analyzer.stem, "buckets": buckets}
-    spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1) \
-        .write.mode("overwrite").json(f"{base}/_meta")
+    seq = 1 + max((r["seq"] for r in _published(spark, base)), default=0)
+    (spark.createDataFrame([(seq, version, json.dumps(meta))], "seq long, version string, meta string")
+     .coalesce(1).write.mode("append").json(f"{base}/_published"))
     return read_index(spark, base)
 
 
+_STORED_SCHEMAS = {
+    "postings": "term string, doc_id long, tf int, dl int, field string, term_bucket int",
+    "doclen": "doc_id long, field string, dl int",
+    "lexicon": "term string, df long, cf long, field string",
+    "stats": "field string, n_docs long, n_with_field long, total_len long",
+}
+
+
 def read_index(spark: SparkSession, path: str) -> Index:
-    """Open a persisted index."""
+    """Open the latest published version of a persisted index."""
     base = path.rstrip("/")
-    meta = json.loads(spark.read.json(f"{base}/_meta").first()["meta"])
-    analyzer = Analyzer(tuple(meta["stop_words"]) or None, meta["stem"])
-    postings = spark.read.parquet(f"{base}/postings")
-    return Index(postings.select("field", "term", "doc_id", "tf", "dl", "term_bucket"),
-                 spark.read.parquet(f"{base}/doclen"),
-                 spark.read.parquet(f"{base}/lexicon").select("field", "term", "df", "cf"),
-                 spark.read.parquet(f"{base}/stats"),
-                 tuple(meta["fields"]), meta["doc_field"], analyzer, base, meta["buckets"])
+    versions = _published(spark, base)
+    if not versions:
+        raise FileNotFoundError(f"no published index at {base}")
+    last = max(versions, key=lambda r: (r["seq"], r["version"]))
+    meta = json.loads(last["meta"])
+    t = {name: spark.read.schema(s).parquet(f"{base}/data-{last['version']}/{name}")
+         for name, s in _STORED_SCHEMAS.items()}
+    return Index(t["postings"].select("field", "term", "doc_id", "tf", "dl", "term_bucket"), t["doclen"],
+                 t["lexicon"].select("field", "term", "df", "cf"), t["stats"], tuple(meta["fields"]), meta["doc_field"],
+                 Analyzer(tuple(meta["stop_words"]) or None, meta["stem"]), base, meta["buckets"])
+
+
+def add_documents(spark: SparkSession, path: str, docs: DataFrame, id_col: str = "doc_id") -> Index:
+    """Merge a new batch into a stored index and publish the result as its next version."""
+    stored = read_index(spark, path)
+    doc_field = stored.doc_field if len(stored.fields) > 1 else None
+    return write_index(merge_index(stored, build_index(docs, stored.fields, id_col, stored.analyzer, doc_field)),
+                       path, stored.buckets)
 
 
 def _check_mergeable(a: Index, b: Index) -> None:
@@ -183,6 +199,11 @@ def _check_mergeable(a: Index, b: Index) -> None:
         raise ValueError(f"field lists differ: {a.fields} vs {b.fields}")
     if a.analyzer != b.analyzer:
         raise ValueError("indexes were built with different term pipelines")
+    for side in (a, b):
+        for part, need in (("postings", _POSTING), ("doclen", _LENGTH)):
+            missing = set(need) - set(getattr(side, part).columns)
+            if missing:
+                raise ValueError(f"{part} without key columns {sorted(missing)}")
 
 
 def merge_index(a: Index, b: Index, shift_ids: int | None = None) -> Index:
@@ -194,13 +215,12 @@ def merge_index(a: Index, b: Index, shift_ids: int | None = None) -> Index:
     sides are the caller's to resolve (see ``insert_if_absent``).
     """
     _check_mergeable(a, b)
-    cols_p = ["field", "term", "doc_id", "tf", "dl"]
-    bp, bd = b.postings.select(*cols_p), b.doclen.select("doc_id", "field", "dl")
+    bp, bd = b.postings.select(*_POSTING), b.doclen.select(*_LENGTH)
     if shift_ids:
         bp = bp.withColumn("doc_id", F.col("doc_id") + F.lit(shift_ids))
         bd = bd.withColumn("doc_id", F.col("doc_id") + F.lit(shift_ids))
-    postings = a.postings.select(*cols_p).unionByName(bp)
-    doclen = a.doclen.select("doc_id", "field", "dl").unionByName(bd)
+    postings = a.postings.select(*_POSTING).unionByName(bp)
+    doclen = a.doclen.select(*_LENGTH).unionByName(bd)
     lexicon = a.lexicon.select("field", "term", "df", "cf") \
         .unionByName(b.lexicon.select("field", "term", "df", "cf")) \
         .groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
@@ -232,29 +252,20 @@ def forward_index(index: Index) -> DataFrame:
 def term_ids(lexicon: DataFrame, field_name: str) -> DataFrame:
     """Dense 0-based term ids in term order (E8), without a single-task window.
 
-    Range-partition and sort by term, count rows per partition, turn the
-    counts (one row per partition, so bounded) into offsets, and add each
-    row's position inside its partition.
+    Range-partition and sort by term, write that to the shared checkpoint
+    folder with each row's partition and position (a range exchange evaluated
+    twice need not cut at the same terms), count rows per partition, turn the
+    counts (one row per partition, so bounded) into offsets and add them up.
     """
-    ranged = (lexicon.filter(F.col("field") == field_name).select("term")
-              .repartitionByRange("term").sortWithinPartitions("term")
-              .select("term", F.spark_partition_id().alias("pid"),
-                      F.monotonically_increasing_id().alias("mid")))
-    ranged = ranged.checkpoint(eager=True) if _has_ckpt(lexicon) else ranged
+    ranged = materialize(lexicon.filter(F.col("field") == field_name).select("term")
+                         .repartitionByRange("term").sortWithinPartitions("term")
+                         .select("term", F.spark_partition_id().alias("pid"),
+                                 F.monotonically_increasing_id().alias("mid")), "term-ids")
     counts = ranged.groupBy("pid").agg(F.count(F.lit(1)).alias("cnt"),
                                        F.min("mid").alias("first_mid"))
-    from pyspark.sql import Window
     w = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("pid", "first_mid",
                             F.coalesce(F.sum("cnt").over(w), F.lit(0)).alias("offset"))
     return (ranged.join(F.broadcast(offsets), "pid")
             .select("term", (F.col("offset") + F.col("mid") - F.col("first_mid"))
                     .cast("bigint").alias("term_id")))
-
-
-def _has_ckpt(df: DataFrame) -> bool:
-    return bool(df.sparkSession.sparkContext.getCheckpointDir())
-
-
-def with_buckets(index: Index, buckets: int) -> Index:
-    return replace(index, buckets=buckets)

@@ -16,14 +16,14 @@ Several models can be scored in the same pass (fusion needs two).
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankspark.functions.analysis import query_terms
 from rankspark.functions.models import DEFAULT_K, contribution
-from rankspark.operators.guards import BROADCAST_MAX_ROWS, bounded_values
+from rankspark.operators.guards import BROADCAST_MAX_ROWS, checked_broadcast
 from rankspark.operators.index import Index, term_bucket
+from rankspark.session import materialize
 
 SCORE_DECIMALS = 6
 RUN_COLUMNS = ["topic_id", "doc_id", "rank", "score"]
@@ -42,8 +42,8 @@ def _fields_for(index: Index, mode: str, fields) -> list[str]:
 
 
 def query_statistics(index: Index, queries: DataFrame, mode: str = "document", fields=None,
-                     max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, DataFrame]:
-    """(topic_id, field, term, qtf, df, cf, n, avgdl) per matched query term, and the query terms.
+                     max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """(topic_id, field, term, qtf, df, cf, n, avgdl) per matched query term, plus term_bucket for a stored index.
 
     Field-max statistics count only documents that have the field; document
     statistics count every document.
@@ -51,9 +51,8 @@ def query_statistics(index: Index, queries: DataFrame, mode: str = "document", f
     sel = _fields_for(index, mode, fields)
     # One count bounds everything: lexicon keys (field, term) are unique, so
     # qstats has at most |query terms| x |fields| rows.
-    qt = query_terms(queries, index.analyzer).persist(StorageLevel.MEMORY_AND_DISK)
-    bound = qt.count() * len(sel)
-    small = bound <= max_rows
+    qt = materialize(query_terms(queries, index.analyzer), "query-terms")
+    small = qt.count() * len(sel) <= max_rows
     terms = qt.select("term").distinct()
     lex = (index.lexicon.filter(F.col("field").isin(sel))
            .join(F.broadcast(terms) if small else terms, "term", "left_semi"))
@@ -63,23 +62,20 @@ def query_statistics(index: Index, queries: DataFrame, mode: str = "document", f
                      F.try_divide(F.col("total_len").cast("double"), F.col(n_col)).alias("avgdl")))
     qstats = (qt.join(lex, "term").join(F.broadcast(stats), "field")
               .select("topic_id", "field", "term", "qtf", "df", "cf", "n", "avgdl"))
-    return (F.broadcast(qstats) if small else qstats), qt
+    if index.buckets:
+        qstats = qstats.withColumn("term_bucket", term_bucket(F.col("term"), index.buckets))
+    return F.broadcast(qstats) if small else qstats
 
 
-def candidates(index: Index, qstats: DataFrame, fields: list[str], qterms: DataFrame | None = None) -> DataFrame:
+def candidates(index: Index, qstats: DataFrame, fields: list[str]) -> DataFrame:
     """Postings of the query terms (F1/F2), with their statistics attached.
 
-    On a persisted index only the term buckets of the query terms are read
-    (partition pruning); the bucket list is bounded by the bucket count.
+    On a persisted index the join is on the term bucket too, so that dynamic
+    partition pruning reads only the buckets of the query terms.
     """
     postings = index.postings.filter(F.col("field").isin(fields))
-    if index.buckets and "term_bucket" in postings.columns:
-        terms = qterms if qterms is not None else qstats
-        buckets = bounded_values(terms.select(term_bucket(F.col("term"), index.buckets)
-                                              .alias("b")), "b", index.buckets)
-        if buckets is not None and len(buckets) < index.buckets:
-            postings = postings.filter(F.col("term_bucket").isin(buckets))
-    return postings.select("field", "term", "doc_id", "tf", "dl").join(qstats, ["field", "term"])
+    keys = ["field", "term_bucket", "term"] if index.buckets else ["field", "term"]
+    return postings.select(*keys, "doc_id", "tf", "dl").join(qstats, keys)
 
 
 def score_table(index: Index, queries: DataFrame, models: dict, mode: str = "document",
@@ -90,8 +86,7 @@ def score_table(index: Index, queries: DataFrame, models: dict, mode: str = "doc
     field's sum (best_fields, no tie-breaker); document mode sums over terms.
     """
     sel = _fields_for(index, mode, fields)
-    qstats, qt = query_statistics(index, queries, mode, fields, max_rows)
-    cand = candidates(index, qstats, sel, qt)
+    cand = candidates(index, query_statistics(index, queries, mode, fields, max_rows), sel)
     contribs = {label: contribution(m, p) for label, (m, p) in models.items()}
     cand = cand.select("topic_id", "doc_id", "field",
                        *[c.alias(f"_w_{label}") for label, c in contribs.items()])
@@ -106,14 +101,14 @@ def score_table(index: Index, queries: DataFrame, models: dict, mode: str = "doc
     return cand.groupBy("topic_id", "doc_id").agg(*aggs)
 
 
-def top_k(scores: DataFrame, score_col: str, k: int) -> DataFrame:
-    """Rank within topic by rounded score desc, then doc_id; keep rank <= k (H1-H5)."""
+def top_k(scores: DataFrame, score_col: str, k: int, by: tuple[str, ...] = ("topic_id",)) -> DataFrame:
+    """Rank within ``by`` by rounded score desc, then doc_id; keep rank <= k (H1-H5)."""
     rounded = (scores.filter(F.col(score_col).isNotNull())
-               .select("topic_id", "doc_id", F.round(F.col(score_col), SCORE_DECIMALS).alias("score")))
-    w = Window.partitionBy("topic_id").orderBy(F.col("score").desc(), F.col("doc_id").asc())
+               .select(*by, "doc_id", F.round(F.col(score_col), SCORE_DECIMALS).alias("score")))
+    w = Window.partitionBy(*by).orderBy(F.col("score").desc(), F.col("doc_id").asc())
     return (rounded.withColumn("rank", F.row_number().over(w))
             .filter(F.col("rank") <= k)
-            .select("topic_id", "doc_id", F.col("rank").cast("int").alias("rank"), "score"))
+            .select(*by, "doc_id", F.col("rank").cast("int").alias("rank"), "score"))
 
 
 def search(index: Index, queries: DataFrame, model: str = "bm25_doc", mode: str = "document",
@@ -137,25 +132,25 @@ def fuse(run_first: DataFrame, run_second: DataFrame) -> DataFrame:
     raw score desc (stable: first run, then its own order) and number again.
     No cut.
     """
-    both = (run_first.select("topic_id", "doc_id", "score", F.lit(0).alias("src"),
-                             F.col("rank").alias("src_rank"))
-            .unionByName(run_second.select("topic_id", "doc_id", "score", F.lit(1).alias("src"),
-                                           F.col("rank").alias("src_rank"))))
-    first = Window.partitionBy("topic_id", "doc_id").orderBy("src")
-    kept = both.withColumn("_o", F.row_number().over(first)).filter(F.col("_o") == 1)
-    order = Window.partitionBy("topic_id").orderBy(F.col("score").desc(), "src", "src_rank")
+    return _fused(run_first.withColumn("src", F.lit(0)).unionByName(run_second.withColumn("src", F.lit(1))))
+
+
+def _fused(both: DataFrame) -> DataFrame:
+    """The first source's row of each (topic, document), numbered anew."""
+    kept = both.groupBy("topic_id", "doc_id").agg(F.min(F.struct("src", "rank", "score")).alias("r"))
+    order = Window.partitionBy("topic_id").orderBy(F.col("r.score").desc(), "r.src", "r.rank")
     return kept.select("topic_id", "doc_id", F.row_number().over(order).cast("int").alias("rank"),
-                       "score")
+                       F.col("r.score").alias("score"))
 
 
 def search_fused(index: Index, queries: DataFrame, first: str, second: str, mode: str,
                  k: int | None = None, fields=None, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Both runs from one candidate pass, then ``fuse``."""
+    """Both runs from one candidate pass: each scored pair becomes a row per model, ranked once, then fused."""
     k = k or DEFAULT_K[mode]
-    scores = score_table(index, queries, {"a": (first, None), "b": (second, None)},
-                         mode, fields, max_rows)
-    return fuse(top_k(scores.select("topic_id", "doc_id", "a"), "a", k),
-                top_k(scores.select("topic_id", "doc_id", "b"), "b", k))
+    scores = score_table(index, queries, {"a": (first, None), "b": (second, None)}, mode, fields, max_rows)
+    each = scores.select("topic_id", "doc_id", F.inline(F.array(
+        F.struct(F.lit(0).alias("src"), F.col("a").alias("s")), F.struct(F.lit(1).alias("src"), F.col("b").alias("s")))))
+    return _fused(top_k(each, "s", k, ("topic_id", "src")))
 
 
 def match_all(articles: DataFrame, id_col: str = "id") -> DataFrame:
@@ -163,15 +158,32 @@ def match_all(articles: DataFrame, id_col: str = "id") -> DataFrame:
     return articles.select(F.col(id_col).alias("doc_id"), F.lit(1.0).alias("score"))
 
 
+def lookup(articles: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
+    """The stored articles of ``ids`` (column ``id_col``); an id without article fails.
+
+    The ids are counted and broadcast under the bound, so the articles are
+    read where they lie; beyond it both sides are shuffled.
+    """
+    wanted, _ = checked_broadcast(ids.select(id_col).distinct())
+    found = articles.join(wanted, id_col, "left_semi")
+    _all_stored(wanted, found, id_col)
+    return found
+
+
+def _all_stored(wanted: DataFrame, found: DataFrame, id_col: str) -> None:
+    missing = wanted.select(id_col).join(found.select(id_col), id_col, "left_anti").first()
+    if missing:
+        raise LookupError(f"no stored article {missing[0]}")
+
+
 def enrich(run: DataFrame, articles: DataFrame, id_col: str = "id", check: bool = True) -> DataFrame:
     """Attach the stored article to each hit (F4); a missing article fails.
 
-    Done after top-k, so only k rows per topic reach the join.
+    Done after top-k: the run (at most k rows per topic) is counted and
+    broadcast under the bound, so articles are not shuffled for it.
     """
-    out = run.join(articles.withColumnRenamed(id_col, "doc_id"), "doc_id", "left")
+    hits, _ = checked_broadcast(run)
+    stored = articles.withColumnRenamed(id_col, "doc_id")
     if check:
-        probe = [c for c in articles.columns if c != id_col][0]
-        missing = out.filter(F.col(probe).isNull()).select("topic_id", "doc_id").limit(1).collect()
-        if missing:
-            raise LookupError(f"hit without stored article: {missing[0].asDict()}")
-    return out
+        _all_stored(hits.select("doc_id").distinct(), stored.join(hits, "doc_id", "left_semi"), "doc_id")
+    return stored.join(hits, "doc_id")

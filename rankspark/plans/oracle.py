@@ -42,20 +42,26 @@ DOCS_WIDE = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda w: w <> '')"
 TOPICS = f"""
 SELECT 'bench' AS topic_set, item_id::INTEGER AS id,
-  array_to_string(list_slice({WORDS}, 1, 3), ' ') AS disease,
-  array_to_string(list_slice({WORDS}, 4, 5), ' ') AS gene,
-  array_to_string(list_slice({WORDS}, 6, 8), ' ') AS treatment
-FROM benchmark"""
+  array_to_string(w[1:a], ' ') AS disease, array_to_string(w[a + 1:a + b], ' ') AS gene,
+  array_to_string(w[a + b + 1:], ' ') AS treatment
+FROM (SELECT item_id, w, ((len(w) + 2) // 3)::BIGINT AS a, ((len(w) + 1) // 3)::BIGINT AS b
+      FROM (SELECT item_id, {WORDS} AS w FROM benchmark))"""
 
 TOPIC_QUERIES = f"SELECT id AS topic_id, concat_ws(' ', disease, gene, treatment) AS text FROM ({TOPICS})"
 FREE_QUERIES = "SELECT item_id::INTEGER AS topic_id, text FROM benchmark"
 
 QRELS = f"""
+WITH it AS (SELECT item_id, {tokens('text')} AS t FROM benchmark),
+ig AS (SELECT DISTINCT item_id, least(5, len(t)) AS k, array_to_string(t[p:p + least(5, len(t)) - 1], ' ') AS g
+       FROM (SELECT item_id, t, unnest(range(1, len(t) - least(5, len(t)) + 2)) AS p FROM it WHERE len(t) > 0)),
+nt AS (SELECT item_id, count(*) AS total FROM ig GROUP BY item_id),
+dg AS (SELECT DISTINCT doc_id, k, array_to_string(t[p:p + k - 1], ' ') AS g
+       FROM (SELECT doc_id, t, k, unnest(range(1, (len(t) - k + 2)::BIGINT)) AS p
+             FROM (SELECT doc_id, {tokens('text')} AS t FROM documents), (SELECT DISTINCT k FROM ig) WHERE len(t) >= k)),
+sh AS (SELECT item_id, doc_id, count(*)::DOUBLE / any_value(total) AS share
+       FROM dg JOIN ig USING (k, g) JOIN nt USING (item_id) GROUP BY item_id, doc_id)
 SELECT topic_id::INTEGER AS topic_id, '0' AS iter, doc_id::BIGINT AS doc_id, max(rel)::INTEGER AS rel FROM (
-  SELECT b.item_id AS topic_id, d.doc_id, 2 AS rel
-  FROM benchmark b JOIN documents d
-    ON lower(substr(coalesce(b.text, ''), 1, 40)) <> ''
-   AND contains(lower(coalesce(d.text, '')), lower(substr(coalesce(b.text, ''), 1, 40)))
+  SELECT item_id AS topic_id, doc_id, CASE WHEN share >= 0.5 THEN 2 ELSE 1 END AS rel FROM sh WHERE share >= 0.1
   UNION ALL
   SELECT b.item_id, l.doc_id, l.quality
   FROM labels l JOIN benchmark b
@@ -181,6 +187,16 @@ RUN_SELECT = ("SELECT topic_id::INTEGER AS topic_id, doc_id::BIGINT AS doc_id, r
               "score::DOUBLE AS score FROM {src}")
 
 
+def pipeline_tokens(stop, stem):
+    """The term pipeline applied to a text column, for queries."""
+    def of(x: str) -> str:
+        t = tokens(x)
+        if stop:
+            t = f"list_filter({t}, lambda s: NOT list_contains([{', '.join(repr(w) for w in stop)}], s))"
+        return f"list_transform({t}, lambda s: {sql_s_stem('s')})" if stem else t
+    return of
+
+
 def run_sql(src_kind: str, queries: str, model: str, mode: str, k: int, params=None,
             fields=None, stop=None, stem=False) -> str:
     """Full run query: index CTEs + scores + top-k."""
@@ -190,7 +206,8 @@ def run_sql(src_kind: str, queries: str, model: str, mode: str, k: int, params=N
     else:
         idx = index_ctes(ARTICLE_WIDE, ARTICLE_FIELDS, "_doc", stop, stem)
         flds, docf = (fields or ARTICLE_FIELDS), "_doc"
-    return ("WITH " + idx + ",\n" + scores_cte(queries, {"s": (model, params)}, mode, flds, docf)
+    return ("WITH " + idx + ",\n" + scores_cte(queries, {"s": (model, params)}, mode, flds, docf,
+                                               analyzer_sql=pipeline_tokens(stop, stem))
             + ",\n" + topk_cte("x_run", "x_sc", "s", k) + "\n" + RUN_SELECT.format(src="x_run"))
 
 
@@ -227,57 +244,87 @@ x_fused AS (SELECT topic_id, doc_id, score,
             row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, src, src_rank) AS rank FROM x_first)""")
 
 
+# The evaluation, written out by hand from the measures' definitions; nothing here comes from the Spark side.
+_K = (5, 10, 15, 20, 30, 100, 200, 500, 1000)
+_LEVELS = tuple(f"{i / 10:.2f}" for i in range(11))
+_MULTS = tuple(f"{i / 5:.2f}" for i in range(1, 11))
+
+
+def _ratio(a: str, b: str) -> str:
+    return f"coalesce(({a})::DOUBLE / nullif({b}, 0), 0)"
+
+
 def eval_ctes(run_ctes: str, run_name: str = "x_run") -> str:
-    """CTE list ending in e_topic (per-topic measures) and e_base (judged run)."""
-    from rankspark.operators import evaluate as E
-    specs = E.measure_specs()
-    per = ",\n  ".join(f'{e} AS "{n}"' for n, e, _, _ in specs)
-    derived = ",\n  ".join(f'{e} AS "{n}"' for n, e, _, _ in E.DERIVED)
-    ideal_k = ", ".join(f"sum(CASE WHEN pos <= {k} THEN rel / log2(pos + 1e0) ELSE 0e0 END) AS idcg_{k}"
-                        for k in E.CUTOFFS)
-    ideal_fill = ", ".join(f"coalesce(i.idcg_{k}, 0e0) AS idcg_{k}" for k in E.CUTOFFS)
+    """CTE list ending in e_topic (per-topic measures) and e_base (judged run).
+
+    Each measure is an aggregate over the topic's ranked list ``f``: pos and
+    grade of every document, with the relevant (cr), judged nonrelevant (cn)
+    and pooled (cp) ones up to it.
+    """
+    m = {"num_ret": "count(*)", "num_rel": "any_value(r)", "num_rel_ret": "count(*) FILTER (WHERE hit)",
+         "num_nonrel_judged_ret": "count(*) FILTER (WHERE rel = 0)",
+         "map": _ratio("sum(cr::DOUBLE / pos) FILTER (WHERE hit)", "any_value(r)"),
+         "Rprec": _ratio("count(*) FILTER (WHERE hit AND pos <= r)", "any_value(r)"),
+         "bpref": _ratio("sum(1 - coalesce(least(cn, r)::DOUBLE / nullif(least(nn, r), 0), 0)) FILTER (WHERE hit)",
+                         "any_value(r)"),
+         "recip_rank": "coalesce(1::DOUBLE / min(pos) FILTER (WHERE hit), 0)"}
+    for x in _LEVELS:
+        m[f"iprec_at_recall_{x.replace('.', '_')}"] = (
+            f"coalesce(max(cr::DOUBLE / pos) FILTER (WHERE hit AND cr >= floor({x}::DECIMAL(9,2) * r + 0.9::DECIMAL(9,2))), 0)")
+    for k in _K:
+        top = f"count(*) FILTER (WHERE hit AND pos <= {k})"
+        m[f"P_{k}"] = f"{top}::DOUBLE / {k}"
+        m[f"recall_{k}"] = _ratio(top, "any_value(r)")
+        m[f"relative_P_{k}"] = _ratio(top, f"least({k}, any_value(r))")
+        m[f"map_cut_{k}"] = _ratio(f"sum(cr::DOUBLE / pos) FILTER (WHERE hit AND pos <= {k})", "any_value(r)")
+        m[f"ndcg_cut_{k}"] = _ratio(f"sum(greatest(rel, 0) / log2(pos + 1)) FILTER (WHERE pos <= {k})", f"any_value(best_{k})")
+    for x in _MULTS:
+        cut = f"floor({x}::DECIMAL(9,2) * r + 0.9::DECIMAL(9,2))"
+        m[f"Rprec_mult_{x.replace('.', '_')}"] = _ratio(f"count(*) FILTER (WHERE hit AND pos <= {cut})", f"any_value({cut})")
+    for k in (1, 5, 10):
+        m[f"success_{k}"] = f"(count(*) FILTER (WHERE hit AND pos <= {k}) > 0)::INTEGER::DOUBLE"
+    m |= {"ndcg": _ratio("sum(greatest(rel, 0) / log2(pos + 1))", "any_value(best)"),
+          "set_P": "count(*) FILTER (WHERE hit)::DOUBLE / count(*)",
+          "set_recall": _ratio("count(*) FILTER (WHERE hit)", "any_value(r)"),
+          "set_relative_P": _ratio("count(*) FILTER (WHERE hit)", "least(count(*), any_value(r))"),
+          "utility": "(2 * count(*) FILTER (WHERE hit) - count(*))::DOUBLE",
+          "infAP": _ratio("sum(1::DOUBLE / pos + CASE WHEN pos > 1 THEN (pos - 1)::DOUBLE / pos * (cp - 1) / (pos - 1)"
+                          " * (cr - 1 + 0.00001) / (cr - 1 + cn + 0.00002) ELSE 0 END) FILTER (WHERE hit)", "any_value(r)")}
+    per = ",\n  ".join(f'{e} AS "{n}"' for n, e in m.items())
+    best = ", ".join(f"sum(rel / log2(pos + 1)) FILTER (WHERE pos <= {k}) AS best_{k}" for k in _K)
+    points = ", ".join(f"iprec_at_recall_{x.replace('.', '_')}" for x in _LEVELS)
     return f"""{run_ctes},
 e_q AS ({QRELS}),
-e_run AS (SELECT topic_id, doc_id, score FROM {run_name} WHERE topic_id IN (SELECT topic_id FROM e_q)),
-e_b0 AS (
-  SELECT r.topic_id, r.doc_id, r.score::DOUBLE AS score, q.rel,
-    CASE WHEN q.rel >= 1 THEN 1 ELSE 0 END AS is_rel,
-    CASE WHEN q.rel >= 0 AND q.rel < 1 THEN 1 ELSE 0 END AS is_nonrel,
-    CASE WHEN q.rel IS NOT NULL THEN 1 ELSE 0 END AS in_pool,
-    (CASE WHEN q.rel > 0 THEN q.rel ELSE 0 END)::DOUBLE AS gain
-  FROM e_run r LEFT JOIN e_q q ON q.topic_id = r.topic_id AND q.doc_id = r.doc_id),
-e_base AS (
-  SELECT *, row_number() OVER w AS pos,
-    (sum(is_rel) OVER w)::BIGINT AS cum_rel, (sum(is_nonrel) OVER w)::BIGINT AS cum_nonrel,
-    (sum(in_pool) OVER w)::BIGINT AS cum_pool
-  FROM e_b0
-  WINDOW w AS (PARTITION BY topic_id ORDER BY score DESC, CAST(doc_id AS VARCHAR) DESC
-               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-e_ideal0 AS (SELECT topic_id, rel, row_number() OVER (PARTITION BY topic_id ORDER BY rel DESC) AS pos
-             FROM e_q WHERE rel > 0),
-e_ideal AS (SELECT topic_id, sum(rel / log2(pos + 1e0)) AS idcg, {ideal_k} FROM e_ideal0 GROUP BY topic_id),
-e_tj AS (
-  SELECT c.topic_id, c.r, c.n_nonrel, coalesce(i.idcg, 0e0) AS idcg, {ideal_fill}
-  FROM (SELECT topic_id, count(*) FILTER (WHERE rel >= 1) AS r,
-               count(*) FILTER (WHERE rel >= 0 AND rel < 1) AS n_nonrel FROM e_q GROUP BY topic_id) c
-  LEFT JOIN e_ideal i ON i.topic_id = c.topic_id),
-e_full AS (SELECT b.*, t.* EXCLUDE (topic_id) FROM e_base b JOIN e_tj t ON t.topic_id = b.topic_id),
+e_b0 AS (SELECT topic_id, doc_id, score::DOUBLE AS score, q.rel, coalesce(q.rel >= 1, false) AS hit
+         FROM {run_name} LEFT JOIN e_q q USING (topic_id, doc_id) WHERE topic_id IN (SELECT topic_id FROM e_q)),
+e_run AS (SELECT topic_id FROM e_b0),
+e_base AS (SELECT *, row_number() OVER w AS pos, count(*) FILTER (WHERE hit) OVER w AS cr,
+                  count(*) FILTER (WHERE rel = 0) OVER w AS cn, count(rel) OVER w AS cp
+           FROM e_b0 WINDOW w AS (PARTITION BY topic_id ORDER BY score DESC, doc_id::VARCHAR DESC
+                                  ROWS UNBOUNDED PRECEDING)),
+e_best AS (SELECT topic_id, sum(rel / log2(pos + 1)) AS best, {best}
+           FROM (SELECT topic_id, rel, row_number() OVER (PARTITION BY topic_id ORDER BY rel DESC) AS pos FROM e_q WHERE rel > 0)
+           GROUP BY topic_id),
+e_t AS (SELECT topic_id, count(*) FILTER (WHERE rel >= 1) AS r, count(*) FILTER (WHERE rel = 0) AS nn FROM e_q GROUP BY topic_id),
 e_per AS (SELECT topic_id,
   {per}
-  FROM e_full GROUP BY topic_id),
-e_topic AS (SELECT *, {derived} FROM e_per)"""
+  FROM e_base JOIN e_t USING (topic_id) LEFT JOIN e_best USING (topic_id) GROUP BY topic_id),
+e_topic AS (SELECT *, list_avg([{points}]) AS "11pt_avg",
+            {_ratio('2 * set_P * set_recall', 'set_P + set_recall')} AS "set_F", set_P * set_recall AS "set_map" FROM e_per)"""
+
+
+#: Names of the report in its order; sums over topics first, means after.
+_SUMS = ("num_ret", "num_rel", "num_rel_ret", "num_nonrel_judged_ret")
+_MEANS = ("map", "Rprec", "bpref", "recip_rank", *(f"iprec_at_recall_{x}" for x in _LEVELS),
+          *(f"{n}_{k}" for n in ("P", "recall", "relative_P", "map_cut", "ndcg_cut") for k in _K),
+          *(f"Rprec_mult_{x}" for x in _MULTS), "success_1", "success_5", "success_10", "ndcg", "set_P", "set_recall",
+          "set_relative_P", "utility", "infAP", "11pt_avg", "set_F", "set_map")
 
 
 def eval_summary_select() -> str:
-    from rankspark.operators import evaluate as E
-    names = E.report_names()
-    parts = ["SELECT 0 AS ord, 'num_q' AS name, count(*)::DOUBLE AS value FROM e_topic"]
-    i = 1
-    for n, _, kind, _ in E.measure_specs() + E.DERIVED:
-        agg = "sum" if kind == "sum" else "avg"
-        parts.append(f"SELECT {i}, '{names[n]}', {agg}(\"{n}\")::DOUBLE FROM e_topic")
-        i += 1
-    for g, src in E.GEOMETRIC:
-        parts.append(f"SELECT {i}, '{g}', exp(avg(ln(greatest(\"{src}\", {E.MIN_GEO_MEAN}))))::DOUBLE FROM e_topic")
-        i += 1
-    return "SELECT ord::INTEGER AS ord, name, value FROM (" + "\nUNION ALL ".join(parts) + ")"
+    rows = [("num_q", "count(*)")]
+    rows += [(n, f'sum("{n}")') for n in _SUMS]
+    rows += [(n, f'avg("{n.replace(".", "_")}")') for n in _MEANS]
+    rows += [(f"gm_{n}", f'exp(avg(ln(greatest("{n}", 0.00001))))') for n in ("map", "bpref")]
+    return "SELECT ord::INTEGER AS ord, name, value FROM (" + "\nUNION ALL ".join(
+        f"SELECT {i} AS ord, '{n}' AS name, ({e})::DOUBLE AS value FROM e_topic" for i, (n, e) in enumerate(rows)) + ")"

@@ -12,11 +12,22 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankspark.functions.analysis import DEFAULT, ENGLISH_STOP_WORDS, PIPELINE, Analyzer, query_terms
+from rankspark.functions.models import register_model, tf_idf
 from rankspark.functions.text import ARTICLE_FIELDS, article_fields, topic_text
-from rankspark.operators.index import Index, build_index
-from rankspark.operators.search import search, search_fused
+from rankspark.operators import evaluate as E
+from rankspark.operators.index import (Index, build_index, forward_index, merge_index, read_index, term_ids,
+                                       write_index)
+from rankspark.operators.ingest import append_articles, insert_if_absent
+from rankspark.operators.search import candidates, enrich, lookup, match_all, query_statistics, search, search_fused
 from rankspark.plans import oracle as O
 from rankspark.plans import testbed as T
+from rankspark.plans.requests import Engines, Options, evaluate_topics, find, run_for
+from rankspark.session import scratch_path
+from rankspark.sinks import outputs as S
+from rankspark.sources import corpus as C
+
+RUN_NAME = "rankspark"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -44,6 +55,20 @@ def article_index(spark: SparkSession, sf_dir: str, **kw) -> Index:
                        id_col="doc_id", **kw)
 
 
+_STORED: dict[tuple, str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, kind: str, analyzer: Analyzer = DEFAULT) -> Index:
+    """The index of a data folder, built and written once per session, then opened."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind, analyzer)
+    if key not in _STORED:
+        build = doc_index if kind == "docs" else article_index
+        path = scratch_path(spark, f"index-{kind}")
+        write_index(build(spark, sf_dir, analyzer=analyzer), path)
+        _STORED[key] = path
+    return read_index(spark, _STORED[key])
+
+
 def topic_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topic_text(T.topics_all(spark, sf_dir))
 
@@ -53,43 +78,51 @@ def topic_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("run_bm25_flat", O.run_sql("docs", O.FREE_QUERIES, "bm25_field", "field_max", 20))
 def run_bm25_flat(spark, sf_dir):
     """G1 over the single field text, top 20 per benchmark item (flagship)."""
-    return search(doc_index(spark, sf_dir), T.free_text_queries(spark, sf_dir),
+    return search(stored(spark, sf_dir, "docs"), T.free_text_queries(spark, sf_dir),
                   model="bm25_field", mode="field_max", k=20)
 
 
 @register("run_bm25_fieldmax", O.run_sql("articles", O.TOPIC_QUERIES, "bm25_field", "field_max", 1000))
 def run_bm25_fieldmax(spark, sf_dir):
-    return search(article_index(spark, sf_dir), topic_queries(spark, sf_dir),
+    return search(stored(spark, sf_dir, "articles"), topic_queries(spark, sf_dir),
                   model="bm25_field", mode="field_max", k=1000)
 
 
 @register("run_dfr_fieldmax", O.run_sql("articles", O.TOPIC_QUERIES, "dfr_gbh2", "field_max", 1000))
 def run_dfr_fieldmax(spark, sf_dir):
-    return search(article_index(spark, sf_dir), topic_queries(spark, sf_dir),
+    return search(stored(spark, sf_dir, "articles"), topic_queries(spark, sf_dir),
                   model="dfr_gbh2", mode="field_max", k=1000)
 
 
 @register("run_dfrbm25_fieldmax", O.run_sql("articles", O.TOPIC_QUERIES, "dfr_bm25", "field_max", 1000))
 def run_dfrbm25_fieldmax(spark, sf_dir):
-    return search(article_index(spark, sf_dir), topic_queries(spark, sf_dir),
+    return search(stored(spark, sf_dir, "articles"), topic_queries(spark, sf_dir),
                   model="dfr_bm25", mode="field_max", k=1000)
 
 
 @register("run_bm25_doc", O.run_sql("articles", O.TOPIC_QUERIES, "bm25_doc", "document", 20))
 def run_bm25_doc(spark, sf_dir):
-    return search(article_index(spark, sf_dir), topic_queries(spark, sf_dir),
+    return search(stored(spark, sf_dir, "articles"), topic_queries(spark, sf_dir),
                   model="bm25_doc", mode="document", k=20)
 
 
+@register("run_bm25_doc_pipeline", O.run_sql("articles", O.TOPIC_QUERIES, "bm25_doc", "document", 20,
+                                             stop=ENGLISH_STOP_WORDS, stem=True))
+def run_bm25_doc_pipeline(spark, sf_dir):
+    """The document engine with its own term pipeline (stop words, stemming), through the dispatch."""
+    engines = Engines(stored(spark, sf_dir, "articles"), stored(spark, sf_dir, "articles", PIPELINE))
+    return run_for(engines, topic_queries(spark, sf_dir), Options("BM25", "TERRIER"))
+
+
 @register("run_dfr_doc", O.run_sql("articles", O.TOPIC_QUERIES, "bb2", "document", 20))
 def run_dfr_doc(spark, sf_dir):
-    return search(article_index(spark, sf_dir), topic_queries(spark, sf_dir),
+    return search(stored(spark, sf_dir, "articles"), topic_queries(spark, sf_dir),
                   model="bb2", mode="document", k=20)
 
 
 @register("run_dfrbm25_doc", O.run_sql("articles", O.TOPIC_QUERIES, "dfr_bm25", "document", 20))
 def run_dfrbm25_doc(spark, sf_dir):
-    return search(article_index(spark, sf_dir), topic_queries(spark, sf_dir),
+    return search(stored(spark, sf_dir, "articles"), topic_queries(spark, sf_dir),
                   model="dfr_bm25", mode="document", k=20)
 
 
@@ -100,7 +133,7 @@ BM25_NO_LENGTH = {"k1": 0.9, "b": 0.0}
 @register("run_bm25_params", O.run_sql("docs", O.FREE_QUERIES, "bm25_field", "field_max", 20,
                                        params=BM25_NO_LENGTH))
 def run_bm25_params(spark, sf_dir):
-    return search(doc_index(spark, sf_dir), T.free_text_queries(spark, sf_dir),
+    return search(stored(spark, sf_dir, "docs"), T.free_text_queries(spark, sf_dir),
                   model="bm25_field", mode="field_max", k=20, params=BM25_NO_LENGTH)
 
 
@@ -108,14 +141,15 @@ def run_bm25_params(spark, sf_dir):
                                          fields=("title", "abstract")))
 def run_fields_subset(spark, sf_dir):
     """Field-max over a chosen field list (title, content)."""
-    return search(article_index(spark, sf_dir), topic_queries(spark, sf_dir),
+    return search(stored(spark, sf_dir, "articles"), topic_queries(spark, sf_dir),
                   model="bm25_field", mode="field_max", k=1000, fields=("title", "abstract"))
 
 
 @register("run_custom_model", O.run_sql("docs", O.FREE_QUERIES, "tf_idf", "document", 20))
 def run_custom_model(spark, sf_dir):
     """K1: a model added through the registry (tf-idf)."""
-    return search(doc_index(spark, sf_dir), T.free_text_queries(spark, sf_dir),
+    register_model("tf_idf", tf_idf)
+    return search(stored(spark, sf_dir, "docs"), T.free_text_queries(spark, sf_dir),
                   model="tf_idf", mode="document", k=20)
 
 
@@ -123,7 +157,7 @@ def run_custom_model(spark, sf_dir):
                                                       "document", 20)
           + "\n" + O.RUN_SELECT.format(src="x_fused"))
 def run_fusion_doc(spark, sf_dir):
-    return search_fused(article_index(spark, sf_dir), topic_queries(spark, sf_dir),
+    return search_fused(stored(spark, sf_dir, "articles"), topic_queries(spark, sf_dir),
                         "bm25_doc", "bb2", "document", k=20)
 
 
@@ -131,20 +165,26 @@ def run_fusion_doc(spark, sf_dir):
                                                            "dfr_gbh2", "field_max", 1000)
           + "\n" + O.RUN_SELECT.format(src="x_fused"))
 def run_fusion_fieldmax(spark, sf_dir):
-    return search_fused(article_index(spark, sf_dir), topic_queries(spark, sf_dir),
+    return search_fused(stored(spark, sf_dir, "articles"), topic_queries(spark, sf_dir),
                         "bm25_field", "dfr_gbh2", "field_max", k=1000)
 
 
 @register("find_text", O.run_sql("docs", O.FREE_QUERIES, "bm25_doc", "document", 10))
 def find_text(spark, sf_dir):
     """H3: free-text search, first 10 per query, for every benchmark text."""
-    return search(doc_index(spark, sf_dir), T.free_text_queries(spark, sf_dir),
+    return search(stored(spark, sf_dir, "docs"), T.free_text_queries(spark, sf_dir),
                   model="bm25_doc", mode="document", k=10)
 
 
-# ---------------------------------------------------------------- evaluation
+@register("request_find", O.run_sql("docs", "SELECT 0 AS topic_id, text FROM benchmark ORDER BY item_id LIMIT 1",
+                                    "bm25_field", "field_max", 10))
+def request_find(spark, sf_dir):
+    """The find request: ten best documents for one free text (that of the first item)."""
+    text = T.table(spark, sf_dir, "benchmark").orderBy("item_id").first()["text"]
+    return find(stored(spark, sf_dir, "docs"), text, Options("BM25", "ELASTICSEARCH"))
 
-from rankspark.operators import evaluate as E  # noqa: E402
+
+# ---------------------------------------------------------------- evaluation
 
 EVAL_RUN_SQL = O.run_cte_sql("articles", O.TOPIC_QUERIES, "bm25_field", "field_max", 1000)
 EVAL_CTES = "WITH " + O.eval_ctes(EVAL_RUN_SQL)
@@ -160,6 +200,15 @@ def by_topic(spark, sf_dir):
     return E.evaluate_by_topic(run, qrels, check=True)
 
 
+@register("request_evaluate_topics", EVAL_CTES + "\nSELECT * FROM e_topic WHERE topic_id IN (SELECT topic_id FROM e_q WHERE rel = 2)")
+def request_evaluate_topics(spark, sf_dir):
+    """The evaluate-topics request for every topic that some document has in full."""
+    qrels = T.qrels_view(spark, sf_dir)
+    asked = qrels.filter("rel = 2").select(F.lit(T.TOPIC_SET).alias("topic_set"), F.col("topic_id").alias("id")).distinct()
+    return evaluate_topics(stored(spark, sf_dir, "articles"), T.topics_all(spark, sf_dir), asked, qrels,
+                           Options("BM25", "ELASTICSEARCH"), RUN_NAME)[1]
+
+
 def _measure_cols(prefixes) -> list[str]:
     names = [n for n, *_ in E.measure_specs() + E.DERIVED]
     return [n for n in names if any(n == p or n.startswith(p) for p in prefixes)]
@@ -202,8 +251,8 @@ def eval_summary(spark, sf_dir):
     return E.summary(by_topic(spark, sf_dir))
 
 
-@register("eval_judged", EVAL_CTES + "\nSELECT topic_id::INTEGER AS topic_id, doc_id::BIGINT AS doc_id, "
-          "pos::INTEGER AS pos, rel::DOUBLE AS rel, cum_rel, cum_nonrel, cum_pool FROM e_base")
+@register("eval_judged", EVAL_CTES + "\nSELECT topic_id::INTEGER AS topic_id, doc_id::BIGINT AS doc_id, pos::INTEGER AS pos, "
+          "rel::DOUBLE AS rel, cr AS cum_rel, cn AS cum_nonrel, cp AS cum_pool FROM e_base")
 def eval_judged(spark, sf_dir):
     run, qrels = eval_inputs(spark, sf_dir)
     return E.judged_run(run, qrels).select("topic_id", "doc_id", F.col("pos").cast("int").alias("pos"),
@@ -226,23 +275,17 @@ def qrels_view(spark, sf_dir):
 
 # ---------------------------------------------------------------- sources, projections
 
-from rankspark.functions.analysis import PIPELINE, Analyzer, ENGLISH_STOP_WORDS, query_terms  # noqa: E402
-from rankspark.operators.index import forward_index, merge_index, term_ids  # noqa: E402
-from rankspark.operators.ingest import insert_if_absent  # noqa: E402
-from rankspark.operators.search import candidates, enrich, match_all, query_statistics  # noqa: E402
-from rankspark.session import scratch_path  # noqa: E402
-from rankspark.sinks import outputs as S  # noqa: E402
-from rankspark.sources import corpus as C  # noqa: E402
-
 ART_FLAT_SQL = (f"SELECT id, title, abstract, array_to_string(keywords, '|') AS keywords, "
                 f"array_to_string(list_transform(meshHeadings, lambda m: m.description || '/' || m.name), '|') "
                 f"AS mesh FROM ({O.ARTICLES})")
 
 
+def _mesh(mesh):
+    return F.array_join(F.transform(mesh, lambda m: F.concat_ws("/", m["description"], m["name"])), "|")
+
+
 def flat_articles(a: DataFrame) -> DataFrame:
-    return a.select("id", "title", "abstract", F.array_join("keywords", "|").alias("keywords"),
-                    F.array_join(F.transform("meshHeadings", lambda m: F.concat_ws("/", m["description"], m["name"])),
-                                 "|").alias("mesh"))
+    return a.select("id", "title", "abstract", F.array_join("keywords", "|").alias("keywords"), _mesh("meshHeadings").alias("mesh"))
 
 
 @register("articles_view", ART_FLAT_SQL)
@@ -281,11 +324,27 @@ def topics_subset_q(spark, sf_dir):
     return C.topics_subset(T.topics_all(spark, sf_dir), req)
 
 
-@register("doc_lookup", f"SELECT id, title FROM ({O.ARTICLES}) WHERE id IN (SELECT doc_id FROM labels)")
+@register("doc_lookup", ART_FLAT_SQL + " WHERE id IN (SELECT doc_id FROM labels)")
 def doc_lookup(spark, sf_dir):
-    """Stored articles by id (ids from the labels table), pushed to the scan as a semi join."""
+    """Stored articles by id (ids from the labels table), whole; an unknown id fails."""
     ids = T.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))
-    return T.articles_view(spark, sf_dir).join(ids, "id", "left_semi").select("id", "title")
+    return flat_articles(lookup(T.articles_view(spark, sf_dir), ids))
+
+
+@register("xml_roundtrip", ART_FLAT_SQL)
+def xml_roundtrip(spark, sf_dir):
+    """Articles written as XML and read back by the corpus reader."""
+    path = scratch_path(spark, "xml")
+    C.write_articles_xml(T.articles_view(spark, sf_dir), path)
+    return flat_articles(C.read_articles(spark, path))
+
+
+@register("topics_xml_roundtrip", O.TOPICS)
+def topics_xml_roundtrip(spark, sf_dir):
+    """A4: the topic set written as XML and read back."""
+    path = scratch_path(spark, "topics")
+    C.write_topics_xml(T.topics_all(spark, sf_dir), path)
+    return C.read_topics(spark, path, T.TOPIC_SET)
 
 
 @register("match_all", "SELECT doc_id, 1e0 AS score FROM documents")
@@ -306,7 +365,9 @@ def insert_if_absent_q(spark, sf_dir):
     arts = T.articles_view(spark, sf_dir)
     docs = T.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang")
     existing = arts.join(docs.filter(F.col("lang") == "en"), "id", "left_semi")
-    new = insert_if_absent(existing, arts, "id", order_col="title")
+    path = scratch_path(spark, "inserted")
+    append_articles(existing, arts.unionByName(arts), path, "id", order_col="title")  # every id twice: the first counts
+    new = spark.read.parquet(path)
     return (existing.select("id", F.lit("existing").alias("origin"))
             .unionByName(new.select("id", F.lit("inserted").alias("origin"))))
 
@@ -386,6 +447,39 @@ def _halves(spark, sf_dir):
     return merge_index(a, b)
 
 
+@register("merge_stored_index", DOCS_IDX + """
+SELECT p.field, p.term, p.doc_id, p.tf::INTEGER AS tf, d.dl::INTEGER AS dl, l.df, l.cf
+FROM x_post p JOIN x_dl d ON d.doc_id = p.doc_id AND d.field = p.field JOIN x_lex l ON l.field = p.field AND l.term = p.term""")
+def merge_stored_index(spark, sf_dir):
+    """One half written, the other merged into it as a new version, read back."""
+    docs = T.table(spark, sf_dir, "documents")
+    en = F.coalesce(F.col("lang"), F.lit("")) == "en"
+    path, other = scratch_path(spark, "merged"), scratch_path(spark, "half")
+    first = write_index(build_index(docs.filter(en), ("text",)), path)
+    second = write_index(build_index(docs.filter(~en), ("text",)), other)
+    write_index(merge_index(first, second), path)
+    idx = read_index(spark, path)
+    return idx.postings.drop("term_bucket").join(idx.lexicon, ["field", "term"])
+
+
+SHIFT = 10_000_000
+
+
+@register("merge_shifted_ids", DOCS_IDX + f"""
+SELECT p.field, p.term, p.doc_id + s.shift AS doc_id, p.tf::INTEGER AS tf, d.dl::INTEGER AS dl
+FROM x_post p JOIN x_dl d ON d.doc_id = p.doc_id AND d.field = p.field, (SELECT unnest([0, {SHIFT}])::BIGINT AS shift) s""")
+def merge_shifted_ids(spark, sf_dir):
+    """E5: an index merged with itself, the second side's ids shifted."""
+    idx = doc_index(spark, sf_dir)
+    return merge_index(idx, doc_index(spark, sf_dir), shift_ids=SHIFT).postings
+
+
+@register("index_roundtrip", DOCS_IDX + "\nSELECT field, term, df, cf FROM x_lex")
+def index_roundtrip(spark, sf_dir):
+    """The lexicon of the stored index."""
+    return stored(spark, sf_dir, "docs").lexicon
+
+
 @register("merge_postings", DOCS_IDX + """
 SELECT p.field, p.term, p.doc_id, p.tf::INTEGER AS tf, d.dl::INTEGER AS dl
 FROM x_post p JOIN x_dl d ON d.doc_id = p.doc_id AND d.field = p.field""")
@@ -428,13 +522,14 @@ def forward_index_q(spark, sf_dir):
 q AS (SELECT topic_id, term, count(*)::INTEGER AS qtf
       FROM (SELECT topic_id::INTEGER AS topic_id, unnest({O.tokens('text')}) AS term FROM ({O.TOPIC_QUERIES}))
       GROUP BY topic_id, term)
-SELECT q.topic_id, p.doc_id, p.term, p.tf::INTEGER AS tf, q.qtf, l.df
-FROM q JOIN x_post p ON p.term = q.term JOIN x_lex l ON l.term = p.term AND l.field = p.field""")
+SELECT q.topic_id, p.term, q.qtf, l.df, count(*) AS n_docs, sum(p.tf)::BIGINT AS sum_tf, sum(p.doc_id)::BIGINT AS sum_ids
+FROM q JOIN x_post p ON p.term = q.term JOIN x_lex l ON l.term = p.term AND l.field = p.field GROUP BY ALL""")
 def match_candidates(spark, sf_dir):
-    """query terms joined to postings (any term matches) with df attached."""
-    idx = doc_index(spark, sf_dir)
-    qstats, _ = query_statistics(idx, topic_queries(spark, sf_dir), "field_max")
-    return candidates(idx, qstats, ["text"]).select("topic_id", "doc_id", "term", "tf", "qtf", "df")
+    """query terms joined to postings (any term matches), summed per (topic, term)."""
+    idx = stored(spark, sf_dir, "docs")
+    found = candidates(idx, query_statistics(idx, topic_queries(spark, sf_dir), "field_max"), ["text"])
+    return found.groupBy("topic_id", "term", "qtf", "df").agg(
+        F.count(F.lit(1)).alias("n_docs"), F.sum("tf").alias("sum_tf"), F.sum("doc_id").alias("sum_ids"))
 
 
 # ---------------------------------------------------------------- joins after ranking, sinks
@@ -442,29 +537,38 @@ def match_candidates(spark, sf_dir):
 DOC_RUN_CTES = O.run_cte_sql("articles", O.TOPIC_QUERIES, "bm25_doc", "document", 20)
 
 
+_MESH_SQL = "array_to_string(list_transform(a.meshHeadings, lambda m: m.description || '/' || m.name), '|')"
+
+
 @register("run_enriched", "WITH " + DOC_RUN_CTES + f""",
 a AS ({O.ARTICLES})
 SELECT r.topic_id::INTEGER AS topic_id, r.doc_id::BIGINT AS doc_id, r.rank::INTEGER AS rank, r.score::DOUBLE AS score,
-       a.title FROM x_run r LEFT JOIN a ON a.id = r.doc_id""")
+       a.title, a.abstract, array_to_string(a.keywords, '|') AS keywords, {_MESH_SQL} AS mesh
+FROM x_run r JOIN a ON a.id = r.doc_id""")
 def run_enriched(spark, sf_dir):
-    """each ranked hit with its stored article (after top-k); a missing article fails."""
+    """each ranked hit with its whole stored article (after top-k); a missing article fails."""
     out = enrich(run_bm25_doc(spark, sf_dir), T.articles_view(spark, sf_dir))
-    return out.select("topic_id", "doc_id", "rank", "score", "title")
+    return out.select("topic_id", "doc_id", "rank", "score", "title", "abstract",
+                      F.array_join("keywords", "|").alias("keywords"), _mesh("meshHeadings").alias("mesh"))
 
 
-@register("response_nested", "WITH " + DOC_RUN_CTES + """
+@register("response_nested", "WITH " + DOC_RUN_CTES + f""",
+a AS ({O.ARTICLES})
 SELECT topic_id::INTEGER AS topic_id, count(*) AS n_docs,
-       string_agg(rank || ':' || doc_id, ' ' ORDER BY rank) AS documents FROM x_run GROUP BY topic_id""")
+       string_agg(rank || ':' || printf('%.6f', score) || ':' || doc_id || ':' || a.title || ':' || a.abstract || ':'
+                  || array_to_string(a.keywords, '|') || ':' || {_MESH_SQL}, chr(10) ORDER BY rank) AS documents
+FROM x_run r JOIN a ON a.id = r.doc_id GROUP BY topic_id""")
 def response_nested(spark, sf_dir):
-    """Per topic, the ranked documents with their articles (flattened for comparison)."""
+    """Per topic, the ranked documents with their whole articles (flattened for comparison)."""
     nested = S.nested_response(run_bm25_doc(spark, sf_dir), T.articles_view(spark, sf_dir))
-    return nested.select("topic_id", F.size("documents").cast("bigint").alias("n_docs"),
-                         F.array_join(F.transform("documents", lambda d: F.concat(
-                             d["rank"].cast("string"), F.lit(":"), d["article"]["doc_id"].cast("string"))),
-                             " ").alias("documents"))
 
+    def shown(d):
+        a = d["article"]
+        return F.concat_ws(":", d["rank"].cast("string"), F.format_string("%.6f", d["score"]), a["doc_id"].cast("string"),
+                           a["title"], a["abstract"], F.array_join(a["keywords"], "|"), _mesh(a["meshHeadings"]))
 
-RUN_NAME = "rankspark"
+    return nested.select("topic_id", F.size("documents").cast("bigint").alias("n_docs"),
+                         F.array_join(F.transform("documents", shown), "\n").alias("documents"))
 
 
 @register("run_lines", "WITH " + DOC_RUN_CTES + f"""

@@ -3,14 +3,17 @@
   articles_view  documents -> (id, title, abstract, keywords, meshHeadings):
                  title = text up to the first newline, abstract = the rest,
                  keywords = [lang, source], one mesh heading (lang, source)
-  topics_all     benchmark -> topics of set 'bench': words 1-3 / 4-5 / 6-8 of
-                 the item text as disease / gene / treatment
+  topics_all     benchmark -> topics of set 'bench': the words of the item in
+                 three consecutive parts of equal length (the first ones take
+                 the remainder) as disease / gene / treatment
   free text      benchmark (item_id, text) as queries
-  qrels_view     grade 2: the document contains the first 40 characters of
-                 the item (case-insensitive); grade = quality for labelled
-                 documents assigned to item ``pmod(doc_id, n_items)`` (each
-                 labelled document is judged for one item, so the judgement
-                 table grows linearly with the labels)
+  qrels_view     by the share of an item's distinct word n-grams (GRAM words,
+                 or all words of a shorter item) that the document has: grade
+                 2 from FULL_SHARE on, 1 from PART_SHARE on; grade = quality
+                 for labelled documents assigned to item
+                 ``pmod(doc_id, n_items)`` (each labelled document is judged
+                 for one item, so the judgement table grows linearly with the
+                 labels); the higher grade counts
 """
 
 from __future__ import annotations
@@ -22,7 +25,9 @@ from rankspark.functions.analysis import TOKEN_SPLIT, tokenize
 from rankspark.operators.guards import checked_broadcast
 
 TOPIC_SET = "bench"
-PASSAGE_CHARS = 40
+GRAM = 5
+FULL_SHARE = 0.5
+PART_SHARE = 0.1
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,12 +53,15 @@ def articles_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 def topics_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark")
     words = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda x: x != "")
+    n = F.size(words)
+    first, second = F.floor((n + 2) / 3).cast("int"), F.floor((n + 1) / 3).cast("int")
+    part = lambda start, length: F.array_join(F.slice(words, start, length), " ")
     return b.select(
         F.lit(TOPIC_SET).alias("topic_set"),
         F.col("item_id").cast("int").alias("id"),
-        F.array_join(F.slice(words, 1, 3), " ").alias("disease"),
-        F.array_join(F.slice(words, 4, 2), " ").alias("gene"),
-        F.array_join(F.slice(words, 6, 3), " ").alias("treatment"),
+        part(F.lit(1), first).alias("disease"),
+        part(first + 1, second).alias("gene"),
+        part(first + second + 1, n - first - second).alias("treatment"),
     )
 
 
@@ -62,39 +70,44 @@ def free_text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("item_id").cast("int").alias("topic_id"), F.col("text"))
 
 
-def passage_judgements(documents: DataFrame, benchmark: DataFrame,
-                       chars: int = PASSAGE_CHARS) -> DataFrame:
-    """(topic_id, doc_id) where lower(doc text) contains lower(first chars of item).
+def _grams(df: DataFrame, keep: list, text: str, sizes: list[int] | None) -> DataFrame:
+    """``keep`` + k + hash of every k-gram of the tokens, k in ``sizes`` (None: min(GRAM, number of tokens)).
 
-    Equi-join on an anchor token instead of testing every pair: any token
-    strictly inside the prefix (separators on both sides) is a whole token of
-    every matching document, so the longest such token finds all candidates
-    through a token join; ``contains`` then verifies. Items whose prefix has no
-    inner token (rare: one long run of letters) are tested by a broadcast
-    containment join over that bounded item list.
+    The tokens come out of a generator so that they are not split anew for each gram.
     """
-    items = benchmark.select(F.col("item_id").cast("int").alias("topic_id"),
-                             F.lower(F.substring(F.coalesce("text", F.lit("")), 1, chars)).alias("p"))
-    parts = F.split(F.col("p"), TOKEN_SPLIT, -1)
-    inner = F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), lambda x: x != "")
-    ranked = F.array_sort(F.transform(inner, lambda x: F.struct(F.length(x).alias("l"), x.alias("t"))))
-    items = items.filter(F.col("p") != "").select(
-        "topic_id", "p", F.when(F.size(inner) > 0, F.element_at(ranked, -1)["t"]).alias("anchor"))
-    anchored, _ = checked_broadcast(items.filter(F.col("anchor").isNotNull()))
-    loose, _ = checked_broadcast(items.filter(F.col("anchor").isNull()))
-    docs = documents.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("lt"))
-    doc_terms = docs.select("doc_id", "lt", F.explode(F.array_distinct(tokenize(F.col("lt")))).alias("anchor"))
-    by_anchor = (doc_terms.join(anchored, "anchor")
-                 .filter(F.col("lt").contains(F.col("p"))).select("topic_id", "doc_id"))
-    by_scan = docs.join(loose, F.col("lt").contains(F.col("p"))).select("topic_id", "doc_id")
-    return by_anchor.unionByName(by_scan)
+    rows = df.select(*keep, F.inline(F.array(F.struct(tokenize(F.col(text)).alias("_t")))))
+    n = F.size("_t")
+    ks = [F.least(F.lit(GRAM), n)] if sizes is None else [F.lit(k) for k in sizes]
+    rows = rows.select(*keep, "_t", F.explode(F.array(*ks)).alias("k")).filter((F.col("k") > 0) & (n >= F.col("k")))
+    toks, k = F.col("_t"), F.col("k")
+    grams = F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.xxhash64(F.slice(toks, i, k)))
+    return rows.select(*keep, "k", F.explode(grams).alias("gram")).select(*keep, "k", "gram")
+
+
+def passage_judgements(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(topic_id, doc_id, rel) from the share of the item's n-grams that the document has.
+
+    The items' grams, counted and broadcast under the bound, meet those of the
+    documents on equality where the documents are read; only hits are shuffled.
+    """
+    items = _grams(benchmark.select(F.col("item_id").cast("int").alias("topic_id"), "text"), ["topic_id"], "text", None)
+    items, _ = checked_broadcast(items.distinct().groupBy("topic_id", "k").agg(F.collect_set("gram").alias("g"))
+                                 .select("topic_id", "k", F.size("g").alias("total"), F.explode("g").alias("gram")))
+    sizes = sorted(r[0] for r in items.select("k").distinct().collect())  # at most GRAM values
+    if not sizes:
+        return items.select("topic_id", F.lit(None).cast("bigint").alias("doc_id"), F.lit(2).alias("rel")).limit(0)
+    hits = (_grams(documents.select("doc_id", "text"), ["doc_id"], "text", sizes).join(items, ["k", "gram"])
+            .select("topic_id", "doc_id", "total", "gram").distinct()
+            .groupBy("topic_id", "doc_id").agg((F.count("gram") / F.max("total")).alias("share")))
+    return (hits.filter(F.col("share") >= PART_SHARE)
+            .select("topic_id", "doc_id", F.when(F.col("share") >= FULL_SHARE, 2).otherwise(1).alias("rel")))
 
 
 def qrels_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     bench = table(spark, sf_dir, "benchmark")
     labels = table(spark, sf_dir, "labels")
-    passages = passage_judgements(docs, bench).select("topic_id", "doc_id", F.lit(2).alias("rel"))
+    passages = passage_judgements(docs, bench)
     n_items = bench.count()  # one bounded scalar
     if n_items == 0:
         return passages.select(F.col("topic_id").cast("int"), F.lit("0").alias("iter"),

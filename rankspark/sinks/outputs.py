@@ -6,10 +6,12 @@ plain ``write.text`` so each task writes its own part.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rankspark.operators.search import enrich
+
 ARTICLE_JSON_SCHEMA = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("title", T.StringType()),
     T.StructField("abstract", T.StringType()), T.StructField("keywords", T.ArrayType(T.StringType())),
@@ -20,7 +22,7 @@ ARTICLE_JSON_SCHEMA = T.StructType([
 
 def run_lines(run: DataFrame, name: str) -> DataFrame:
     """B7: 'topic Q0 doc rank score name' lines (score with 6 decimals)."""
-    return run.select(F.format_string("%d Q0 %d %d %.6f %s", F.col("topic_id"), F.col("doc_id"),
+    return run.select(F.format_string(RUN_LINE, F.col("topic_id"), F.col("doc_id"),
                                       F.col("rank"), F.col("score"), F.lit(name)).alias("line"))
 
 
@@ -33,17 +35,25 @@ def write_qrels(qrels: DataFrame, path: str) -> None:
         .mode("overwrite").text(path)
 
 
-def report_lines(summary: DataFrame, run_name: str = "all") -> DataFrame:
-    """Evaluator-style report rows 'name<TAB>all<TAB>value' (value, 4 decimals)."""
-    return summary.select("ord", F.format_string("%-22s\t%s\t%.4f", F.col("name"), F.lit(run_name),
-                                                 F.round("value", 4)).alias("line"))
+# Formats of the run line, the report's header and the LaTeX table.
+RUN_LINE = "%d Q0 %d %d %.6f %s"
+REPORT_LINE, HEADER_NAME = "%-22s\t%s\t%s", "runid"
+LATEX_HEAD, LATEX_ROW, LATEX_TAIL = "\\begin{tabular}{ |c|c| }\n\\hline\n", "%s & %.4f \\\\", "\n\\hline\n\\end{tabular}"
+
+
+def report_lines(summary: DataFrame, run_name: str = "run") -> DataFrame:
+    """Evaluator-style report (ord, line): a header with the run's name, then 'name<TAB>all<TAB>value' rows."""
+    line = lambda name, value: F.format_string(REPORT_LINE, name, F.lit("all"), value).alias("line")
+    rows = summary.select("ord", line(F.col("name"), F.format_string("%.4f", F.round("value", 4))))
+    header = summary.agg(F.lit(-1).alias("ord")).select("ord", line(F.lit(HEADER_NAME), F.lit(run_name)))
+    return header.unionByName(rows)
 
 
 def parse_report(lines: DataFrame) -> DataFrame:
-    """Collapse blanks/tabs, split, keep rows with >= 3 parts -> (name, value)."""
-    parts = F.split(F.regexp_replace(F.col("line"), "[ \t]+", " "), " ")
-    return (lines.select(parts.alias("p")).filter(F.size("p") >= 3)
-            .select(F.col("p")[0].alias("name"), F.col("p")[2].alias("value")))
+    """(name, value) of report lines with at least three parts, the header left out."""
+    parts = F.split(F.trim("line"), r"\s+")
+    return (lines.select(parts[0].alias("name"), F.get(parts, F.lit(2)).alias("value"))
+            .filter(F.col("value").isNotNull() & (F.col("name") != HEADER_NAME)))
 
 
 def latex_report(summary: DataFrame) -> DataFrame:
@@ -53,20 +63,18 @@ def latex_report(summary: DataFrame) -> DataFrame:
     into one row is bounded.
     """
     rows = F.array_sort(F.collect_list(F.struct("ord", "name", F.round("value", 4).alias("v"))))
-    body = F.array_join(F.transform(rows, lambda r: F.format_string("%s & %.4f \\\\", r["name"], r["v"])),
-                        "\n")
-    return summary.agg(F.concat(F.lit("\\begin{tabular}{ |c|c| }\n\\hline\n"), body,
-                                F.lit("\n\\hline\n\\end{tabular}")).alias("latex"))
+    body = F.array_join(F.transform(rows, lambda r: F.format_string(LATEX_ROW, r["name"], r["v"])), "\n")
+    return summary.agg(F.concat(F.lit(LATEX_HEAD), body, F.lit(LATEX_TAIL)).alias("latex"))
 
 
 def nested_response(run: DataFrame, articles: DataFrame, id_col: str = "id") -> DataFrame:
     """Per topic, its ranked documents as array<struct<rank, score, article>>.
 
-    Built after top-k, so each topic's list is bounded by k.
+    Built after top-k, so each topic's list is bounded by k; a hit without
+    stored article fails.
     """
-    art = articles.withColumnRenamed(id_col, "doc_id")
-    hits = run.join(art, "doc_id", "left")
-    cols = [c for c in art.columns]
+    hits = enrich(run, articles, id_col)
+    cols = ["doc_id", *[c for c in articles.columns if c != id_col]]
     return hits.groupBy("topic_id").agg(F.array_sort(F.collect_list(
         F.struct("rank", "score", F.struct(*cols).alias("article")))).alias("documents"))
 
@@ -80,7 +88,3 @@ def to_json_documents(articles: DataFrame) -> DataFrame:
 def from_json_documents(docs: DataFrame) -> DataFrame:
     """JSON document -> article."""
     return docs.select(F.from_json("json", ARTICLE_JSON_SCHEMA).alias("a")).select("a.*")
-
-
-def rank_order() -> Window:
-    return Window.partitionBy("topic_id").orderBy("rank")

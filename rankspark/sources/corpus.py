@@ -7,7 +7,7 @@ inference pass, no DOCTYPE resolution); text formats through ``read.text`` and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,13 +51,13 @@ def read_articles(spark: SparkSession, path: str, max_files: int = 0,
 
     Plain or gzip files, one or many articles each. Missing parts become ''
     or an empty list; known inline tags are stripped from title/abstract;
-    several abstract parts are joined with a space; every keyword of every
+    several abstract parts are joined with a space; an article without PMID fails; every keyword of every
     keyword list is kept; a heading gets one entry per qualifier (or one with
     name '' when it has none). ``reference_compat`` blanks titles with markup
-    and abstracts with several parts, as the original extraction did.
+    and abstracts with markup or several parts, as the original extraction did.
     """
     paths = list_corpus_files(spark, path, max_files) if max_files > 0 else [path]
-    raw = (spark.read.format("xml").option("rowTag", "PubmedArticle")
+    raw = (spark.read.format("xml").option("rowTag", "PubmedArticle").option("ignoreSurroundingSpaces", "false")
            .schema(ARTICLE_READ_SCHEMA).load(paths))
     mc = F.col("MedlineCitation")
     title_raw = F.coalesce(mc["Article"]["ArticleTitle"], F.lit(""))
@@ -67,7 +67,7 @@ def read_articles(spark: SparkSession, path: str, max_files: int = 0,
     abstract = F.array_join(F.transform(parts, strip_inline_tags), " ")
     if reference_compat:
         title = F.when(title_raw != title, F.lit("")).otherwise(title_raw)
-        abstract = F.when(F.size(parts) == 1, parts[0]).otherwise(F.lit(""))
+        abstract = F.when((F.size(parts) == 1) & (F.get(parts, F.lit(0)) == abstract), abstract).otherwise(F.lit(""))
     keywords = F.filter(F.flatten(F.transform(
         F.coalesce(mc["KeywordList"], F.array().cast("array<struct<Keyword:array<string>>>")),
         lambda kl: F.coalesce(kl["Keyword"], F.array().cast("array<string>")))), lambda x: x.isNotNull())
@@ -78,7 +78,8 @@ def read_articles(spark: SparkSession, path: str, max_files: int = 0,
                h["QualifierName"]).otherwise(F.array(F.lit(""))),
         lambda q: F.struct(F.coalesce(h["DescriptorName"], F.lit("")).alias("description"),
                            F.coalesce(q, F.lit("")).alias("name")))))
-    return raw.select(mc["PMID"]["_VALUE"].alias("id"), title.alias("title"), abstract.alias("abstract"),
+    pmid = _required(mc["PMID"]["_VALUE"], "article without PMID", title_raw)
+    return raw.select(pmid.alias("id"), title.alias("title"), abstract.alias("abstract"),
                       keywords.alias("keywords"), mesh.cast(MESH_TYPE).alias("meshHeadings"))
 
 
@@ -108,7 +109,8 @@ def read_topics(spark: SparkSession, path: str, topic_set: str) -> DataFrame:
     """A4: (topic_set, id, disease, gene, treatment); number as attribute or child."""
     raw = spark.read.format("xml").option("rowTag", "topic").schema(TOPIC_SCHEMA).load(path)
     return raw.select(F.lit(topic_set).alias("topic_set"),
-                      F.trim(F.coalesce("_number", "number")).cast("int").alias("id"),
+                      _required(F.trim(F.coalesce("_number", "number")).cast("int"), "topic without number",
+                                F.col("disease")).alias("id"),
                       F.coalesce("disease", F.lit("")).alias("disease"),
                       F.coalesce("gene", F.lit("")).alias("gene"),
                       F.coalesce("treatment", F.lit("")).alias("treatment"))
@@ -127,9 +129,16 @@ def topics_subset(topics: DataFrame, requested: DataFrame) -> DataFrame:
     return topics.join(requested.select("topic_set", "id"), ["topic_set", "id"], "left_semi")
 
 
+def _required(value: Column, what: str, shown: Column) -> Column:
+    """The value; a row without it fails the read."""
+    return F.coalesce(value, F.raise_error(F.concat(F.lit(f"{what}: "), F.coalesce(shown.cast("string"), F.lit("")))))
+
+
 def _fields(path_df: DataFrame, n: int) -> DataFrame:
+    """White-space parts ``p`` of every line that is not blank; a line with fewer than ``n`` fails."""
     parts = F.split(F.trim(F.col("value")), r"\s+")
-    return path_df.filter(F.trim(F.col("value")) != "").select(parts.alias("p")).filter(F.size("p") >= n)
+    return (path_df.filter(F.trim(F.col("value")) != "")
+            .select(_required(F.when(F.size(parts) >= n, parts), f"line with fewer than {n} columns", F.col("value")).alias("p")))
 
 
 def read_qrels(spark: SparkSession, path: str) -> DataFrame:
@@ -145,3 +154,9 @@ def read_run(spark: SparkSession, path: str) -> DataFrame:
     return p.select(F.col("p")[0].cast("int").alias("topic_id"), F.col("p")[2].cast("bigint").alias("doc_id"),
                     F.col("p")[3].cast("int").alias("rank"), F.col("p")[4].cast("double").alias("score"),
                     F.col("p")[5].alias("name"))
+
+
+def write_topics_xml(topics: DataFrame, path: str) -> None:
+    """Topics of one set as XML with the number as attribute."""
+    (topics.select(F.col("id").cast("string").alias("_number"), "disease", "gene", "treatment")
+     .write.mode("overwrite").format("xml").option("rootTag", "topics").option("rowTag", "topic").save(path))

@@ -3,7 +3,9 @@ import duckdb
 import __spark_entry__ as entry_mod
 
 SF = "/root/testdata/sf0.001"
-FAST = ["run_bm25_flat", "run_bm25_doc", "run_fusion_doc", "lexicon", "eval_summary", "term_ids"]
+FAST = ["run_bm25_flat", "run_bm25_doc", "run_fusion_doc", "lexicon", "eval_summary", "term_ids", "merge_stored_index",
+        "run_enriched", "response_nested", "xml_roundtrip", "topics_xml_roundtrip", "qrels_view", "run_bm25_doc_pipeline",
+        "request_evaluate_topics"]
 
 
 def test_entry_runs(spark):
@@ -13,7 +15,19 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_oracle():
-    assert set(entry_mod.queries()) == set(entry_mod.oracle_sql())
+    from rankspark.plans.queries import ORACLE, QUERIES
+
+    assert set(QUERIES) == set(ORACLE) and set(QUERIES) <= set(entry_mod.queries())
+    assert set(entry_mod.oracle_sql()) <= set(entry_mod.queries())
+
+
+def test_oracle_stands_alone():
+    """The SQL side of the evaluation takes nothing from the Spark side."""
+    import inspect
+
+    from rankspark.plans import oracle
+
+    assert "operators" not in inspect.getsource(oracle)
 
 
 def _norm(rows):

@@ -62,3 +62,54 @@ def test_summary_names(spark):
     ideal = 2 + 1 / __import__("math").log2(3)
     got = 1 + 2 / __import__("math").log2(3)
     assert abs(names["ndcg"] - got / ideal) < 1e-12
+
+
+def test_every_measure_by_hand(spark):
+    """Ranks 1-6 of topic 1: rel 2, nonrel, rel 1, unjudged, pooled but unjudged, nonrel; one relevant (1) missed.
+
+    R = 3, judged nonrelevant = 3 (one not retrieved), 6 retrieved.
+    """
+    from math import log2
+
+    qrels = _qrels(spark, [(1, "0", 11, 2), (1, "0", 12, 0), (1, "0", 13, 1), (1, "0", 15, -1), (1, "0", 16, 0),
+                           (1, "0", 17, 1), (1, "0", 18, 0)])
+    run = _run(spark, [(1, 10 + k, k, 10.0 - k) for k in range(1, 7)])
+    got = E.evaluate_by_topic(run, qrels).first().asDict()
+    ap = (1 + 2 / 3) / 3
+    dcg, ideal = 2 + 1 / log2(4), 2 + 1 / log2(3) + 1 / log2(4)
+    e = 0.00001
+    want = {
+        "num_ret": 6, "num_rel": 3, "num_rel_ret": 2, "num_nonrel_judged_ret": 2, "map": ap, "Rprec": 2 / 3,
+        # rank 1: no nonrelevant above; rank 3: one above, min(1, 3) / min(3, 3)
+        "bpref": (1 + (1 - 1 / 3)) / 3, "recip_rank": 1.0,
+        # cutoffs floor(x * 3 + .9): 0, 1, 1, 1, 2, 2, 2, 3, 3, 3, 3; three relevant are never reached
+        **{f"iprec_at_recall_{x}": 1.0 for x in ("0_00", "0_10", "0_20", "0_30")},
+        **{f"iprec_at_recall_{x}": 2 / 3 for x in ("0_40", "0_50", "0_60")},
+        **{f"iprec_at_recall_{x}": 0.0 for x in ("0_70", "0_80", "0_90", "1_00")}, "11pt_avg": (4 + 3 * 2 / 3) / 11,
+        "P_5": 2 / 5, "P_10": 2 / 10, "P_1000": 2 / 1000, "recall_5": 2 / 3, "recall_1000": 2 / 3,
+        "relative_P_5": 2 / 3, "relative_P_10": 2 / 3, "map_cut_5": ap, "ndcg_cut_5": dcg / ideal, "ndcg": dcg / ideal,
+        # floor(x * 3 + .9): 1, 2, 2, 3, 3, 4, 5, 5, 6, 6
+        "Rprec_mult_0_20": 1.0, "Rprec_mult_0_40": 1 / 2, "Rprec_mult_0_60": 1 / 2, "Rprec_mult_0_80": 2 / 3,
+        "Rprec_mult_1_00": 2 / 3, "Rprec_mult_1_20": 2 / 4, "Rprec_mult_1_40": 2 / 5, "Rprec_mult_1_60": 2 / 5,
+        "Rprec_mult_1_80": 2 / 6, "Rprec_mult_2_00": 2 / 6,
+        "success_1": 1.0, "success_5": 1.0, "success_10": 1.0, "set_P": 2 / 6, "set_recall": 2 / 3, "set_relative_P": 2 / 3,
+        "set_F": 2 * (1 / 3) * (2 / 3) / (1 / 3 + 2 / 3), "set_map": (2 / 6) * (2 / 3), "utility": 2.0 - 4.0,
+        # rank 1 gives 1; rank 3: 1/3 + 2/3 * (2/2) * (1 + e) / (1 + 1 + 2e)
+        "infAP": (1 + 1 / 3 + 2 / 3 * (1 + e) / (2 + 2 * e)) / 3,
+    }
+    for name, value in want.items():
+        assert abs(got[name] - value) < 1e-9, name
+    left = {n for n in got if n not in want and n != "topic_id"}
+    assert all(n.rsplit("_", 1)[0] in ("P", "recall", "relative_P", "map_cut", "ndcg_cut") for n in left), left
+
+
+def test_summary_sums_and_geometric_means(spark):
+    from math import exp, log
+
+    qrels = _qrels(spark, [(1, "0", 1, 1), (2, "0", 1, 1), (2, "0", 2, 0)])
+    run = _run(spark, [(1, 1, 1, 1.0), (2, 2, 1, 2.0), (2, 1, 2, 1.0)])
+    _, summ = E.evaluate(run, qrels)
+    v = {r.name: r.value for r in summ.collect()}
+    assert v["num_q"] == 2 and v["num_ret"] == 3 and v["map"] == 0.75
+    assert abs(v["gm_map"] - exp((log(1) + log(0.5)) / 2)) < 1e-9
+    assert abs(v["gm_bpref"] - exp((log(1) + log(0.00001)) / 2)) < 1e-9

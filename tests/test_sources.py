@@ -2,6 +2,8 @@ import gzip
 import os
 import tempfile
 
+import pytest
+
 from rankspark.sources import corpus as C
 
 ART = """<PubmedArticle><MedlineCitation><PMID Version="1">{id}</PMID>{body}</MedlineCitation></PubmedArticle>"""
@@ -59,6 +61,11 @@ def test_file_limit(spark):
 def test_reference_compat_blanks_markup(spark):
     arts = {r.id: r for r in C.read_articles(spark, _corpus(), reference_compat=True).collect()}
     assert arts[2].title == "" and arts[2].abstract == "" and arts[1].abstract == "One part"
+    d = tempfile.mkdtemp(prefix="rankspark-xml-")
+    _write(f"{d}/a.xml", "<PubmedArticleSet>" + ART.format(id=4, body="<Article><Abstract><AbstractText>one <i>b</i> two"
+                                                           "</AbstractText></Abstract></Article>") + "</PubmedArticleSet>")
+    assert C.read_articles(spark, d, reference_compat=True).first().abstract == ""
+    assert C.read_articles(spark, d).first().abstract == "one b two"
 
 
 def test_topics_attribute_or_child(spark):
@@ -87,3 +94,59 @@ def test_xml_written_articles_read_back(spark):
     C.write_articles_xml(src.filter("id = 2"), out)
     back = C.read_articles(spark, out).collect()[0]
     assert back.id == 2 and back.keywords == ["alpha", "beta", "gamma"] and back.title == "A BRAF study"
+
+
+@pytest.mark.parametrize("text, read", [("1 0 10\n", C.read_qrels), ("1 0 10 2\n\nx\n", C.read_qrels),
+                                        ("1 Q0 10 1 2.5\n", C.read_run)])
+def test_short_lines_fail(spark, text, read):
+    d = tempfile.mkdtemp(prefix="rankspark-short-")
+    _write(f"{d}/x.txt", text)
+    with pytest.raises(Exception, match="line with fewer than"):
+        read(spark, f"{d}/x.txt").collect()
+
+
+def test_missing_ids_fail(spark):
+    d = tempfile.mkdtemp(prefix="rankspark-noid-")
+    _write(f"{d}/a.xml", "<PubmedArticleSet><PubmedArticle><MedlineCitation><Article><ArticleTitle>t</ArticleTitle></Article>"
+                         "</MedlineCitation></PubmedArticle></PubmedArticleSet>")
+    with pytest.raises(Exception, match="article without PMID"):
+        C.read_articles(spark, f"{d}/a.xml").collect()
+    _write(f"{d}/t.xml", "<topics><topic><disease>flu</disease></topic></topics>")
+    with pytest.raises(Exception, match="topic without number"):
+        C.read_topics(spark, f"{d}/t.xml", "s").collect()
+
+
+def test_report_header_is_dropped(spark):
+    from rankspark.sinks import outputs as S
+
+    summary = spark.createDataFrame([(0, "num_q", 2.0), (1, "map", 0.25)], "ord int, name string, value double")
+    lines = S.report_lines(summary, "mine")
+    assert lines.count() == 3
+    assert sorted(tuple(r) for r in S.parse_report(lines).collect()) == [("map", "0.2500"), ("num_q", "2.0000")]
+
+
+def test_enrichment(spark):
+    from rankspark.operators.search import enrich, lookup
+    from rankspark.sinks.outputs import nested_response
+
+    arts = spark.createDataFrame([(1, None, "x"), (2, "t", "y")], "id long, title string, abstract string")
+    run = lambda *ids: spark.createDataFrame([(7, i, k, 1.0) for k, i in enumerate(ids)],
+                                             "topic_id int, doc_id long, rank int, score double")
+    assert {(r.doc_id, r.title, r.abstract) for r in enrich(run(1, 2), arts).collect()} == {(1, None, "x"), (2, "t", "y")}
+    assert [d.article.doc_id for d in nested_response(run(2, 1), arts).first().documents] == [2, 1]
+    assert {r.id for r in lookup(arts, spark.createDataFrame([(2,)], "id long")).collect()} == {2}
+    for f in (lambda: enrich(run(1, 9), arts), lambda: nested_response(run(9), arts),
+              lambda: lookup(arts, spark.createDataFrame([(9,)], "id long"))):
+        with pytest.raises(LookupError):
+            f()
+
+
+def test_checkpoint_folder_is_asked_for_on_clusters():
+    from types import SimpleNamespace
+
+    from rankspark.session import checkpoint_dir
+
+    fake = SimpleNamespace(sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="yarn"),
+                           conf=SimpleNamespace(get=lambda k, d=None: d))
+    with pytest.raises(ValueError):
+        checkpoint_dir(fake)
