@@ -63,18 +63,21 @@ class Index:
         return self.postings.sparkSession
 
 
-def tokenized_fields(docs: DataFrame, fields, id_col: str = "doc_id",
-                     analyzer: Analyzer = DEFAULT, doc_field: str | None = DOC_FIELD) -> DataFrame:
-    """(doc_id, field, dl, entries array<struct<term,tf>>), all in-row."""
+def token_rows(docs: DataFrame, fields, id_col: str = "doc_id",
+               analyzer: Analyzer = DEFAULT, doc_field: str | None = DOC_FIELD) -> DataFrame:
+    """(doc_id, field, tokens): one row per field, and one for the whole document.
+
+    The first generator makes Spark tokenize each field once, though its
+    tokens are used twice (its own row and the whole document's).
+    """
     fields = tuple(fields)
-    toks = {f: analyzer.tokens(F.col(f)) for f in fields}
-    items = [F.struct(F.lit(f).alias("field"), toks[f].alias("tokens")) for f in fields]
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.inline(F.array(F.struct(*[
+        analyzer.tokens(F.col(f)).alias(f"_t{k}") for k, f in enumerate(fields)]))))
+    items = [F.struct(F.lit(f).alias("field"), F.col(f"_t{k}").alias("tokens")) for k, f in enumerate(fields)]
     if doc_field and len(fields) > 1:
         items.append(F.struct(F.lit(doc_field).alias("field"),
-                              F.concat(*[toks[f] for f in fields]).alias("tokens")))
-    exploded = docs.select(F.col(id_col).cast("bigint").alias("doc_id"),
-                                   F.inline(F.array(*items)))
-    return counted(exploded, F.col("tokens"), ["doc_id", "field"])
+                              F.concat(*[F.col(f"_t{k}") for k in range(len(fields))]).alias("tokens")))
+    return rows.select("doc_id", F.inline(F.array(*items)))
 
 
 def _postings(tokenized: DataFrame) -> DataFrame:
@@ -104,9 +107,10 @@ def build_index(docs: DataFrame, fields=("text",), id_col: str = "doc_id",
                 analyzer: Analyzer = DEFAULT, doc_field: str | None = DOC_FIELD) -> Index:
     """Lazy in-session index over a wide frame (id + one text column per field)."""
     fields = tuple(fields)
-    tok = tokenized_fields(docs, fields, id_col, analyzer, doc_field)
+    rows = token_rows(docs, fields, id_col, analyzer, doc_field)
+    tok = counted(rows, F.col("tokens"), ["doc_id", "field"])  # (doc_id, field, dl, entries), all in-row (D4, E1, E2)
     postings = _postings(tok)
-    doclen = tok.select("doc_id", "field", "dl")
+    doclen = rows.select("doc_id", "field", F.size("tokens").cast("int").alias("dl"))
     effective_doc_field = doc_field if (doc_field and len(fields) > 1) else fields[0]
     return Index(postings, doclen, lexicon_of(postings), stats_of(doclen), fields,
                  effective_doc_field, analyzer, tokenized=tok)
