@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankspark.llm.common import map_arrow, named, small_batches, written
+from rankspark.llm.common import map_arrow, named, prepare, written
 
 WINDOW = 10
 BLOCK_WORDS = 200_000
@@ -282,7 +282,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     keys = [f"c{k}" for k in range(len(columns))]
     text = keys[columns.index(text_col)]
     whole = docs.select(*[named(c).alias(k) for c, k in zip(columns, keys)])
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     cut = F.udf(cut_spans, "string", useArrow=True)
     done = []
     while not done or not whole.isEmpty():

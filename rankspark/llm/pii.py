@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from rankspark.llm.common import map_arrow, small_batches
+from rankspark.llm.common import map_arrow, prepare
 
 KINDS = ("email", "ip", "card", "phone")
 TRIGGER = "[0-9@]"
@@ -465,7 +465,7 @@ def redact(docs: DataFrame, text_col: str = "text", most: int = TRAIN_WINDOWS) -
         keys = ("kind", "start", "end")
         return pd.Series([mask(t, [dict(zip(keys, s)) for s in own]) for t, own in zip(texts, spans)])
 
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     masked = F.pandas_udf(run, "string")
     text = docs[text_col]
     has = F.coalesce(text.cast("string").rlike(TRIGGER), F.lit(False))
