@@ -1,165 +1,189 @@
 """Cross-entropy difference of two n-gram models (target against background).
 
-Both models are interpolated bigram models over one hashed vocabulary: a word
-is its CRC-32 modulo 2**``word_bits``, a pair of neighbours a mix of both
-modulo 2**``pair_bits``. The background model counts every document, the
-target model those marked as target. With one shared smoothing,
+Both models are interpolated bigram models over one vocabulary, the words of
+all documents. The background model counts every document, the target model
+those marked as target. With c the counts, N the words counted, V the size of
+the vocabulary,
 
     P1(w)    = (c(w) + 1) / (N + V)
     P(w | v) = (c(v w) + mu * P1(w)) / (c(v) + mu)
 
 the score of a document is the mean over its words of the target's loss less
-the background's (nats; lower is closer to the target).
-
-Counting keeps one dense array per task and sums the buckets in a shuffle;
-the summed tables, bounded by the two bit parameters whatever the corpus, are
-broadcast and score every document where it is read. The marks are joined on
-the document id: broadcast when their counted number is under
-``BROADCAST_ROWS``, else by shuffle.
+the background's (nats; lower is closer to the target). A word or a pair is
+told from others by a 64-bit hash; nothing shares a bucket, is left out or
+has a fixed table size, so the models grow with the corpus.
+
+Documents are dealt into blocks of about ``block_bytes`` of text. A block
+counts its distinct words and pairs once; the sorted hashes go, cut at even
+ranges of the hash, to one group per range, so a frequent word is one entry
+per block and no range is hot. A range (the number of them follows the size of
+the corpus: about ``range_bytes`` of text each) sums its entries and
+sends every block the totals of just what the block asked for, in the block's
+own order. There they meet the block's documents, which are scored. No task
+holds more than a block or a range; nothing goes to the driver but the number
+of bytes. The marks are joined on the document id: broadcast when their
+counted number is under ``BROADCAST_ROWS``, else by shuffle.
 
 Words: A-Z become lower case, split at ASCII white space; the whole text
 counts. Defined results: null and wordless texts have 0 words and a null
 score and add nothing to the models; a document without id is never a target;
 repeated rows count each; without target documents the target model is
-uniform and scores stay defined.
+uniform and scores stay defined; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from zlib import crc32
-
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from rankspark.llm.common import broadcast_if, map_arrow
+from rankspark.llm.common import broadcast_if, prepare
 
-WORD_BITS = 18
-PAIR_BITS = 20
+BLOCK_BYTES = 16 << 20
+RANGE_BYTES = 16 << 20
 MU = 8.0
 BROADCAST_ROWS = 500_000
-_MEMO = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)  # 2**64 / golden ratio, odd
 
+COUNTS = "block int, range int, keys binary, background binary, target binary"
+TOTALS = "block int, range int, background binary, target binary, vocabulary long, n_background long, n_target long"
+SCORES = "n_words long, target_loss double, background_loss double, score double"
+
+
+class Block:
+    """Words and pairs of some texts: distinct hashes in order, and where each word and pair stands in them."""
+
+    def __init__(self, texts: list[bytes | None]):
+        number: dict[bytes, int] = {}
+        ids = []
+        for text in texts:
+            words = text.lower().split() if text else ()
+            ids.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words)))
+        self.lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        words = np.concatenate([*ids, np.zeros(0, np.int64)])
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number))
+        inside = np.ones(len(words), bool)  # words that follow another one of their text
+        inside[(np.cumsum(self.lengths) - self.lengths)[self.lengths > 0]] = False
+        self.second = np.flatnonzero(inside)
+        pairs, pair = np.unique(words[self.second - 1] * max(1, len(number)) + words[self.second], return_inverse=True)
+        first, last = np.divmod(pairs, max(1, len(number)))
+        self.keys, at = np.unique(np.concatenate((hashes << np.uint64(1), _pair_keys(hashes[first], hashes[last]))),
+                                  return_inverse=True)
+        self.words = at[words]
+        self.pairs = at[len(number):][pair]
+
+    def counts(self, of: np.ndarray | None = None) -> np.ndarray:
+        """How often each hash occurs, in all texts or those where ``of`` is true."""
+        words, pairs = self.words, self.pairs
+        if of is not None:
+            mine = np.repeat(of, self.lengths)
+            words, pairs = words[mine], pairs[mine[self.second]]
+        return np.bincount(words, minlength=len(self.keys)) + np.bincount(pairs, minlength=len(self.keys))
+
+    def mean_losses(self, totals: np.ndarray, n: int, vocabulary: int, mu: float) -> np.ndarray:
+        """Mean loss per word of each text (0 for wordless ones) under the model with these totals."""
+        p = (totals[self.words] + 1) / (n + vocabulary)
+        context = totals[self.words[self.second - 1]]
+        p[self.second] = (totals[self.pairs] + mu * p[self.second]) / (context + mu)
+        text = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        return np.bincount(text, -np.log(p), len(self.lengths)) / np.maximum(1, self.lengths)
+
+
+def _pair_keys(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of pairs, told from those of words by the lowest bit."""
+    x = first * _MIX + last
+    x = (x ^ (x >> np.uint64(32))) * _MIX
+    return ((x ^ (x >> np.uint64(29))) << np.uint64(1)) | np.uint64(1)
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Eight planes of bytes, lowest first: those of small numbers are zeros, which Spark's codecs shrink."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view("<u8").reshape(-1)
 
-class _Ids(dict):
-    """word -> bucket, filled on first use."""
 
-    def __init__(self, bits: int):
-        super().__init__()
-        self.mask = (1 << bits) - 1
+def marked(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text, row, target) with target = 1 for documents whose id is in ``targets`` (one column)."""
+    ids = targets.select(F.col(targets.columns[0]).alias("__t")).filter(F.col("__t").isNotNull()).distinct()
+    small = ids.count() <= BROADCAST_ROWS
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"),
+                       F.monotonically_increasing_id().alias("row"))
+    return rows.join(broadcast_if(ids, small), F.col("id") == F.col("__t"), "left") \
+        .select("id", "text", "row", F.when(F.col("__t").isNotNull(), 1).otherwise(0).alias("target"))
 
-    def __missing__(self, word: bytes) -> int:
-        k = self[word] = crc32(word) & self.mask
-        return k
 
-    def of(self, text: bytes) -> np.ndarray:
-        if len(self) > _MEMO:
-            self.clear()
-        words = text.lower().split()
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+def _block(rows: pa.Table) -> Block:
+    return Block(rows.column("text").cast(pa.binary()).to_pylist())
 
 
-def pair_ids(ids: np.ndarray, bits: int) -> np.ndarray:
-    a, b = ids[:-1].astype(np.uint64), ids[1:].astype(np.uint64)
-    mixed = ((a << np.uint64(32)) | b) * _MIX
-    return (mixed >> np.uint64(64 - bits)).astype(np.int64)
+def block_counts(blocks: DataFrame, n_ranges: int) -> DataFrame:
+    """(block, range, keys, background, target): what every block counts, one row for each range."""
 
+    def run(rows: pa.Table) -> pa.Table:
+        own = _block(rows)
+        part = ((own.keys >> np.uint64(32)) * np.uint64(n_ranges)) >> np.uint64(32)
+        cuts = np.searchsorted(part, np.arange(n_ranges + 1, dtype=np.uint64))
+        steps = np.diff(own.keys, prepend=np.uint64(0))
+        steps[cuts[:-1][np.diff(cuts) > 0]] = own.keys[cuts[:-1][np.diff(cuts) > 0]]  # a range starts anew
+        columns = steps, own.counts(), own.counts(rows.column("target").to_numpy() == 1)
+        return pa.Table.from_arrays(
+            [pa.array(np.full(n_ranges, rows.column("block")[0].as_py(), np.int32)), pa.array(np.arange(n_ranges, dtype=np.int32)),
+             *(pa.array([packed(c[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary()) for c in columns)],
+            names=["block", "range", "keys", "background", "target"])
 
-def marked(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, target) with target = 1 for documents whose id is in ``targets`` (one column)."""
-    ids = targets.select(F.col(targets.columns[0]).alias("__t")).filter(F.col("__t").isNotNull()).distinct()
-    small = ids.count() <= BROADCAST_ROWS
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.join(broadcast_if(ids, small), F.col("id") == F.col("__t"), "left") \
-        .select("id", "text", F.when(F.col("__t").isNotNull(), 1).otherwise(0).alias("target"))
-
-
-def bucket_counts(rows: DataFrame, word_bits: int = WORD_BITS, pair_bits: int = PAIR_BITS) -> DataFrame:
-    """(bucket, background, target): words take buckets below 2**word_bits, pairs those after."""
-    words, size = 1 << word_bits, (1 << word_bits) + (1 << pair_bits)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _Ids(word_bits)
-        count = np.zeros((2, size), np.int64)
-        held: tuple[list, list] = ([], [])
-        waiting = 0
-
-        def add() -> None:
-            for k in (0, 1):
-                if held[k]:
-                    count[k] += np.bincount(np.concatenate(held[k]), minlength=size)
-                    held[k].clear()
-
-        for b in batches:
-            for text, target in zip(b.column("text").cast(pa.binary()), b.column("target").to_pylist()):
-                if text.is_valid:
-                    own = ids.of(text.as_py())
-                    held[target].extend((own, words + pair_ids(own, pair_bits)))
-                    waiting += len(own)
-                    if waiting > 1_000_000:
-                        add()
-                        waiting = 0
-        add()
-        at = np.flatnonzero(count.any(axis=0))
-        for i in range(0, len(at), 200_000):
-            k = at[i:i + 200_000]
-            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(count[:, k].sum(axis=0)),
-                                              pa.array(count[1, k])], names=["bucket", "background", "target"])
-
-    return (map_arrow(rows.select("text", "target"), run, "bucket int, background long, target long")
-            .groupBy("bucket").agg(F.sum("background").alias("background"), F.sum("target").alias("target")))
-
-
-class Model:
-    """One side: per-word losses from its counts."""
-
-    def __init__(self, words: np.ndarray, pairs: np.ndarray, mu: float):
-        self.mu = mu
-        self.pairs = pairs.astype(np.float32)
-        self.words = words.astype(np.float64)
-        self.unigram = (self.words + 1) / (self.words.sum() + len(words))
-
-    def losses(self, ids: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-        p = self.unigram[ids]
-        first, rest = p[:1], p[1:]
-        rest = (self.pairs[pairs] + self.mu * rest) / (self.words[ids[:-1]] + self.mu)
-        return -np.log(np.concatenate((first, rest)))
-
-
-def train(rows: DataFrame, word_bits: int = WORD_BITS, pair_bits: int = PAIR_BITS, mu: float = MU) -> tuple[Model, Model]:
-    """(target, background) models of ``rows`` (text, target)."""
-    words, size = 1 << word_bits, (1 << word_bits) + (1 << pair_bits)
-    count = np.zeros((2, size), np.int64)
-    got = bucket_counts(rows, word_bits, pair_bits).toArrow()  # at most ``size`` rows
-    count[:, got["bucket"].to_numpy()] = got["target"].to_numpy(), got["background"].to_numpy()
-    return tuple(Model(c[:words], c[words:], mu) for c in count)
+    return blocks.groupBy("block").applyInArrow(run, COUNTS)
+
+
+def range_totals(counts: DataFrame) -> DataFrame:
+    """For each row of ``counts`` the totals of its keys over all blocks, with the range's words and their counts."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        keys = [np.cumsum(unpacked(x)) for x in rows.column("keys").to_pylist()]
+        cuts = np.cumsum([0, *map(len, keys)])
+        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+        word = (distinct & np.uint64(1)) == 0
+        out, sums = [], []
+        for name in ("background", "target"):
+            own = np.concatenate([unpacked(x) for x in rows.column(name).to_pylist()])
+            total = np.bincount(at, own, len(distinct)).astype(np.int64)
+            out.append(pa.array([packed(total[at[a:b]]) for a, b in zip(cuts, cuts[1:])], pa.binary()))
+            sums.append(int(total[word].sum()))
+        alike = [pa.array(np.full(len(keys), x, np.int64)) for x in (int(word.sum()), *sums)]
+        return pa.Table.from_arrays([rows.column("block"), rows.column("range"), *out, *alike],
+                                    names=[f.split(" ")[0] for f in TOTALS.split(", ")])
+
+    return counts.groupBy("range").applyInArrow(run, TOTALS)
 
 
 def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                             word_bits: int = WORD_BITS, pair_bits: int = PAIR_BITS, mu: float = MU) -> DataFrame:
+                             mu: float = MU, block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(id, target, n_words, target_loss, background_loss, score) per document."""
-    rows = marked(docs, targets, id_col, text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(train(rows, word_bits, pair_bits, mu))
-    added = StructType.fromDDL("n_words long, target_loss double, background_loss double, score double")
-    schema = StructType([*rows.drop("text").schema.fields, *added.fields])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models, ids = shared.value, _Ids(word_bits)
-        for b in batches:
-            n, loss = [], ([], [])
-            for text in b.column("text").cast(pa.binary()):
-                own = ids.of(text.as_py() or b"")
-                n.append(len(own))
-                pairs = pair_ids(own, pair_bits)
-                for out, m in zip(loss, models):
-                    out.append(float(m.losses(own, pairs).mean()) if len(own) else None)
-            diff = [None if t is None else t - g for t, g in zip(*loss)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("id"), b.column("target"), pa.array(n, pa.int64()),
-                 *(pa.array(x, pa.float64()) for x in (*loss, diff))], names=schema.names)
-
-    return map_arrow(rows, run, schema)
+    prepare(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")) + 1).alias("n")).first()["n"] or 0
+    n_blocks, n_ranges = (int(1 + size // x) for x in (block_bytes, range_bytes))
+    blocks = marked(docs, targets, id_col, text_col).select(
+        "id", "text", "target", F.pmod(F.xxhash64("row"), F.lit(n_blocks)).cast("int").alias("block"))
+    totals = range_totals(block_counts(blocks, n_ranges))
+    schema = StructType([*blocks.select("id", "target").schema.fields, *StructType.fromDDL(SCORES).fields])
+
+    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
+        found = found.sort_by("range")
+        own, vocabulary = _block(rows), sum(found.column("vocabulary").to_pylist())
+        has = own.lengths > 0
+        loss = []
+        for name in ("target", "background"):
+            total = np.concatenate([unpacked(x) for x in found.column(name).to_pylist()])
+            if len(total) != len(own.keys):
+                raise ValueError("a block's documents differ from those it counted")
+            loss.append(own.mean_losses(total, sum(found.column(f"n_{name}").to_pylist()), vocabulary, mu))
+        return pa.Table.from_arrays(
+            [rows.column("id"), rows.column("target"), pa.array(own.lengths),
+             *(pa.array(x, pa.float64(), mask=~has) for x in (*loss, loss[0] - loss[1]))], names=schema.names)
+
+    return blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(run, schema)

@@ -7,55 +7,67 @@ import pytest
 from rankspark.llm import lm_score as L
 
 
-def brute(docs, targets, wb, pb, mu):
-    def ids(t):
-        return [L.crc32(w) & ((1 << wb) - 1) for w in (t or "").encode().lower().split()]
-
-    def pair(a, b):
-        return int((((a << 32) | b) * 0x9E3779B97F4A7C15) % (1 << 64)) >> (64 - pb)
-
+def brute(docs, targets, mu):
+    words = {i: (t or "").encode().lower().split() for i, t in docs}
+    vocabulary = len(set().union(*words.values()))
     models = []
     for pick in (lambda i: i in targets, lambda i: True):
         uni, bi = Counter(), Counter()
-        for i, t in docs:
+        for i, x in words.items():
             if pick(i):
-                x = ids(t)
                 uni.update(x)
-                bi.update(pair(a, b) for a, b in zip(x, x[1:]))
+                bi.update(zip(x, x[1:]))
         models.append((uni, bi, sum(uni.values())))
     out = {}
-    for i, t in docs:
-        x, loss = ids(t), []
+    for i, x in words.items():
+        loss = []
         for uni, bi, n in models:
-            p1 = lambda w: (uni[w] + 1) / (n + (1 << wb))  # noqa: B023, E731
-            ls = [-math.log(p1(w)) if k == 0 else -math.log((bi[pair(x[k - 1], w)] + mu * p1(w)) / (uni[x[k - 1]] + mu))
+            p1 = lambda w: (uni[w] + 1) / (n + vocabulary)  # noqa: B023, E731
+            ls = [-math.log(p1(w)) if k == 0 else -math.log((bi[x[k - 1], w] + mu * p1(w)) / (uni[x[k - 1]] + mu))
                   for k, w in enumerate(x)]
             loss.append(sum(ls) / len(ls) if ls else None)
         out[i] = (len(x), *loss, loss[0] - loss[1] if x else None)
     return out
 
 
-def test_scores_are_brute_force(spark):
+@pytest.mark.parametrize("sizes", [{}, {"block_bytes": 200, "range_bytes": 300}, {"block_bytes": 10_000, "range_bytes": 40}])
+def test_scores_are_brute_force(spark, sizes):
     rng = np.random.default_rng(1)
     docs = [(i, " ".join(rng.choice(["aa", "Bb", "cc", "dé", "ee"], rng.integers(0, 30)))) for i in range(60)]
-    docs += [(100, None), (101, "")]
+    docs += [(100, None), (101, ""), (102, " rare words here "), (103, "aa " * 2000)]
     targets = set(range(0, 60, 3))
     d = spark.createDataFrame(docs, "doc_id long, text string")
     t = spark.createDataFrame([(i,) for i in targets] * 2 + [(None,)], "x long")
-    got = L.cross_entropy_difference(d, t, word_bits=6, pair_bits=7, mu=3.0).collect()
-    want = brute(docs, targets, 6, 7, 3.0)
+    got = L.cross_entropy_difference(d, t, mu=3.0, **sizes).collect()
+    want = brute(docs, targets, 3.0)
     assert len(got) == len(docs)
     for r in got:
         n, *loss = want[r.id]
         assert r.n_words == n and r.target == int(r.id in targets)
-        assert [r.target_loss, r.background_loss, r.score] == (pytest.approx(loss, rel=1e-5, abs=1e-6) if n else loss)
+        assert [r.target_loss, r.background_loss, r.score] == (pytest.approx(loss, rel=1e-9, abs=1e-9) if n else loss)
+
+
+def test_whole_table_against_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    good = spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1").select("doc_id")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = brute(rows, {r.doc_id for r in good.collect()}, L.MU)
+    got = {r.id: r for r in L.cross_entropy_difference(docs, good, block_bytes=1 << 17, range_bytes=1 << 18).collect()}
+    assert len(got) == len(rows)
+    for i, (n, _, _, score) in want.items():
+        assert got[i].n_words == n and (got[i].score == pytest.approx(score, abs=1e-9) if n else got[i].score is None)
+
+
+def test_packed_numbers_come_back():
+    for x in ([], [0], [1, 255, 256, (1 << 64) - 1]):
+        assert L.unpacked(L.packed(np.array(x, np.uint64))).tolist() == x
 
 
 def test_odd_tables(spark, odd_docs, no_docs):
     none = spark.createDataFrame([], "doc_id long")
-    rows = L.cross_entropy_difference(odd_docs, none, word_bits=8, pair_bits=8).collect()
+    rows = L.cross_entropy_difference(odd_docs, none, block_bytes=100, range_bytes=100).collect()
     assert len(rows) == odd_docs.count() and all((r.score is None) == (r.n_words == 0) for r in rows)
-    assert L.cross_entropy_difference(no_docs, none, word_bits=8, pair_bits=8).count() == 0
+    assert L.cross_entropy_difference(no_docs, none).count() == 0
 
 
 def test_closer_documents_score_lower(spark, sf):
