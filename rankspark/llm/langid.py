@@ -231,7 +231,8 @@ class Words:
 def label(texts: list[str | None], known: Words, with_spans: bool = True) -> list[tuple]:
     """(language, score, spans [start, end, language] in code points) of each text."""
     languages = known.model.languages
-    found = [_WORD.findall(t) if t else [] for t in texts]
+    found = [ws if any(c.isalpha() for w in ws for c in w) else []  # such as fractions: words, but no letter
+             for ws in (_WORD.findall(t) if t else [] for t in texts)]
     known.learn(set().union(*found))
     own = [d for d, ws in enumerate(found) if ws and languages]
     number = [np.fromiter(map(known.number.__getitem__, found[d]), np.int64, len(found[d])) for d in own]

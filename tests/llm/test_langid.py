@@ -41,7 +41,7 @@ def test_scripts_and_spans(spark):
     lang, score, spans = G.label([text], G.Words(m))[0]
     assert [s[2] for s in spans][:2] == ["en", "de"] and spans[-1][2] in ("ru", "uk")
     assert text[spans[0][0]:spans[0][1]] == "the tree and the house are there" and 0 < score < 1
-    assert G.label(["", None, "12 -- 3"], G.Words(m)) == [("und", 0.0, [])] * 3
+    assert G.label(["", None, "12 -- 3", "\u00bd \u2167 \u00b2"], G.Words(m)) == [("und", 0.0, [])] * 4
 
 
 def test_odd_tables(spark, odd_docs, no_docs):
