@@ -7,11 +7,14 @@ proportion to the text, whatever the text.
 
 The model: character classes -> bidirectional LSTM -> CRF over O and B/I tags
 of the four kinds, in numpy. It is trained from labelled spans: windows of
-the corpus around digits and at signs, labelled by the base patterns, some of
-them varied in ways the patterns do not know (phone numbers without plus
-sign, spelled-out at signs), at most ``TRAIN_WINDOWS`` of them in the order of
-a hash. Every text is decoded by overlapping windows around each digit and at
-sign (a span must hold one of them, so no other window can give one). Windows
+the corpus around the triggers, labelled by the base patterns, some of them
+varied in ways the patterns do not know (phone numbers without plus sign, in
+one or two groups; spelled-out at signs and dots), at most ``TRAIN_WINDOWS``
+of them in the order of a hash; windows with a spelled-out address of the
+corpus itself have no sure label and are left out. Triggers are digits, at
+signs and spelled-out addresses (``SPELLED``). Every text is decoded by
+overlapping windows around each trigger: ``plausible`` asks every span for a
+digit or an address sign with its domain, so no other window can give one. Windows
 are reconciled for the whole text: a span counts in the window in which its
 middle lies most centrally, must beat the reading without it by ``MARGIN``,
 and spans that overlap a base span or a better one go.
@@ -35,9 +38,14 @@ from pyspark.sql.types import StructType
 from rankspark.llm.common import map_arrow, prepare
 
 KINDS = ("email", "ip", "card", "phone")
-TRIGGER = "[0-9@]"
+_AT = r"(?: [Aa][Tt] | ?[(\[][Aa][Tt][)\]] ?)"
+_DOT = r"(?:\.| [Dd][Oo][Tt] | ?[(\[][Dd][Oo][Tt][)\]] ?)"
+#: The middle of a spelled-out address; Java and Python read it alike.
+SPELLED = rf"[A-Za-z0-9]{_AT}[A-Za-z0-9-]+{_DOT}[A-Za-z]"
+TRIGGER = rf"{SPELLED}|[0-9@]"
 WINDOW, STRIDE, CONTEXT = 64, 32, 24
 TRAIN_WINDOWS = 3000
+LEAST_EXAMPLES = 6000
 EPOCHS, BATCH, RATE = 4, 64, 0.02
 EMBED, HIDDEN = 16, 24
 MARGIN = 6.0
@@ -51,7 +59,9 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TRIGGER = re.compile(TRIGGER)
 _DIGITS = re.compile(r"[0-9]+")
-_MAILISH = re.compile(r"[A-Za-z0-9](?:@| at | ?\(at\) ?)[A-Za-z0-9-]+(?:\.| dot )[A-Za-z]")
+_LETTERS = re.compile(r"[A-Za-z]{2,12}")
+_SPELLED = re.compile(SPELLED)
+_MAILISH = re.compile(rf"[A-Za-z0-9](?:@|{_AT})[A-Za-z0-9-]+{_DOT}[A-Za-z]")
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -226,7 +236,8 @@ def fit(windows: list[tuple[str, list]], epochs: int = EPOCHS, seed: int = 7) ->
     if not windows:
         return None
     rng = np.random.default_rng(seed)
-    data = [_example(*_varied(w, s, rng)) for w, s in windows]
+    again = max(1, -(-LEAST_EXAMPLES // len(windows)))  # a small table's windows serve more than once, each time varied anew
+    data = [_example(*_varied(w, s, rng)) for _ in range(again) for w, s in windows]
     classes, tags = (np.array(x) for x in zip(*data))
     p = init_params(seed)
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
@@ -251,10 +262,12 @@ def _varied(text: str, spans: list, rng: np.random.Generator) -> tuple[str, list
     """Some windows with one form of data that the base patterns leave out."""
     for n, (kind, a, b) in enumerate(spans):
         new = None
-        if kind == "phone" and rng.random() < 0.4:
-            new = text[a + 1:b]
-        elif kind == "email" and rng.random() < 0.3:
-            new = text[a:b].replace("@", " at ")
+        if kind == "phone" and rng.random() < 0.6:
+            digits = "".join(_DIGITS.findall(text[a:b]))
+            digits = digits[rng.integers(len(digits) - 8):]
+            new = (text[a + 1:b], digits, f"{digits[:4]} {digits[4:]}")[rng.integers(3)]
+        elif kind == "email" and rng.random() < 0.6:
+            new = _spelled_out(text, *text[a:b].split("@", 1), rng)
         if new is not None:
             moved = len(new) - (b - a)
             shift = [(k, s + moved if s >= b else s, e + moved if e >= b else e) for k, s, e in spans]
@@ -263,6 +276,17 @@ def _varied(text: str, spans: list, rng: np.random.Generator) -> tuple[str, list
     return text, spans
 
 
+def _spelled_out(text: str, name: str, host: str, rng: np.random.Generator) -> str:
+    """An address without its at sign, half of the time of words around it, as a corpus may know few hosts and names."""
+    words = _LETTERS.findall(text)
+    if words and rng.random() < 0.5:
+        pick = lambda: words[rng.integers(len(words))].lower()
+        name = pick() + ("", f".{pick()}", f"_{pick()}", f"-{pick()}", str(rng.integers(100)))[rng.integers(5)]
+        host = f"{pick()}{('', f'-{pick()}', f'.{pick()}')[rng.integers(3)]}.{('com', 'org', 'net', 'de', 'edu', 'fr')[rng.integers(6)]}"
+    at = (" at ", " at ", "(at)", " (at) ", " [at] ")[rng.integers(5)]
+    return name + at + (host.replace(".", " dot ") if rng.random() < 0.4 else host)
+
+
 def _example(text: str, spans: list) -> tuple[np.ndarray, np.ndarray]:
     classes, tags = np.zeros(WINDOW, np.int64), np.zeros(WINDOW, np.int64)
     own = char_classes(text[:WINDOW])
@@ -362,12 +386,12 @@ def plausible(kind: str, span: str) -> bool:
     groups = _DIGITS.findall(span)
     digits = "".join(groups)
     if kind == "email":
-        return bool(_MAILISH.search(span)) and bool(_TRIGGER.search(span))
+        return bool(_MAILISH.search(span))
     if kind == "ip":
         return len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups)
     if kind == "card":
         return 13 <= len(digits) <= 19 and luhn(digits)
-    return 9 <= len(digits) <= 15 and len(groups) >= 3 and not any(c.isalpha() for c in span)
+    return 9 <= len(digits) <= 15 and not any(c.isalpha() for c in span)
 
 
 def all_spans(texts: list[str], p: dict | None) -> list[tuple[list, list]]:
@@ -402,10 +426,12 @@ def training_windows(docs: DataFrame, text_col: str = "text", most: int = TRAIN_
             for text in b.column(0).to_pylist():
                 spans = base_spans(text)
                 starts = [s for s, _, _ in window_starts(text)]
+                spelled = [m.span() for m in _SPELLED.finditer(text)]
                 for s in starts:
                     own = [[k, a - s, e - s] for k, a, e in spans if a >= s and e <= s + WINDOW]
                     cut = any(a < s < e or a < s + WINDOW < e for _, a, e in spans)
-                    if not cut:  # a span that the window cuts would teach its edge wrongly
+                    unsure = any(a < s + WINDOW and s < e for a, e in spelled)
+                    if not cut and not unsure:  # a span that the window cuts would teach its edge wrongly
                         out.append((text[s:s + WINDOW], ";".join(f"{k}:{a}:{e}" for k, a, e in own)))
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()),
                                               pa.array([o[1] for o in out], pa.string())], names=["window", "spans"])

@@ -116,3 +116,41 @@ def test_find_and_redact(spark, odd_docs, no_docs):
     after = {r.doc_id: r.text for r in out.collect()}
     assert after[50] == "write to <EMAIL> or <IP>, card <CARD>." and after[51] == "plain" and after[2] is None
     assert P.redact(no_docs).count() == 0 and P.find(no_docs, None, [F.col("doc_id")]).count() == 0
+
+
+def test_spelled_out_addresses_and_plain_phones_are_found(spark):
+    p = P.fit(_windows(600, random.Random(5)))
+    rnd, tried, found = random.Random(9), 0, 0
+    for name in ("jane.doe", "maria_lopez", "weber"):
+        for span in (f"{name} at example.com", f"{name} (at) mail.example.org", f"{name} at example dot com"):
+            words = rnd.choices(["the", "and", "house", "von", "que"], k=6)
+            text = " ".join([*words[:3], span, *words[3:]])
+            assert P.window_starts(text) and not re.search("[0-9@]", text)
+            got = P.model_spans([text], p)[0]
+            tried, found = tried + 1, found + any(text[a:b] == span and k == "email" for k, a, b, _ in got)
+    assert found >= 0.6 * tried
+    for phone in ("0171 5551234", "5551234567", "49 301 555-2040"):
+        assert P.plausible("phone", phone)
+        text = f"the house {phone} and so on"
+        assert [(k, text[a:b]) for k, a, b, _ in P.model_spans([text], p)[0]] == [("phone", phone)]
+    d = spark.createDataFrame([(1, "the house jane.doe at example.com and so on"), (2, "we met at home. and so on"), (3, None)],
+                              "doc_id long, text string")
+    rows = {r.doc_id: r for r in P.find(d, p, [F.col("doc_id")]).collect()}
+    assert [tuple(s) for s in rows[1].spans] == [("email", 10, 33)] and rows[1].base == []
+    assert rows[2].spans == [] and rows[3].spans == []
+
+
+def test_java_and_python_read_the_trigger_alike(spark):
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choices(["a", "Z", " at ", " AT ", "(at)", " [at] ", " dot ", ".", " ", "é", "-", "K", "(dot)", "\n"],
+                                 weights=[4, 4, 4, 1, 2, 2, 2, 2, 1, 1, 1, 1, 1, 1], k=rnd.randint(0, 14))) for _ in range(3000)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in d.filter(F.col("text").rlike(P.TRIGGER)).collect()} == {
+        i for i, t in enumerate(texts) if P._TRIGGER.search(t)}
+    many = sum(bool(P._MAILISH.search(t)) for t in texts)
+    assert many > 20 and all(P.window_starts(t) for t in texts if P._MAILISH.search(t))
+
+
+def test_spelled_out_windows_of_the_corpus_are_not_taught_as_plain(spark):
+    d = spark.createDataFrame([(1, "write to jane.doe at example.com in 1999"), (2, "built in 1999")], "doc_id long, text string")
+    assert [w for w, _ in P.training_windows(d)] == ["built in 1999"]
