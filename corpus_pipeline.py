@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankspark.llm import decontaminate, langid, packing, pii, simhash
+from rankspark.llm import decontaminate, langid, packing, pii, registry, simhash
 from rankspark.llm.common import named, table, written
 
 MIN_SHARE = 0.4
@@ -42,10 +42,15 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, piece, start, n_tokens, bucket, bucket_len, batch, slot) of every piece."""
+    """(doc_id, piece, start, n_tokens, bucket, bucket_len, batch, slot) of every piece, lengths in words."""
     return packing.pack(docs).withColumnRenamed("id", "doc_id")
 
 
+def pack_token_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The same columns with lengths in tokens, so that a batch holds at most the budget of them."""
+    return registry.pack_tokens(docs)
+
+
 def _counted(before: DataFrame, after: DataFrame) -> DataFrame:
     if "n_chars" not in after.columns:
         return after
@@ -62,10 +67,19 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _through(STAGES, spark, sf_dir)
+
+
+def run_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pipeline with its batches packed by tokens."""
+    return _through([*STAGES[:-1], ("token_packing", pack_token_batches)], spark, sf_dir)
+
+
+def _through(stages: list, spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    for name, stage in stages[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return stages[-1][1](spark, docs, sf_dir)
 
 
 #: The language, fingerprint and model stages cannot be said in SQL; tests hold run() against brute force.

@@ -61,10 +61,20 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 
 def op3_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's pieces with bucket, batch and slot."""
+    """Every document's pieces with bucket, batch and slot; all lengths, n_tokens too, are words between white space."""
     return packing.pack(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op3_token_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by tokens: pieces are cut, bucketed and held to the budget by what the tokenizer counts."""
+    return pack_tokens(table(spark, sf_dir, "documents"))
+
+
+def pack_tokens(docs: DataFrame) -> DataFrame:
+    counts = token_cache.lengths(docs, tokenizer_definition())
+    return packing.pack(counts, "id", length=F.col("n_tokens")).withColumnRenamed("id", "doc_id")
+
+
 def _op3_sql() -> str:
     steps = ", ".join(
         f"""f{k} AS MATERIALIZED (SELECT j, min({{'c': f.c + h.l * (h.cn - f.cn) - (h.sn - f.sn), 'i': f.j}}) AS b
@@ -203,7 +213,7 @@ def op10_pii_bilstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_warc_reassembly, op2_benchmark_decontamination, op3_length_buckets, op4_token_cache, op5_cross_entropy_difference,
+    op1_warc_reassembly, op2_benchmark_decontamination, op3_length_buckets, op3_token_buckets, op4_token_cache, op5_cross_entropy_difference,
     op6_simhash, op7_language_spans, op8_quality_ledger, op9_reply_trees, op10_pii_bilstm_crf)}
 ORACLE = {"op1_warc_reassembly": OP1_SQL, "op2_benchmark_decontamination": OP2_SQL, "op3_length_buckets": _op3_sql(),
           "op8_quality_ledger": OP8_SQL, "op9_reply_trees": OP9_SQL}

@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from rankspark.llm.common import map_arrow
 
@@ -121,6 +122,24 @@ def encode_misses(docs: DataFrame, cache: DataFrame, definition: str, text_col:
     return map_arrow(distinct.join(cache, "digest", "left_anti"), run, "digest string, n_tokens long")
 
 
+def lengths(docs: DataFrame, definition: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_tokens) of every row, without a cache: nothing is shuffled, copies are counted again."""
+    shared = docs.sparkSession.sparkContext.broadcast((definition, splits_at_spaces(definition)))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    schema = StructType([rows.schema["id"], StructField("n_tokens", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        counter = Counter(*shared.value)
+        for b in batches:
+            counts = counter.counts(b.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(counts, pa.int64())], names=["id", "n_tokens"])
+
+    return map_arrow(rows, run, schema)
+
+
 def token_counts(docs: DataFrame, cache_path: str, definition: str, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """(id, digest, n_bytes, n_tokens) per document; encodes and appends what the cache lacks."""

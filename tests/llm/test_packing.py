@@ -46,3 +46,25 @@ def test_pack(spark, odd_docs, no_docs):
     assert odd.select("id").distinct().count() == odd_docs.select("doc_id").distinct().count()
     words = lambda t: len((t or "").split())
     assert odd.agg(F.sum("n_tokens")).first()[0] == sum(words(r.text) for r in odd_docs.collect())
+
+
+def test_token_batches_hold_the_budget_in_tokens(spark, tmp_path):
+    import __spark_entry__ as entry
+    import corpus_pipeline as CP
+    from rankspark.llm import registry
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_str(registry.tokenizer_definition())
+    texts = ["\u65e5\u672c\u8a9e\u306e\u6587" * 3000, "QUJD" * 4000 + "x", "a plain text of words", "", None] + ["\u6f22\u5b57" * 900] * 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {i: len(tok.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    assert want[0] > P.MAX_LEN
+    for rows in (registry.op3_token_buckets(spark, str(tmp_path)).collect(), CP.pack_token_batches(spark, docs, "").collect()):
+        total, batches = Counter(), Counter()
+        for r in rows:
+            total[r.doc_id] += r.n_tokens
+            batches[r.bucket, r.batch] += r.bucket_len
+            assert r.start == P.MAX_LEN * r.piece and r.n_tokens <= r.bucket_len <= P.MAX_LEN
+        assert dict(total) == want and max(batches.values()) <= P.BUDGET
+    assert "pipeline_tokens" in entry.queries()
