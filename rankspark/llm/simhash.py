@@ -17,7 +17,8 @@ has passed the radius. A bucket above ``bucket_rows`` is dealt out as pairs
 of its parts, so no task gets more than two parts at once.
 
 From each bucket a spanning set of its links is kept (at most one per row),
-then connected components give each document the smallest id it can reach.
+then connected components over the fingerprints themselves give each document
+the smallest id that its component holds.
 
 Defined results: null text and texts without words have fingerprint zero and
 link like any other; a document without id is neither a node nor a label of
@@ -34,15 +35,16 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankspark.llm.common import connected_components, map_arrow, written
+from rankspark.llm.common import broadcast_if, connected_components, map_arrow, named, prepare, written
 
 SEED = 42
 SHINGLE = 3
 RADIUS = 3
 BUCKET_ROWS = 4096
+BROADCAST_ROWS = 1_000_000
 _CHUNK = 1 << 15
 
 
@@ -274,25 +276,64 @@ def unit_blocks(batches: Iterator[pa.RecordBatch], most: int = 1 << 14) -> Itera
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                     radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS, agree: int | None = None) -> DataFrame:
-    """(id, fp, component): one row per document, component = smallest id reachable."""
+    """(id, fp, component): one row per document, component = smallest id of its connected component."""
+    return _grouped(docs, id_col, text_col, shingle, radius, bucket_rows, agree).drop("root")
+
+
+def _grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+             radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS, agree: int | None = None) -> DataFrame:
+    """(id, fp, root, component): root = smallest fingerprint of the component, which no other component shares."""
     docs_fp = written(fingerprints(docs, id_col, text_col, shingle), "simhash")
     nodes = written(docs_fp.filter(F.col("id").isNotNull()).groupBy("fp").agg(F.min("id").alias("id")), "simhash")
-    roots = connected_components(near_pairs(nodes, radius, bucket_rows, agree), "simhash")
-    classes = (nodes.join(roots, nodes["id"] == roots["node"], "left")
-               .select("fp", F.coalesce("root", "id").alias("component"))
+    own = nodes.select(F.col("fp").alias("id"), "fp")  # an id may stand on rows of several fingerprints
+    roots = connected_components(near_pairs(own, radius, bucket_rows, agree), "simhash")
+    placed = written(nodes.join(roots, nodes["fp"] == roots["node"], "left")
+                     .select("fp", "id", F.coalesce("root", "fp").alias("root")), "simhash")
+    lowest = placed.groupBy("root").agg(F.min("id").alias("component"))
+    classes = (placed.drop("id").join(lowest, "root").select("fp", "root", "component")
                .repartition(F.xxhash64("fp", F.lit(7))))  # its own deal, so a hot fingerprint's rows can be split
-    return docs_fp.join(classes, "fp", "left").select("id", "fp", "component")
+    return docs_fp.join(classes, "fp", "left").select("id", "fp", "root", "component")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one document of each group: the row with the group's smallest id.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, **options) -> DataFrame:
+    """``docs`` with one row of each group: the first by (id, fingerprint, text).
 
-    Of rows that repeat that id one stays; documents without id all stay, as
-    none can stand for another.
+    Only rows whose id repeats are compared by fingerprint and text (then by
+    all columns, so that the choice is fixed). A row without id goes when its
+    text has words and the fingerprint of a document with an id; the other
+    rows without id stay, as none can stand for another.
     """
-    found = near_duplicates(docs, id_col, **options)
-    keepers = (found.filter(F.col("component") == F.col("id")).select("id").distinct()
-               .repartition(F.xxhash64("id")))
-    kept = docs.filter(docs[id_col].isNotNull())
-    kept = kept.join(keepers, kept[id_col].cast("long") == keepers["id"], "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.filter(docs[id_col].isNull()))
+    found = written(_grouped(docs, id_col, text_col, shingle, **options), "simhash").filter(F.col("id").isNotNull())
+    repeated = found.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("id")
+    keepers = found.groupBy("root").agg(F.min(F.struct("id", "fp")).alias("k")).select("k.id", "k.fp")
+    once = keepers.join(repeated, "id", "left_anti").select("id").repartition(F.xxhash64("id"))
+    key = docs[id_col].cast("long")
+    kept = docs.join(once, key == once["id"], "left_semi")
+    many = written(keepers.join(repeated, "id", "left_semi").select(F.col("id").alias("__id"), F.col("fp").alias("__fp")), "simhash")
+    n = many.count()
+    if n:
+        ids = broadcast_if(many.select("__id").distinct(), n <= BROADCAST_ROWS)
+        rows = _with_fingerprint(docs.join(ids, key == ids["__id"], "inner"), text_col, shingle)
+        rows = rows.join(broadcast_if(many, n <= BROADCAST_ROWS), ["__id", "__fp"], "left_semi")
+        every = F.to_json(F.struct(*map(named, docs.columns)))
+        first = F.row_number().over(Window.partitionBy("__id", "__fp").orderBy(named(text_col), every))
+        rows = rows.withColumn("__row", first).filter(F.col("__row") == 1)
+        kept = kept.unionByName(rows.select(*map(named, docs.columns)))
+    nameless = _with_fingerprint(docs.filter(docs[id_col].isNull()), text_col, shingle)
+    known = found.select(F.col("fp").alias("__known")).distinct().repartition(F.xxhash64("__known"))
+    has_words = F.coalesce(named(text_col).cast("string").rlike(r"[^ \t-\r]"), F.lit(False))
+    return kept.unionByName(nameless.join(known, has_words & (F.col("__fp") == known["__known"]), "left_anti")
+                            .select(*map(named, docs.columns)))
+
+
+def _with_fingerprint(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """``docs`` with column __fp."""
+
+    def run(text):
+        import pandas as pd
+
+        got = [fingerprint(t.encode() if t else None, shingle) for t in text.tolist()]
+        return pd.Series(np.array(got, np.uint64).view(np.int64))
+
+    prepare(docs.sparkSession)
+    return docs.withColumn("__fp", F.pandas_udf(run, "long")(named(text_col).cast("string")))

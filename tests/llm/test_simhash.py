@@ -114,3 +114,18 @@ def test_corpus_against_brute_force(spark, sf):
     got = registry.op6_simhash(spark, sf).collect()
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in got} == {i: (f"{f:016x}", want[i]) for i, f in docs.items()}
     assert F is not None
+
+
+def test_keep_one_with_repeated_and_null_ids(spark):
+    rnd = random.Random(12)
+    a, b, c, e = (" ".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=60)) for _ in range(4))
+    rows = [(1, a), (2, a), (1, b), (3, b), (4, c), (4, c), (4, e), (5, e), (None, c), (None, "quite alone here"), (None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 5):
+        got = sorted(((r.doc_id, r.text) for r in S.keep_one(d.repartition(parts)).collect()), key=repr)
+        assert got == sorted([(1, a), (1, b), (4, c), (4, e), (None, "quite alone here"), (None, None)], key=repr)
+    # Unlinked groups that share their smallest id stay two: before, 3 and 5 went with the arbitrary row of 1 and 4.
+    one = {(r.id, r.component) for r in S.near_duplicates(d).collect()}
+    assert {(2, 1), (3, 1), (5, 4)} <= one
+    same = spark.createDataFrame([(7, "A b c"), (7, "a B c"), (7, "a b c")], "doc_id long, text string")
+    assert [r.text for r in S.keep_one(same.repartition(3)).collect()] == ["A b c"]
