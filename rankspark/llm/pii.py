@@ -9,8 +9,9 @@ The model: character classes -> bidirectional LSTM -> CRF over O and B/I tags
 of the four kinds, in numpy. It is trained from labelled spans: windows of
 the corpus around the triggers, labelled by the base patterns, some of them
 varied in ways the patterns do not know (phone numbers without plus sign, in
-one or two groups; spelled-out at signs and dots), at most ``TRAIN_WINDOWS``
-of them in the order of a hash; windows with a spelled-out address of the
+one or two groups; spelled-out at signs and dots). At most ``KIND_WINDOWS``
+that hold a kind are drawn for every kind, however rare its windows are, and
+``TRAIN_WINDOWS`` without a span, in the order of a hash; windows with a spelled-out address of the
 corpus itself have no sure label and are left out. Triggers are digits, at
 signs and spelled-out addresses (``SPELLED``). Every text is decoded by
 overlapping windows around each trigger: ``plausible`` asks every span for a
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -44,7 +45,8 @@ _DOT = r"(?:\.| [Dd][Oo][Tt] | ?[(\[][Dd][Oo][Tt][)\]] ?)"
 SPELLED = rf"[A-Za-z0-9]{_AT}[A-Za-z0-9-]+{_DOT}[A-Za-z]"
 TRIGGER = rf"{SPELLED}|[0-9@]"
 WINDOW, STRIDE, CONTEXT = 64, 32, 24
-TRAIN_WINDOWS = 3000
+TRAIN_WINDOWS = 3000  # without a span
+KIND_WINDOWS = 1000  # with one, for every kind
 LEAST_EXAMPLES = 6000
 EPOCHS, BATCH, RATE = 4, 64, 0.02
 EMBED, HIDDEN = 16, 24
@@ -417,28 +419,50 @@ def _texts(docs: DataFrame, text_col: str) -> Column:
     return F.when(text.rlike(TRIGGER), text)
 
 
-def training_windows(docs: DataFrame, text_col: str = "text", most: int = TRAIN_WINDOWS) -> list[tuple[str, list]]:
-    """At most ``most`` distinct windows of all texts with their base spans, in the order of a hash."""
+def training_windows(docs: DataFrame, text_col: str = "text", most: int = TRAIN_WINDOWS, each: int = KIND_WINDOWS) -> list[tuple[str, list]]:
+    """Distinct windows with their base spans: of those that hold a kind at most ``each``, for every kind,
+    and at most ``most`` without a span, all in the order of a hash.
+
+    A task hands on its own first ones only, so what is gathered is bounded.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        held: dict[str, dict] = {k: {} for k in ("", *KINDS)}
+
+        def cut(k: str) -> None:
+            held[k] = dict(sorted(held[k].items(), key=lambda x: (x[1], x[0]))[:each if k else most])
+
         for b in batches:
-            out = []
             for text in b.column(0).to_pylist():
                 spans = base_spans(text)
                 starts = [s for s, _, _ in window_starts(text)]
                 spelled = [m.span() for m in _SPELLED.finditer(text)]
                 for s in starts:
                     own = [[k, a - s, e - s] for k, a, e in spans if a >= s and e <= s + WINDOW]
-                    cut = any(a < s < e or a < s + WINDOW < e for _, a, e in spans)
+                    cuts = any(a < s < e or a < s + WINDOW < e for _, a, e in spans)
                     unsure = any(a < s + WINDOW and s < e for a, e in spelled)
-                    if not cut and not unsure:  # a span that the window cuts would teach its edge wrongly
-                        out.append((text[s:s + WINDOW], ";".join(f"{k}:{a}:{e}" for k, a, e in own)))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()),
-                                              pa.array([o[1] for o in out], pa.string())], names=["window", "spans"])
-
-    rows = (map_arrow(docs.select(_texts(docs, text_col).alias("text")).filter(F.col("text").isNotNull()),
-                      run, "window string, spans string").groupBy("window").agg(F.max("spans").alias("spans"))
-            .orderBy(F.xxhash64("window"), "window").limit(most).collect())
+                    if cuts or unsure:  # a span that the window cuts would teach its edge wrongly
+                        continue
+                    row = (text[s:s + WINDOW], ";".join(f"{k}:{a}:{e}" for k, a, e in own))
+                    for k in {k for k, _, _ in own} or {""}:
+                        held[k][row] = xxhash.xxh64_intdigest(row[0].encode(), 42)
+                        if len(held[k]) >= 4 * (each if k else most) + 1000:
+                            cut(k)
+        for k in held:
+            cut(k)
+        out = [(k, *row, h - (1 << 64) if h >> 63 else h) for k, own in held.items() for row, h in own.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64()))],
+                                         names=["kind", "window", "spans", "h"])
+
+    got = (map_arrow(docs.select(_texts(docs, text_col).alias("text")).filter(F.col("text").isNotNull()),
+                     run, "kind string, window string, spans string, h long").distinct())
+    # The same order as in the tasks: unsigned hash, window, spans.
+    place = F.row_number().over(Window.partitionBy("kind").orderBy((F.col("h") < 0), "h", "window", "spans"))
+    bound = F.when(F.col("kind") == "", F.lit(most)).otherwise(F.lit(each))
+    rows = (got.withColumn("place", place).filter(F.col("place") <= bound)
+            .groupBy("window").agg(F.max("spans").alias("spans"), F.first("h").alias("h")).orderBy("h", "window").collect())
     return [(r["window"], [(k, int(a), int(e)) for k, a, e in (x.split(":") for x in r["spans"].split(";") if x)]) for r in rows]
 
 

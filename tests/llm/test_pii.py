@@ -154,3 +154,16 @@ def test_java_and_python_read_the_trigger_alike(spark):
 def test_spelled_out_windows_of_the_corpus_are_not_taught_as_plain(spark):
     d = spark.createDataFrame([(1, "write to jane.doe at example.com in 1999"), (2, "built in 1999")], "doc_id long, text string")
     assert [w for w, _ in P.training_windows(d)] == ["built in 1999"]
+
+
+def test_rare_kinds_reach_the_sample(spark):
+    rare = ["mail ann@example.com now", "host 10.1.2.3 is up", "card 4111111111111111 paid", "call +49 301 555-2040 now"]
+    texts = [f"it was built in the year {i} by them" for i in range(3000)] + rare
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for parts in (1, 6):
+        got = P.training_windows(d.repartition(parts), most=50, each=3)
+        kinds = [k for _, spans in got for k, _, _ in spans]
+        assert sorted(kinds) == sorted(P.KINDS) and len(got) == 54
+        assert got == P.training_windows(d, most=50, each=3)
+    many = spark.createDataFrame([(i, f"host 10.1.2.{i} is up") for i in range(200)], "doc_id long, text string")
+    assert len(P.training_windows(many, each=20)) == 20
