@@ -175,6 +175,24 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM v"""
 
 
+def op8_policy_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy removes, and what the policy keeps with and without it, over the whole ledger."""
+    return quality.ablations(quality.ledger(table(spark, sf_dir, "documents")), list(quality.POLICIES.values()))
+
+
+OP8_ABLATIONS_SQL = OP8_SQL[:OP8_SQL.index("v AS (")] + """
+f AS (SELECT [n_words < 20, 100 * n_repeat_words > 30 * n_words, 10 * n_symbols > n_words,
+              n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines, word_chars > 30 * n_words,
+              20 * n_distinct < n_words, 2 * n_upper > n_letters] AS bad FROM m),
+r7 AS (SELECT * FROM (VALUES (1, 'min_words'), (2, 'repeated_words'), (3, 'symbols'), (4, 'duplicate_lines'), (5, 'long_words'),
+       (6, 'few_distinct'), (7, 'shouting')) x(k, rule)),
+p3 AS (SELECT policy, size, k, rule FROM (VALUES ('v1', 2), ('v2', 4), ('v3', 7)) x(policy, size) JOIN r7 ON k <= size),
+e AS (SELECT policy, rule, bad[k] AS own, len(list_filter(bad[1:size], lambda x: x)) AS n_bad FROM f, p3)
+SELECT policy, rule, count(*) FILTER (WHERE own) AS n_failed, count(*) FILTER (WHERE own AND n_bad = 1) AS n_only,
+       count(*) FILTER (WHERE n_bad = 0) AS kept, count(*) FILTER (WHERE n_bad = own::INTEGER) AS kept_without
+FROM e GROUP BY policy, rule"""
+
+
 def op9_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, and conversation -7, formatted and read back."""
     said = r"\\### Assistant: </turn> ok"
@@ -214,6 +232,7 @@ def op10_pii_bilstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_warc_reassembly, op2_benchmark_decontamination, op3_length_buckets, op3_token_buckets, op4_token_cache, op5_cross_entropy_difference,
-    op6_simhash, op7_language_spans, op8_quality_ledger, op9_reply_trees, op10_pii_bilstm_crf)}
+    op6_simhash, op7_language_spans, op8_quality_ledger, op8_policy_ablations, op9_reply_trees, op10_pii_bilstm_crf)}
 ORACLE = {"op1_warc_reassembly": OP1_SQL, "op2_benchmark_decontamination": OP2_SQL, "op3_length_buckets": _op3_sql(),
-          "op8_quality_ledger": OP8_SQL, "op9_reply_trees": OP9_SQL}
+          "op8_quality_ledger": OP8_SQL,
+          "op8_policy_ablations": OP8_ABLATIONS_SQL, "op9_reply_trees": OP9_SQL}
