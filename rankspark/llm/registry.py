@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankspark.llm import chat, decontaminate, langid, lm_score, packing, pii, quality, simhash, token_cache, warc
+from rankspark.llm import byte_bpe, chat, decontaminate, hard_negatives, langid, lm_score, packing, periodic_runs, pii, \
+    quality, simhash, token_cache, warc
 from rankspark.llm.common import table
 from rankspark.session import scratch_path
 
@@ -230,9 +231,70 @@ def op10_pii_bilstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, pii.KINDS), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every whole text, and what they decode to."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        definition = f.read()
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), definition, public_tokenizers.PATTERN)
+    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
+    back = byte_bpe.decode(encoded, definition, [F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
+                                                 F.sha2(joined, 256).alias("ids_sha256")])
+    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): the texts whose id's checksum ends in 0 made periodic from a place on, the others as they are."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    rows = docs.select("doc_id", "text", (h % 10 == 0).alias("planted"), F.floor(h / 10).alias("g"),
+                       F.when(h % 10 == 0, F.array_remove(F.split("text", "[ \t-\r]+"), "")).alias("w"))
+    rows = rows.withColumn("n", F.size("w")).withColumn("a", F.expr("IF(n > 0, g % n, 0)")) \
+        .withColumn("p", F.expr("1 + (n - a) DIV (3 + g % 8)"))
+    again = F.expr("concat_ws(' ', transform(sequence(0, n - 1), i -> w[CAST(IF(i < a, i, a + (i - a) % p) AS INT)]))")
+    return rows.select("doc_id", F.when(F.col("planted") & (F.col("n") > 0), again).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every text, the longest one, and the words without their repetitions."""
+    found = periodic_runs.find_runs(with_planted_periods(table(spark, sf_dir, "documents")), [F.col("doc_id")])
+    line = F.transform("runs", lambda r: F.concat_ws(",", *[r[k].cast("string") for k in ("start", "length", "period")]))
+    # Of the longest runs the first, of those the one with the smallest period.
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    length, start, period = best["length"], -best["col2"], -best["col3"]
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(F.concat_ws("", F.transform(line, lambda x: F.concat(x, F.lit("\n")))), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor and positive."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=label)
+
+
+OP13_SQL = """
+WITH v AS (SELECT vec_id::BIGINT AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+      FROM v a, v b WHERE a.id % 100 = 0 AND a.id <> b.id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT * FROM (
+  SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id))::INTEGER AS rank,
+         id AS negative_id, positive_score, score AS negative_score
+  FROM s JOIN p USING (anchor_id)
+  WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score) WHERE rank <= 10"""
+
+
 QUERIES = {f.__name__: f for f in (
     op1_warc_reassembly, op2_benchmark_decontamination, op3_length_buckets, op3_token_buckets, op4_token_cache, op5_cross_entropy_difference,
-    op6_simhash, op7_language_spans, op8_quality_ledger, op8_policy_ablations, op9_reply_trees, op10_pii_bilstm_crf)}
+    op6_simhash, op7_language_spans, op8_quality_ledger, op8_policy_ablations, op9_reply_trees, op10_pii_bilstm_crf,
+    op11_byte_bpe, op12_periodic_runs, op13_hard_negatives)}
 ORACLE = {"op1_warc_reassembly": OP1_SQL, "op2_benchmark_decontamination": OP2_SQL, "op3_length_buckets": _op3_sql(),
           "op8_quality_ledger": OP8_SQL,
-          "op8_policy_ablations": OP8_ABLATIONS_SQL, "op9_reply_trees": OP9_SQL}
+          "op8_policy_ablations": OP8_ABLATIONS_SQL, "op9_reply_trees": OP9_SQL, "op13_hard_negatives": OP13_SQL}

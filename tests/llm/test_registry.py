@@ -6,7 +6,7 @@ from rankspark.llm import quality, registry
 
 def test_queries_match_their_sql(spark, sf):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages", "conversations"):
+    for t in ("documents", "benchmark", "pages", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     for name, sql in registry.ORACLE.items():
         got = registry.QUERIES[name](spark, sf)
@@ -20,7 +20,7 @@ def test_queries_match_their_sql(spark, sf):
 
 def test_all_are_registered():
     names = entry.queries()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
     assert set(registry.ORACLE) <= set(entry.oracle_sql())
 
 
