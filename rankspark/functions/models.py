@@ -114,9 +114,47 @@ MODELS: dict[str, Callable[..., Column]] = {
 }
 
 
-def register_model(name: str, fn: Callable[..., Column]) -> None:
-    """Add a model: ``fn(t: Terms, **params) -> Column``."""
+#: Models whose contribution, for fixed statistics, rises or falls all the way with tf and the other way with dl
+#: (falling where a weight is negative), so that its largest value in a block stands at a corner.
+MONOTONE = {"bm25_field", "bm25_doc", "dfr_gbh2", "dfr_bm25"}
+
+
+def register_model(name: str, fn: Callable[..., Column], monotone: bool = False) -> None:
+    """Add a model: ``fn(t: Terms, **params) -> Column``; ``monotone`` (see MONOTONE) lets it prune."""
     MODELS[name] = fn
+    (MONOTONE.add if monotone else MONOTONE.discard)(name)
+
+
+def contribution_bounds(model: str, params: dict | None = None) -> tuple[Column, Column] | None:
+    """What the model can contribute at least and at most where tf lies in min_tf .. max_tf and dl in min_dl .. max_dl.
+
+    None where no bounds are known: models not declared monotone, or parameters
+    for which they are not.
+
+    G and B: (A + B tfn) / (tfn + 1) has no turning point. BB2: the information
+    is convex in tfn while cf - tfn >= 1 (there 1/(cf - tfn) + 1/(n + cf - tfn - 2) <= 2),
+    and a convex function over tfn + 1 falls, then rises: its largest value is at
+    an end too. Beyond that (terms that nearly one document holds alone) the
+    upper bound is infinite. From five documents on the information rises with
+    tfn throughout, so it is nowhere below 0 and what the weaker corner gives.
+    """
+    p = params or {}
+    if p.get("k1", 0) < 0 or not 0 <= p.get("b", 0) <= 1 or p.get("k3", 0) < 0 or p.get("c", 1) <= 0:
+        return None
+    if model not in MONOTONE and model != "bb2":
+        return None
+
+    def at(tf: str, dl: str) -> Terms:
+        return Terms(*(F.col(c).cast("double") for c in (tf, "qtf", "df", "cf", "n", dl, "avgdl")))
+
+    strong, weak = at("max_tf", "min_dl"), at("min_tf", "max_dl")
+    corners = MODELS[model](strong, **p), MODELS[model](weak, **p)
+    low, high = F.least(*corners), F.greatest(*corners)
+    if model == "bb2":
+        inf = float("inf")
+        sure = (strong.cf - _tfn(strong, p.get("c", DFR_C)) >= 1) & (strong.n >= 3)
+        return F.when(strong.n >= 5, F.least(F.lit(0.0), corners[1])).otherwise(-inf), F.when(sure, high).otherwise(inf)
+    return low, high
 
 
 def contribution(model: str, params: dict | None = None) -> Column:

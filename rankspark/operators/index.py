@@ -9,9 +9,22 @@ Layout
 ``dl`` is carried on every posting so scoring never joins the document
 table. Postings come straight out of the tokenized row (in-row term counts),
 so an in-session index needs no shuffle for postings or lengths; only the
-lexicon is a (partially pre-aggregated) ``groupBy``. A persisted index is
-rebalanced once by term bucket and written sorted by term so a search reads
-only the buckets of its query terms.
+lexicon is a (partially pre-aggregated) ``groupBy``.
+
+A stored index is a list of segments, each written once and never changed:
+
+  forward   (doc_id, field, dl, n_terms, block, entries)   the direct index, by document (E9; optional)
+  doclen    (doc_id, field, dl)                             only where there is no forward table
+  postings  (field, term, block, doc_id, tf, dl)            files by range of that key
+  blocks    (field, term, block, n, cf, tf and dl from .. to)  what a block's postings of a term can contribute
+  lexicon   (field, term, df, cf, tf and dl from .. to)     files by range of (field, term)
+  files     (kind, file, first, last, rows)                 sparse dictionary: the range of each file
+
+The text is tokenized once, for the forward table; the others come from it. A
+search reads only the files that can hold its terms. A batch of documents is a
+new segment, statistics are summed when read, and segments of like size are
+put together as they gather (E10). Versions, which are lists of segments with
+the collection statistics, are published by compare-and-set (B6).
 
 Field modes: every listed field is indexed on its own (field-max search) and,
 when there are several fields, a whole-document field ``_doc`` holds the
@@ -20,21 +33,38 @@ concatenated tokens (document search).
 
 from __future__ import annotations
 
-import json
+import math
 import uuid
 from dataclasses import dataclass, field as dc_field
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankspark.functions.analysis import DEFAULT, Analyzer, counted
-from rankspark.session import materialize
+from rankspark.operators import versions
+from rankspark.operators.clustered import MAX_KEYS, file_ranges, files_for, files_holding, write_clustered
+from rankspark.session import materialize, scratch_path
 
 DOC_FIELD = "_doc"
-DEFAULT_BUCKETS = 64
+#: A block is 2 ** BLOCK_BITS consecutive rows of the forward table.
+BLOCK_BITS = 10
+#: Segments of one size (powers of FAN postings) that are put together.
+FAN = 4
+#: Times that a publisher starts again from a newer version.
+RETRIES = 20
 _POSTING = ["field", "term", "doc_id", "tf", "dl"]
 _LENGTH = ["doc_id", "field", "dl"]
+_LEXICON = ["field", "term", "df", "cf"]
+_STATS = ["field", "n_docs", "n_with_field", "total_len"]
+_EXTENT = "min_tf int, max_tf int, min_dl int, max_dl int"
+_SCHEMAS = {
+    "postings": "field string, term string, block long, doc_id long, tf int, dl int",
+    "blocks": f"field string, term string, block long, n long, cf long, {_EXTENT}",
+    "lexicon": f"field string, term string, df long, cf long, {_EXTENT}",
+    "forward": "doc_id long, field string, dl int, n_terms int, block long, entries array<struct<term:string,tf:int>>",
+    "doclen": "doc_id long, field string, dl int",
+    "files": "kind string, file string, first struct<field:string,term:string>, last struct<field:string,term:string>, rows long",
+}
 
 
 @dataclass
@@ -47,8 +77,10 @@ class Index:
     doc_field: str
     analyzer: Analyzer = DEFAULT
     path: str | None = None
-    buckets: int | None = None
+    version: int = 0
+    segments: tuple = ()  # manifest entries of a stored index
     tokenized: DataFrame | None = dc_field(default=None, repr=False)
+    _ranges: dict = dc_field(default_factory=dict, repr=False)
 
     @property
     def forward(self) -> DataFrame | None:
@@ -62,6 +94,47 @@ class Index:
     def spark(self) -> SparkSession:
         return self.postings.sparkSession
 
+    def files_with(self, kind: str, fields: list[str], terms: list[str] | None) -> list[str]:
+        """Paths of the files of postings, blocks or lexicon that can hold one of ``terms`` (None: any) in ``fields``.
+
+        The sparse dictionary has a row for each file, as many as Spark's own file listing.
+        """
+        keys = None if terms is None or len(terms) * len(fields) > MAX_KEYS else sorted((f, t) for f in fields for t in terms)
+        out = []
+        for s in self.segments:
+            base = f"{self.path}/segments/{s['id']}"
+            if s["id"] not in self._ranges:
+                rows = self.spark.read.schema(_SCHEMAS["files"]).parquet(f"{base}/files").collect()
+                self._ranges[s["id"]] = [(r["kind"], (r["file"], tuple(r["first"]), tuple(r["last"]))) for r in rows]
+            own = [r for k, r in self._ranges[s["id"]] if k == kind]
+            found = files_holding(own, keys) if keys is not None else [
+                f for f, first, last in own if any(first[0] <= x <= last[0] for x in fields)]
+            out += [f"{base}/{kind}/{f}" for f in found]
+        return out
+
+    def read(self, kind: str, fields: list[str], terms: list[str] | None = None) -> DataFrame:
+        """Rows of postings, blocks or lexicon of ``fields``, from the files that can hold ``terms`` alone.
+
+        Rows of other terms that share these files come too; the lexicon has a row for each segment.
+        """
+        schema, files = _SCHEMAS[kind], self.files_with(kind, fields, terms)
+        rows = self.spark.read.schema(schema).parquet(*files) if files else self.spark.createDataFrame([], schema)
+        return rows.filter(F.col("field").isin(fields))
+
+    def postings_of(self, fields: list[str], terms: list[str] | None = None) -> DataFrame:
+        """Postings of ``fields``; of a stored index only the files that can hold ``terms``."""
+        if self.segments:
+            return self.read("postings", fields, terms)
+        return self.postings.filter(F.col("field").isin(fields))
+
+    def lexicon_of(self, fields: list[str], terms: DataFrame, known: list[str] | None = None) -> DataFrame:
+        """(field, term, df, cf) of the terms of ``terms`` (column term) in ``fields``; ``known``: the same as a list."""
+        rows = self.read("lexicon", fields, known) if self.segments else self.lexicon.filter(F.col("field").isin(fields))
+        rows = rows.select(*_LEXICON).join(terms, "term", "left_semi")
+        if len(self.segments) > 1:
+            rows = rows.groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+        return rows
+
 
 def token_rows(docs: DataFrame, fields, id_col: str = "doc_id",
                analyzer: Analyzer = DEFAULT, doc_field: str | None = DOC_FIELD) -> DataFrame:
@@ -116,85 +189,181 @@ def build_index(docs: DataFrame, fields=("text",), id_col: str = "doc_id",
                  effective_doc_field, analyzer, tokenized=tok)
 
 
-def term_bucket(term_col, buckets: int):
-    return F.pmod(F.xxhash64(term_col), F.lit(buckets)).cast("int")
+def _segment(index: Index, base: str, forward: bool, files: int | None) -> dict:
+    """Write one segment of ``index``'s documents and return its manifest entry.
 
+    Anything that has postings and lengths will do. With tokenized rows (a new
+    index, or stored forward tables) blocks are consecutive rows of the forward
+    table; without, hashes of the document ids.
+    """
+    spark, name = index.spark, uuid.uuid4().hex[:12]
+    at = f"{base}/segments/{name}"
+    forward = forward and index.tokenized is not None
 
-def _published(spark: SparkSession, base: str) -> list:
-    """Every published version of an index (seq, version, meta); none for a new path."""
-    try:
-        return spark.read.schema("seq long, version string, meta string").json(f"{base}/_published").collect()
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return []
-
-
-def write_index(index: Index, path: str, buckets: int = DEFAULT_BUCKETS) -> Index:
-    """Persist an index (B1/B5/B6) as a new version of ``path`` and publish it.
-
-    Any index will do, merged and stored ones included: only postings and
-    lengths are needed. The tables go to a folder of their own; once all are
-    complete a record that names the folder is appended to ``_published``. A
-    reader takes the latest record, so it never sees a half-written version,
-    and a version that is being read stays as it is.
+    def read(kind: str) -> DataFrame:
+        return spark.read.schema(_SCHEMAS[kind]).parquet(f"{at}/{kind}")
 
-    Postings are dealt out by (field, term bucket) with a rebalance, so Spark
-    sizes the partitions from the data and splits large ones: the list of a
-    frequent term may span files. Files are sorted by term.
+    if index.tokenized is not None:
+        direct = f"{at}/forward" if forward else scratch_path(spark, "forward")
+        # Blocks of several segments hardly ever share a number; where they do, a bound holds for both.
+        block = F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS) + F.lit(int(name[:5], 16) << 43)
+        (index.tokenized.select("doc_id", "field", "dl", F.size("entries").alias("n_terms"), block.alias("block"), "entries")
+         .write.parquet(direct))
+        rows = spark.read.schema(_SCHEMAS["forward"]).parquet(direct)
+        count = rows.agg(F.sum("n_terms").cast("long").alias("n")).first()["n"] or 0
+        postings, lengths = rows.select("field", "block", "doc_id", "dl", F.inline("entries")), rows.select(*_LENGTH)
+    else:
+        postings = materialize(index.postings.select(*_POSTING, F.shiftrightunsigned(F.xxhash64("doc_id"), 52).alias("block")), "postings")
+        count, lengths = postings.count(), index.doclen.select(*_LENGTH)
+    if not forward:
+        lengths.write.parquet(f"{at}/doclen")
+    files = files or files_for(spark, count)
+    write_clustered(postings.select("field", "term", "block", "doc_id", "tf", "dl"), f"{at}/postings",
+                    ["field", "term", "block", "doc_id"], files)
+    extent = [f(c).alias(f"{n}_{c}") for c in ("tf", "dl") for n, f in (("min", F.min), ("max", F.max))]
+    blocks = read("postings").groupBy("field", "term", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("tf").alias("cf"), *extent)
+    write_clustered(blocks, f"{at}/blocks", ["field", "term", "block"], -(-files // 2))
+    whole = [f(f"{n}_{c}").alias(f"{n}_{c}") for c in ("tf", "dl") for n, f in (("min", F.min), ("max", F.max))]
+    write_clustered(read("blocks").groupBy("field", "term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf"), *whole),
+                    f"{at}/lexicon", ["field", "term"], -(-files // 4))
+    ranges = None
+    for kind in ("postings", "blocks", "lexicon"):
+        own = file_ranges(spark, f"{at}/{kind}", _SCHEMAS[kind], ["field", "term"]).select(F.lit(kind).alias("kind"), "*")
+        ranges = own if ranges is None else ranges.unionByName(own)
+    ranges.coalesce(1).write.parquet(f"{at}/files")
+    stats = [list(r) for r in stats_of(read("forward" if forward else "doclen")).select(*_STATS).collect()]  # a row per field
+    return {"id": name, "postings": count, "forward": forward, "stats": stats}
+
+
+def _meta(index: Index) -> dict:
+    return {"fields": list(index.fields), "doc_field": index.doc_field, "stop_words": list(index.analyzer.stop_words or []),
+            "stem": index.analyzer.stem}
+
+
+def write_index(index: Index, path: str, buckets: int | None = None, forward: bool = True) -> Index:
+    """Persist an index (B1/B5/B6) as a new version of ``path`` that holds nothing else.
+
+    Any index will do, merged and stored ones included. ``buckets`` is the number of files of
+    postings (default: from their number); ``forward`` stores the direct index too, if
+    there is one. A version that is being read stays as it is; if another one is
+    published meanwhile, ``versions.Conflict`` is raised and nothing changes.
     """
-    spark = index.spark
     base = path.rstrip("/")
-    version = f"{uuid.uuid4().hex[:12]}"
-    data = f"{base}/data-{version}"
-    index.doclen.select("doc_id", "field", "dl").write.parquet(f"{data}/doclen")
-    (index.postings.select("field", "term", "doc_id", "tf", "dl")
-     .withColumn("term_bucket", term_bucket(F.col("term"), buckets))
-     .hint("rebalance", "field", "term_bucket")
-     .sortWithinPartitions("field", "term_bucket", "term", "doc_id")
-     .write.partitionBy("field", "term_bucket").parquet(f"{data}/postings"))
-    written = spark.read.parquet(f"{data}/postings")
-    (lexicon_of(written).hint("rebalance", "field").sortWithinPartitions("field", "term")
-     .write.partitionBy("field").parquet(f"{data}/lexicon"))
-    stats_of(spark.read.parquet(f"{data}/doclen")).write.parquet(f"{data}/stats")
-    meta = {"fields": list(index.fields), "doc_field": index.doc_field,
-            "stop_words": list(index.analyzer.stop_words or []),
-            "stem": index.analyzer.stem, "buckets": buckets}
-    seq = 1 + max((r["seq"] for r in _published(spark, base)), default=0)
-    (spark.createDataFrame([(seq, version, json.dumps(meta))], "seq long, version string, meta string")
-     .coalesce(1).write.mode("append").json(f"{base}/_published"))
-    return read_index(spark, base)
-
-
-_STORED_SCHEMAS = {
-    "postings": "term string, doc_id long, tf int, dl int, field string, term_bucket int",
-    "doclen": "doc_id long, field string, dl int",
-    "lexicon": "term string, df long, cf long, field string",
-    "stats": "field string, n_docs long, n_with_field long, total_len long",
-}
+    number, _ = versions.latest(index.spark, base)
+    segment = _segment(index, base, forward, buckets)
+    versions.publish(index.spark, base, number + 1, {**_meta(index), "segments": [segment]})
+    return read_index(index.spark, base, number + 1)
 
 
-def read_index(spark: SparkSession, path: str) -> Index:
-    """Open the latest published version of a persisted index."""
+def read_index(spark: SparkSession, path: str, version: int | None = None) -> Index:
+    """Open the latest published version of a persisted index (A8), or the one named."""
     base = path.rstrip("/")
-    versions = _published(spark, base)
-    if not versions:
+    number, manifest = versions.latest(spark, base) if version is None else versions.version(spark, base, version)
+    if manifest is None:
         raise FileNotFoundError(f"no published index at {base}")
-    last = max(versions, key=lambda r: (r["seq"], r["version"]))
-    meta = json.loads(last["meta"])
-    t = {name: spark.read.schema(s).parquet(f"{base}/data-{last['version']}/{name}")
-         for name, s in _STORED_SCHEMAS.items()}
-    return Index(t["postings"].select("field", "term", "doc_id", "tf", "dl", "term_bucket"), t["doclen"],
-                 t["lexicon"].select("field", "term", "df", "cf"), t["stats"], tuple(meta["fields"]), meta["doc_field"],
-                 Analyzer(tuple(meta["stop_words"]) or None, meta["stem"]), base, meta["buckets"])
-
-
-def add_documents(spark: SparkSession, path: str, docs: DataFrame, id_col: str = "doc_id") -> Index:
-    """Merge a new batch into a stored index and publish the result as its next version."""
-    stored = read_index(spark, path)
+    return _opened(spark, base, number, manifest)
+
+
+def _opened(spark: SparkSession, base: str, number: int, manifest: dict) -> Index:
+    segments = manifest["segments"]
+
+    def union(kind: str, of: list[dict]) -> DataFrame | None:
+        paths = [f"{base}/segments/{s['id']}/{kind}" for s in of]
+        return spark.read.schema(_SCHEMAS[kind]).parquet(*paths) if paths else None
+
+    lexicon = union("lexicon", segments).select(*_LEXICON)
+    if len(segments) > 1:
+        lexicon = lexicon.groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+    with_forward = [s for s in segments if s["forward"]]
+    tokenized = union("forward", with_forward) if len(with_forward) == len(segments) else None
+    direct, plain = union("forward", with_forward), union("doclen", [s for s in segments if not s["forward"]])
+    lengths = [d.select(*_LENGTH) for d in (direct, plain) if d is not None]
+    total: dict[str, list[int]] = {}
+    for s in segments:
+        for name, *values in s["stats"]:
+            total[name] = [a + b for a, b in zip(total.get(name, [0, 0, 0]), values)]
+    stats = spark.createDataFrame([(n, *v) for n, v in sorted(total.items())],
+                                  "field string, n_docs long, n_with_field long, total_len long")
+    return Index(union("postings", segments).select(*_POSTING), lengths[0] if len(lengths) == 1 else lengths[0].unionByName(lengths[1]),
+                 lexicon, stats, tuple(manifest["fields"]), manifest["doc_field"],
+                 Analyzer(tuple(manifest["stop_words"]) or None, manifest["stem"]), base, number, tuple(segments), tokenized)
+
+
+def _rebased(spark: SparkSession, base: str, change) -> Index:
+    """Publish ``change(manifest)`` of the newest version, again from the next one where another writer was first."""
+    for _ in range(RETRIES):
+        number, manifest = versions.latest(spark, base)
+        try:
+            versions.publish(spark, base, number + 1, change(manifest))
+            return read_index(spark, base, number + 1)
+        except versions.Conflict:
+            continue
+    raise versions.Conflict(f"{base}: other writers were first {RETRIES} times")
+
+
+def add_documents(spark: SparkSession, path: str, docs: DataFrame, id_col: str = "doc_id", compact: bool = True) -> Index:
+    """Index a batch as a segment of its own and publish the stored segments and this one.
+
+    What is written follows the batch, not the index. Writers may add at the
+    same time: whoever is second adds to the other's version. Ids that the
+    index already has are the caller's to leave out (see ``ingest``).
+    """
+    base = path.rstrip("/")
+    stored = read_index(spark, base)
     doc_field = stored.doc_field if len(stored.fields) > 1 else None
-    return write_index(merge_index(stored, build_index(docs, stored.fields, id_col, stored.analyzer, doc_field)),
-                       path, stored.buckets)
+    batch = build_index(docs, stored.fields, id_col, stored.analyzer, doc_field)
+    segment = _segment(batch, base, all(s["forward"] for s in stored.segments), None)
+
+    def with_batch(manifest: dict) -> dict:
+        if {k: manifest[k] for k in _meta(batch)} != _meta(batch):
+            raise ValueError("the index was replaced by one with other fields or another term pipeline")
+        return {**manifest, "segments": [*manifest["segments"], segment]}
+
+    index = _rebased(spark, base, with_batch)
+    return compact_index(spark, base) if compact else index
+
+
+def _tier(segment: dict) -> int:
+    return int(math.log(max(1, segment["postings"]), FAN))
+
+
+def compact_index(spark: SparkSession, path: str) -> Index:
+    """Put FAN or more segments of one size together, until no size has that many.
+
+    A posting is so written again once for each power of FAN that the index
+    has grown by. The merge reads the segments' forward tables (or postings)
+    and tokenizes nothing. Documents added meanwhile stay; if one of the merged
+    segments is gone (another writer compacted or replaced the index), the
+    work is dropped.
+    """
+    base = path.rstrip("/")
+    while True:
+        index = read_index(spark, base)
+        by_tier: dict[int, list[dict]] = {}
+        for s in index.segments:
+            by_tier.setdefault(_tier(s), []).append(s)
+        full = [own for _, own in sorted(by_tier.items()) if len(own) >= FAN]
+        if not full:
+            return index
+        own = full[0]
+        part = _opened(spark, base, index.version, {**_meta(index), "segments": own})
+        merged = _segment(part, base, all(s["forward"] for s in own), None)
+        gone = {s["id"] for s in own}
+
+        def replaced(manifest: dict) -> dict:
+            if not gone <= {s["id"] for s in manifest["segments"]}:
+                raise LookupError
+            return {**manifest, "segments": [s for s in manifest["segments"] if s["id"] not in gone] + [merged]}
+
+        try:
+            _rebased(spark, base, replaced)
+        except LookupError:
+            continue
+
+
+def remove_old_versions(spark: SparkSession, path: str, grace_s: float = 86_400) -> list[str]:
+    """Delete versions, and segments that no version names any more, once they have been out of date for ``grace_s``."""
+    return versions.remove_old(spark, path.rstrip("/"), grace_s, "segments", lambda m: [s["id"] for s in m["segments"]])
 
 
 def _check_mergeable(a: Index, b: Index) -> None:
@@ -233,10 +402,10 @@ def merge_index(a: Index, b: Index, shift_ids: int | None = None) -> Index:
         .groupBy("field").agg(*[F.sum(c).alias(c) for c in stat_cols[1:]])
     tokenized = None
     if a.tokenized is not None and b.tokenized is not None:
-        bt = b.tokenized
+        bt = b.tokenized.select(*_LENGTH, "entries")
         if shift_ids:
             bt = bt.withColumn("doc_id", F.col("doc_id") + F.lit(shift_ids))
-        tokenized = a.tokenized.unionByName(bt)
+        tokenized = a.tokenized.select(*_LENGTH, "entries").unionByName(bt)
     return Index(postings, doclen, lexicon, stats, a.fields, a.doc_field, a.analyzer,
                  tokenized=tokenized)
 
@@ -244,8 +413,9 @@ def merge_index(a: Index, b: Index, shift_ids: int | None = None) -> Index:
 def forward_index(index: Index) -> DataFrame:
     """Direct index (E9): doc -> term-sorted (term, tf) list.
 
-    An in-session index already holds it per row (no shuffle); a persisted one
-    regroups its postings by document.
+    An in-session index already holds it per row and a persisted one as its
+    forward table (no shuffle); only one stored without it regroups its
+    postings by document.
     """
     if index.tokenized is not None:
         return index.forward

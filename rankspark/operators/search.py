@@ -4,8 +4,10 @@ All topics are scored in one plan:
 
   query terms (topic, term, qtf)                      tiny, in-row counted
     ⋈ lexicon subset (df, cf)  ⋈ field statistics     broadcast, size-checked
-    ⋈ postings on (field, term)                       broadcast hash join, no
-                                                      shuffle of the postings
+    ⋈ postings on (field, term)                       of a stored index only the
+                                                      files that can hold the
+                                                      terms; broadcast hash join,
+                                                      no shuffle of the postings
     → per-term contribution (model Column expression)
     → groupBy(topic, doc): sum per field / document   the one shuffle
     → top-k per topic: row_number ≤ k                 partial limit before the
@@ -16,16 +18,20 @@ Several models can be scored in the same pass (fusion needs two).
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankspark.functions.analysis import query_terms
-from rankspark.functions.models import DEFAULT_K, contribution
+from rankspark.functions.models import DEFAULT_K, contribution, contribution_bounds
 from rankspark.operators.guards import BROADCAST_MAX_ROWS, checked_broadcast
-from rankspark.operators.index import Index, term_bucket
+from rankspark.operators.index import Index
 from rankspark.session import materialize
 
 SCORE_DECIMALS = 6
+#: Postings of the query terms beyond which a search looks for the first k only.
+PRUNE_POSTINGS = 1_000_000_000
 RUN_COLUMNS = ["topic_id", "doc_id", "rank", "score"]
 
 
@@ -41,52 +47,59 @@ def _fields_for(index: Index, mode: str, fields) -> list[str]:
     raise ValueError(f"unknown mode {mode!r}")
 
 
-def query_statistics(index: Index, queries: DataFrame, mode: str = "document", fields=None,
-                     max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """(topic_id, field, term, qtf, df, cf, n, avgdl) per matched query term, plus term_bucket for a stored index.
+@dataclass(frozen=True)
+class Asked:
+    """Statistics of a batch's query terms; ``terms`` as a list, and a broadcast hint, where they are few."""
+    stats: DataFrame
+    terms: list[str] | None
+    rows: int  # of (topic, term, field) at most
+
+
+def asked(index: Index, queries: DataFrame, mode: str = "document", fields=None, max_rows: int = BROADCAST_MAX_ROWS) -> Asked:
+    """(topic_id, field, term, qtf, df, cf, n, avgdl) per matched query term.
 
     Field-max statistics count only documents that have the field; document
     statistics count every document.
     """
     sel = _fields_for(index, mode, fields)
     # One count bounds everything: lexicon keys (field, term) are unique, so
-    # qstats has at most |query terms| x |fields| rows.
+    # there are at most |query terms| x |fields| rows.
     qt = materialize(query_terms(queries, index.analyzer), "query-terms")
-    small = qt.count() * len(sel) <= max_rows
+    rows = qt.count() * len(sel)
+    small = rows <= max_rows
     terms = qt.select("term").distinct()
-    lex = (index.lexicon.filter(F.col("field").isin(sel))
-           .join(F.broadcast(terms) if small else terms, "term", "left_semi"))
+    known = sorted(r["term"] for r in terms.collect()) if small else None
+    lex = index.lexicon_of(sel, F.broadcast(terms) if small else terms, known)
     n_col = "n_docs" if mode == "document" else "n_with_field"
     stats = (index.stats.filter(F.col("field").isin(sel))
              .select("field", F.col(n_col).cast("double").alias("n"),
                      F.try_divide(F.col("total_len").cast("double"), F.col(n_col)).alias("avgdl")))
     qstats = (qt.join(lex, "term").join(F.broadcast(stats), "field")
               .select("topic_id", "field", "term", "qtf", "df", "cf", "n", "avgdl"))
-    if index.buckets:
-        qstats = qstats.withColumn("term_bucket", term_bucket(F.col("term"), index.buckets))
-    return F.broadcast(qstats) if small else qstats
+    return Asked(F.broadcast(qstats) if small else qstats, known, rows)
 
 
-def candidates(index: Index, qstats: DataFrame, fields: list[str]) -> DataFrame:
-    """Postings of the query terms (F1/F2), with their statistics attached.
+def query_statistics(index: Index, queries: DataFrame, mode: str = "document", fields=None,
+                     max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    return asked(index, queries, mode, fields, max_rows).stats
 
-    On a persisted index the join is on the term bucket too, so that dynamic
-    partition pruning reads only the buckets of the query terms.
-    """
-    postings = index.postings.filter(F.col("field").isin(fields))
-    keys = ["field", "term_bucket", "term"] if index.buckets else ["field", "term"]
-    return postings.select(*keys, "doc_id", "tf", "dl").join(qstats, keys)
+
+def candidates(index: Index, qstats: DataFrame, fields: list[str], terms: list[str] | None = None) -> DataFrame:
+    """Postings of the query terms (F1/F2), with their statistics attached; ``terms`` names them if they are few."""
+    postings = index.postings_of(fields, terms).select("field", "term", "doc_id", "tf", "dl")
+    return postings.join(qstats, ["field", "term"])
 
 
-def score_table(index: Index, queries: DataFrame, models: dict, mode: str = "document",
-                fields=None, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def score_table(index: Index, queries: DataFrame, models: dict, mode: str = "document", fields=None,
+                max_rows: int = BROADCAST_MAX_ROWS, query: Asked | None = None) -> DataFrame:
     """(topic_id, doc_id, <label>...) raw scores for each ``label: (model, params)``.
 
     One aggregation for all models. Field-max takes, per model, the best
     field's sum (best_fields, no tie-breaker); document mode sums over terms.
     """
     sel = _fields_for(index, mode, fields)
-    cand = candidates(index, query_statistics(index, queries, mode, fields, max_rows), sel)
+    query = query or asked(index, queries, mode, fields, max_rows)
+    cand = candidates(index, query.stats, sel, query.terms)
     contribs = {label: contribution(m, p) for label, (m, p) in models.items()}
     cand = cand.select("topic_id", "doc_id", "field",
                        *[c.alias(f"_w_{label}") for label, c in contribs.items()])
@@ -113,13 +126,25 @@ def top_k(scores: DataFrame, score_col: str, k: int, by: tuple[str, ...] = ("top
 
 def search(index: Index, queries: DataFrame, model: str = "bm25_doc", mode: str = "document",
            k: int | None = None, params: dict | None = None, fields=None,
-           max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+           max_rows: int = BROADCAST_MAX_ROWS, prune: bool | None = None) -> DataFrame:
     """Run (topic_id, doc_id, rank, score) for every query of ``queries``.
 
     ``queries`` has (topic_id, text). ``mode`` is "document" (all fields as one
     bag of words) or "field_max" (per-field statistics, best field wins).
+    ``prune``: leave out what cannot be among the first k (``topk``); by
+    default where the query terms have more than PRUNE_POSTINGS postings in a
+    stored index and the model has a bound. The run is the same either way.
     """
     k = k or DEFAULT_K[mode]
+    if prune or prune is None and index.segments and contribution_bounds(model, params) is not None:
+        from rankspark.operators.topk import search_pruned
+
+        query = asked(index, queries, mode, fields, max_rows)
+        # On a small index this bound is known without reading anything.
+        sure = query.rows * sum(s["postings"] for s in index.segments) <= PRUNE_POSTINGS
+        if prune or not sure and (query.stats.agg(F.sum("df")).first()[0] or 0) > PRUNE_POSTINGS:
+            return search_pruned(index, queries, model, mode, k, params, fields, max_rows, query).run
+        return top_k(score_table(index, queries, {"s": (model, params)}, mode, fields, max_rows, query), "s", k)
     scores = score_table(index, queries, {"s": (model, params)}, mode, fields, max_rows)
     return top_k(scores, "s", k)
 

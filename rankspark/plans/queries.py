@@ -16,7 +16,7 @@ from rankspark.functions.analysis import DEFAULT, ENGLISH_STOP_WORDS, PIPELINE,
 from rankspark.functions.models import register_model, tf_idf
 from rankspark.functions.text import ARTICLE_FIELDS, article_fields, topic_text
 from rankspark.operators import evaluate as E
-from rankspark.operators.index import (Index, build_index, forward_index, merge_index, read_index, term_ids,
+from rankspark.operators.index import (Index, add_documents, build_index, forward_index, merge_index, read_index, term_ids,
                                        write_index)
 from rankspark.operators.ingest import append_articles, insert_if_absent
 from rankspark.operators.search import candidates, enrich, lookup, match_all, query_statistics, search, search_fused
@@ -126,6 +126,21 @@ def run_dfrbm25_doc(spark, sf_dir):
                   model="dfr_bm25", mode="document", k=20)
 
 
+def _topk(kind: str, queries, model: str, mode: str, k: int):
+    def q(spark, sf_dir):
+        """H1/H2 with G0a/G0b: the same run without scoring every match, by bounds of the stored blocks."""
+        return search(stored(spark, sf_dir, kind), queries(spark, sf_dir), model=model, mode=mode, k=k, prune=True)
+    return q
+
+
+for _name, _kind, _model, _mode, _k in (
+        ("topk_bm25_flat", "docs", "bm25_field", "field_max", 20), ("topk_bm25_fieldmax", "articles", "bm25_field", "field_max", 1000),
+        ("topk_bm25_doc", "articles", "bm25_doc", "document", 20), ("topk_dfr_fieldmax", "articles", "dfr_gbh2", "field_max", 20),
+        ("topk_dfr_doc", "articles", "bb2", "document", 20), ("topk_first", "docs", "bm25_doc", "document", 1)):
+    register(_name, O.run_sql(_kind, O.TOPIC_QUERIES if _kind == "articles" else O.FREE_QUERIES, _model, _mode, _k))(
+        _topk(_kind, topic_queries if _kind == "articles" else T.free_text_queries, _model, _mode, _k))
+
+
 # The explorer script's parameter sets: b=0 with k1=0.9.
 BM25_NO_LENGTH = {"k1": 0.9, "b": 0.0}
 
@@ -459,7 +474,39 @@ def merge_stored_index(spark, sf_dir):
     second = write_index(build_index(docs.filter(~en), ("text",)), other)
     write_index(merge_index(first, second), path)
     idx = read_index(spark, path)
-    return idx.postings.drop("term_bucket").join(idx.lexicon, ["field", "term"])
+    return idx.postings.join(idx.lexicon, ["field", "term"])
+
+
+def _in_batches(spark, sf_dir) -> Index:
+    """An index of the English documents to which the other languages come as three batches."""
+    docs = T.table(spark, sf_dir, "documents")
+    lang = F.coalesce(F.col("lang"), F.lit(""))
+    path = scratch_path(spark, "batches")
+    write_index(build_index(docs.filter(lang == "en"), ("text",)), path)
+    third = F.pmod(F.col("doc_id"), F.lit(3))
+    for k in range(3):
+        add_documents(spark, path, docs.filter((lang != "en") & (F.coalesce(third, F.lit(0)) == k)), compact=k == 2)
+    return read_index(spark, path)
+
+
+@register("batches_lexicon", DOCS_IDX + "\nSELECT field, term, df, cf FROM x_lex")
+def batches_lexicon(spark, sf_dir):
+    """Statistics of four segments summed equal one build's."""
+    return _in_batches(spark, sf_dir).lexicon
+
+
+@register("batches_search", O.run_sql("docs", O.FREE_QUERIES, "bm25_doc", "document", 20))
+def batches_search(spark, sf_dir):
+    """A search over an index that grew by batches equals one over one build."""
+    return search(_in_batches(spark, sf_dir), T.free_text_queries(spark, sf_dir), "bm25_doc", "document", 20)
+
+
+@register("stored_forward_index", DOCS_IDX + """
+SELECT doc_id, field, string_agg(term || ':' || tf, ' ' ORDER BY term) AS entries
+FROM x_post GROUP BY doc_id, field""")
+def stored_forward_index(spark, sf_dir):
+    """The direct index of a stored index that grew by batches, read as it is stored."""
+    return _entry_lines(forward_index(_in_batches(spark, sf_dir)))
 
 
 SHIFT = 10_000_000
@@ -511,7 +558,10 @@ SELECT doc_id, field, string_agg(term || ':' || tf, ' ' ORDER BY term) AS entrie
 FROM x_post GROUP BY doc_id, field""")
 def forward_index_q(spark, sf_dir):
     """Doc -> term-sorted (term, tf) list (flattened to text)."""
-    fwd = forward_index(doc_index(spark, sf_dir))
+    return _entry_lines(forward_index(doc_index(spark, sf_dir)))
+
+
+def _entry_lines(fwd: DataFrame) -> DataFrame:
     return fwd.select(
         "doc_id", "field",
         F.array_join(F.transform("entries", lambda e: F.concat(e["term"], F.lit(":"), e["tf"].cast("string"))),
