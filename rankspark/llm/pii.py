@@ -20,9 +20,16 @@ are reconciled for the whole text: a span counts in the window in which its
 middle lies most centrally, must beat the reading without it by ``MARGIN``,
 and spans that overlap a base span or a better one go.
 
-Defined results: null text is empty and has no spans; rows are treated one by
-one, whatever their ids; without a training window only the base patterns
-apply. Offsets are code points, ends exclusive.
+An address that the model finds is widened or cut to the address form around
+it, at most a window to either side.
+
+Defined results: null and empty texts have no spans and stay as they are when
+masked; a very long text is read whole, window by window; rows are treated one
+by one, whatever their ids, repeated rows alike; without a training window (an
+empty table too) only the base patterns apply, and an empty table gives no
+rows. Columns are read by their exact names and pass as they are, so other
+columns, ``base``, ``spans`` and names with dots among them, don't matter.
+Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -36,7 +43,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from rankspark.llm.common import map_arrow, prepare
+from rankspark.llm.common import map_arrow, named, prepare
 
 KINDS = ("email", "ip", "card", "phone")
 _AT = r"(?: [Aa][Tt] | ?[(\[][Aa][Tt][)\]] ?)"
@@ -48,6 +55,7 @@ WINDOW, STRIDE, CONTEXT = 64, 32, 24
 TRAIN_WINDOWS = 3000  # without a span
 KIND_WINDOWS = 1000  # with one, for every kind
 LEAST_EXAMPLES = 6000
+LANES = 64
 EPOCHS, BATCH, RATE = 4, 64, 0.02
 EMBED, HIDDEN = 16, 24
 MARGIN = 6.0
@@ -63,6 +71,8 @@ _TRIGGER = re.compile(TRIGGER)
 _DIGITS = re.compile(r"[0-9]+")
 _LETTERS = re.compile(r"[A-Za-z]{2,12}")
 _SPELLED = re.compile(SPELLED)
+#: A whole address; looked for in the neighbourhood of a span alone, as it takes more than linear time.
+_ADDRESS = re.compile(rf"[A-Za-z0-9._%+-]*[A-Za-z0-9](?:@|{_AT})[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+")
 _MAILISH = re.compile(rf"[A-Za-z0-9](?:@|{_AT})[A-Za-z0-9-]+{_DOT}[A-Za-z]")
 
 
@@ -142,10 +152,10 @@ FORBIDDEN = np.array([[t and t % 2 == 0 and s not in (t - 1, t) for t in range(T
 
 def _lstm(x: np.ndarray, wx: np.ndarray, wh: np.ndarray, b: np.ndarray, keep: list | None) -> np.ndarray:
     """Hidden states [T, batch, H] of inputs [T, batch, E]; ``keep`` gets what the gradient needs."""
-    h = np.zeros((x.shape[1], HIDDEN), np.float32)
+    h = np.zeros((x.shape[1], HIDDEN), x.dtype)
     c = np.zeros_like(h)
     pre = x @ wx + b
-    out = np.empty((*x.shape[:2], HIDDEN), np.float32)
+    out = np.empty((*x.shape[:2], HIDDEN), x.dtype)
     for t in range(len(x)):
         z = pre[t] + h @ wh
         g = _sigmoid(z[:, :3 * HIDDEN])
@@ -162,9 +172,9 @@ def _lstm(x: np.ndarray, wx: np.ndarray, wh: np.ndarray, b: np.ndarray, keep: li
 
 
 def _lstm_grad(x, wx, wh, keep, dout):
-    dwx, dwh, db = np.zeros_like(wx), np.zeros_like(wh), np.zeros(4 * HIDDEN, np.float32)
+    dwx, dwh, db = np.zeros_like(wx), np.zeros_like(wh), np.zeros(4 * HIDDEN, x.dtype)
     dx = np.empty_like(x)
-    dh = np.zeros((x.shape[1], HIDDEN), np.float32)
+    dh = np.zeros((x.shape[1], HIDDEN), x.dtype)
     dc = np.zeros_like(dh)
     for t in reversed(range(len(x))):
         i, f, o, u, c_old, tc, h_old = keep[t]
@@ -223,9 +233,9 @@ def loss_and_grad(p: dict, classes: np.ndarray, tags: np.ndarray) -> tuple[float
         de[t, rows, gold[t]] -= 1
     np.add.at(dtrans, (gold[:-1].ravel(), gold[1:].ravel()), -1)
     dtrans[FORBIDDEN] = 0
-    de = (de / n).astype(np.float32)
+    de = (de / n).astype(p["out"].dtype)
     dh = de @ p["out"].T
-    g = {"out": np.tensordot(keep["h"], de, ([0, 1], [0, 1])), "bias": de.sum(axis=(0, 1)), "trans": (dtrans / n).astype(np.float32)}
+    g = {"out": np.tensordot(keep["h"], de, ([0, 1], [0, 1])), "bias": de.sum(axis=(0, 1)), "trans": (dtrans / n).astype(p["out"].dtype)}
     dxf, g["xf"], g["hf"], g["cf"] = _lstm_grad(keep["x"], p["xf"], p["hf"], keep["f"], dh[:, :, :HIDDEN])
     dxb, g["xb"], g["hb"], g["cb"] = _lstm_grad(keep["x"][::-1], p["xb"], p["hb"], keep["b"], dh[::-1, :, HIDDEN:])
     g["emb"] = np.zeros_like(p["emb"])
@@ -234,14 +244,19 @@ def loss_and_grad(p: dict, classes: np.ndarray, tags: np.ndarray) -> tuple[float
 
 
 def fit(windows: list[tuple[str, list]], epochs: int = EPOCHS, seed: int = 7) -> dict | None:
-    """Parameters from (text, spans) windows by Adam."""
+    """Parameters from (text, spans) windows by Adam.
+
+    In double precision: machines that add up in another order then end so
+    close to each other that the rounded parameters read alike.
+    """
     if not windows:
         return None
     rng = np.random.default_rng(seed)
+    words = [w for text, _ in windows for w in _LETTERS.findall(text)]
     again = max(1, -(-LEAST_EXAMPLES // len(windows)))  # a small table's windows serve more than once, each time varied anew
-    data = [_example(*_varied(w, s, rng)) for _ in range(again) for w, s in windows]
+    data = [_example(*_varied(w, s, rng, words)) for _ in range(again) for w, s in windows]
     classes, tags = (np.array(x) for x in zip(*data))
-    p = init_params(seed)
+    p = {k: v.astype(np.float64) for k, v in init_params(seed).items()}
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
     step = 0
     for epoch in range(epochs):
@@ -256,11 +271,11 @@ def fit(windows: list[tuple[str, list]], epochs: int = EPOCHS, seed: int = 7) ->
                 m[k] = 0.9 * m[k] + 0.1 * x
                 v[k] = 0.99 * v[k] + 0.01 * x * x
                 rate = RATE * (1 - epoch / epochs)
-                p[k] -= (rate * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(v[k] / (1 - 0.99 ** step)) + 1e-8)).astype(np.float32)
-    return p
+                p[k] -= rate * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(v[k] / (1 - 0.99 ** step)) + 1e-8)
+    return {k: x.astype(np.float32) for k, x in p.items()}
 
 
-def _varied(text: str, spans: list, rng: np.random.Generator) -> tuple[str, list]:
+def _varied(text: str, spans: list, rng: np.random.Generator, corpus: list[str]) -> tuple[str, list]:
     """Some windows with one form of data that the base patterns leave out."""
     for n, (kind, a, b) in enumerate(spans):
         new = None
@@ -268,8 +283,13 @@ def _varied(text: str, spans: list, rng: np.random.Generator) -> tuple[str, list
             digits = "".join(_DIGITS.findall(text[a:b]))
             digits = digits[rng.integers(len(digits) - 8):]
             new = (text[a + 1:b], digits, f"{digits[:4]} {digits[4:]}")[rng.integers(3)]
-        elif kind == "email" and rng.random() < 0.6:
-            new = _spelled_out(text, *text[a:b].split("@", 1), rng)
+        elif kind == "email" and rng.random() < 0.7:
+            new = _spelled_out(corpus, *text[a:b].split("@", 1), rng)
+            if len(spans) == 1 and rng.random() < 0.6:  # other neighbours, so that its ends are known by itself
+                before, after = (" ".join(corpus[k].lower() for k in rng.integers(len(corpus), size=3)) if corpus else "" for _ in "ab")
+                text = f"{before} {text[a:b]} {after} {text[b + 1:]}"
+                a, b = len(before) + 1, len(before) + 1 + b - a
+                spans = [(kind, a, b)]
         if new is not None:
             moved = len(new) - (b - a)
             shift = [(k, s + moved if s >= b else s, e + moved if e >= b else e) for k, s, e in spans]
@@ -278,15 +298,14 @@ def _varied(text: str, spans: list, rng: np.random.Generator) -> tuple[str, list
     return text, spans
 
 
-def _spelled_out(text: str, name: str, host: str, rng: np.random.Generator) -> str:
-    """An address without its at sign, half of the time of words around it, as a corpus may know few hosts and names."""
-    words = _LETTERS.findall(text)
+def _spelled_out(words: list[str], name: str, host: str, rng: np.random.Generator) -> str:
+    """An address without its at sign, half of the time of the corpus's words, as it may know few hosts and names."""
     if words and rng.random() < 0.5:
         pick = lambda: words[rng.integers(len(words))].lower()
         name = pick() + ("", f".{pick()}", f"_{pick()}", f"-{pick()}", str(rng.integers(100)))[rng.integers(5)]
         host = f"{pick()}{('', f'-{pick()}', f'.{pick()}')[rng.integers(3)]}.{('com', 'org', 'net', 'de', 'edu', 'fr')[rng.integers(6)]}"
     at = (" at ", " at ", "(at)", " (at) ", " [at] ")[rng.integers(5)]
-    return name + at + (host.replace(".", " dot ") if rng.random() < 0.4 else host)
+    return name + at + (host.replace(".", " dot ") if rng.random() < 0.5 else host)
 
 
 def _example(text: str, spans: list) -> tuple[np.ndarray, np.ndarray]:
@@ -366,6 +385,8 @@ def model_spans(texts: list[str], p: dict | None, batch: int = 512) -> list[list
             for kind, a, b, gain in spans:
                 a, b = s + a, min(s + b, size)
                 if gain >= MARGIN and 2 * lo <= a + b < 2 * hi and plausible(kind, texts[d][a:b]):
+                    if kind == "email":
+                        a, b = whole_address(texts[d], a, b)
                     out[d].append((kind, a, b, gain))
 
     held = []
@@ -383,6 +404,15 @@ def model_spans(texts: list[str], p: dict | None, batch: int = 512) -> list[list
     return out
 
 
+def whole_address(text: str, a: int, b: int) -> tuple[int, int]:
+    """The address that a span of the model holds or is part of, at most WINDOW characters to either side."""
+    low = max(0, a - WINDOW)
+    for m in _ADDRESS.finditer(text, low, min(len(text), b + WINDOW)):
+        if m.start() < b and a < m.end():
+            return m.span()
+    return a, b
+
+
 def plausible(kind: str, span: str) -> bool:
     """What any form of the kind must show: what the tags cannot count."""
     groups = _DIGITS.findall(span)
@@ -415,8 +445,13 @@ def all_spans(texts: list[str], p: dict | None) -> list[tuple[list, list]]:
 
 def _texts(docs: DataFrame, text_col: str) -> Column:
     """The text where a span is possible, else null: Python need not see the rest."""
-    text = F.col(text_col).cast("string")
-    return F.when(text.rlike(TRIGGER), text)
+    text = named(text_col).cast("string")
+    return F.when(has_trigger(text), text)
+
+
+def has_trigger(text: Column) -> Column:
+    """Whether TRIGGER is found; the long pattern is tried only where an "at" stands by itself."""
+    return text.rlike("[0-9@]") | (text.rlike(r"[ (\[][Aa][Tt][ )\]]") & text.rlike(SPELLED))
 
 
 def training_windows(docs: DataFrame, text_col: str = "text", most: int = TRAIN_WINDOWS, each: int = KIND_WINDOWS) -> list[tuple[str, list]]:
@@ -458,11 +493,17 @@ def training_windows(docs: DataFrame, text_col: str = "text", most: int = TRAIN_
 
     got = (map_arrow(docs.select(_texts(docs, text_col).alias("text")).filter(F.col("text").isNotNull()),
                      run, "kind string, window string, spans string, h long").distinct())
-    # The same order as in the tasks: unsigned hash, window, spans.
-    place = F.row_number().over(Window.partitionBy("kind").orderBy((F.col("h") < 0), "h", "window", "spans"))
-    bound = F.when(F.col("kind") == "", F.lit(most)).otherwise(F.lit(each))
-    rows = (got.withColumn("place", place).filter(F.col("place") <= bound)
-            .groupBy("window").agg(F.max("spans").alias("spans"), F.first("h").alias("h")).orderBy("h", "window").collect())
+    # The same order as in the tasks: unsigned hash, window, spans. Every task sends its first windows of a kind, so
+    # they are cut in parts first: no task gets more of a kind than LANES times what is kept, however many tasks there are.
+    # A literal bound lets Spark cut before it shuffles.
+    kept = []
+    for bound, own in ((most, F.col("kind") == ""), (each, F.col("kind") != "")):
+        part = got.filter(own).withColumn("lane", F.pmod(F.xxhash64("window"), F.lit(LANES)))
+        for by in (["kind", "lane"], ["kind"]):
+            place = F.row_number().over(Window.partitionBy(*by).orderBy((F.col("h") < 0), "h", "window", "spans"))
+            part = part.withColumn("place", place).filter(F.col("place") <= bound)
+        kept.append(part)
+    rows = (kept[0].unionByName(kept[1]).groupBy("window").agg(F.max("spans").alias("spans"), F.first("h").alias("h")).orderBy("h", "window").collect())
     return [(r["window"], [(k, int(a), int(e)) for k, a, e in (x.split(":") for x in r["spans"].split(";") if x)]) for r in rows]
 
 
@@ -471,21 +512,23 @@ SPANS = ", ".join(f"{c} array<struct<kind: string, start: int, end: int>>" for c
 
 def find(docs: DataFrame, params: dict | None, carry: list[Column], text_col: str = "text") -> DataFrame:
     """``carry`` columns plus base and spans (both array<struct<kind, start, end>>)."""
-    rows = docs.select(*carry, _texts(docs, text_col).alias("__text"))
-    schema = StructType([*rows.drop("__text").schema.fields, *StructType.fromDDL(SPANS).fields])
+    names = docs.select(*carry).schema
+    # Positions in place of names, so that no name can clash on the way.
+    rows = docs.select(*[c.alias(f"c{k}") for k, c in enumerate(carry)], _texts(docs, text_col).alias("text"))
+    schema = StructType([*rows.schema.fields[:-1], *StructType.fromDDL(SPANS).fields])
     shared = docs.sparkSession.sparkContext.broadcast(params)
-    names = rows.columns[:-1]
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for at in range(0, len(big), 2000):
                 b = big.slice(at, 2000)
-                got = all_spans([t or "" for t in b.column("__text").to_pylist()], shared.value)
+                got = all_spans([t or "" for t in b.columns[-1].to_pylist()], shared.value)
                 cols = [pa.array([[dict(zip(("kind", "start", "end"), s)) for s in g[k]] for g in got], kind) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *cols], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], names=schema.names)
 
-    return map_arrow(rows, run, schema)
+    out = map_arrow(rows, run, schema)
+    return out.select(*[F.col(f"c{k}").alias(f.name) for k, f in enumerate(names.fields)], "base", "spans")
 
 
 def mask(text: str | None, spans: list) -> str | None:
@@ -508,15 +551,16 @@ def redact(docs: DataFrame, text_col: str = "text", most: int = TRAIN_WINDOWS) -
     shared = docs.sparkSession.sparkContext.broadcast(params)
 
     def run(text):
-        texts = [t or "" for t in text.tolist()]
         import pandas as pd
 
-        spans = [g[1] for i in range(0, len(texts), 2000) for g in all_spans(texts[i:i + 2000], shared.value)]
+        own = [t for t in text.tolist() if t]
+        spans = [g[1] for i in range(0, len(own), 2000) for g in all_spans(own[i:i + 2000], shared.value)]
         keys = ("kind", "start", "end")
-        return pd.Series([mask(t, [dict(zip(keys, s)) for s in own]) for t, own in zip(texts, spans)])
+        done = iter([mask(t, [dict(zip(keys, x)) for x in found]) for t, found in zip(own, spans)])
+        return pd.Series([next(done) if t else None for t in text.tolist()], dtype=object)
 
     prepare(docs.sparkSession)
     masked = F.pandas_udf(run, "string")
-    text = docs[text_col]
-    has = F.coalesce(text.cast("string").rlike(TRIGGER), F.lit(False))
-    return docs.filter(~has).unionByName(docs.filter(has).withColumn(text_col, masked(text)))
+    text = named(text_col)
+    # One pass over the rows; texts without a trigger go to Python as null and stay what they are.
+    return docs.select(*[F.coalesce(masked(_texts(docs, text_col)), text).alias(c) if c == text_col else named(c) for c in docs.columns])

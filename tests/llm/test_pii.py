@@ -100,11 +100,13 @@ def test_windows_cover_every_trigger():
 
 
 def test_find_and_redact(spark, odd_docs, no_docs):
-    d = odd_docs.select("doc_id", "text", "id", "a.b") if False else odd_docs.select("doc_id", "text", "id")
-    more = spark.createDataFrame([(50, "write to bob@example.com or 10.1.2.3, card 4111111111111111.", "k"), (51, "plain", "k")], d.schema)
+    d = odd_docs.select("doc_id", "text", "id", "`a.b`", F.lit("b").alias("base"), F.lit("s").alias("spans"), F.lit("t").alias("__text"))
+    more = spark.createDataFrame([(50, "write to bob@example.com or 10.1.2.3, card 4111111111111111.", *"kkkkk"), (51, "plain", *"kkkkk")], d.schema)
     d = d.unionByName(more)
     params = P.fit(P.training_windows(d), epochs=1)
-    rows = P.find(d, params, [F.col("doc_id")]).collect()
+    found = P.find(d, params, [F.col("doc_id"), F.col("`a.b`"), F.col("base").alias("c1")])
+    assert found.columns == ["doc_id", "a.b", "c1", "base", "spans"]
+    rows = found.select("doc_id", "base", "spans").collect()
     assert len(rows) == d.count()
     texts = {r.doc_id: r.text for r in d.collect()}
     for r in rows:
@@ -140,12 +142,43 @@ def test_spelled_out_addresses_and_plain_phones_are_found(spark):
     assert rows[2].spans == [] and rows[3].spans == []
 
 
+def test_forms_not_used_in_tuning(spark, sf):
+    """Spelled-out addresses with names, hosts and neighbours that no one looked at while the model was made."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    p = P.fit(P.training_windows(docs))
+    words = [w for r in docs.filter("doc_id % 3 = 0").collect() for w in re.findall(r"[^\W\d_]+", r.text or "")]
+    rnd = random.Random(77)
+    names = ["k.okafor", "lindqvist", "sam-tran", "p_novak", "ines.moreau", "dorothea", "yuki.sato", "mwangi", "olga_petrova", "t.ferrante"]
+    hosts = ["quarry.net", "bluebarn.org", "post.harbor.com", "north-mill.de", "lab.fenwick.edu", "orchard.fr", "pinehill.com"]
+    for form in ("{n} at {h}", "{n} (at) {h}", "{n}(at){h}", "{n} at {d}"):
+        found = 0
+        for _ in range(60):
+            n, h = rnd.choice(names), rnd.choice(hosts)
+            span = form.format(n=n, h=h, d=h.replace(".", " dot "))
+            around = [" ".join(rnd.choices(words, k=rnd.randint(1, 30))) for _ in "ab"]
+            text = f"{around[0]} {span} {around[1]}"
+            found += any(k == "email" and text[a:b] == span for k, a, b, _ in P.model_spans([text], p)[0])
+        assert found >= 54, (form, found)
+
+
+def test_sample_is_cut_before_it_is_gathered(spark, sf):
+    """The windows of a kind reach one task from bounded parts only, each cut by a literal bound before the shuffle."""
+    import inspect
+
+    assert 'pmod(F.xxhash64("window"), F.lit(LANES))' in inspect.getsource(P.training_windows)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    whole = P.training_windows(docs, most=10 ** 6, each=10 ** 6)
+    few = P.training_windows(docs, most=2, each=3)
+    assert sum(not s for _, s in few) == 2 < sum(not s for _, s in whole) and {w for w, _ in few} <= {w for w, _ in whole}
+    assert all(sum(any(k == kind for k, _, _ in s) for _, s in few) >= 3 for kind in P.KINDS)
+
+
 def test_java_and_python_read_the_trigger_alike(spark):
     rnd = random.Random(8)
     texts = ["".join(rnd.choices(["a", "Z", " at ", " AT ", "(at)", " [at] ", " dot ", ".", " ", "é", "-", "K", "(dot)", "\n"],
                                  weights=[4, 4, 4, 1, 2, 2, 2, 2, 1, 1, 1, 1, 1, 1], k=rnd.randint(0, 14))) for _ in range(3000)]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {r.doc_id for r in d.filter(F.col("text").rlike(P.TRIGGER)).collect()} == {
+    assert {r.doc_id for r in d.filter(P.has_trigger(F.col("text"))).collect()} == {
         i for i, t in enumerate(texts) if P._TRIGGER.search(t)}
     many = sum(bool(P._MAILISH.search(t)) for t in texts)
     assert many > 20 and all(P.window_starts(t) for t in texts if P._MAILISH.search(t))
