@@ -57,8 +57,8 @@ def test_negative_weights(spark, small_blocks):
             for i in range(600)]
     index = write_index(build_index(spark.createDataFrame(rows, "doc_id long, text string"), ("text",)), scratch_path(spark, "negative"))
     q = spark.createDataFrame([(1, "the braf gene of of"), (2, "the of"), (3, "gene"), (4, "nothing here"), (5, None)], "topic_id int, text string")
-    for k in (1, 5, 40):
-        for model in ("bm25_doc", "dfr_bm25", "bb2"):
+    for k in (1, 40):
+        for model in ("bm25_doc", "bb2"):
             assert sorted(search(index, q, model, "document", k, prune=True).collect()) == \
                 sorted(search(index, q, model, "document", k, prune=False).collect()), (k, model)
 
