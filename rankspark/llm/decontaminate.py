@@ -9,9 +9,10 @@ neighbouring words that follow each other in some item are found with arrays;
 no window lies outside them, so the walk leaves the rest out.
 
 The items come in blocks of at most ``block_words`` words: one automaton is
-built and broadcast at a time, so driver and workers hold one block, and the
-findings so far travel with the documents through a written table between
-blocks.
+built and broadcast at a time, so driver and workers hold one block. With
+several blocks the documents are written once, with a row number; each block
+writes what it finds of them, (row, spans, items, longest match), and no text;
+the findings are put together by row at the end.
 
 Normalisation: A-Z become lower case; words are runs of digits, ASCII letters
 and non-ASCII characters.
@@ -19,7 +20,9 @@ and non-ASCII characters.
 Defined results: null or wordless texts have no words, no hits; null item
 texts and wordless items have no window; items without id hit words but are
 not listed; repeated items and ids count once; an empty benchmark hits
-nothing. Documents are never cut.
+nothing; an empty table gives no rows; a very long text is streamed whole.
+Columns are read by their exact names and carried by position, so other
+columns don't matter. Documents are never cut by ``scan``.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rankspark.llm.common import map_arrow, named, prepare, written
 
@@ -213,39 +217,67 @@ def scan(docs: DataFrame, benchmark: DataFrame, carry: list[str], text_col: str
          item_col: str = "item_id", bench_text: str = "text", window: int = WINDOW,
          block_words: int = BLOCK_WORDS) -> DataFrame:
     """``carry`` columns plus n_words, spans array<array<int>> (word runs hit), items array<string>, longest."""
-    spark = docs.sparkSession
-    found = {"n_words": F.lit(0).cast("long"), "spans": F.lit(None).cast("array<array<int>>"),
-             "items": F.lit(None).cast("array<string>"), "longest": F.lit(0)}
-    state = docs.select(*[named(c).alias(f"k{k}") for k, c in enumerate(carry)],
-                        F.col(text_col).cast("string").alias("text"), *[v.alias(n) for n, v in found.items()])
     blocks = item_blocks(benchmark, item_col, bench_text, block_words)
-    block, following = next(blocks, []), []
-    while following is not None:
-        following = next(blocks, None)
-        shared = spark.sparkContext.broadcast((Automaton(block, window), [i for i, _ in block]))
-        out = state if following else state.drop("text")
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, names=tuple(out.columns)) -> Iterator[pa.RecordBatch]:
-            auto, ids = shared.value
-            for b in batches:
-                texts = b.column("text").cast(pa.binary()).to_pylist()
-                n, spans, items, longest = [], [], [], []
-                for text, s0, i0, l0 in zip(texts, *(b.column(c).to_pylist() for c in ("spans", "items", "longest"))):
-                    words = words_of(text) if text else []
-                    s, i, m = auto.hits(words)
-                    n.append(len(words))
-                    spans.append(_merge((s0 or []) + s))
-                    items.append(sorted({*(i0 or []), *(ids[k] for k in i if ids[k] is not None)}))
-                    longest.append(max(l0, m))
-                cols = dict(zip(b.schema.names, b.columns)) | {
-                    "n_words": pa.array(n, pa.int64()), "spans": pa.array(spans, pa.list_(pa.list_(pa.int32()))),
-                    "items": pa.array(items, pa.list_(pa.string())), "longest": pa.array(longest, pa.int32())}
-                yield pa.RecordBatch.from_arrays([cols[c] for c in names], names=list(names))
-
-        state = map_arrow(state, run, out.schema)
-        if following:
-            state, block = written(state, "decontaminate"), following
-    return state.select(*[F.col(f"k{k}").alias(c) for k, c in enumerate(carry)], *found)
+    block, following = next(blocks, []), next(blocks, None)
+    keys = [f"k{k}" for k in range(len(carry))]
+    rows = docs.select(*[named(c).alias(k) for c, k in zip(carry, keys)], named(text_col).cast("string").alias("text"))
+    if following is None:
+        found = _scanned(rows, keys, block, window)
+    else:
+        rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "decontaminate")
+        hits = []
+        while block is not None:
+            own = _scanned(rows, ["row"], block, window).filter(F.col("longest") > 0).drop("n_words")
+            hits.append(written(own, "decontaminate-hits"))
+            block, following = following, next(blocks, None)
+        found = _put_together(rows, keys, hits)
+    return found.select(*[F.col(k).alias(c) for c, k in zip(carry, keys)], *FOUND)
+
+
+FOUND = ["n_words", "spans", "items", "longest"]
+
+
+def _scanned(rows: DataFrame, keys: list[str], block: list, window: int) -> DataFrame:
+    """``keys`` and what one block of items finds in each text."""
+    shared = rows.sparkSession.sparkContext.broadcast((Automaton(block, window), [i for i, _ in block]))
+    rows = rows.select(*keys, "text")
+    schema = StructType([*rows.schema.fields[:-1], *StructType.fromDDL(
+        "n_words long, spans array<array<int>>, items array<string>, longest int").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        auto, ids = shared.value
+        for b in batches:
+            n, spans, items, longest = [], [], [], []
+            for text in b.column("text").cast(pa.binary()).to_pylist():
+                words = words_of(text) if text else []
+                s, i, m = auto.hits(words)
+                n.append(len(words))
+                spans.append(_merge(s))
+                items.append(sorted({ids[k] for k in i if ids[k] is not None}))
+                longest.append(m)
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:-1], pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))),
+                 pa.array(items, pa.list_(pa.string())), pa.array(longest, pa.int32())], names=schema.names)
+
+    return map_arrow(rows, run, schema)
+
+
+def _put_together(rows: DataFrame, keys: list[str], hits: list[DataFrame]) -> DataFrame:
+    """The blocks' findings joined to the rows; only rows that some block has something of are grouped."""
+    every = reduce(DataFrame.unionByName, hits).groupBy("row").agg(
+        F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        F.max("longest").alias("longest"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            merged = [_merge(s or []) for s in b.column("spans").to_pylist()]
+            yield b.set_column(b.schema.get_field_index("spans"), "spans", pa.array(merged, pa.list_(pa.list_(pa.int32()))))
+
+    every = map_arrow(every, run, every.schema)
+    n_words = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), ""))
+    none = {"spans": F.array().cast("array<array<int>>"), "items": F.array().cast("array<string>"), "longest": F.lit(0)}
+    return rows.select(*keys, "row", n_words.cast("long").alias("n_words")).join(every, "row", "left").select(
+        *keys, "n_words", *[F.coalesce(c, v).alias(c) for c, v in none.items()])
 
 
 def cut_spans(text: str, spans: list, n_words: int, max_span: int, max_coverage: float) -> str | None:
@@ -283,7 +315,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     text = keys[columns.index(text_col)]
     whole = docs.select(*[named(c).alias(k) for c, k in zip(columns, keys)])
     prepare(docs.sparkSession)
-    cut = F.udf(cut_spans, "string", useArrow=True)
+    cut = F.udf(cut_spans, "string", useArrow=True).asNondeterministic()  # else Spark cuts once more for the filter
     done = []
     while not done or not whole.isEmpty():
         found = written(scan(whole, benchmark, keys, text, window=window, block_words=block_words, **names),

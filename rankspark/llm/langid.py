@@ -15,14 +15,24 @@ of language. Documents whose best single language cannot be beaten (no
 language gains more than half a switch over any stretch of words) need no
 search; the others advance side by side, one word per step.
 
-The document's language is that with the most letters in its spans, its score
-the share of them. Words are runs of letters.
-
-Defined results: null texts and texts without a letter are ``und`` with score
-0; words of a script that no training text had keep all languages alike; ties
-go to the language that comes first in alphabetical order; without labelled
-text everything is ``und``; rows with null or repeated ids are treated one by
-one.
+The document's language is that with the most letters in its spans. A word is
+unfamiliar if no training text had its script, or if its n-grams are, for every
+candidate, nearer to ones never seen than to that language's own average
+(``STRANGE`` of the way). The score is the share of the document's letters that
+stand in familiar words of its language: text unlike anything learned gets a
+language, but a score near 0. Words are runs of letters.
+
+Memory: what a task remembers of words and what it scores at once is bounded
+by ``CELLS`` numbers (words x languages); only one very long text may take
+more, which is why there are at most ``MAX_LANGUAGES``.
+
+Defined results: null and empty texts and texts without a letter are ``und``
+with score 0; a very long text is read whole; words of a script that no
+training text had keep all languages alike; ties go to the language that comes
+first in alphabetical order; without labelled text everything is ``und``; rows
+with null or repeated ids are treated one by one; an empty table gives no
+rows. Columns are read by their exact names and carried by position, so other
+columns, ``lang`` and ``score`` among them, don't matter.
 """
 
 from __future__ import annotations
@@ -36,17 +46,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from rankspark.llm.common import map_arrow
+from rankspark.llm.common import map_arrow, named
 
 BUCKET_BITS = 17
 SAMPLE_DOCS = 3000
-MAX_LANGUAGES = 512
+MAX_LANGUAGES = 128
 MIN_SHARE = 0.01
 SWITCH = 6.0
 CLIP = 3.0
 GRAMS = (1, 2, 3, 4)
 _WORD = re.compile(r"[^\W\d_]+")
-_MEMO = 150_000
+STRANGE = 0.5
+CELLS = 4_000_000
 
 # Unicode ranges of scripts (first, last code point); letters outside are "other".
 SCRIPTS = {
@@ -123,23 +134,28 @@ class Model:
         self.languages = languages
         n = grams.sum(axis=1, keepdims=True)
         self.table = np.log((grams + 0.5) / (n + 0.5 * grams.shape[1])).T.astype(np.float32).copy()
+        own = (grams * self.table.T).sum(axis=1) / np.maximum(1, n[:, 0])
+        never = np.log(0.5 / (n[:, 0] + 0.5 * grams.shape[1]))
+        self.least = (own - STRANGE * (own - never)).astype(np.float32)
         share = scripts / np.maximum(1, scripts.sum(axis=1, keepdims=True))
         self.allowed = share.T >= MIN_SHARE  # [script, language]
         self.allowed[~self.allowed.any(axis=1)] = True
         self.unseen = ~(share.T >= MIN_SHARE).any(axis=1)
 
-    def word_scores(self, words: list[str]) -> np.ndarray:
-        """[word, language]: at most 0 (the best candidate), at least -CLIP."""
+    def word_scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """[word, language], at most 0 (the best candidate), at least -CLIP; and whether each word is familiar."""
         ids, owner = gram_ids([w.encode() for w in words])
-        total = np.zeros((len(words), len(self.languages)))
+        total = np.zeros((len(words), len(self.languages)), np.float32)
         for k in range(len(self.languages)):
             total[:, k] = np.bincount(owner, self.table[ids, k], len(words))
-        total /= np.sqrt(np.bincount(owner, minlength=len(words)))[:, None]
+        root = np.sqrt(np.bincount(owner, minlength=len(words)))[:, None].astype(np.float32)
+        total /= root
         script = np.fromiter(map(script_of, words), np.int64, len(words))
         total[~self.allowed[script]] = -np.inf
+        familiar = ~self.unseen[script] & (total >= self.least * root).any(axis=1)
         out = np.maximum(total - total.max(axis=1, keepdims=True), -CLIP)
         out[self.unseen[script]] = 0
-        return out
+        return out, familiar
 
 
 def train(sample: DataFrame) -> Model:
@@ -217,14 +233,20 @@ class Words:
 
     def __init__(self, model: Model):
         self.model, self.number = model, {}
-        self.scores = np.zeros((0, len(model.languages)))
+        self.scores = np.zeros((0, len(model.languages)), np.float32)
         self.letters = np.zeros(0, np.int64)
+        self.familiar = np.zeros(0, bool)
+
+    def full(self) -> bool:
+        return self.scores.size > CELLS
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.number]
         if new and self.model.languages:
             self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
-            self.scores = np.concatenate((self.scores, self.model.word_scores([w.lower() for w in new])))
+            scores, familiar = self.model.word_scores([w.lower() for w in new])
+            self.scores = np.concatenate((self.scores, scores))
+            self.familiar = np.concatenate((self.familiar, familiar))
             self.letters = np.concatenate((self.letters, np.fromiter(map(len, new), np.int64, len(new))))
 
 
@@ -237,38 +259,48 @@ def label(texts: list[str | None], known: Words, with_spans: bool = True) -> lis
     own = [d for d, ws in enumerate(found) if ws and languages]
     number = [np.fromiter(map(known.number.__getitem__, found[d]), np.int64, len(found[d])) for d in own]
     out: list[tuple] = [("und", 0.0, [])] * len(texts)
-    for d, ids, path in zip(own, number, viterbi([known.scores[ids] for ids in number])):
-        share = np.bincount(path, known.letters[ids], len(languages))
+    for d, ids, path in zip(own, number, viterbi([known.scores[ids].astype(np.float64) for ids in number])):
+        letters = known.letters[ids]
+        share = np.bincount(path, letters, len(languages))
         best, spans = int(share.argmax()), []
+        familiar = letters[known.familiar[ids] & (path == best)].sum()
         if with_spans:
             at = [m.span() for m in _WORD.finditer(texts[d])]
             edges = np.flatnonzero(np.diff(path)) + 1
             spans = [(at[a][0], at[b - 1][1], languages[path[a]])
                      for a, b in zip([0, *edges], [*edges, len(path)])]
-        out[d] = languages[best], float(share[best] / share.sum()), spans
+        out[d] = languages[best], float(familiar / share.sum()), spans
     return out
 
 
 def identify(docs: DataFrame, model: Model, carry: list[Column], text_col: str = "text", with_spans: bool = True) -> DataFrame:
     """``carry`` columns plus lang, score and spans array<struct<start, end, lang>>."""
-    rows = docs.select(*carry, F.col(text_col).cast("string").alias("__text"))
+    names = docs.select(*carry).schema
+    # Positions in place of names, so that no name can clash on the way.
+    rows = docs.select(*[c.alias(f"c{k}") for k, c in enumerate(carry)], named(text_col).cast("string").alias("text"))
     extra = "lang string, score double" + (", spans array<struct<start: int, end: int, lang: string>>" if with_spans else "")
-    schema = StructType([*rows.drop("__text").schema.fields, *StructType.fromDDL(extra).fields])
+    schema = StructType([*rows.schema.fields[:-1], *StructType.fromDDL(extra).fields])
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = rows.columns[:-1]
+    at_once = max(1, CELLS // max(1, len(model.languages)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words(shared.value)
         for big in batches:
-            for at in range(0, len(big), 300):
-                b = big.slice(at, 300)
-                if len(known.number) > _MEMO:
+            # A text has at most half as many words as characters; 300 texts of the usual length go together.
+            sizes = np.fromiter((len(t or "") // 2 + 1 for t in big.columns[-1].to_pylist()), np.int64, len(big))
+            at = 0
+            while at < len(big):
+                count = max(1, int(np.searchsorted(np.cumsum(sizes[at:at + 300]), at_once, side="right")))
+                b = big.slice(at, count)
+                at += count
+                if known.full():
                     known = Words(shared.value)
-                got = label(b.column("__text").to_pylist(), known, with_spans)
+                got = label(b.columns[-1].to_pylist(), known, with_spans)
                 cols = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
                 if with_spans:
                     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
                     cols.append(pa.array([[dict(zip(("start", "end", "lang"), s)) for s in g[2]] for g in got], kind))
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *cols], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], names=schema.names)
 
-    return map_arrow(rows, run, schema)
+    out = map_arrow(rows, run, schema)
+    return out.select(*[F.col(f"c{k}").alias(f.name) for k, f in enumerate(names.fields)], *schema.names[len(carry):])

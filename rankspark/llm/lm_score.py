@@ -14,25 +14,38 @@ told from others by a 64-bit hash; nothing shares a bucket, is left out or
 has a fixed table size, so the models grow with the corpus.
 
 Documents are dealt into blocks of about ``block_bytes`` of text. A block
-counts its distinct words and pairs once; the sorted hashes go, cut at even
-ranges of the hash, to one group per range, so a frequent word is one entry
-per block and no range is hot. A range (the number of them follows the size of
-the corpus: about ``range_bytes`` of text each) sums its entries and
-sends every block the totals of just what the block asked for, in the block's
-own order. There they meet the block's documents, which are scored. No task
-holds more than a block or a range; nothing goes to the driver but the number
-of bytes. The marks are joined on the document id: broadcast when their
-counted number is under ``BROADCAST_ROWS``, else by shuffle.
+counts its distinct words and pairs once; its sorted hashes, cut by their
+leading bits into at most FAN = 2 ** ``fan_bits`` pieces, go up a tree: the pieces of FAN
+neighbouring blocks with the same leading bits meet in one group, which adds
+them up, cuts them by the next bits and hands them on, until one group holds
+a range of hashes from all blocks. What came up goes down again: each group
+answers each piece with the totals of just what the piece holds, in its own
+order, down to the blocks, where they meet the documents, which are scored.
+With n blocks there are log n / log FAN levels of n groups each, so what is
+sent grows with the corpus (times the levels); a group gets FAN pieces of a
+FAN-th of a block, so none holds more than about a block; a frequent word is
+one entry a piece. Levels between are written to the shared folder. Nothing
+but sums goes to the driver. The marks are joined on the document id:
+broadcast when their counted number is under ``BROADCAST_ROWS``, else by
+shuffle.
+
+With ``leave_one_out`` each document is scored by models from which its own
+counts are taken, so that documents of the target do not look closer to it
+than others like them.
 
 Words: A-Z become lower case, split at ASCII white space; the whole text
 counts. Defined results: null and wordless texts have 0 words and a null
-score and add nothing to the models; a document without id is never a target;
+score and add nothing to the models; a very long text is one document of a
+block that is so much larger; a document without id is never a target;
 repeated rows count each; without target documents the target model is
-uniform and scores stay defined; an empty table gives no rows.
+uniform and scores stay defined; an empty table gives no rows. Id and text are
+all that is read, so other columns don't matter.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -40,16 +53,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from rankspark.llm.common import broadcast_if, prepare
+from rankspark.llm.common import broadcast_if, named, prepare, written
 
 BLOCK_BYTES = 16 << 20
-RANGE_BYTES = 16 << 20
+FAN_BITS = 6
 MU = 8.0
 BROADCAST_ROWS = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)  # 2**64 / golden ratio, odd
 
-COUNTS = "block int, range int, keys binary, background binary, target binary"
-TOTALS = "block int, range int, background binary, target binary, vocabulary long, n_background long, n_target long"
+#: A piece on its way up to the group (sup, prefix); it comes from the group (child, prefix without its last bits).
+PIECES = "sup long, prefix long, child long, keys binary, background binary, target binary"
+#: The answer on its way down to the group (sup, prefix), whose piece number ``part`` it is about.
+TOTALS = "sup long, prefix long, part int, crc long, background binary, target binary"
+SUMS = "vocabulary long, n_background long, n_target long"
 SCORES = "n_words long, target_loss double, background_loss double, score double"
 
 
@@ -83,14 +99,25 @@ class Block:
             words, pairs = words[mine], pairs[mine[self.second]]
         return np.bincount(words, minlength=len(self.keys)) + np.bincount(pairs, minlength=len(self.keys))
 
-    def mean_losses(self, totals: np.ndarray, n: int, vocabulary: int, mu: float) -> np.ndarray:
-        """Mean loss per word of each text (0 for wordless ones) under the model with these totals."""
-        p = (totals[self.words] + 1) / (n + vocabulary)
-        context = totals[self.words[self.second - 1]]
-        p[self.second] = (totals[self.pairs] + mu * p[self.second]) / (context + mu)
+    def mean_losses(self, totals: np.ndarray, n: int, vocabulary: int, mu: float, without: np.ndarray | None = None) -> np.ndarray:
+        """Mean loss per word of each text (0 for wordless ones) under the model with these totals; where ``without`` is
+        true, the text's own counts are taken out first."""
         text = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        words, pairs, size = totals[self.words], totals[self.pairs], np.full(len(text), n)
+        if without is not None:
+            out = without[text]
+            words = words - self._own(text, self.words) * out
+            pairs = pairs - self._own(text[self.second], self.pairs) * out[self.second]
+            size = size - self.lengths[text] * out
+        p = (words + 1) / (size + vocabulary)
+        p[self.second] = (pairs + mu * p[self.second]) / (words[self.second - 1] + mu)
         return np.bincount(text, -np.log(p), len(self.lengths)) / np.maximum(1, self.lengths)
 
+    def _own(self, text: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """For each occurrence, how often its key occurs in its own text."""
+        _, at, count = np.unique(text * np.int64(len(self.keys)) + keys, return_inverse=True, return_counts=True)
+        return count[at]
+
 
 def _pair_keys(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Hashes of pairs, told from those of words by the lowest bit."""
@@ -110,9 +137,9 @@ def unpacked(data: bytes) -> np.ndarray:
 
 def marked(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, row, target) with target = 1 for documents whose id is in ``targets`` (one column)."""
-    ids = targets.select(F.col(targets.columns[0]).alias("__t")).filter(F.col("__t").isNotNull()).distinct()
+    ids = targets.select(named(targets.columns[0]).alias("__t")).filter(F.col("__t").isNotNull()).distinct()
     small = ids.count() <= BROADCAST_ROWS
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"),
+    rows = docs.select(named(id_col).alias("id"), named(text_col).cast("string").alias("text"),
                        F.monotonically_increasing_id().alias("row"))
     return rows.join(broadcast_if(ids, small), F.col("id") == F.col("__t"), "left") \
         .select("id", "text", "row", F.when(F.col("__t").isNotNull(), 1).otherwise(0).alias("target"))
@@ -122,68 +149,127 @@ def _block(rows: pa.Table) -> Block:
     return Block(rows.column("text").cast(pa.binary()).to_pylist())
 
 
-def block_counts(blocks: DataFrame, n_ranges: int) -> DataFrame:
-    """(block, range, keys, background, target): what every block counts, one row for each range."""
+def _pieces(keys: np.ndarray, counts: list[np.ndarray], sup: int, prefix: int, level: int, bits: int = FAN_BITS) -> pa.Table:
+    """What the group (sup, prefix) of a level sends up: a row for each of the next leading bits that it has."""
+    part = (keys >> np.uint64(64 - bits * (level + 1))) & np.uint64((1 << bits) - 1)
+    cuts = np.searchsorted(part, np.arange((1 << bits) + 1, dtype=np.uint64))
+    has = np.flatnonzero(np.diff(cuts))
+    steps = np.diff(keys, prepend=np.uint64(0))
+    steps[cuts[has]] = keys[cuts[has]]  # a piece starts anew
+    alike = [np.full(len(has), sup >> bits, np.int64), (prefix << bits) + has, np.full(len(has), sup, np.int64)]
+    return pa.Table.from_arrays(
+        [*map(pa.array, alike), *(pa.array([packed(c[cuts[k]:cuts[k + 1]]) for k in has], pa.binary()) for c in (steps, *counts))],
+        names=[f.split(" ")[0] for f in PIECES.split(", ")])
+
+
+def block_counts(blocks: DataFrame, bits: int = FAN_BITS) -> DataFrame:
+    """The pieces of every block: distinct hashes with their counts, at most 2 ** bits rows each."""
 
     def run(rows: pa.Table) -> pa.Table:
         own = _block(rows)
-        part = ((own.keys >> np.uint64(32)) * np.uint64(n_ranges)) >> np.uint64(32)
-        cuts = np.searchsorted(part, np.arange(n_ranges + 1, dtype=np.uint64))
-        steps = np.diff(own.keys, prepend=np.uint64(0))
-        steps[cuts[:-1][np.diff(cuts) > 0]] = own.keys[cuts[:-1][np.diff(cuts) > 0]]  # a range starts anew
-        columns = steps, own.counts(), own.counts(rows.column("target").to_numpy() == 1)
-        return pa.Table.from_arrays(
-            [pa.array(np.full(n_ranges, rows.column("block")[0].as_py(), np.int32)), pa.array(np.arange(n_ranges, dtype=np.int32)),
-             *(pa.array([packed(c[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary()) for c in columns)],
-            names=["block", "range", "keys", "background", "target"])
+        return _pieces(own.keys, [own.counts(), own.counts(rows.column("target").to_numpy() == 1)], rows.column("block")[0].as_py(), 0, 0, bits)
+
+    return blocks.groupBy("block").applyInArrow(run, PIECES)
+
 
-    return blocks.groupBy("block").applyInArrow(run, COUNTS)
+class _Group:
+    """The pieces that met in a group: their distinct hashes, where each piece's stand in them, and the sums."""
 
+    def __init__(self, rows: pa.Table):
+        self.keys = [np.cumsum(unpacked(x)) for x in rows.column("keys").to_pylist()]
+        self.cuts = np.cumsum([0, *map(len, self.keys)])
+        self.distinct, self.at = np.unique(np.concatenate(self.keys), return_inverse=True)
+        self.sums = [np.bincount(self.at, np.concatenate([unpacked(x) for x in rows.column(name).to_pylist()]),
+                                 len(self.distinct)).astype(np.int64) for name in ("background", "target")]
 
-def range_totals(counts: DataFrame) -> DataFrame:
-    """For each row of ``counts`` the totals of its keys over all blocks, with the range's words and their counts."""
+    def answers(self, rows: pa.Table, totals: list[np.ndarray], bits: int = FAN_BITS) -> list[pa.Array]:
+        """The columns of TOTALS: for every piece the totals of its hashes, to the group that it came from."""
+        prefix = rows.column("prefix").to_numpy()
+        each = [self.at[a:b] for a, b in zip(self.cuts, self.cuts[1:])]
+        return [rows.column("child").combine_chunks(), pa.array(prefix >> bits),
+                pa.array((prefix & (1 << bits) - 1).astype(np.int32)),
+                pa.array([zlib.crc32(k.tobytes()) for k in self.keys], pa.int64()),
+                *(pa.array([packed(t[at]) for at in each], pa.binary()) for t in totals)]
+
+
+def _names(schema: str) -> list[str]:
+    return [f.split(" ")[0] for f in schema.split(", ")]
+
+
+def merged(pieces: DataFrame, level: int, bits: int = FAN_BITS) -> DataFrame:
+    """The pieces of the next level: those that meet in a group added up and cut by the next bits."""
 
     def run(rows: pa.Table) -> pa.Table:
-        keys = [np.cumsum(unpacked(x)) for x in rows.column("keys").to_pylist()]
-        cuts = np.cumsum([0, *map(len, keys)])
-        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-        word = (distinct & np.uint64(1)) == 0
-        out, sums = [], []
-        for name in ("background", "target"):
-            own = np.concatenate([unpacked(x) for x in rows.column(name).to_pylist()])
-            total = np.bincount(at, own, len(distinct)).astype(np.int64)
-            out.append(pa.array([packed(total[at[a:b]]) for a, b in zip(cuts, cuts[1:])], pa.binary()))
-            sums.append(int(total[word].sum()))
-        alike = [pa.array(np.full(len(keys), x, np.int64)) for x in (int(word.sum()), *sums)]
-        return pa.Table.from_arrays([rows.column("block"), rows.column("range"), *out, *alike],
-                                    names=[f.split(" ")[0] for f in TOTALS.split(", ")])
-
-    return counts.groupBy("range").applyInArrow(run, TOTALS)
+        group = _Group(rows)
+        return _pieces(group.distinct, group.sums, rows.column("sup")[0].as_py(), rows.column("prefix")[0].as_py(), level, bits)
+
+    return pieces.groupBy("sup", "prefix").applyInArrow(run, PIECES)
+
+
+def range_totals(pieces: DataFrame, bits: int = FAN_BITS) -> DataFrame:
+    """The answers to the last level's pieces, of which a group has all for its hashes; a group's first row has its sums."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        group = _Group(rows)
+        word = (group.distinct & np.uint64(1)) == 0
+        sums = (word.sum(), *(s[word].sum() for s in group.sums))
+        first = [pa.array([int(x)] + [0] * (rows.num_rows - 1), pa.int64()) for x in sums]
+        return pa.Table.from_arrays([*group.answers(rows, group.sums, bits), *first], names=_names(f"{TOTALS}, {SUMS}"))
+
+    return pieces.groupBy("sup", "prefix").applyInArrow(run, f"{TOTALS}, {SUMS}")
+
+
+def handed_down(pieces: DataFrame, totals: DataFrame, bits: int = FAN_BITS) -> DataFrame:
+    """The answers to a level's pieces from the answers that its groups got."""
+
+    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
+        group = _Group(rows)
+        totals = _joined(found, group.distinct)
+        return pa.Table.from_arrays(group.answers(rows, totals, bits), names=_names(TOTALS))
+
+    key = ["sup", "prefix"]
+    return pieces.groupBy(*key).cogroup(totals.groupBy(*key)).applyInArrow(run, TOTALS)
+
+
+def _joined(found: pa.Table, keys: np.ndarray) -> list[np.ndarray]:
+    """Totals (background, target) of the sorted ``keys`` from the answers to their pieces."""
+    found = found.sort_by("part")
+    out = [np.concatenate([np.zeros(0, np.uint64), *map(unpacked, found.column(name).to_pylist())]) for name in ("background", "target")]
+    cuts = np.cumsum([0, *(len(x) // 8 for x in found.column("target").to_pylist())])
+    own = [zlib.crc32(keys[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])]
+    if len(out[0]) != len(keys) or own != found.column("crc").to_pylist():
+        raise ValueError("the documents of a block differ from those it counted")
+    return out
 
 
 def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                             mu: float = MU, block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
+                             mu: float = MU, block_bytes: int = BLOCK_BYTES, leave_one_out: bool = False, fan_bits: int = FAN_BITS) -> DataFrame:
     """(id, target, n_words, target_loss, background_loss, score) per document."""
     prepare(docs.sparkSession)
-    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")) + 1).alias("n")).first()["n"] or 0
-    n_blocks, n_ranges = (int(1 + size // x) for x in (block_bytes, range_bytes))
+    size = docs.agg(F.sum(F.octet_length(named(text_col).cast("string")) + 1).alias("n")).first()["n"] or 0
+    n_blocks = int(1 + size // block_bytes)
     blocks = marked(docs, targets, id_col, text_col).select(
         "id", "text", "target", F.pmod(F.xxhash64("row"), F.lit(n_blocks)).cast("int").alias("block"))
-    totals = range_totals(block_counts(blocks, n_ranges))
+    levels = [block_counts(blocks, fan_bits)]
+    while n_blocks > 1 << fan_bits * len(levels):
+        levels[-1] = written(levels[-1], "lm-pieces")  # needed again on the way down
+        levels.append(merged(levels[-1], len(levels), fan_bits))
+    top = written(range_totals(levels[-1], fan_bits), "lm-totals")
+    vocabulary, *sizes = (int(x or 0) for x in top.agg(*[F.sum(c) for c in _names(SUMS)]).first())
+    totals = top.drop(*_names(SUMS))
+    for pieces in reversed(levels[:-1]):
+        totals = handed_down(pieces, totals, fan_bits)
     schema = StructType([*blocks.select("id", "target").schema.fields, *StructType.fromDDL(SCORES).fields])
 
     def run(rows: pa.Table, found: pa.Table) -> pa.Table:
-        found = found.sort_by("range")
-        own, vocabulary = _block(rows), sum(found.column("vocabulary").to_pylist())
-        has = own.lengths > 0
-        loss = []
-        for name in ("target", "background"):
-            total = np.concatenate([unpacked(x) for x in found.column(name).to_pylist()])
-            if len(total) != len(own.keys):
-                raise ValueError("a block's documents differ from those it counted")
-            loss.append(own.mean_losses(total, sum(found.column(f"n_{name}").to_pylist()), vocabulary, mu))
+        own = _block(rows)
+        has, target = own.lengths > 0, rows.column("target").to_numpy() == 1
+        total = _joined(found, own.keys)
+        out = (np.ones(len(target), bool), target) if leave_one_out else (None, None)
+        back, goal = (own.mean_losses(t.astype(np.int64), n, vocabulary, mu, x) for t, n, x in zip(total, sizes, out))
         return pa.Table.from_arrays(
             [rows.column("id"), rows.column("target"), pa.array(own.lengths),
-             *(pa.array(x, pa.float64(), mask=~has) for x in (*loss, loss[0] - loss[1]))], names=schema.names)
+             *(pa.array(x, pa.float64(), mask=~has) for x in (goal, back, goal - back))], names=schema.names)
 
+    totals = totals.withColumn("block", F.col("sup").cast("int"))
     return blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(run, schema)

@@ -12,9 +12,13 @@ The running number inside a bucket comes without a task per bucket: pieces
 are range-partitioned and sorted once, numbered per partition and bucket,
 and the counts of earlier partitions are added.
 
+Lengths are the caller's (token counts); without them they are the words
+between white space, and the column is called n_words.
+
 Defined results: null and empty texts are one piece of length 0 (all
-padding); ids may be null or repeated (ties follow the order of reading); an
-empty table gives no rows.
+padding); a very long text becomes as many pieces as it needs; ids may be null
+or repeated (ties follow the order of reading); an empty table gives no rows.
+Id and length are all that is read, so other columns don't matter.
 """
 
 from __future__ import annotations
@@ -81,10 +85,11 @@ def pieces_of(docs: DataFrame, id_col: str, length: Column, max_len: int) -> Dat
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: Column | None = None,
          max_len: int = MAX_LEN, n_buckets: int = N_BUCKETS, budget: int = BUDGET) -> DataFrame:
-    """(id, piece, start, n_tokens, bucket, bucket_len, batch, slot), one row per piece."""
+    """(id, piece, start, n_tokens or n_words, bucket, bucket_len, batch, slot), one row per piece."""
     if budget < max_len:
         raise ValueError("the token budget is smaller than the longest sequence")
     spark = docs.sparkSession
+    unit = "n_words" if length is None else "n_tokens"
     length = word_count(F.col(text_col).cast("string")) if length is None else F.coalesce(length.cast("long"), F.lit(0))
     pieces = written(pieces_of(docs, id_col, length, max_len), "packing")
     hist = pieces.groupBy("n").count().collect()  # at most max_len + 1 rows
@@ -113,7 +118,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     size = F.element_at(F.array(*[F.lit(b) for b in bounds]), F.col("bucket") + 1)
     batch = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col("bucket_len"), F.lit(1))))
     return (dealt.join(broadcast_if(offsets, parts * len(bounds) <= BROADCAST_ROWS), ["part", "bucket"])
-            .select("id", "piece", "start", F.col("n").alias("n_tokens"), "bucket", size.alias("bucket_len"), at.alias("at"))
-            .select("id", "piece", "start", "n_tokens", "bucket", "bucket_len",
+            .select("id", "piece", "start", F.col("n").alias(unit), "bucket", size.alias("bucket_len"), at.alias("at"))
+            .select("id", "piece", "start", unit, "bucket", "bucket_len",
                     F.floor(F.col("at") / batch).cast("long").alias("batch"),
                     F.pmod(F.col("at"), batch).cast("int").alias("slot")))

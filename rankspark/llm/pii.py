@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from rankspark.llm.common import map_arrow, named, prepare
+from rankspark.llm.common import map_arrow, named, prepare, written
 
 KINDS = ("email", "ip", "card", "phone")
 _AT = r"(?: [Aa][Tt] | ?[(\[][Aa][Tt][)\]] ?)"
@@ -491,8 +491,8 @@ def training_windows(docs: DataFrame, text_col: str = "text", most: int = TRAIN_
         yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64()))],
                                          names=["kind", "window", "spans", "h"])
 
-    got = (map_arrow(docs.select(_texts(docs, text_col).alias("text")).filter(F.col("text").isNotNull()),
-                     run, "kind string, window string, spans string, h long").distinct())
+    got = written(map_arrow(docs.select(_texts(docs, text_col).alias("text")).filter(F.col("text").isNotNull()),
+                            run, "kind string, window string, spans string, h long").distinct(), "pii-windows")
     # The same order as in the tasks: unsigned hash, window, spans. Every task sends its first windows of a kind, so
     # they are cut in parts first: no task gets more of a kind than LANES times what is kept, however many tasks there are.
     # A literal bound lets Spark cut before it shuffles.

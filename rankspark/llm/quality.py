@@ -7,23 +7,35 @@ bit, so a new policy, or a rule taken out, needs no second look at a text.
 ``ablations`` counts, from the distinct bit patterns alone, what each rule of
 a policy removes and what the policy would keep without it.
 
+``update_ledger`` stores the ledger under the version of the rules, with each
+text's SHA-256: a document that stands there is not looked at again, a text
+that stands there under another id is not measured again, and other rules have
+a ledger of their own. Policies and ablations of a stored ledger read no text.
+
 Only DataFrame functions are used. Repeated 8-word windows are found inside
 the row: words are hashed once, windows of 2, 4 and 8 words by pairing
 shifted arrays, and only rows where a window hash repeats sort theirs. A
 repeat is one of 64-bit hashes.
 
 Words are runs of other than the six ASCII white-space characters. Defined
-results: null and empty texts have 0 words and fail ``min_words``; repeated
-rows and null ids are measured row by row.
+results: null and empty texts have 0 words and fail ``min_words``; a very long
+text is measured whole, inside its row; repeated rows and null ids are measured
+row by row (a stored ledger takes a row in whose id and text it has as known);
+an empty table gives no rows. Id and text are read by their exact names, so
+other columns don't matter.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankspark.llm.common import named, written
+
 SPACE = r"[ \t-\r]+"
 WINDOW = 8
 
@@ -69,10 +81,10 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Arrays that a lambda or several measures use are columns of a generator's
     output, so that Spark does not compute them anew for each use.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text = F.coalesce(named(text_col).cast("string"), F.lit(""))
     words = F.array_remove(F.split(text, SPACE), "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^ \t-\r]"))
-    row = docs.select(F.col(id_col).alias("id"), F.inline(F.array(F.struct(
+    row = docs.select(named(id_col).alias("id"), F.inline(F.array(F.struct(
         words.alias("words"), lines.alias("lines"),
         F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         F.length(F.regexp_replace(text, r"[^\p{L}]+", "")).cast("long").alias("n_letters"),
@@ -114,6 +126,47 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return measured(docs, id_col, text_col).withColumn("failed", failed.cast("long"))
 
 
+def rules_version() -> str:
+    """Tells apart what was measured and by which rules."""
+    return hashlib.sha256(repr((SPACE, WINDOW, list(RULES.items()))).encode()).hexdigest()[:16]
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The stored ledger of the present rules, with ``digest``; None if there is none."""
+    try:
+        return spark.read.parquet(f"{path.rstrip('/')}/rules={rules_version()}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def update_ledger(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Add the documents that the stored ledger lacks; the whole ledger as stored."""
+    spark, target = docs.sparkSession, f"{path.rstrip('/')}/rules={rules_version()}"
+    keyed = docs.select(named(id_col).alias("id"), named(text_col).cast("string").alias("text"))
+    keyed = keyed.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
+    known = read_ledger(spark, path)
+    if known is None:
+        _digested(keyed).write.mode("append").parquet(target)
+        return read_ledger(spark, path)
+    old = known.select(F.col("id").alias("old_id"), F.col("digest").alias("old_digest")).distinct()
+    new = keyed.join(old, (F.col("digest") == F.col("old_digest")) & F.col("id").eqNullSafe(F.col("old_id")), "left_anti")
+    by_text = known.drop("id").dropDuplicates(["digest"])
+    same = new.select("id", "digest").join(by_text, "digest").select(known.columns)
+    other = _digested(new.join(by_text.select("digest"), "digest", "left_anti")).select(known.columns)
+    # Written beside the ledger first: it cannot be appended to while it is read.
+    written(same.unionByName(other), "ledger").write.mode("append").parquet(target)
+    return read_ledger(spark, path)
+
+
+def _digested(keyed: DataFrame) -> DataFrame:
+    """The ledger of (id, text, digest) rows, with the digest."""
+    key = F.struct("id", "digest")
+    book = ledger(keyed.select(key.alias("key"), "text"), "key", "text")
+    return book.select(F.col("id.id").alias("id"), F.col("id.digest").alias("digest"), *[c for c in book.columns if c != "id"])
+
+
 def apply_policy(book: DataFrame, policy: Policy) -> DataFrame:
     """The ledger with ``policy`` (its version) and ``kept``."""
     return book.withColumn("policy", F.lit(policy.version)).withColumn(

@@ -62,13 +62,18 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 
 def op3_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's pieces with bucket, batch and slot; all lengths, n_tokens too, are words between white space."""
-    return packing.pack(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    """Every document's pieces with bucket, batch and slot: cut, bucketed and held to the budget by what the tokenizer counts."""
+    return pack_tokens(table(spark, sf_dir, "documents"))
 
 
 def op3_token_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same by tokens: pieces are cut, bucketed and held to the budget by what the tokenizer counts."""
-    return pack_tokens(table(spark, sf_dir, "documents"))
+    """The same rows under their earlier name."""
+    return op3_length_buckets(spark, sf_dir)
+
+
+def op3_word_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by words between white space, which SQL can count."""
+    return packing.pack(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
 def pack_tokens(docs: DataFrame) -> DataFrame:
@@ -76,7 +81,11 @@ def pack_tokens(docs: DataFrame) -> DataFrame:
     return packing.pack(counts, "id", length=F.col("n_tokens")).withColumnRenamed("id", "doc_id")
 
 
-def _op3_sql() -> str:
+OP3_WORDS = f"SELECT doc_id, len({_WORDS})::BIGINT AS n FROM documents"
+
+
+def op3_sql(lengths: str, unit: str) -> str:
+    """The packing of a table of lengths (doc_id, n)."""
     steps = ", ".join(
         f"""f{k} AS MATERIALIZED (SELECT j, min({{'c': f.c + h.l * (h.cn - f.cn) - (h.sn - f.sn), 'i': f.j}}) AS b
               FROM (SELECT p.j, p.c, coalesce(h.cn, 0) AS cn, coalesce(h.sn, 0) AS sn FROM g{k - 1} p LEFT JOIN h ON h.j = p.j) f
@@ -89,7 +98,7 @@ def _op3_sql() -> str:
         back.append(f"t{k - 1} AS (SELECT t.k, CASE WHEN t.k >= {k} THEN g.i ELSE t.j END AS j FROM t{k} t LEFT JOIN g{k} g ON g.j = t.j)")
     cuts = " UNION ALL ".join(f"SELECT {k} AS k, j FROM t{k} WHERE k >= {k}" for k in range(1, packing.N_BUCKETS + 1))
     return f"""
-WITH n AS (SELECT doc_id, len({_WORDS})::BIGINT AS n FROM documents),
+WITH n AS ({lengths}),
 p AS (SELECT doc_id, piece::INTEGER AS piece, piece * {packing.MAX_LEN} AS start,
              least({packing.MAX_LEN}, n - piece * {packing.MAX_LEN}) AS n
       FROM (SELECT doc_id, n, unnest(range(greatest(1, (n + {packing.MAX_LEN - 1}) // {packing.MAX_LEN}))) AS piece FROM n)),
@@ -104,7 +113,7 @@ cut AS (SELECT (row_number() OVER (ORDER BY l) - 1)::INTEGER AS bucket, l, coale
 b AS (SELECT p.*, bucket, l, greatest(1, {packing.BUDGET} // greatest(l, 1)) AS m,
              row_number() OVER (PARTITION BY bucket ORDER BY doc_id, piece) - 1 AS pos
       FROM p JOIN cut ON p.n > lo AND p.n <= l)
-SELECT doc_id, piece, start::BIGINT AS start, n::BIGINT AS n_tokens, bucket, l::INTEGER AS bucket_len,
+SELECT doc_id, piece, start::BIGINT AS start, n::BIGINT AS {unit}, bucket, l::INTEGER AS bucket_len,
        (pos // m)::BIGINT AS batch, (pos % m)::INTEGER AS slot FROM b"""
 
 
@@ -145,10 +154,23 @@ def op7_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumnRenamed("lang", "lang_pred")
 
 
+_LEDGERS: dict[tuple, str] = {}
+
+
+def stored_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger of a data folder, measured and stored once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir, quality.rules_version())
+    if key not in _LEDGERS:
+        path = scratch_path(spark, "ledger")
+        quality.update_ledger(table(spark, sf_dir, "documents"), path)
+        _LEDGERS[key] = path
+    return quality.read_ledger(spark, _LEDGERS[key])
+
+
 def op8_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Measurements, base rules and the verdict of policy v3."""
+    """Measurements, base rules and the verdict of policy v3, from the stored ledger."""
     base = quality.Policy("base", quality.BASE)
-    book = quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")), quality.POLICIES["v3"])
+    book = quality.apply_policy(stored_ledger(spark, sf_dir), quality.POLICIES["v3"])
     return book.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                        (F.col("failed").bitwiseAND(F.lit(base.mask)) != 0).alias("base_failed"), "kept")
 
@@ -178,7 +200,7 @@ FROM v"""
 
 def op8_policy_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each rule of each policy removes, and what the policy keeps with and without it, over the whole ledger."""
-    return quality.ablations(quality.ledger(table(spark, sf_dir, "documents")), list(quality.POLICIES.values()))
+    return quality.ablations(stored_ledger(spark, sf_dir), list(quality.POLICIES.values()))
 
 
 OP8_ABLATIONS_SQL = OP8_SQL[:OP8_SQL.index("v AS (")] + """
@@ -292,9 +314,9 @@ SELECT * FROM (
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_warc_reassembly, op2_benchmark_decontamination, op3_length_buckets, op3_token_buckets, op4_token_cache, op5_cross_entropy_difference,
+    op1_warc_reassembly, op2_benchmark_decontamination, op3_length_buckets, op3_token_buckets, op3_word_buckets, op4_token_cache, op5_cross_entropy_difference,
     op6_simhash, op7_language_spans, op8_quality_ledger, op8_policy_ablations, op9_reply_trees, op10_pii_bilstm_crf,
     op11_byte_bpe, op12_periodic_runs, op13_hard_negatives)}
-ORACLE = {"op1_warc_reassembly": OP1_SQL, "op2_benchmark_decontamination": OP2_SQL, "op3_length_buckets": _op3_sql(),
+ORACLE = {"op1_warc_reassembly": OP1_SQL, "op2_benchmark_decontamination": OP2_SQL, "op3_word_buckets": op3_sql(OP3_WORDS, "n_words"),
           "op8_quality_ledger": OP8_SQL,
           "op8_policy_ablations": OP8_ABLATIONS_SQL, "op9_reply_trees": OP9_SQL, "op13_hard_negatives": OP13_SQL}

@@ -23,7 +23,9 @@ the smallest id that its component holds.
 Defined results: null text and texts without words have fingerprint zero and
 link like any other; a document without id is neither a node nor a label of
 others (its component is that of its fingerprint, null if nobody with an id
-has it); repeated rows are copies.
+has it); repeated rows are copies; a very long text is one fingerprint like
+any other; an empty table gives no rows. Columns are read by their exact
+names, so other columns don't matter.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankspark.llm.common import broadcast_if, connected_components, map_arrow, named, prepare, written
@@ -299,35 +301,45 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     """``docs`` with one row of each group: the first by (id, fingerprint, text).
 
     Only rows whose id repeats are compared by fingerprint and text (then by
-    all columns, so that the choice is fixed). A row without id goes when its
-    text has words and the fingerprint of a document with an id; the other
-    rows without id stay, as none can stand for another.
+    all columns, so that the choice is fixed). Of rows without id whose text
+    has words, one of each fingerprint stays, and none if a document with an id
+    has it; wordless rows without id all stay, as none can stand for another.
+    Copies are reduced in the tasks that read them, however many there are.
+    Columns travel by position, so no name can clash.
     """
-    found = written(_grouped(docs, id_col, text_col, shingle, **options), "simhash").filter(F.col("id").isNotNull())
+    names = docs.columns
+    cols = [f"c{k}" for k in range(len(names))]
+    docs = docs.select(*[named(c).alias(k) for c, k in zip(names, cols)])
+    doc_id, text = cols[names.index(id_col)], cols[names.index(text_col)]
+    found = written(_grouped(docs, doc_id, text, shingle, **options), "simhash").filter(F.col("id").isNotNull())
     repeated = found.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("id")
     keepers = found.groupBy("root").agg(F.min(F.struct("id", "fp")).alias("k")).select("k.id", "k.fp")
     once = keepers.join(repeated, "id", "left_anti").select("id").repartition(F.xxhash64("id"))
-    key = docs[id_col].cast("long")
+    key = F.col(doc_id).cast("long")
     kept = docs.join(once, key == once["id"], "left_semi")
-    many = written(keepers.join(repeated, "id", "left_semi").select(F.col("id").alias("__id"), F.col("fp").alias("__fp")), "simhash")
+    many = written(keepers.join(repeated, "id", "left_semi").select("id", "fp"), "simhash")
     n = many.count()
     if n:
-        ids = broadcast_if(many.select("__id").distinct(), n <= BROADCAST_ROWS)
-        rows = _with_fingerprint(docs.join(ids, key == ids["__id"], "inner"), text_col, shingle)
-        rows = rows.join(broadcast_if(many, n <= BROADCAST_ROWS), ["__id", "__fp"], "left_semi")
-        every = F.to_json(F.struct(*map(named, docs.columns)))
-        first = F.row_number().over(Window.partitionBy("__id", "__fp").orderBy(named(text_col), every))
-        rows = rows.withColumn("__row", first).filter(F.col("__row") == 1)
-        kept = kept.unionByName(rows.select(*map(named, docs.columns)))
-    nameless = _with_fingerprint(docs.filter(docs[id_col].isNull()), text_col, shingle)
-    known = found.select(F.col("fp").alias("__known")).distinct().repartition(F.xxhash64("__known"))
-    has_words = F.coalesce(named(text_col).cast("string").rlike(r"[^ \t-\r]"), F.lit(False))
-    return kept.unionByName(nameless.join(known, has_words & (F.col("__fp") == known["__known"]), "left_anti")
-                            .select(*map(named, docs.columns)))
+        ids = broadcast_if(many.select("id").distinct(), n <= BROADCAST_ROWS)
+        rows = _with_fingerprint(docs.join(ids, key == ids["id"], "inner"), text, shingle)
+        rows = rows.join(broadcast_if(many, n <= BROADCAST_ROWS), ["id", "fp"], "left_semi")
+        kept = kept.unionByName(_first_of(rows, ["id", "fp"], text, cols))
+    nameless = docs.filter(F.col(doc_id).isNull())
+    has_words = F.coalesce(F.col(text).cast("string").rlike(r"[^ \t-\r]"), F.lit(False))
+    known = found.select("fp").distinct().repartition(F.xxhash64("fp"))
+    others = _first_of(_with_fingerprint(nameless.filter(has_words), text, shingle), ["fp"], text, cols, "fp").join(known, "fp", "left_anti")
+    out = kept.unionByName(nameless.filter(~has_words)).unionByName(others.select(*cols))
+    return out.select(*[F.col(k).alias(c) for c, k in zip(names, cols)])
+
+
+def _first_of(rows: DataFrame, by: list[str], text: str, cols: list[str], *more: str) -> DataFrame:
+    """The first row by (text, all columns) of each group; an aggregate, so that tasks reduce their own copies first."""
+    row = F.struct(*cols)
+    return rows.groupBy(*by).agg(F.min_by(row, F.struct(F.col(text).cast("string"), F.to_json(row))).alias("row")).select(*more, "row.*")
 
 
 def _with_fingerprint(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
-    """``docs`` with column __fp."""
+    """``docs`` with column fp."""
 
     def run(text):
         import pandas as pd
@@ -336,4 +348,4 @@ def _with_fingerprint(docs: DataFrame, text_col: str, shingle: int) -> DataFrame
         return pd.Series(np.array(got, np.uint64).view(np.int64))
 
     prepare(docs.sparkSession)
-    return docs.withColumn("__fp", F.pandas_udf(run, "long")(named(text_col).cast("string")))
+    return docs.withColumn("fp", F.pandas_udf(run, "long")(named(text_col).cast("string")))

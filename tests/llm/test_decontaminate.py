@@ -83,3 +83,13 @@ def test_odd_tables(spark, odd_docs, no_docs):
     out = D.decontaminate(odd_docs, b)
     assert out.columns == odd_docs.columns and out.count() == odd_docs.count()
     assert {r.text for r in out.filter("doc_id in (1, 7)").collect()} == {"one  twelve"}
+
+
+def test_texts_are_written_once_however_many_blocks(spark, sf, monkeypatch):
+    """With many blocks of items, one written table holds the texts; the others hold findings."""
+    docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    tables, keep = [], D.written
+    monkeypatch.setattr(D, "written", lambda df, name: tables.append(df.columns) or keep(df, name))
+    many = D.scan(docs, bench, ["doc_id"], block_words=300)
+    assert len(tables) > 5 and sum("text" in c for c in tables) == 1
+    assert sorted(map(tuple, many.collect()), key=repr) == sorted(map(tuple, D.scan(docs, bench, ["doc_id"]).collect()), key=repr)

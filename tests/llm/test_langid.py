@@ -60,3 +60,32 @@ def test_held_out_accuracy(spark):
     held = got.filter("held_out").select((F.col("lang") == F.col("lang_pred")).cast("int").alias("ok")).agg(F.avg("ok"), F.count("ok")).first()
     assert held[1] > 200 and held[0] >= 0.97
     assert got.filter("score < 0 or score > 1").count() == 0
+
+
+def test_text_unlike_anything_learned_scores_low(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("lang IN ('de', 'en')")
+    m = G.train(G.training_sample(docs, "doc_id", "text", "lang", 100))
+    strange = ["\u0397 \u03b3\u03c1\u03ae\u03b3\u03bf\u03c1\u03b7 \u03ba\u03b1\u03c6\u03ad \u03b1\u03bb\u03b5\u03c0\u03bf\u03cd",
+               "\u0421\u044a\u0435\u0448\u044c \u0436\u0435 \u0435\u0449\u0451 \u044d\u0442\u0438\u0445 \u043c\u044f\u0433\u043a\u0438\u0445 \u0431\u0443\u043b\u043e\u043a",
+               "xq zzkv wpfh qqjx vvkz bzzq xkcd wqpl jjxq kkvwz", "\u65e5\u672c\u8a9e\u306e\u6587\u7ae0\u3067\u3059"]
+    for lang, score, _ in G.label(strange, G.Words(m)):
+        assert lang in ("de", "en") and score < 0.4
+    clean = [(r.text, r.lang) for r in docs.collect()]
+    got = G.label([t for t, _ in clean], G.Words(m))
+    assert sum(g[1] >= 0.4 for g in got) >= 0.98 * len(got) and sum(g[0] == x for g, (_, x) in zip(got, clean)) >= 0.97 * len(got)
+
+
+def test_bounded_memory_changes_nothing(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    m = G.train(G.training_sample(docs, "doc_id", "text", "lang", 100))
+    texts = [r.text for r in docs.collect()]
+    want = G.label(texts, G.Words(m))
+    known = G.Words(m)
+    monkeypatch.setattr(G, "CELLS", 50)
+    assert [G.label([t], known if not known.full() else G.Words(m))[0] for t in texts] == want
+
+
+def test_clashing_names(spark, odd_docs):
+    d = odd_docs.withColumn("lang", F.lit("x")).withColumn("score", F.lit(1)).withColumn("__text", F.lit("y"))
+    out = G.identify(d, _model(spark), [F.col("doc_id"), F.col("`a.b`"), F.col("score").alias("kept"), F.col("__text")])
+    assert out.columns == ["doc_id", "a.b", "kept", "__text", "lang", "score", "spans"] and out.filter("kept = 1").count() == d.count()

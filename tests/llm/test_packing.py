@@ -31,8 +31,8 @@ def test_pack(spark, odd_docs, no_docs):
     rows = P.pack(d, max_len=32, n_buckets=3, budget=70).collect()
     total = Counter()
     for r in rows:
-        total[r.id] += r.n_tokens
-        assert r.start == 32 * r.piece and r.n_tokens <= r.bucket_len <= 32
+        total[r.id] += r.n_words
+        assert r.start == 32 * r.piece and r.n_words <= r.bucket_len <= 32
     assert total == Counter({i: len(t.split()) for i, t in texts}) + Counter() or all(
         total[i] == len(t.split()) for i, t in texts)
     assert {r.id for r in rows} == {i for i, _ in texts}
@@ -45,7 +45,7 @@ def test_pack(spark, odd_docs, no_docs):
     odd = P.pack(odd_docs, max_len=100)
     assert odd.select("id").distinct().count() == odd_docs.select("doc_id").distinct().count()
     words = lambda t: len((t or "").split())
-    assert odd.agg(F.sum("n_tokens")).first()[0] == sum(words(r.text) for r in odd_docs.collect())
+    assert odd.agg(F.sum("n_words")).first()[0] == sum(words(r.text) for r in odd_docs.collect())
 
 
 def test_token_batches_hold_the_budget_in_tokens(spark, tmp_path):
@@ -60,7 +60,7 @@ def test_token_batches_hold_the_budget_in_tokens(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     want = {i: len(tok.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
     assert want[0] > P.MAX_LEN
-    for rows in (registry.op3_token_buckets(spark, str(tmp_path)).collect(), CP.pack_token_batches(spark, docs, "").collect()):
+    for rows in (registry.op3_length_buckets(spark, str(tmp_path)).collect(), CP.pack_batches(spark, docs, "").collect()):
         total, batches = Counter(), Counter()
         for r in rows:
             total[r.doc_id] += r.n_tokens
@@ -68,3 +68,18 @@ def test_token_batches_hold_the_budget_in_tokens(spark, tmp_path):
             assert r.start == P.MAX_LEN * r.piece and r.n_tokens <= r.bucket_len <= P.MAX_LEN
         assert dict(total) == want and max(batches.values()) <= P.BUDGET
     assert "pipeline_tokens" in entry.queries()
+
+
+def test_token_slots_match_the_sql_over_their_lengths(spark, sf):
+    """DuckDB cannot count tokens, but it can pack the counts."""
+    import duckdb
+    from rankspark.llm import registry, token_cache
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    lengths = token_cache.lengths(docs, registry.tokenizer_definition()).toPandas().rename(columns={"id": "doc_id", "n_tokens": "n"})
+    con = duckdb.connect()
+    con.register("lengths", lengths)
+    rows = registry.op3_length_buckets(spark, sf)
+    cols = rows.columns
+    want = con.sql(f"SELECT {', '.join(cols)} FROM ({registry.op3_sql('SELECT doc_id, n::BIGINT AS n FROM lengths', 'n_tokens')})").fetchall()
+    assert sorted(map(tuple, rows.collect())) == sorted(want)

@@ -2,7 +2,8 @@ import re
 from collections import Counter
 
 import corpus_pipeline as CP
-from rankspark.llm import pii
+from tokenizers import Tokenizer
+from rankspark.llm import packing, pii, registry
 from rankspark.llm.common import written
 
 from test_decontaminate import brute as windows_hit
@@ -34,11 +35,14 @@ def test_stages_against_brute_force(spark, sf):
     assert all(not pii.base_spans(r.text) and r.n_chars == len(r.text) for r in masked)
     same = {r.doc_id: r.text for r in masked}
     assert all(same[i] == t for i, t in text.items() if not re.search("[0-9@]", t))
-    # 3: every word of every document is packed once.
-    total = Counter()
+    # 3: every token of every document is packed once, and no batch holds more than the budget.
+    total, batches = Counter(), Counter()
     for r in packed:
         total[r.doc_id] += r.n_tokens
-    assert dict(total) == {r.doc_id: len([w for w in re.split(r"[\x20\x09-\x0D]+", r.text) if w]) for r in masked}
+        batches[r.bucket, r.batch] += r.bucket_len
+    tok = Tokenizer.from_str(registry.tokenizer_definition())
+    assert dict(total) == {r.doc_id: len(tok.encode(r.text, add_special_tokens=False).ids) for r in masked}
+    assert max(batches.values()) <= packing.BUDGET
 
 
 def test_run_is_the_stages(spark, sf):

@@ -61,3 +61,40 @@ def test_clean_documents_stay(spark, sf):
     good = book.join(spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1"), book.id == spark.read.parquet(f"{sf}/labels.parquet").doc_id) \
         if False else book.join(spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1").withColumnRenamed("doc_id", "id"), "id")
     assert good.filter("n_words >= 20 and not kept").count() == 0
+
+
+def test_stored_ledger(spark, sf, tmp_path, odd_docs, no_docs):
+    path = f"file://{tmp_path}/ledger"
+    assert Q.read_ledger(spark, path) is None
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    half = docs.filter("doc_id % 2 = 0")
+    assert Q.update_ledger(half, path).count() == half.count()
+    whole = Q.update_ledger(docs, path)
+    assert sorted(whole.drop("digest").select(Q.ledger(docs).columns).collect()) == sorted(Q.ledger(docs).collect())
+    files = len(whole.inputFiles())
+    assert Q.update_ledger(docs, path).count() == docs.count() and files > 0  # nothing to add
+    # A known text under a new id takes its measurements over; a new text under a known id is measured.
+    more = docs.filter("doc_id = 4").selectExpr("doc_id + 100000 doc_id", "text").unionByName(docs.filter("doc_id = 5").selectExpr("doc_id", "'new text' text"))
+    grown = Q.update_ledger(more, path)
+    assert grown.count() == docs.count() + 2
+    a, b = (grown.filter(f"id = {i}").drop("id").first() for i in (4, 100004))
+    assert a == b and grown.filter("id = 5").count() == 2
+    # Policies and ablations of the stored ledger touch no document.
+    out = Q.ablations(grown, list(Q.POLICIES.values()))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" not in plan and "text" not in plan
+    odd = f"file://{tmp_path}/odd"
+    clashing = odd_docs.withColumnRenamed("fp", "failed").withColumnRenamed("component", "digest")
+    assert Q.update_ledger(no_docs, odd).count() == 0
+    assert Q.update_ledger(clashing, odd).count() == odd_docs.count()
+    assert Q.update_ledger(clashing, odd).count() == odd_docs.count()
+    assert Q.rules_version() in Q.read_ledger(spark, odd).inputFiles()[0]
+
+
+def test_other_rules_have_a_ledger_of_their_own(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/ledger"
+    d = spark.createDataFrame([(1, "a text")], "doc_id long, text string")
+    Q.update_ledger(d, path)
+    monkeypatch.setitem(Q.RULES, "min_words", "n_words < 1")
+    assert Q.read_ledger(spark, path) is None
+    assert [r.failed & 1 for r in Q.update_ledger(d, path).collect()] == [0]

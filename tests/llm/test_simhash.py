@@ -129,3 +129,13 @@ def test_keep_one_with_repeated_and_null_ids(spark):
     assert {(2, 1), (3, 1), (5, 4)} <= one
     same = spark.createDataFrame([(7, "A b c"), (7, "a B c"), (7, "a b c")], "doc_id long, text string")
     assert [r.text for r in S.keep_one(same.repartition(3)).collect()] == ["A b c"]
+
+
+def test_keep_one_with_clashing_names(spark):
+    text = "one two three four five six seven"
+    d = spark.createDataFrame([(1, text), (1, text), (2, text), (None, text), (None, "alone a b c"), (None, "alone a b c")], "doc_id long, text string")
+    for c in ("__fp", "__id", "__row", "__known", "id", "fp", "row", "c0", "a.b"):
+        d = d.withColumn(c, F.lit("x"))
+    got = S.keep_one(d)
+    assert got.columns == d.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == [(1, text), (None, "alone a b c")]
