@@ -11,14 +11,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankspark.llm import decontaminate, langid, packing, pii, registry, simhash
+from rankspark.llm import decontaminate, langid, pii, registry, simhash
 from rankspark.llm.common import named, table, written
 
 MIN_SHARE = 0.4
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter and those of which no language holds MIN_SHARE of the letters."""
+    """Rejects texts without a letter and those of which no learned language holds MIN_SHARE of the letters: mixtures,
+    and texts in a script or of words unlike anything learned, which count for no language."""
     model = langid.train(langid.training_sample(docs, "doc_id", "text", "lang", langid.SAMPLE_DOCS))
     keys = [f"c{k}" for k in range(len(docs.columns))]
     found = langid.identify(docs, model, [named(c).alias(k) for c, k in zip(docs.columns, keys)], with_spans=False)
@@ -42,13 +43,12 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, piece, start, n_tokens, bucket, bucket_len, batch, slot) of every piece, lengths in words."""
-    return packing.pack(docs).withColumnRenamed("id", "doc_id")
+    """(doc_id, piece, start, n_tokens, bucket, bucket_len, batch, slot) of every piece, lengths in tokens, so that a
+    batch holds at most the budget of them."""
+    return registry.pack_tokens(docs)
 
 
-def pack_token_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same columns with lengths in tokens, so that a batch holds at most the budget of them."""
-    return registry.pack_tokens(docs)
+pack_token_batches = pack_batches
 
 
 def _counted(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -67,19 +67,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _through(STAGES, spark, sf_dir)
-
-
-def run_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pipeline with its batches packed by tokens."""
-    return _through([*STAGES[:-1], ("token_packing", pack_token_batches)], spark, sf_dir)
-
-
-def _through(stages: list, spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in stages[:-1]:
+    for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return stages[-1][1](spark, docs, sf_dir)
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+#: The same pipeline under its earlier name.
+run_tokens = run
 
 
 #: The language, fingerprint and model stages cannot be said in SQL; tests hold run() against brute force.
