@@ -10,6 +10,7 @@ run starts), so building postings needs no shuffle.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,14 +48,18 @@ def s_stem(term: Column) -> Column:
     """The 'S' stemmer (Harman, 1991): plural endings only.
 
     ies -> y unless eies/aies; es -> e unless aes/ees/oes; s -> '' unless us/ss.
+    Endings are compared as strings; no pattern is run on the tokens.
     """
+    def ends(*tails: str) -> Column:
+        return reduce(lambda a, b: a | b, [F.endswith(term, F.lit(t)) for t in tails])
+
+    def cut(n: int) -> Column:
+        return F.substr(term, F.lit(1), F.char_length(term) - n)
+
     return (
-        F.when(term.rlike("ies$") & ~term.rlike("[ea]ies$"),
-               F.regexp_replace(term, "ies$", "y"))
-        .when(term.rlike("es$") & ~term.rlike("[aeo]es$"),
-              F.regexp_replace(term, "es$", "e"))
-        .when(term.rlike("s$") & ~term.rlike("[us]s$"),
-              F.regexp_replace(term, "s$", ""))
+        F.when(ends("ies") & ~ends("eies", "aies"), F.concat(cut(3), F.lit("y")))
+        .when(ends("es") & ~ends("aes", "ees", "oes"), cut(1))
+        .when(ends("s") & ~ends("us", "ss"), cut(1))
         .otherwise(term)
     )
 

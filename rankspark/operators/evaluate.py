@@ -224,3 +224,16 @@ def evaluate(run: DataFrame, qrels: DataFrame, check: bool = True) -> tuple[Data
     """(per-topic measures, summary (ord, name, value))."""
     by_topic = materialize(evaluate_by_topic(run, qrels, check), "by-topic")
     return by_topic, summary(by_topic)
+
+
+def relevance_strings(run: DataFrame, qrels: DataFrame, first: int = 10) -> DataFrame:
+    """(topic_id, relstring_<first>): one character for each of the first documents of a topic.
+
+    A grade of one digit stands as it is, a higher one as ``>``, one below 0 as
+    ``<`` and a document without judgement as ``-``. At most ``first`` characters a topic.
+    """
+    top = judged_run(run, qrels).filter(F.col("pos") <= first)
+    rel = F.col("rel").cast("int")
+    sign = F.when(F.col("rel").isNull(), "-").when(rel < 0, "<").when(rel > 9, ">").otherwise(rel.cast("string"))
+    signs = F.array_sort(F.collect_list(F.struct("pos", sign.alias("sign"))))
+    return top.groupBy("topic_id").agg(F.array_join(F.transform(signs, lambda s: s["sign"]), "").alias(f"relstring_{first}"))

@@ -40,7 +40,7 @@ from dataclasses import dataclass, field as dc_field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankspark.functions.analysis import DEFAULT, Analyzer, counted
+from rankspark.functions.analysis import DEFAULT, Analyzer, counted, s_stem
 from rankspark.operators import versions
 from rankspark.operators.clustered import MAX_KEYS, file_ranges, files_for, files_holding, write_clustered
 from rankspark.session import materialize, scratch_path
@@ -423,16 +423,15 @@ def forward_index(index: Index) -> DataFrame:
             .agg(F.array_sort(F.collect_list(F.struct("term", "tf"))).alias("entries")))
 
 
-def term_ids(lexicon: DataFrame, field_name: str) -> DataFrame:
-    """Dense 0-based term ids in term order (E8), without a single-task window.
+def _numbered(terms: DataFrame) -> DataFrame:
+    """(term, term_id): dense 0-based numbers of distinct terms in their order, without a single-task window.
 
     Range-partition and sort by term, write that to the shared checkpoint
     folder with each row's partition and position (a range exchange evaluated
     twice need not cut at the same terms), count rows per partition, turn the
     counts (one row per partition, so bounded) into offsets and add them up.
     """
-    ranged = materialize(lexicon.filter(F.col("field") == field_name).select("term")
-                         .repartitionByRange("term").sortWithinPartitions("term")
+    ranged = materialize(terms.select("term").repartitionByRange("term").sortWithinPartitions("term")
                          .select("term", F.spark_partition_id().alias("pid"),
                                  F.monotonically_increasing_id().alias("mid")), "term-ids")
     counts = ranged.groupBy("pid").agg(F.count(F.lit(1)).alias("cnt"),
@@ -443,3 +442,59 @@ def term_ids(lexicon: DataFrame, field_name: str) -> DataFrame:
     return (ranged.join(F.broadcast(offsets), "pid")
             .select("term", (F.col("offset") + F.col("mid") - F.col("first_mid"))
                     .cast("bigint").alias("term_id")))
+
+
+def term_ids(lexicon: DataFrame, field_name: str) -> DataFrame:
+    """Dense 0-based term ids in term order."""
+    return _numbered(lexicon.filter(F.col("field") == field_name))
+
+
+def merge_term_ids(first: DataFrame, second: DataFrame, keep_first: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Two dictionaries (term, term_id) put together: (merged dictionary, map of the first's ids, map of the second's).
+
+    The maps are (old_id, new_id). Ids are dense in term order over both; with
+    ``keep_first`` the first side's ids stay (its lists need no change) and the
+    second's own terms are numbered after them.
+    """
+    if keep_first:
+        own = _numbered(second.join(first, "term", "left_anti"))
+        merged = first.select("term", "term_id").unionByName(own.withColumn("term_id", F.col("term_id") + F.lit(first.count())))
+    else:
+        merged = _numbered(first.select("term").unionByName(second.select("term")).distinct())
+    new = merged.withColumnRenamed("term_id", "new_id")
+    maps = [d.select("term", F.col("term_id").alias("old_id")).join(new, "term").select("old_id", "new_id") for d in (first, second)]
+    return merged, *maps
+
+
+def forward_by_ids(forward: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, field, entries array<struct<term_id, tf>>): a direct index whose lists hold term ids, in their order."""
+    rows = forward.select("doc_id", "field", F.inline("entries"))
+    return _lists(rows.join(ids.select("term", "term_id"), "term"))
+
+
+def remap_forward(forward: DataFrame, old_to_new: DataFrame) -> DataFrame:
+    """The lists of ``forward_by_ids`` under new ids, each sorted again."""
+    rows = forward.select("doc_id", "field", F.inline("entries")).withColumnRenamed("term_id", "old_id")
+    return _lists(rows.join(old_to_new, "old_id").withColumnRenamed("new_id", "term_id"))
+
+
+def _lists(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("doc_id", "field").agg(F.array_sort(F.collect_list(F.struct("term_id", "tf"))).alias("entries"))
+
+
+def stem_map(lexicon: DataFrame) -> DataFrame:
+    """(term, stem) over the distinct terms of a lexicon."""
+    return lexicon.select("term").distinct().select("term", s_stem(F.col("term")).alias("stem"))
+
+
+def stemmed_index(index: Index) -> Index:
+    """The index under the stemming pipeline, from one without: each distinct term is stemmed once and the postings
+    of terms with one stem are added up. Texts are not read again; lengths and collection statistics stay.
+    """
+    if index.analyzer.stem:
+        return index
+    postings = (index.postings.select(*_POSTING).join(stem_map(index.lexicon), "term")
+                .groupBy("field", F.col("stem").alias("term"), "doc_id").agg(F.sum("tf").cast("int").alias("tf"), F.first("dl").alias("dl"))
+                .select(*_POSTING))
+    return Index(postings, index.doclen, lexicon_of(postings), index.stats, index.fields, index.doc_field,
+                 Analyzer(index.analyzer.stop_words, True))

@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 
 from rankspark.functions.analysis import query_terms
 from rankspark.functions.models import DEFAULT_K, contribution, contribution_bounds
+from rankspark.operators.clustered import MAX_KEYS
 from rankspark.operators.guards import BROADCAST_MAX_ROWS, checked_broadcast
 from rankspark.operators.index import Index
+from rankspark.operators.store import Store
 from rankspark.session import materialize
 
 SCORE_DECIMALS = 6
@@ -183,32 +185,44 @@ def match_all(articles: DataFrame, id_col: str = "id") -> DataFrame:
     return articles.select(F.col(id_col).alias("doc_id"), F.lit(1.0).alias("score"))
 
 
-def lookup(articles: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
+def lookup(articles: DataFrame | Store, ids: DataFrame, id_col: str = "id") -> DataFrame:
     """The stored articles of ``ids`` (column ``id_col``); an id without article fails.
 
-    The ids are counted and broadcast under the bound, so the articles are
-    read where they lie; beyond it both sides are shuffled.
+    One read of the articles gives what is found, kept in the shared folder,
+    and with it what is missing. The ids are counted and broadcast under the
+    bound, so the articles are read where they lie (of a store only the files
+    and row groups that can hold them); beyond it both sides are shuffled.
     """
-    wanted, _ = checked_broadcast(ids.select(id_col).distinct())
-    found = articles.join(wanted, id_col, "left_semi")
+    wanted, rows = checked_broadcast(ids.select(id_col).distinct())
+    found = materialize(_stored(articles, wanted, rows, id_col).join(wanted, id_col, "left_semi"), "found")
     _all_stored(wanted, found, id_col)
     return found
 
 
+def _stored(articles: DataFrame | Store, wanted: DataFrame, rows: int, id_col: str) -> DataFrame:
+    if isinstance(articles, DataFrame):
+        return articles
+    known = [r[0] for r in wanted.select(id_col).distinct().collect()] if rows <= MAX_KEYS else None
+    return articles.holding(known)
+
+
 def _all_stored(wanted: DataFrame, found: DataFrame, id_col: str) -> None:
     missing = wanted.select(id_col).join(found.select(id_col), id_col, "left_anti").first()
     if missing:
         raise LookupError(f"no stored article {missing[0]}")
 
 
-def enrich(run: DataFrame, articles: DataFrame, id_col: str = "id", check: bool = True) -> DataFrame:
+def enrich(run: DataFrame, articles: DataFrame | Store, id_col: str = "id", check: bool = True) -> DataFrame:
     """Attach the stored article to each hit (F4); a missing article fails.
 
     Done after top-k: the run (at most k rows per topic) is counted and
-    broadcast under the bound, so articles are not shuffled for it.
+    broadcast under the bound, so articles are not shuffled for it. They are
+    read once: the hits with their articles are kept in the shared folder.
     """
-    hits, _ = checked_broadcast(run)
-    stored = articles.withColumnRenamed(id_col, "doc_id")
-    if check:
-        _all_stored(hits.select("doc_id").distinct(), stored.join(hits, "doc_id", "left_semi"), "doc_id")
-    return stored.join(hits, "doc_id")
+    hits, rows = checked_broadcast(run)
+    stored = _stored(articles, hits.select(F.col("doc_id").alias(id_col)), rows, id_col).withColumnRenamed(id_col, "doc_id")
+    if not check:
+        return stored.join(hits, "doc_id")
+    found = materialize(stored.join(hits, "doc_id"), "enriched")
+    _all_stored(hits.select("doc_id").distinct(), found, "doc_id")
+    return found

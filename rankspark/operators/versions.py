@@ -25,13 +25,14 @@ class Conflict(RuntimeError):
     """Another writer published the version first."""
 
 
-def _fs(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path for it."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
 def _read(spark: SparkSession, path: str) -> dict:
-    fs, p = _fs(spark, path)
+    fs, p = file_system(spark, path)
     stream = fs.open(p)
     try:
         return json.loads(bytes(stream.readAllBytes()).decode())
@@ -41,7 +42,7 @@ def _read(spark: SparkSession, path: str) -> dict:
 
 def _numbers(spark: SparkSession, base: str) -> dict[int, int]:
     """Published number -> time of publishing (ms)."""
-    fs, p = _fs(spark, f"{base}/versions")
+    fs, p = file_system(spark, f"{base}/versions")
     if not fs.exists(p):
         return {}
     return {int(s.getPath().getName()): s.getModificationTime() for s in fs.listStatus(p) if s.getPath().getName().isdigit()}
@@ -59,7 +60,7 @@ def latest(spark: SparkSession, base: str) -> tuple[int, dict | None]:
 
 def version(spark: SparkSession, base: str, number: int) -> tuple[int, dict | None]:
     """(number, manifest) of one version, (number, None) if there is none."""
-    fs, p = _fs(spark, _folder(base, number))
+    fs, p = file_system(spark, _folder(base, number))
     return number, _read(spark, f"{_folder(base, number)}/manifest.json") if fs.exists(p) else None
 
 
@@ -67,14 +68,14 @@ def publish(spark: SparkSession, base: str, number: int, manifest: dict) -> None
     """Make ``manifest`` version ``number``, or raise ``Conflict`` where that number is taken."""
     writer = uuid.uuid4().hex
     staging, target = f"{base}/staging-{writer}", _folder(base, number)
-    fs, p = _fs(spark, f"{staging}/manifest.json")
+    fs, p = file_system(spark, f"{staging}/manifest.json")
     stream = fs.create(p, False)
     try:
         stream.write(json.dumps({**manifest, "writer": writer}).encode())
     finally:
         stream.close()
-    fs.mkdirs(_fs(spark, f"{base}/versions")[1])
-    source, goal = _fs(spark, staging)[1], _fs(spark, target)[1]
+    fs.mkdirs(file_system(spark, f"{base}/versions")[1])
+    source, goal = file_system(spark, staging)[1], file_system(spark, target)[1]
     if not fs.exists(goal):
         try:
             fs.rename(source, goal)
@@ -82,7 +83,7 @@ def publish(spark: SparkSession, base: str, number: int, manifest: dict) -> None
             if not fs.exists(goal):
                 raise
     if not fs.exists(goal) or _read(spark, f"{target}/manifest.json")["writer"] != writer:
-        for left in (source, _fs(spark, f"{target}/staging-{writer}")[1]):
+        for left in (source, file_system(spark, f"{target}/staging-{writer}")[1]):
             fs.delete(left, True)
         raise Conflict(f"version {number} of {base} was published by another writer")
 
@@ -94,7 +95,7 @@ def remove_old(spark: SparkSession, base: str, grace_s: float, parts: str, used)
     Returns what was deleted. Readers that opened a version may work on it for the grace time.
     """
     limit = time.time() * 1000 - grace_s * 1000
-    fs = _fs(spark, base)[0]
+    fs = file_system(spark, base)[0]
     numbers = _numbers(spark, base)
     order, gone = sorted(numbers), []
     for number, follower in zip(order, order[1:]):
@@ -102,12 +103,12 @@ def remove_old(spark: SparkSession, base: str, grace_s: float, parts: str, used)
             gone.append(_folder(base, number))
             order = [k for k in order if k != number]
     named = {x for k in order for x in used(_read(spark, f"{_folder(base, k)}/manifest.json"))}
-    p = _fs(spark, f"{base}/{parts}")[1]
+    p = file_system(spark, f"{base}/{parts}")[1]
     if fs.exists(p):
         for s in fs.listStatus(p):
             name = s.getPath().getName()
             if name not in named and s.getModificationTime() <= limit:  # unnamed and new: a writer is at work on it
                 gone.append(f"{base}/{parts}/{name}")
     for path in gone:
-        fs.delete(_fs(spark, path)[1], True)
+        fs.delete(file_system(spark, path)[1], True)
     return gone

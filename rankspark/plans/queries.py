@@ -16,10 +16,11 @@ from rankspark.functions.analysis import DEFAULT, ENGLISH_STOP_WORDS, PIPELINE,
 from rankspark.functions.models import register_model, tf_idf
 from rankspark.functions.text import ARTICLE_FIELDS, article_fields, topic_text
 from rankspark.operators import evaluate as E
-from rankspark.operators.index import (Index, add_documents, build_index, forward_index, merge_index, read_index, term_ids,
-                                       write_index)
+from rankspark.operators.index import (Index, add_documents, build_index, forward_by_ids, forward_index, merge_index,
+                                       merge_term_ids, read_index, remap_forward, stem_map, stemmed_index, term_ids, write_index)
 from rankspark.operators.ingest import append_articles, insert_if_absent
 from rankspark.operators.search import candidates, enrich, lookup, match_all, query_statistics, search, search_fused
+from rankspark.operators.store import Store, read_store, write_store
 from rankspark.plans import oracle as O
 from rankspark.plans import testbed as T
 from rankspark.plans.requests import Engines, Options, evaluate_topics, find, run_for
@@ -69,6 +70,16 @@ def stored(spark: SparkSession, sf_dir: str, kind: str, analyzer: Analyzer = DEF
     return read_index(spark, _STORED[key])
 
 
+def article_store(spark: SparkSession, sf_dir: str) -> Store:
+    """The articles of a data folder clustered by id, written once per session, then opened."""
+    key = (spark.sparkContext.applicationId, sf_dir, "store")
+    if key not in _STORED:
+        path = scratch_path(spark, "articles")
+        write_store(T.articles_view(spark, sf_dir), path)
+        _STORED[key] = path
+    return read_store(spark, _STORED[key])
+
+
 def topic_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topic_text(T.topics_all(spark, sf_dir))
 
@@ -141,6 +152,26 @@ for _name, _kind, _model, _mode, _k in (
         _topk(_kind, topic_queries if _kind == "articles" else T.free_text_queries, _model, _mode, _k))
 
 
+@register("run_bm25_doc_stem_map", ORACLE["run_bm25_doc_pipeline"])
+def run_bm25_doc_stem_map(spark, sf_dir):
+    """The same run over an index stemmed through the map of its distinct terms, not token by token."""
+    plain = stored(spark, sf_dir, "articles", Analyzer(stop_words=ENGLISH_STOP_WORDS))
+    return search(stemmed_index(plain), topic_queries(spark, sf_dir), "bm25_doc", "document", 20)
+
+
+def _dispatched(name: str, kind: str, queries, options: Options, sql: str):
+    @register(name, sql)
+    def q(spark, sf_dir):
+        """Algorithm and engine of a request through the dispatch."""
+        return run_for(stored(spark, sf_dir, kind), queries(spark, sf_dir), options)
+
+
+_dispatched("request_dfr_fieldmax", "articles", topic_queries, Options("DFR", "ELASTICSEARCH"), ORACLE["run_dfr_fieldmax"])
+_dispatched("request_fusion_doc", "articles", topic_queries, Options("BM25_PLUS_DFR", "TERRIER"),
+            "WITH " + O.fused_cte_sql("articles", O.TOPIC_QUERIES, "bm25_doc", "bb2", "document", 20) + "\n"
+            + O.RUN_SELECT.format(src="x_fused"))
+
+
 # The explorer script's parameter sets: b=0 with k1=0.9.
 BM25_NO_LENGTH = {"k1": 0.9, "b": 0.0}
 
@@ -283,6 +314,15 @@ def eval_topics(spark, sf_dir):
             .join(qrels.select("topic_id").distinct(), "topic_id", "left_semi"))
 
 
+@register("eval_relstring", EVAL_CTES + """
+SELECT topic_id, string_agg(CASE WHEN rel IS NULL THEN '-' WHEN rel < 0 THEN '<' WHEN rel > 9 THEN '>' ELSE rel::INTEGER::VARCHAR END,
+                            '' ORDER BY pos) AS relstring_10
+FROM e_base WHERE pos <= 10 GROUP BY topic_id""")
+def eval_relstring(spark, sf_dir):
+    """The grades of the first ten documents of each topic as one string."""
+    return E.relevance_strings(*eval_inputs(spark, sf_dir))
+
+
 @register("qrels_view", O.QRELS)
 def qrels_view(spark, sf_dir):
     return T.qrels_view(spark, sf_dir)
@@ -343,7 +383,7 @@ def topics_subset_q(spark, sf_dir):
 def doc_lookup(spark, sf_dir):
     """Stored articles by id (ids from the labels table), whole; an unknown id fails."""
     ids = T.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))
-    return flat_articles(lookup(T.articles_view(spark, sf_dir), ids))
+    return flat_articles(lookup(article_store(spark, sf_dir), ids))
 
 
 @register("xml_roundtrip", ART_FLAT_SQL)
@@ -373,18 +413,33 @@ def json_roundtrip(spark, sf_dir):
     return flat_articles(S.from_json_documents(S.to_json_documents(T.articles_view(spark, sf_dir))))
 
 
-@register("insert_if_absent", "SELECT doc_id AS id, CASE WHEN lang = 'en' THEN 'existing' ELSE 'inserted' END AS origin "
-                              "FROM documents")
+@register("insert_if_absent", "SELECT doc_id AS id, CASE WHEN lang = 'en' THEN 'existing' ELSE 'inserted' END AS origin, "
+                              "CASE WHEN lang = 'en' THEN 0 ELSE doc_id % 3 + 1 END::INTEGER AS copy FROM documents")
 def insert_if_absent_q(spark, sf_dir):
-    """existing = English articles; batch = every article; only new ids are added."""
-    arts = T.articles_view(spark, sf_dir)
+    """existing = English articles; a batch of three copies of every article, of which the first in the batch's
+    order counts; only new ids are added, and a second call of the same batch adds none."""
     docs = T.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang")
-    existing = arts.join(docs.filter(F.col("lang") == "en"), "id", "left_semi")
+    existing = docs.filter(F.col("lang") == "en").select("id", F.lit(0).alias("copy"))
     path = scratch_path(spark, "inserted")
-    append_articles(existing, arts.unionByName(arts), path, "id", order_col="title")  # every id twice: the first counts
+    # Copy k of an id stands at place (k - 1 - id) mod 3: copy id % 3 + 1 comes first.
+    batch = docs.select("id", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("copy"))
+    batch = batch.withColumn("place", F.pmod(F.col("copy") - 1 - F.col("id"), F.lit(3)))
+    for _ in range(2):
+        append_articles(existing, batch, path, "id", order_col="place", batch_key="0001")
     new = spark.read.parquet(path)
-    return (existing.select("id", F.lit("existing").alias("origin"))
-            .unionByName(new.select("id", F.lit("inserted").alias("origin"))))
+    return (existing.select("id", F.lit("existing").alias("origin"), "copy")
+            .unionByName(new.select("id", F.lit("inserted").alias("origin"), "copy")))
+
+
+@register("corpus_files", ART_FLAT_SQL)
+def corpus_files(spark, sf_dir):
+    """A1/A2: a corpus folder of plain and gzip files, listed and read file by file in the order of their paths."""
+    path = scratch_path(spark, "corpus")
+    arts = T.articles_view(spark, sf_dir)
+    for k, codec in enumerate(("none", "gzip")):
+        C.write_articles_xml(arts.filter(F.pmod(F.coalesce("id", F.lit(0)), F.lit(2)) == k), f"{path}/part={k}", codec)
+    files = C.list_corpus_files(spark, path)
+    return flat_articles(C.read_articles(spark, path, max_files=len(files)))
 
 
 # ---------------------------------------------------------------- analysis
@@ -416,6 +471,13 @@ def lexicon_stemmed(spark, sf_dir):
     return doc_index(spark, sf_dir, analyzer=PIPELINE).lexicon.select("term", "df", "cf")
 
 
+@register("stem_map", "WITH " + O.index_ctes(O.DOCS_WIDE, ("text",), None) + f"""
+SELECT term, {O.sql_s_stem('term')} AS stem FROM x_lex""")
+def stem_map_q(spark, sf_dir):
+    """The stem of every distinct term."""
+    return stem_map(stored(spark, sf_dir, "docs").lexicon)
+
+
 @register("query_terms", f"""SELECT topic_id, term, count(*)::INTEGER AS qtf
 FROM (SELECT topic_id::INTEGER AS topic_id, unnest({O.tokens('text')}) AS term FROM ({O.TOPIC_QUERIES}))
 GROUP BY topic_id, term""")
@@ -568,6 +630,39 @@ def _entry_lines(fwd: DataFrame) -> DataFrame:
                      " ").alias("entries"))
 
 
+def _id_lines(forward: DataFrame) -> DataFrame:
+    pairs = F.transform("entries", lambda e: F.concat(e["term_id"].cast("string"), F.lit(":"), e["tf"].cast("string")))
+    return forward.select("doc_id", "field", F.array_join(pairs, " ").alias("entries"))
+
+
+def _merged_by_ids(spark, sf_dir, keep_first: bool) -> DataFrame:
+    docs = T.table(spark, sf_dir, "documents")
+    en = F.coalesce(F.col("lang"), F.lit("")) == "en"
+    sides = [build_index(docs.filter(x), ("text",)) for x in (en, ~en)]
+    ids = [term_ids(i.lexicon, "text") for i in sides]
+    lists = [forward_by_ids(forward_index(i), d) for i, d in zip(sides, ids)]
+    _, *maps = merge_term_ids(*ids, keep_first)
+    return _id_lines(remap_forward(lists[0], maps[0]).unionByName(remap_forward(lists[1], maps[1])))
+
+
+@register("merge_term_ids", DOCS_IDX + """,
+ids AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS id FROM x_lex)
+SELECT doc_id, field, string_agg(id || ':' || tf, ' ' ORDER BY id) AS entries FROM x_post JOIN ids USING (term) GROUP BY doc_id, field""")
+def merge_term_ids_q(spark, sf_dir):
+    """Two direct indexes with dense ids of their own merged: one dictionary, both sides' lists under its ids."""
+    return _merged_by_ids(spark, sf_dir, False)
+
+
+@register("merge_term_ids_kept", DOCS_IDX + """,
+en AS (SELECT doc_id FROM documents WHERE lang = 'en'),
+side AS (SELECT term, max((doc_id IN (SELECT doc_id FROM en))::INTEGER) AS mine FROM x_post GROUP BY term),
+ids AS (SELECT term, row_number() OVER (ORDER BY mine DESC, term) - 1 AS id FROM side)
+SELECT doc_id, field, string_agg(id || ':' || tf, ' ' ORDER BY id) AS entries FROM x_post JOIN ids USING (term) GROUP BY doc_id, field""")
+def merge_term_ids_kept(spark, sf_dir):
+    """E8 with the first side's ids kept: the second side's own terms are numbered after them."""
+    return _merged_by_ids(spark, sf_dir, True)
+
+
 @register("match_candidates", DOCS_IDX + f""",
 q AS (SELECT topic_id, term, count(*)::INTEGER AS qtf
       FROM (SELECT topic_id::INTEGER AS topic_id, unnest({O.tokens('text')}) AS term FROM ({O.TOPIC_QUERIES}))
@@ -597,7 +692,7 @@ SELECT r.topic_id::INTEGER AS topic_id, r.doc_id::BIGINT AS doc_id, r.rank::INTE
 FROM x_run r JOIN a ON a.id = r.doc_id""")
 def run_enriched(spark, sf_dir):
     """each ranked hit with its whole stored article (after top-k); a missing article fails."""
-    out = enrich(run_bm25_doc(spark, sf_dir), T.articles_view(spark, sf_dir))
+    out = enrich(run_bm25_doc(spark, sf_dir), article_store(spark, sf_dir))
     return out.select("topic_id", "doc_id", "rank", "score", "title", "abstract",
                       F.array_join("keywords", "|").alias("keywords"), _mesh("meshHeadings").alias("mesh"))
 
@@ -610,7 +705,7 @@ SELECT topic_id::INTEGER AS topic_id, count(*) AS n_docs,
 FROM x_run r JOIN a ON a.id = r.doc_id GROUP BY topic_id""")
 def response_nested(spark, sf_dir):
     """Per topic, the ranked documents with their whole articles (flattened for comparison)."""
-    nested = S.nested_response(run_bm25_doc(spark, sf_dir), T.articles_view(spark, sf_dir))
+    nested = S.nested_response(run_bm25_doc(spark, sf_dir), article_store(spark, sf_dir))
 
     def shown(d):
         a = d["article"]
@@ -621,6 +716,22 @@ def response_nested(spark, sf_dir):
                          F.array_join(F.transform("documents", shown), "\n").alias("documents"))
 
 
+@register("response_records", "WITH " + DOC_RUN_CTES + f""",
+t AS ({O.TOPICS})
+SELECT t.id AS topic_id, t.topic_set || '|' || t.id || '|' || t.disease || '|' || t.gene || '|' || t.treatment AS request,
+       'BM25/TERRIER' AS options, count(r.doc_id) AS n_docs, coalesce(string_agg(r.doc_id::VARCHAR, ' ' ORDER BY r.rank), '') AS ids
+FROM t LEFT JOIN x_run r ON r.topic_id = t.id GROUP BY ALL""")
+def response_records(spark, sf_dir):
+    """The whole record of each topic: what was asked, the options, and the documents (flattened for comparison)."""
+    topics = T.topics_all(spark, sf_dir)
+    out = S.response(run_bm25_doc(spark, sf_dir), article_store(spark, sf_dir), topics.withColumn("topic_id", F.col("id")),
+                     "BM25", "TERRIER")
+    ids = F.transform("documents", lambda d: d["article"]["doc_id"].cast("string"))
+    return out.select("topic_id", F.concat_ws("|", *[F.col("request")[c].cast("string") for c in ("topic_set", "id", "disease", "gene", "treatment")])
+                      .alias("request"), F.concat_ws("/", "options.algorithm", "options.engine").alias("options"),
+                      F.size("documents").cast("bigint").alias("n_docs"), F.array_join(ids, " ").alias("ids"))
+
+
 @register("run_lines", "WITH " + DOC_RUN_CTES + f"""
 SELECT printf('%d Q0 %d %d %.6f %s', topic_id, doc_id, rank, score, '{RUN_NAME}') AS line FROM x_run""")
 def run_lines_q(spark, sf_dir):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankspark.operators.search import enrich
+from rankspark.operators.store import Store
 
 ARTICLE_JSON_SCHEMA = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("title", T.StringType()),
@@ -67,18 +68,33 @@ def latex_report(summary: DataFrame) -> DataFrame:
     return summary.agg(F.concat(F.lit(LATEX_HEAD), body, F.lit(LATEX_TAIL)).alias("latex"))
 
 
-def nested_response(run: DataFrame, articles: DataFrame, id_col: str = "id") -> DataFrame:
+def nested_response(run: DataFrame, articles: DataFrame | Store, id_col: str = "id") -> DataFrame:
     """Per topic, its ranked documents as array<struct<rank, score, article>>.
 
     Built after top-k, so each topic's list is bounded by k; a hit without
     stored article fails.
     """
     hits = enrich(run, articles, id_col)
-    cols = ["doc_id", *[c for c in articles.columns if c != id_col]]
+    cols = ["doc_id", *[c for c in hits.columns if c not in (*run.columns, "doc_id")]]
     return hits.groupBy("topic_id").agg(F.array_sort(F.collect_list(
         F.struct("rank", "score", F.struct(*cols).alias("article")))).alias("documents"))
 
 
+def response(run: DataFrame, articles: DataFrame | Store, asked: DataFrame, algorithm: str, engine: str, id_col: str = "id") -> DataFrame:
+    """The whole response record, one row for each query or topic of ``asked``, without matches too.
+
+    ``asked``: topic_id and the columns that say what was asked (a query's text,
+    or a topic's set, id and parts), which become the struct ``request``. The
+    record is (topic_id, request, options struct<algorithm, engine>, documents).
+    """
+    nested = nested_response(run, articles, id_col)
+    said = asked.select("topic_id", F.struct(*[c for c in asked.columns if c != "topic_id"]).alias("request"))
+    empty = F.array().cast(nested.schema["documents"].dataType)
+    options = F.struct(F.lit(algorithm).alias("algorithm"), F.lit(engine).alias("engine"))
+    return said.join(nested, "topic_id", "left").select(
+        "topic_id", "request", options.alias("options"), F.coalesce("documents", empty).alias("documents"))
+
+
 def to_json_documents(articles: DataFrame) -> DataFrame:
     """Article -> JSON document."""
     return articles.select("id", F.to_json(F.struct("id", "title", "abstract", "keywords", "meshHeadings"))

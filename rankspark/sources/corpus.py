@@ -39,7 +39,7 @@ def list_corpus_files(spark: SparkSession, path: str, max_files: int = 0) -> lis
 
     Only file paths reach the driver (bounded by the listing itself).
     """
-    files = (spark.read.format("binaryFile").load(path).select("path").orderBy("path"))
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").orderBy("path"))
     if max_files > 0:
         files = files.limit(max_files)
     return [r["path"] for r in files.collect()]
@@ -83,8 +83,8 @@ def read_articles(spark: SparkSession, path: str, max_files: int = 0,
                       keywords.alias("keywords"), mesh.cast(MESH_TYPE).alias("meshHeadings"))
 
 
-def write_articles_xml(articles: DataFrame, path: str) -> None:
-    """Articles back to PubMed-style XML (one element per article)."""
+def write_articles_xml(articles: DataFrame, path: str, compression: str = "none") -> None:
+    """Articles back to PubMed-style XML (one element per article), plain or ``gzip``."""
     mc = F.struct(
         F.struct(F.col("id").alias("_VALUE")).alias("PMID"),
         F.struct(F.col("title").alias("ArticleTitle"),
@@ -95,7 +95,8 @@ def write_articles_xml(articles: DataFrame, path: str) -> None:
             F.array(m["name"]).alias("QualifierName"))).alias("MeshHeading")).alias("MeshHeadingList"),
     )
     (articles.select(mc.alias("MedlineCitation")).write.mode("overwrite").format("xml")
-     .option("rootTag", "PubmedArticleSet").option("rowTag", "PubmedArticle").save(path))
+     .option("rootTag", "PubmedArticleSet").option("rowTag", "PubmedArticle")
+     .option("compression", compression).save(path))
 
 
 TOPIC_SCHEMA = T.StructType([

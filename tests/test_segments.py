@@ -23,7 +23,7 @@ def ids_of(index):
 
 
 def size(spark, path):
-    fs, p = versions._fs(spark, path)
+    fs, p = versions.file_system(spark, path)
     return fs.getContentSummary(p).getLength()
 
 
@@ -79,7 +79,7 @@ def test_a_number_is_published_once(spark):
     assert len(won) == 1 and versions.latest(spark, base)[1]["k"] == won[0]
     with pytest.raises(versions.Conflict):
         versions.publish(spark, base, 1, {"k": 99})
-    fs, p = versions._fs(spark, base)
+    fs, p = versions.file_system(spark, base)
     assert [s.getPath().getName() for s in fs.listStatus(p)] == ["versions"]  # the losers left nothing
 
 
