@@ -468,7 +468,8 @@ def merge_term_ids(first: DataFrame, second: DataFrame, keep_first: bool = False
 
 def forward_by_ids(forward: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc_id, field, entries array<struct<term_id, tf>>): a direct index whose lists hold term ids, in their order."""
-    rows = forward.select("doc_id", "field", F.inline("entries"))
+    # inline_outer and a filter, as in _postings: a plain inline would have the counting run again for each element.
+    rows = forward.select("doc_id", "field", F.inline_outer("entries")).filter(F.col("term").isNotNull())
     return _lists(rows.join(ids.select("term", "term_id"), "term"))
 
 
