@@ -22,7 +22,9 @@ turns of one conversation meet only in the row that is their output.
 Defined results: null text and null role are empty; rows without a
 conversation id form one conversation (id null); repeated node ids of a conversation must be
 told apart by the caller (``chain`` numbers rows, so repeated turns follow
-each other); nodes on a cycle have no root and are on no path.
+each other); nodes on a cycle have no root and are on no path; a very long text
+is one turn like any other; an empty table gives no rows. Only the columns
+named above are read, so other columns don't matter.
 """
 
 from __future__ import annotations

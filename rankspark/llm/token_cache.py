@@ -16,7 +16,9 @@ space other than blanks and line feeds go to the library whole, as runs of
 mixed white space may be split in other ways.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; a null id
-stays null; repeated rows share one encoding; an empty table gives no rows.
+stays null; repeated rows share one encoding; a very long text is encoded
+whole, in pieces; an empty table gives no rows. Id and text are all that is
+read, so other columns don't matter.
 """
 
 from __future__ import annotations
