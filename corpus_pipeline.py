@@ -4,6 +4,12 @@ Every stage takes (spark, docs, sf_dir) and works on all that the one before
 kept; ``run`` writes each stage's result to the shared checkpoint folder and
 reads it back for the next. The first four return the columns of
 ``documents``; where a text changes, ``n_chars`` follows it.
+
+Defined results: null and empty texts, and those without a letter, go in the
+first stage; a row without id is treated like any other but never stands for a
+document with one; of repeated rows one stays; very long texts pass whole and
+are packed in pieces; ties are settled by the smallest id; an empty table gives
+no rows; other columns, whatever their names, pass as they are.
 """
 
 from __future__ import annotations
