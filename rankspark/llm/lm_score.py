@@ -24,8 +24,8 @@ order, down to the blocks, where they meet the documents, which are scored.
 With n blocks there are log n / log FAN levels of n groups each, so what is
 sent grows with the corpus (times the levels); a group gets FAN pieces of a
 FAN-th of a block, so none holds more than about a block; a frequent word is
-one entry a piece. Levels between are written to the shared folder. Nothing
-but sums goes to the driver. The marks are joined on the document id:
+one entry a piece. Levels between are written to the shared folder. Sums
+over the hashes of a group come down with the answers. Nothing goes to the driver. The marks are joined on the document id:
 broadcast when their counted number is under ``BROADCAST_ROWS``, else by
 shuffle.
 
@@ -53,7 +53,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from rankspark.llm.common import broadcast_if, named, prepare, written
+from rankspark.llm.common import broadcast_if, named, prepare
+from rankspark.session import scratch_path
 
 BLOCK_BYTES = 16 << 20
 FAN_BITS = 6
@@ -64,8 +65,9 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)  # 2**64 / golden ratio, odd
 #: A piece on its way up to the group (sup, prefix); it comes from the group (child, prefix without its last bits).
 PIECES = "sup long, prefix long, child long, keys binary, background binary, target binary"
 #: The answer on its way down to the group (sup, prefix), whose piece number ``part`` it is about.
-TOTALS = "sup long, prefix long, part int, crc long, background binary, target binary"
-SUMS = "vocabulary long, n_background long, n_target long"
+TOTALS = "sup long, prefix long, part int, crc long, background binary, target binary, " \
+         "vocabulary long, n_background long, n_target long"
+SUMS = ["vocabulary", "n_background", "n_target"]
 SCORES = "n_words long, target_loss double, background_loss double, score double"
 
 
@@ -150,12 +152,13 @@ def _block(rows: pa.Table) -> Block:
 
 
 def _pieces(keys: np.ndarray, counts: list[np.ndarray], sup: int, prefix: int, level: int, bits: int = FAN_BITS) -> pa.Table:
-    """What the group (sup, prefix) of a level sends up: a row for each of the next leading bits that it has."""
+    """What the group (sup, prefix) of a level sends up: a row for each value of the next leading bits."""
     part = (keys >> np.uint64(64 - bits * (level + 1))) & np.uint64((1 << bits) - 1)
     cuts = np.searchsorted(part, np.arange((1 << bits) + 1, dtype=np.uint64))
-    has = np.flatnonzero(np.diff(cuts))
+    has = np.arange(1 << bits)  # empty pieces too: their answers bring the sums of their hashes
+    begins = cuts[:-1][np.diff(cuts) > 0]
     steps = np.diff(keys, prepend=np.uint64(0))
-    steps[cuts[has]] = keys[cuts[has]]  # a piece starts anew
+    steps[begins] = keys[begins]  # a piece starts anew
     alike = [np.full(len(has), sup >> bits, np.int64), (prefix << bits) + has, np.full(len(has), sup, np.int64)]
     return pa.Table.from_arrays(
         [*map(pa.array, alike), *(pa.array([packed(c[cuts[k]:cuts[k + 1]]) for k in has], pa.binary()) for c in (steps, *counts))],
@@ -163,7 +166,7 @@ def _pieces(keys: np.ndarray, counts: list[np.ndarray], sup: int, prefix: int, l
 
 
 def block_counts(blocks: DataFrame, bits: int = FAN_BITS) -> DataFrame:
-    """The pieces of every block: distinct hashes with their counts, at most 2 ** bits rows each."""
+    """The pieces of every block: distinct hashes with their counts, 2 ** bits rows each."""
 
     def run(rows: pa.Table) -> pa.Table:
         own = _block(rows)
@@ -183,7 +186,7 @@ class _Group:
                                  len(self.distinct)).astype(np.int64) for name in ("background", "target")]
 
     def answers(self, rows: pa.Table, totals: list[np.ndarray], bits: int = FAN_BITS) -> list[pa.Array]:
-        """The columns of TOTALS: for every piece the totals of its hashes, to the group that it came from."""
+        """The columns of TOTALS but the sums: for every piece the totals of its hashes, to the group that it came from."""
         prefix = rows.column("prefix").to_numpy()
         each = [self.at[a:b] for a, b in zip(self.cuts, self.cuts[1:])]
         return [rows.column("child").combine_chunks(), pa.array(prefix >> bits),
@@ -207,16 +210,24 @@ def merged(pieces: DataFrame, level: int, bits: int = FAN_BITS) -> DataFrame:
 
 
 def range_totals(pieces: DataFrame, bits: int = FAN_BITS) -> DataFrame:
-    """The answers to the last level's pieces, of which a group has all for its hashes; a group's first row has its sums."""
+    """The answers to the last level's pieces, of which a group has all for its hashes, with the sums over these hashes."""
 
     def run(rows: pa.Table) -> pa.Table:
         group = _Group(rows)
         word = (group.distinct & np.uint64(1)) == 0
         sums = (word.sum(), *(s[word].sum() for s in group.sums))
-        first = [pa.array([int(x)] + [0] * (rows.num_rows - 1), pa.int64()) for x in sums]
-        return pa.Table.from_arrays([*group.answers(rows, group.sums, bits), *first], names=_names(f"{TOTALS}, {SUMS}"))
+        return pa.Table.from_arrays([*group.answers(rows, group.sums, bits), *_repeated(sums, rows)], names=_names(TOTALS))
 
-    return pieces.groupBy("sup", "prefix").applyInArrow(run, f"{TOTALS}, {SUMS}")
+    return pieces.groupBy("sup", "prefix").applyInArrow(run, TOTALS)
+
+
+def _repeated(sums, rows: pa.Table) -> list[pa.Array]:
+    return [pa.array(np.full(rows.num_rows, int(x), np.int64)) for x in sums]
+
+
+def _sums(found: pa.Table) -> list[int]:
+    """Vocabulary and words of both models over all pieces of a group: of its part of the hashes, for a block all."""
+    return [sum(found.column(c).to_pylist()) for c in SUMS]
 
 
 def handed_down(pieces: DataFrame, totals: DataFrame, bits: int = FAN_BITS) -> DataFrame:
@@ -225,7 +236,7 @@ def handed_down(pieces: DataFrame, totals: DataFrame, bits: int = FAN_BITS) -> D
     def run(rows: pa.Table, found: pa.Table) -> pa.Table:
         group = _Group(rows)
         totals = _joined(found, group.distinct)
-        return pa.Table.from_arrays(group.answers(rows, totals, bits), names=_names(TOTALS))
+        return pa.Table.from_arrays([*group.answers(rows, totals, bits), *_repeated(_sums(found), rows)], names=_names(TOTALS))
 
     key = ["sup", "prefix"]
     return pieces.groupBy(*key).cogroup(totals.groupBy(*key)).applyInArrow(run, TOTALS)
@@ -242,6 +253,13 @@ def _joined(found: pa.Table, keys: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def _kept(pieces: DataFrame) -> DataFrame:
+    """Written to the shared folder in small row groups, as its rows are large and are read a row group at a time."""
+    path = scratch_path(pieces.sparkSession, "lm-pieces")
+    pieces.write.option("parquet.block.size", str(16 << 20)).parquet(path)
+    return pieces.sparkSession.read.schema(pieces.schema).parquet(path)
+
+
 def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                              mu: float = MU, block_bytes: int = BLOCK_BYTES, leave_one_out: bool = False, fan_bits: int = FAN_BITS) -> DataFrame:
     """(id, target, n_words, target_loss, background_loss, score) per document."""
@@ -252,11 +270,9 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str =
         "id", "text", "target", F.pmod(F.xxhash64("row"), F.lit(n_blocks)).cast("int").alias("block"))
     levels = [block_counts(blocks, fan_bits)]
     while n_blocks > 1 << fan_bits * len(levels):
-        levels[-1] = written(levels[-1], "lm-pieces")  # needed again on the way down
+        levels[-1] = _kept(levels[-1])  # needed again on the way down
         levels.append(merged(levels[-1], len(levels), fan_bits))
-    top = written(range_totals(levels[-1], fan_bits), "lm-totals")
-    vocabulary, *sizes = (int(x or 0) for x in top.agg(*[F.sum(c) for c in _names(SUMS)]).first())
-    totals = top.drop(*_names(SUMS))
+    totals = range_totals(levels[-1], fan_bits)
     for pieces in reversed(levels[:-1]):
         totals = handed_down(pieces, totals, fan_bits)
     schema = StructType([*blocks.select("id", "target").schema.fields, *StructType.fromDDL(SCORES).fields])
@@ -265,6 +281,7 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str =
         own = _block(rows)
         has, target = own.lengths > 0, rows.column("target").to_numpy() == 1
         total = _joined(found, own.keys)
+        vocabulary, *sizes = _sums(found)
         out = (np.ones(len(target), bool), target) if leave_one_out else (None, None)
         back, goal = (own.mean_losses(t.astype(np.int64), n, vocabulary, mu, x) for t, n, x in zip(total, sizes, out))
         return pa.Table.from_arrays(

@@ -108,7 +108,7 @@ def test_a_block_that_changed_is_noticed():
     keys = np.array([3, 9, 1 << 60], np.uint64)
     piece = L._pieces(keys, [np.array([1, 2, 3])] * 2, 0, 0, 0)
     group = [L._Group(piece.slice(k, 1)) for k in range(piece.num_rows)]
-    found = pa.concat_tables([pa.Table.from_arrays(g.answers(piece.slice(k, 1), g.sums), names=L._names(L.TOTALS))
+    found = pa.concat_tables([pa.Table.from_arrays(g.answers(piece.slice(k, 1), g.sums), names=L._names(L.TOTALS)[:6])
                               for k, g in enumerate(group)])
     assert L._joined(found, keys)[0].tolist() == [1, 2, 3]
     with pytest.raises(ValueError):
