@@ -104,15 +104,18 @@ class Block:
     def mean_losses(self, totals: np.ndarray, n: int, vocabulary: int, mu: float, without: np.ndarray | None = None) -> np.ndarray:
         """Mean loss per word of each text (0 for wordless ones) under the model with these totals; where ``without`` is
         true, the text's own counts are taken out first."""
-        text = np.repeat(np.arange(len(self.lengths)), self.lengths)
-        words, pairs, size = totals[self.words], totals[self.pairs], np.full(len(text), n)
-        if without is not None:
+        if without is None:
+            p = (totals[self.words] + 1) / (n + vocabulary)
+            context = totals[self.words[self.second - 1]]
+            p[self.second] = (totals[self.pairs] + mu * p[self.second]) / (context + mu)
+            text = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        else:
+            text = np.repeat(np.arange(len(self.lengths)), self.lengths)
             out = without[text]
-            words = words - self._own(text, self.words) * out
-            pairs = pairs - self._own(text[self.second], self.pairs) * out[self.second]
-            size = size - self.lengths[text] * out
-        p = (words + 1) / (size + vocabulary)
-        p[self.second] = (pairs + mu * p[self.second]) / (words[self.second - 1] + mu)
+            words = totals[self.words] - self._own(text, self.words) * out
+            pairs = totals[self.pairs] - self._own(text[self.second], self.pairs) * out[self.second]
+            p = (words + 1) / (n - self.lengths[text] * out + vocabulary)
+            p[self.second] = (pairs + mu * p[self.second]) / (words[self.second - 1] + mu)
         return np.bincount(text, -np.log(p), len(self.lengths)) / np.maximum(1, self.lengths)
 
     def _own(self, text: np.ndarray, keys: np.ndarray) -> np.ndarray:
