@@ -162,6 +162,22 @@ def _postings(tokenized: DataFrame) -> DataFrame:
             .select("field", "term", "doc_id", "tf", "dl"))
 
 
+def postings_by_document(index: Index, fields: list[str]) -> tuple[DataFrame, bool]:
+    """Postings of ``fields``, and whether each document's rows of a field come together, in one task.
+
+    They do in a stored direct index, unless an id repeats or is null: whoever
+    needs whole documents then has to group them.
+    """
+    if index.tokenized is None:
+        return index.postings.filter(F.col("field").isin(fields)).select(*_POSTING), False
+    rows = _postings(index.tokenized.filter(F.col("field").isin(fields)))
+    if not index.segments:
+        return rows, False
+    ids = index.doclen.filter(F.col("field") == fields[0]).groupBy("doc_id").count()
+    odd = ids.filter((F.col("count") > 1) | F.col("doc_id").isNull()).first()
+    return rows, odd is None
+
+
 def lexicon_of(postings: DataFrame) -> DataFrame:
     """(field, term, df, cf) (E3): map-side partial aggregation, then shuffle."""
     return postings.groupBy("field", "term").agg(

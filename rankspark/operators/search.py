@@ -138,17 +138,38 @@ def search(index: Index, queries: DataFrame, model: str = "bm25_doc", mode: str
     stored index and the model has a bound. The run is the same either way.
     """
     k = k or DEFAULT_K[mode]
-    if prune or prune is None and index.segments and contribution_bounds(model, params) is not None:
+    query = asked(index, queries, mode, fields, max_rows)
+    if prune:
         from rankspark.operators.topk import search_pruned
 
-        query = asked(index, queries, mode, fields, max_rows)
-        # On a small index this bound is known without reading anything.
-        sure = query.rows * sum(s["postings"] for s in index.segments) <= PRUNE_POSTINGS
-        if prune or not sure and (query.stats.agg(F.sum("df")).first()[0] or 0) > PRUNE_POSTINGS:
-            return search_pruned(index, queries, model, mode, k, params, fields, max_rows, query).run
-        return top_k(score_table(index, queries, {"s": (model, params)}, mode, fields, max_rows, query), "s", k)
-    scores = score_table(index, queries, {"s": (model, params)}, mode, fields, max_rows)
-    return top_k(scores, "s", k)
+        return search_pruned(index, queries, model, mode, k, params, fields, max_rows, query).run
+    matches = _matches(index, query, max_rows)
+    if matches is None:
+        return top_k(_scanned(index, query, [(model, params)], mode, fields, k), "score", k)
+    if prune is None and matches > PRUNE_POSTINGS and contribution_bounds(model, params) is not None:
+        return search(index, queries, model, mode, k, params, fields, max_rows, True)
+    return top_k(score_table(index, queries, {"s": (model, params)}, mode, fields, max_rows, query), "s", k)
+
+
+def _matches(index: Index, query: Asked, max_rows: int) -> int | None:
+    """Postings that the topics of a stored index ask for, each as often as it is asked for.
+
+    None where the documents are to be scanned (``scan``): the batch is small
+    enough to go to every task and asks for more than there are, or nothing is
+    stored that would be read by term.
+    """
+    if query.rows > max_rows:
+        return 0 if not index.segments else query.stats.agg(F.sum("df")).first()[0] or 0
+    if not index.segments:
+        return None
+    matches = query.stats.agg(F.sum("df")).first()[0] or 0
+    return matches if matches <= sum(s["postings"] for s in index.segments) else None
+
+
+def _scanned(index: Index, query: Asked, models: list, mode: str, fields, k: int) -> DataFrame:
+    from rankspark.operators.scan import search_scanned
+
+    return search_scanned(index, query.stats, dict(enumerate(models)), _fields_for(index, mode, fields), k, SCORE_DECIMALS)
 
 
 def fuse(run_first: DataFrame, run_second: DataFrame) -> DataFrame:
@@ -174,7 +195,10 @@ def search_fused(index: Index, queries: DataFrame, first: str, second: str, mode
                  k: int | None = None, fields=None, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Both runs from one candidate pass: each scored pair becomes a row per model, ranked once, then fused."""
     k = k or DEFAULT_K[mode]
-    scores = score_table(index, queries, {"a": (first, None), "b": (second, None)}, mode, fields, max_rows)
+    query = asked(index, queries, mode, fields, max_rows)
+    if _matches(index, query, max_rows) is None:
+        return _fused(top_k(_scanned(index, query, [(first, None), (second, None)], mode, fields, k), "score", k, ("topic_id", "src")))
+    scores = score_table(index, queries, {"a": (first, None), "b": (second, None)}, mode, fields, max_rows, query)
     each = scores.select("topic_id", "doc_id", F.inline(F.array(
         F.struct(F.lit(0).alias("src"), F.col("a").alias("s")), F.struct(F.lit(1).alias("src"), F.col("b").alias("s")))))
     return _fused(top_k(each, "s", k, ("topic_id", "src")))
