@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankspark.session import scratch_path
+from rankspark.session import BATCH_BYTES, map_arrow, prepare, scratch_path  # noqa: F401 (for the operators)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,40 +25,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Most bytes of rows that go to a Python worker at once (a longer row goes alone).
-BATCH_BYTES = 8 << 20
-_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
-_shipped: set[str] = set()
-
-
-def prepare(spark: SparkSession) -> None:
-    """Before Python runs on the executors: small batches, and this package sent along.
-
-    The batch bound holds what a task keeps for Python, in the JVM and in the
-    worker; a smaller setting of the session stays. The package goes out once
-    per application, as executors need not have it (nor the driver's path).
-    """
-    now = spark.conf.get(_BATCH_CONF).rstrip("bB")
-    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
-        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
-    sc, home = spark.sparkContext, Path(__file__).resolve().parent.parent
-    if sc.applicationId not in _shipped and home.is_dir():
-        target = Path(tempfile.mkdtemp(prefix="rankspark-")) / f"{home.name}.zip"
-        with zipfile.ZipFile(target, "w") as z:
-            for f in sorted(home.rglob("*.py")):
-                z.write(f, f.relative_to(home.parent))
-        sc.addPyFile(str(target))
-        _shipped.add(sc.applicationId)
-
-
-def map_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """``mapInArrow`` in small batches."""
-    prepare(df.sparkSession)
-    return df.mapInArrow(run, schema)
-
-
 def broadcast_if(df: DataFrame, small: bool) -> DataFrame:
     """Hint a side whose measured size passed its bound; else leave the join to Spark."""
     return F.broadcast(df) if small else df

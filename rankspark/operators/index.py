@@ -37,13 +37,15 @@ import math
 import uuid
 from dataclasses import dataclass, field as dc_field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankspark.functions.analysis import DEFAULT, Analyzer, counted, s_stem
 from rankspark.operators import versions
 from rankspark.operators.clustered import MAX_KEYS, file_ranges, files_for, files_holding, write_clustered
-from rankspark.session import materialize, scratch_path
+from rankspark.session import map_arrow, materialize, scratch_path
 
 DOC_FIELD = "_doc"
 #: A block is 2 ** BLOCK_BITS consecutive rows of the forward table.
@@ -205,6 +207,61 @@ def build_index(docs: DataFrame, fields=("text",), id_col: str = "doc_id",
                  effective_doc_field, analyzer, tokenized=tok)
 
 
+def _write_postings(postings: DataFrame, fields: list[str], path: str, files: int) -> None:
+    """Files by range of (field, term, block), sorted by these and the document.
+
+    Field and term are shuffled and compared as one string (a character for the
+    field, in the fields' order), tf and dl as one number.
+    """
+    marks = [(F.lit(f), F.lit(chr(33 + i))) for i, f in enumerate(fields)]
+    mark = F.element_at(F.create_map(*[x for m in marks for x in m]), F.col("field"))
+    name = F.element_at(F.create_map(*[x for f, m in marks for x in (m, f)]), F.substring("key", 1, 1))
+    whole = F.shiftleft(F.col("tf").cast("long"), 32) + F.col("dl")
+    (postings.select(F.concat(mark, "term").alias("key"), "block", "doc_id", whole.alias("whole"))
+     .repartitionByRange(files, "key", "block").sortWithinPartitions("key", "block", "doc_id")
+     .select(name.alias("field"), F.expr("substring(key, 2)").alias("term"), "block", "doc_id",
+             F.shiftright("whole", 32).cast("int").alias("tf"), F.col("whole").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("dl"))
+     .write.parquet(path))
+
+
+def _block_extents(batches):
+    """Rows of blocks from postings in their files' order: a row for each stretch of one (field, term, block).
+
+    A file that is read in two parts may give a block of a term in two rows; whoever needs one adds them up.
+    """
+    left = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        field, term, block = rows["field"], rows["term"], rows["block"].to_numpy()
+        code = [c.combine_chunks().dictionary_encode().indices.to_numpy() for c in (field, term)]
+        new = (code[0][1:] != code[0][:-1]) | (code[1][1:] != code[1][:-1]) | (block[1:] != block[:-1])
+        starts = np.concatenate([[0], np.flatnonzero(new) + 1])
+        tf, dl = rows["tf"].to_numpy(), rows["dl"].to_numpy()
+        out = {"field": field.take(starts), "term": term.take(starts), "block": block[starts],
+               "n": np.diff([*starts, len(block)]).astype(np.int64), "cf": np.add.reduceat(tf.astype(np.int64), starts)}
+        for name, values in (("tf", tf), ("dl", dl)):
+            out[f"min_{name}"], out[f"max_{name}"] = np.minimum.reduceat(values, starts), np.maximum.reduceat(values, starts)
+        found = pa.table(out)
+        if left is not None:
+            found = _joined(left, found)
+        left = found.slice(len(found) - 1).to_pylist()[0]
+        yield from found.slice(0, len(found) - 1).combine_chunks().to_batches()
+    if left is not None:
+        yield pa.RecordBatch.from_pylist([left], found.schema)
+
+
+def _joined(left: dict, found: pa.Table) -> pa.Table:
+    """``found`` with the row ``left`` before it, as one with its first row if both are of one block."""
+    first = found.slice(0, 1).to_pylist()[0]
+    if all(left[c] == first[c] for c in ("field", "term", "block")):
+        both = {"n": left["n"] + first["n"], "cf": left["cf"] + first["cf"],
+                **{f"{name}_{c}": f(left[f"{name}_{c}"], first[f"{name}_{c}"]) for c in ("tf", "dl") for name, f in (("min", min), ("max", max))}}
+        left, found = {**left, **both}, found.slice(1)
+    return pa.concat_tables([pa.Table.from_pylist([left], found.schema), found])
+
+
 def _segment(index: Index, base: str, forward: bool, files: int | None) -> dict:
     """Write one segment of ``index``'s documents and return its manifest entry.
 
@@ -234,11 +291,9 @@ def _segment(index: Index, base: str, forward: bool, files: int | None) -> dict:
     if not forward:
         lengths.write.parquet(f"{at}/doclen")
     files = files or files_for(spark, count)
-    write_clustered(postings.select("field", "term", "block", "doc_id", "tf", "dl"), f"{at}/postings",
-                    ["field", "term", "block", "doc_id"], files)
-    extent = [f(c).alias(f"{n}_{c}") for c in ("tf", "dl") for n, f in (("min", F.min), ("max", F.max))]
-    blocks = read("postings").groupBy("field", "term", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("tf").alias("cf"), *extent)
-    write_clustered(blocks, f"{at}/blocks", ["field", "term", "block"], -(-files // 2))
+    _write_postings(postings, sorted({*index.fields, index.doc_field}), f"{at}/postings", files)
+    blocks = map_arrow(read("postings").select("field", "term", "block", "tf", "dl"), _block_extents, _SCHEMAS["blocks"])
+    blocks.sortWithinPartitions("field", "term", "block").write.parquet(f"{at}/blocks")
     whole = [f(f"{n}_{c}").alias(f"{n}_{c}") for c in ("tf", "dl") for n, f in (("min", F.min), ("max", F.max))]
     write_clustered(read("blocks").groupBy("field", "term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf"), *whole),
                     f"{at}/lexicon", ["field", "term"], -(-files // 4))

@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from rankspark.functions.models import contribution
-from rankspark.llm.common import map_arrow
 from rankspark.operators.index import Index, postings_by_document
+from rankspark.session import map_arrow
 
 #: Rows of weights that a task gathers before it adds them up, and cells of its matrix.
 BLOCK_ROWS = 250_000

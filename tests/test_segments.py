@@ -181,3 +181,37 @@ def test_an_empty_index(spark):
     assert index.postings.count() == 0 and search(index, q, "bm25_doc", "document", 5).count() == 0
     assert search(index, q, "bm25_doc", "document", 5, prune=True).count() == 0
     assert ids_of(add_documents(spark, index.path, words(spark, [1, 2]))) == [1, 2]
+
+
+def test_blocks_come_from_the_sorted_postings(spark, monkeypatch):
+    """A row for each (field, term, block) however the postings are cut into batches, without a shuffle of them."""
+    import pyarrow as pa
+
+    from rankspark.operators import clustered
+    from rankspark.operators import index as I
+
+    rows = [("abstract", t, b, tf, 9 + tf) for t in ("a", "b", "bb") for b in (1, 7) for tf in (3, 1, 2)] + [("title", "bb", 7, 4, 5)]
+    names = ["field", "term", "block", "tf", "dl"]
+    types = [pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32()]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+    want = [("abstract", t, b, 3, 6, 1, 3, 10, 12) for t in ("a", "b", "bb") for b in (1, 7)] + [("title", "bb", 7, 1, 4, 4, 4, 5, 5)]
+    for size in (1, 2, 3, 4, 100):
+        parts = [batch.slice(i, size) for i in range(0, len(rows), size)]
+        assert [tuple(r.values()) for b in I._block_extents(parts) for r in b.to_pylist()] == want, size
+    assert list(I._block_extents([])) == []
+
+    written = []
+    monkeypatch.setattr(I, "write_clustered", lambda df, path, *a: (written.append(path.rsplit("/")[-1]), clustered.write_clustered(df, path, *a)))
+    docs = spark.createDataFrame([(i, f"x{i % 7} y Z{i % 3}", f"y é{i % 5} {'x1 ' * (i % 4)}") for i in range(200)],
+                                 "doc_id long, title string, abstract string")
+    index = write_index(build_index(docs, ("title", "abstract")), scratch_path(spark, "blocks"), buckets=3)
+    assert written == ["lexicon"]  # postings and blocks are not dealt out by it
+    grouped = index.read("postings", ["title", "abstract", "_doc"]).groupBy("field", "term", "block").agg(
+        F.count("*").alias("n"), F.sum("tf").alias("cf"), F.min("tf").alias("min_tf"), F.max("tf").alias("max_tf"),
+        F.min("dl").alias("min_dl"), F.max("dl").alias("max_dl"))
+    blocks = index.read("blocks", ["title", "abstract", "_doc"])
+    assert sorted(blocks.collect()) == sorted(grouped.collect())
+    ranges = spark.read.parquet(f"{index.path}/segments/{index.segments[0]['id']}/files")
+    for r in ranges.collect():
+        keys = [(x["field"], x["term"]) for x in spark.read.parquet(f"{index.path}/segments/{index.segments[0]['id']}/{r['kind']}/{r['file']}").collect()]
+        assert keys == sorted(keys) and (tuple(r["first"]), tuple(r["last"]), r["rows"]) == (keys[0], keys[-1], len(keys))
