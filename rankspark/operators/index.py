@@ -15,12 +15,15 @@ A stored index is a list of segments, each written once and never changed:
 
   forward   (doc_id, field, dl, n_terms, block, entries)   the direct index, by document (E9; optional)
   doclen    (doc_id, field, dl)                             only where there is no forward table
-  postings  (field, term, block, doc_id, tf, dl)            files by range of that key
-  blocks    (field, term, block, n, cf, tf and dl from .. to)  what a block's postings of a term can contribute
+  postings  (field, term, block, n, cf, tf and dl from .. to, docs, tfs, dls)  files by range of (field, term,
+                                                            block); a term's postings in a block as lists, beside
+                                                            what they can contribute
   lexicon   (field, term, df, cf, tf and dl from .. to)     files by range of (field, term)
   files     (kind, file, first, last, rows)                 sparse dictionary: the range of each file
 
-The text is tokenized once, for the forward table; the others come from it. A
+The text is tokenized once, for the forward table; the others come from it.
+``read("postings")`` gives a row for each posting, ``read("blocks")`` the columns
+beside the lists. A
 search reads only the files that can hold its terms. A batch of documents is a
 new segment, statistics are summed when read, and segments of like size are
 put together as they gather (E10). Versions, which are lists of segments with
@@ -35,14 +38,16 @@ from __future__ import annotations
 
 import math
 import uuid
+from bisect import bisect_left
 from dataclasses import dataclass, field as dc_field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankspark.functions.analysis import DEFAULT, Analyzer, counted, s_stem
+from rankspark.functions.analysis import DEFAULT, Analyzer, s_stem
 from rankspark.operators import versions
 from rankspark.operators.clustered import MAX_KEYS, file_ranges, files_for, files_holding, write_clustered
 from rankspark.session import map_arrow, materialize, scratch_path
@@ -50,6 +55,10 @@ from rankspark.session import map_arrow, materialize, scratch_path
 DOC_FIELD = "_doc"
 #: A block is 2 ** BLOCK_BITS consecutive rows of the forward table.
 BLOCK_BITS = 10
+#: Postings that a task gathers before it puts them together by term.
+PACK_ROWS = 1_000_000
+#: Sampled postings for each file, to cut the terms' ranges by.
+SAMPLE = 1_000
 #: Segments of one size (powers of FAN postings) that are put together.
 FAN = 4
 #: Times that a publisher starts again from a newer version.
@@ -60,13 +69,19 @@ _LEXICON = ["field", "term", "df", "cf"]
 _STATS = ["field", "n_docs", "n_with_field", "total_len"]
 _EXTENT = "min_tf int, max_tf int, min_dl int, max_dl int"
 _SCHEMAS = {
-    "postings": "field string, term string, block long, doc_id long, tf int, dl int",
+    "postings": f"field string, term string, block long, n long, cf long, {_EXTENT}, docs array<long>, tfs array<int>, dls array<int>",
     "blocks": f"field string, term string, block long, n long, cf long, {_EXTENT}",
     "lexicon": f"field string, term string, df long, cf long, {_EXTENT}",
     "forward": "doc_id long, field string, dl int, n_terms int, block long, entries array<struct<term:string,tf:int>>",
     "doclen": "doc_id long, field string, dl int",
     "files": "kind string, file string, first struct<field:string,term:string>, last struct<field:string,term:string>, rows long",
 }
+#: Tables that are columns of another one.
+_TABLE = {"blocks": "postings"}
+_COUNTED = "doc_id long, field string, dl int, entries array<struct<term:string,tf:int>>"
+_PIECE = "pid int, key string, block long, postings binary"
+#: Document, blocks after the piece's first one, tf (negative: the document's id is null), dl.
+_POSTING_BYTES = np.dtype([("doc", "<i8"), ("block", "<i4"), ("tf", "<i4"), ("dl", "<i4")])
 
 
 @dataclass
@@ -108,10 +123,10 @@ class Index:
             if s["id"] not in self._ranges:
                 rows = self.spark.read.schema(_SCHEMAS["files"]).parquet(f"{base}/files").collect()
                 self._ranges[s["id"]] = [(r["kind"], (r["file"], tuple(r["first"]), tuple(r["last"]))) for r in rows]
-            own = [r for k, r in self._ranges[s["id"]] if k == kind]
+            own = [r for k, r in self._ranges[s["id"]] if k == _TABLE.get(kind, kind)]
             found = files_holding(own, keys) if keys is not None else [
                 f for f, first, last in own if any(first[0] <= x <= last[0] for x in fields)]
-            out += [f"{base}/{kind}/{f}" for f in found]
+            out += [f"{base}/{_TABLE.get(kind, kind)}/{f}" for f in found]
         return out
 
     def read(self, kind: str, fields: list[str], terms: list[str] | None = None) -> DataFrame:
@@ -121,7 +136,8 @@ class Index:
         """
         schema, files = _SCHEMAS[kind], self.files_with(kind, fields, terms)
         rows = self.spark.read.schema(schema).parquet(*files) if files else self.spark.createDataFrame([], schema)
-        return rows.filter(F.col("field").isin(fields))
+        rows = rows.filter(F.col("field").isin(fields))
+        return _entries(rows) if kind == "postings" else rows
 
     def postings_of(self, fields: list[str], terms: list[str] | None = None) -> DataFrame:
         """Postings of ``fields``; of a stored index only the files that can hold ``terms``."""
@@ -155,13 +171,64 @@ def token_rows(docs: DataFrame, fields, id_col: str = "doc_id",
     return rows.select("doc_id", F.inline(F.array(*items)))
 
 
+def counted_rows(docs: DataFrame, fields: tuple, id_col: str, analyzer: Analyzer, doc_field: str | None) -> DataFrame:
+    """(doc_id, field, dl, entries): the rows of ``token_rows`` with their terms counted, in term order.
+
+    The tokens of a batch of documents are numbered in term order and sorted
+    as numbers (row, term), so nothing is shuffled and no string is compared
+    but once a batch.
+    """
+    whole = doc_field if len(fields) > 1 else None
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), *[analyzer.tokens(F.col(f)).alias(f"_t{k}") for k, f in enumerate(fields)])
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield _counted(batch, fields, whole)
+
+    return map_arrow(rows, run, _COUNTED)
+
+
+def _ranked(strings: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The distinct strings in order (of their bytes, as Spark's), and each one's number."""
+    coded = strings.dictionary_encode()
+    order = pc.array_sort_indices(coded.dictionary)
+    rank = np.empty(len(order), np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    return coded.dictionary.take(order), rank[coded.indices.to_numpy()]
+
+
+def _counted(batch: pa.RecordBatch, fields: tuple, whole: str | None) -> pa.RecordBatch:
+    n, names = batch.num_rows, [*fields, *([whole] if whole else [])]
+    lists = [batch.column(1 + k) for k in range(len(fields))]
+    lengths = [pc.list_value_length(x).to_numpy().astype(np.int64) for x in lists]
+    terms, rank = _ranked(pa.concat_arrays([x.flatten() for x in lists]))
+    row = np.concatenate([np.repeat(np.arange(n) * len(names) + k, x) for k, x in enumerate(lengths)])
+    size = max(1, len(terms))
+    keys = row * size + rank
+    if whole:
+        keys = np.concatenate([keys, (row // len(names) * len(names) + len(fields)) * size + rank])
+        lengths.append(sum(lengths))
+    keys.sort()
+    starts = np.flatnonzero(np.diff(keys, prepend=-1))
+    row, rank = np.divmod(keys[starts], size)
+    entries = pa.StructArray.from_arrays([terms.take(pa.array(rank)), pa.array(np.diff([*starts, len(keys)]).astype(np.int32))], ["term", "tf"])
+    offsets = np.searchsorted(row, np.arange(n * len(names) + 1)).astype(np.int32)
+    return pa.RecordBatch.from_arrays([
+        batch.column(0).take(pa.array(np.repeat(np.arange(n), len(names)))),
+        pa.array(names, pa.string()).take(pa.array(np.tile(np.arange(len(names)), n))),
+        pa.array(np.stack(lengths, axis=1).ravel().astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), entries)],
+        ["doc_id", "field", "dl", "entries"])
+
+
 def _postings(tokenized: DataFrame) -> DataFrame:
-    # inline_outer + null filter: a plain inline makes the optimizer infer
-    # size(entries) > 0 and push it below the projections, where it would
-    # re-run the counting lambdas per element.
-    return (tokenized.select("field", F.inline_outer("entries"), "doc_id", "dl")
-            .filter(F.col("term").isNotNull())
-            .select("field", "term", "doc_id", "tf", "dl"))
+    return tokenized.select("field", F.inline("entries"), "doc_id", "dl").select(*_POSTING)
+
+
+def _entries(stored: DataFrame) -> DataFrame:
+    """A row for each posting of the stored lists."""
+    return stored.select("field", "term", "block", F.inline(F.arrays_zip("docs", "tfs", "dls"))) \
+        .select("field", "term", "block", F.col("docs").alias("doc_id"), F.col("tfs").alias("tf"), F.col("dls").alias("dl"))
 
 
 def postings_by_document(index: Index, fields: list[str]) -> tuple[DataFrame, bool]:
@@ -199,7 +266,7 @@ def build_index(docs: DataFrame, fields=("text",), id_col: str = "doc_id",
     """Lazy in-session index over a wide frame (id + one text column per field)."""
     fields = tuple(fields)
     rows = token_rows(docs, fields, id_col, analyzer, doc_field)
-    tok = counted(rows, F.col("tokens"), ["doc_id", "field"])  # (doc_id, field, dl, entries), all in-row (D4, E1, E2)
+    tok = counted_rows(docs, fields, id_col, analyzer, doc_field)
     postings = _postings(tok)
     doclen = rows.select("doc_id", "field", F.size("tokens").cast("int").alias("dl"))
     effective_doc_field = doc_field if (doc_field and len(fields) > 1) else fields[0]
@@ -207,42 +274,144 @@ def build_index(docs: DataFrame, fields=("text",), id_col: str = "doc_id",
                  effective_doc_field, analyzer, tokenized=tok)
 
 
-def _write_postings(postings: DataFrame, fields: list[str], path: str, files: int) -> None:
-    """Files by range of (field, term, block), sorted by these and the document.
+def _write_postings(rows: DataFrame, fields: list[str], path: str, files: int, count: int) -> None:
+    """Files by range of (field, term, block), sorted by these, from forward rows.
 
-    Field and term are shuffled and compared as one string (a character for the
-    field, in the fields' order), tf and dl as one number.
+    A task puts the postings of some blocks together by term, so that the
+    shuffle carries a row for a term in a stretch of blocks and not one for each
+    posting. Field and term are one string there (a character for the field,
+    in the fields' order), the postings fixed numbers of bytes. A sample of the postings
+    says where the files' ranges end.
     """
+    rows = rows.select("doc_id", "field", "dl", "block", "entries")
+    cuts = _cuts(rows, fields, files, count)
+    pieces = map_arrow(rows, lambda batches: _pieces(batches, fields, cuts), _PIECE)
+    map_arrow(pieces.repartitionById(files, F.col("pid")).sortWithinPartitions("key", "block").select("key", "block", "postings"),
+              lambda batches: _block_extents(_unpacked(b, fields) for b in batches if b.num_rows), _SCHEMAS["postings"]).write.parquet(path)
+
+
+def _cuts(rows: DataFrame, fields: list[str], files: int, count: int) -> list[tuple[str, int]]:
+    """(key, block) at which the 2nd, 3rd ... file starts, by a sample of SAMPLE postings for each file."""
+    if files == 1:
+        return []
+    share = min(1.0, SAMPLE * files / max(1, count))
+    near = min(1.0, 16 * share)  # of the rows first, then of what they hold
+    some = rows.sample(near, 1) if near < 1 else rows
+    some = some.select("field", "block", F.explode("entries.term").alias("term"))
+    some = some.sample(share / near, 2) if share < near else some
+    found = sorted((chr(33 + fields.index(r["field"])) + r["term"], r["block"]) for r in some.collect())
+    return sorted({found[len(found) * i // files] for i in range(1, files)}) if found else []
+
+
+def _pieces(batches, fields: list[str], cuts: list[tuple[str, int]]):
+    """Forward rows' postings by (field, term), for whole blocks, PACK_ROWS of them or more at once."""
+    kept, held = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            kept.append(batch)
+            held += len(batch.column(4).flatten())
+            if held >= PACK_ROWS:
+                rows = pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
+                block = rows.column(3).to_numpy()
+                done = int(np.flatnonzero(block != block[-1])[-1]) + 1 if block[0] != block[-1] else 0
+                if done:
+                    yield from _packed_runs(rows.slice(0, done), fields, cuts)
+                kept = [rows.slice(done)]
+                held = len(kept[0].column(4).flatten()) if done else 0
+    if kept:
+        yield from _packed_runs(pa.Table.from_batches(kept).combine_chunks().to_batches()[0], fields, cuts)
+
+
+def _packed_runs(rows: pa.RecordBatch, fields: list[str], cuts: list[tuple[str, int]]):
+    """Rows of several files may come one after another; only neighbouring blocks are put together."""
+    jumps = np.flatnonzero((np.diff(rows.column(3).to_numpy()) >> 1) != 0) + 1
+    for lo, hi in zip([0, *jumps], [*jumps, rows.num_rows]):
+        yield from _packed(rows.slice(lo, hi - lo), fields, cuts)
+
+
+def _packed(rows: pa.RecordBatch, fields: list[str], cuts: list[tuple[str, int]]):
+    entries = rows.column(4).flatten()
+    if not len(entries):
+        return
+    at = np.repeat(np.arange(rows.num_rows), pc.list_value_length(rows.column(4)).to_numpy())
+    terms, rank = _ranked(entries.field("term"))
+    field = pc.index_in(rows.column(1), pa.array(fields, pa.string())).to_numpy()
+    key = field[at] * len(terms) + rank
+    order = np.argsort(key, kind="stable")  # within a key by row, so by block
+    key, at = key[order], at[order]
+    block = rows.column(3).to_numpy()[at]
+    docs = rows.column(0)
+    null = docs.is_null().to_numpy(zero_copy_only=False)[at]
+    tf = entries.field("tf").to_numpy()[order]
+    postings = np.empty(len(key), _POSTING_BYTES)
+    postings["doc"] = pc.fill_null(docs, 0).to_numpy()[at]
+    postings["tf"], postings["dl"] = np.where(null, -tf, tf), rows.column(2).to_numpy()[at]
+    starts = np.flatnonzero(np.diff(key, prepend=-1))
+    names = pc.binary_join_element_wise(pa.array([chr(33 + i) for i in range(len(fields))]).take(pa.array(key[starts] // len(terms))),
+                                        terms.take(pa.array(key[starts] % len(terms))), "")
+    first = block[starts]
+    at = [bisect_left(range(len(starts)), c, key=lambda i: (names[i].as_py(), int(first[i]))) for c in cuts]
+    pid = np.searchsorted(at, np.arange(len(starts)), side="right").astype(np.int32)
+    sizes = np.diff([*starts, len(key)])
+    postings["block"] = block - np.repeat(first, sizes)
+    ends = (np.array([*starts, len(key)]) * _POSTING_BYTES.itemsize).astype(np.int32)
+    packed = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(postings.tobytes())])
+    yield pa.RecordBatch.from_arrays([pa.array(pid), names, pa.array(first), packed], ["pid", "key", "block", "postings"])
+
+
+def _unpacked(pieces: pa.RecordBatch, fields: list[str]) -> pa.RecordBatch:
+    """The postings of sorted pieces, field and term as numbers of a dictionary."""
+    lengths = pc.binary_length(pieces.column(2)).to_numpy() // _POSTING_BYTES.itemsize
+    _, ends, data = pieces.column(2).buffers()
+    start = np.frombuffer(ends, np.int32)[pieces.column(2).offset]
+    postings = np.frombuffer(data, _POSTING_BYTES, int(lengths.sum()), int(start))
+    coded = pieces.column(0).dictionary_encode()
+    at = pa.array(np.repeat(coded.indices.to_numpy(), lengths))
+    names = pc.index_in(pc.utf8_slice_codeunits(coded.dictionary, 0, 1), pa.array([chr(33 + i) for i in range(len(fields))]))
+    return pa.RecordBatch.from_arrays([
+        pa.DictionaryArray.from_arrays(names.take(at), pa.array(fields, pa.string())),
+        pa.DictionaryArray.from_arrays(at, pc.utf8_slice_codeunits(coded.dictionary, 1)),
+        pa.array(np.repeat(pieces.column(1).to_numpy(), lengths) + postings["block"]),
+        pa.array(postings["doc"], mask=postings["tf"] < 0), pa.array(np.abs(postings["tf"])), pa.array(np.ascontiguousarray(postings["dl"]))],
+        ["field", "term", "block", "doc_id", "tf", "dl"])
+
+
+def _write_flat(postings: DataFrame, fields: list[str], path: str, files: int) -> None:
+    """The same from postings that no direct index goes with, each shuffled as a row."""
     marks = [(F.lit(f), F.lit(chr(33 + i))) for i, f in enumerate(fields)]
     mark = F.element_at(F.create_map(*[x for m in marks for x in m]), F.col("field"))
     name = F.element_at(F.create_map(*[x for f, m in marks for x in (m, f)]), F.substring("key", 1, 1))
     whole = F.shiftleft(F.col("tf").cast("long"), 32) + F.col("dl")
-    (postings.select(F.concat(mark, "term").alias("key"), "block", "doc_id", whole.alias("whole"))
-     .repartitionByRange(files, "key", "block").sortWithinPartitions("key", "block", "doc_id")
-     .select(name.alias("field"), F.expr("substring(key, 2)").alias("term"), "block", "doc_id",
-             F.shiftright("whole", 32).cast("int").alias("tf"), F.col("whole").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("dl"))
-     .write.parquet(path))
+    rows = (postings.select(F.concat(mark, "term").alias("key"), "block", "doc_id", whole.alias("whole"))
+            .repartitionByRange(files, "key", "block").sortWithinPartitions("key", "block", "doc_id")
+            .select(name.alias("field"), F.expr("substring(key, 2)").alias("term"), "block", "doc_id", F.shiftright("whole", 32).cast("int").alias("tf"),
+                    F.col("whole").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("dl")))
+    map_arrow(rows, _block_extents, _SCHEMAS["postings"]).write.parquet(path)
 
 
 def _block_extents(batches):
     """Rows of blocks from postings in their files' order: a row for each stretch of one (field, term, block).
 
-    A file that is read in two parts may give a block of a term in two rows; whoever needs one adds them up.
+    With ``doc_id`` the postings come along as lists. A forward table that is read in parts may give a block of a
+    term in two rows; whoever needs one adds them up.
     """
     left = None
     for batch in batches:
         if not batch.num_rows:
             continue
         rows = pa.Table.from_batches([batch])
-        field, term, block = rows["field"], rows["term"], rows["block"].to_numpy()
-        code = [c.combine_chunks().dictionary_encode().indices.to_numpy() for c in (field, term)]
+        field, term = (rows[c].combine_chunks().dictionary_encode() for c in ("field", "term"))
+        block, code = rows["block"].to_numpy(), [c.indices.to_numpy() for c in (field, term)]
         new = (code[0][1:] != code[0][:-1]) | (code[1][1:] != code[1][:-1]) | (block[1:] != block[:-1])
         starts = np.concatenate([[0], np.flatnonzero(new) + 1])
         tf, dl = rows["tf"].to_numpy(), rows["dl"].to_numpy()
-        out = {"field": field.take(starts), "term": term.take(starts), "block": block[starts],
+        out = {"field": field.take(starts).dictionary_decode(), "term": term.take(starts).dictionary_decode(), "block": block[starts],
                "n": np.diff([*starts, len(block)]).astype(np.int64), "cf": np.add.reduceat(tf.astype(np.int64), starts)}
         for name, values in (("tf", tf), ("dl", dl)):
             out[f"min_{name}"], out[f"max_{name}"] = np.minimum.reduceat(values, starts), np.maximum.reduceat(values, starts)
+        if "doc_id" in rows.column_names:
+            ends = pa.array([*starts, len(block)], pa.int32())
+            out |= {to: pa.ListArray.from_arrays(ends, rows[c].combine_chunks()) for c, to in (("doc_id", "docs"), ("tf", "tfs"), ("dl", "dls"))}
         found = pa.table(out)
         if left is not None:
             found = _joined(left, found)
@@ -257,6 +426,7 @@ def _joined(left: dict, found: pa.Table) -> pa.Table:
     first = found.slice(0, 1).to_pylist()[0]
     if all(left[c] == first[c] for c in ("field", "term", "block")):
         both = {"n": left["n"] + first["n"], "cf": left["cf"] + first["cf"],
+                **{c: left[c] + first[c] for c in ("docs", "tfs", "dls") if c in left},
                 **{f"{name}_{c}": f(left[f"{name}_{c}"], first[f"{name}_{c}"]) for c in ("tf", "dl") for name, f in (("min", min), ("max", max))}}
         left, found = {**left, **both}, found.slice(1)
     return pa.concat_tables([pa.Table.from_pylist([left], found.schema), found])
@@ -274,7 +444,7 @@ def _segment(index: Index, base: str, forward: bool, files: int | None) -> dict:
     forward = forward and index.tokenized is not None
 
     def read(kind: str) -> DataFrame:
-        return spark.read.schema(_SCHEMAS[kind]).parquet(f"{at}/{kind}")
+        return spark.read.schema(_SCHEMAS[kind]).parquet(f"{at}/{_TABLE.get(kind, kind)}")
 
     if index.tokenized is not None:
         direct = f"{at}/forward" if forward else scratch_path(spark, "forward")
@@ -284,21 +454,23 @@ def _segment(index: Index, base: str, forward: bool, files: int | None) -> dict:
          .write.parquet(direct))
         rows = spark.read.schema(_SCHEMAS["forward"]).parquet(direct)
         count = rows.agg(F.sum("n_terms").cast("long").alias("n")).first()["n"] or 0
-        postings, lengths = rows.select("field", "block", "doc_id", "dl", F.inline("entries")), rows.select(*_LENGTH)
+        lengths = rows.select(*_LENGTH)
     else:
         postings = materialize(index.postings.select(*_POSTING, F.shiftrightunsigned(F.xxhash64("doc_id"), 52).alias("block")), "postings")
         count, lengths = postings.count(), index.doclen.select(*_LENGTH)
     if not forward:
         lengths.write.parquet(f"{at}/doclen")
     files = files or files_for(spark, count)
-    _write_postings(postings, sorted({*index.fields, index.doc_field}), f"{at}/postings", files)
-    blocks = map_arrow(read("postings").select("field", "term", "block", "tf", "dl"), _block_extents, _SCHEMAS["blocks"])
-    blocks.sortWithinPartitions("field", "term", "block").write.parquet(f"{at}/blocks")
+    fields = sorted({*index.fields, index.doc_field})
+    if index.tokenized is not None:
+        _write_postings(rows, fields, f"{at}/postings", files, count)
+    else:
+        _write_flat(postings, fields, f"{at}/postings", files)
     whole = [f(f"{n}_{c}").alias(f"{n}_{c}") for c in ("tf", "dl") for n, f in (("min", F.min), ("max", F.max))]
     write_clustered(read("blocks").groupBy("field", "term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf"), *whole),
                     f"{at}/lexicon", ["field", "term"], -(-files // 4))
     ranges = None
-    for kind in ("postings", "blocks", "lexicon"):
+    for kind in ("postings", "lexicon"):
         own = file_ranges(spark, f"{at}/{kind}", _SCHEMAS[kind], ["field", "term"]).select(F.lit(kind).alias("kind"), "*")
         ranges = own if ranges is None else ranges.unionByName(own)
     ranges.coalesce(1).write.parquet(f"{at}/files")
@@ -355,7 +527,7 @@ def _opened(spark: SparkSession, base: str, number: int, manifest: dict) -> Inde
             total[name] = [a + b for a, b in zip(total.get(name, [0, 0, 0]), values)]
     stats = spark.createDataFrame([(n, *v) for n, v in sorted(total.items())],
                                   "field string, n_docs long, n_with_field long, total_len long")
-    return Index(union("postings", segments).select(*_POSTING), lengths[0] if len(lengths) == 1 else lengths[0].unionByName(lengths[1]),
+    return Index(_entries(union("postings", segments)).select(*_POSTING), lengths[0] if len(lengths) == 1 else lengths[0].unionByName(lengths[1]),
                  lexicon, stats, tuple(manifest["fields"]), manifest["doc_field"],
                  Analyzer(tuple(manifest["stop_words"]) or None, manifest["stem"]), base, number, tuple(segments), tokenized)
 
