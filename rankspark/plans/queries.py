@@ -24,7 +24,7 @@ from rankspark.operators.store import Store, read_store, write_store
 from rankspark.plans import oracle as O
 from rankspark.plans import testbed as T
 from rankspark.plans.requests import Engines, Options, evaluate_topics, find, run_for
-from rankspark.session import scratch_path
+from rankspark.session import materialize, scratch_path
 from rankspark.sinks import outputs as S
 from rankspark.sources import corpus as C
 
@@ -237,8 +237,8 @@ EVAL_CTES = "WITH " + O.eval_ctes(EVAL_RUN_SQL)
 
 
 def eval_inputs(spark, sf_dir):
-    """The field-max BM25 run of all topics (k=1000) and the judgements."""
-    return run_bm25_fieldmax(spark, sf_dir), T.qrels_view(spark, sf_dir)
+    """The field-max BM25 run of all topics (k=1000) and the judgements, written once as the measures read them twice."""
+    return run_bm25_fieldmax(spark, sf_dir), materialize(T.qrels_view(spark, sf_dir), "qrels")
 
 
 def by_topic(spark, sf_dir):
