@@ -15,15 +15,16 @@ A stored index is a list of segments, each written once and never changed:
 
   forward   (doc_id, field, dl, n_terms, block, entries)   the direct index, by document (E9; optional)
   doclen    (doc_id, field, dl)                             only where there is no forward table
-  postings  (field, term, block, n, cf, tf and dl from .. to, docs, tfs, dls)  files by range of (field, term,
-                                                            block); a term's postings in a block as lists, beside
-                                                            what they can contribute
+  postings  (field, term, block, n, cf, tf and dl from .. to, bounds, docs, tfs, dls)  files by range of (field,
+                                                            term, block); a term's postings in a stretch of blocks
+                                                            as numbers of fixed size, beside what they can
+                                                            contribute, in all and (bounds) in each block
   lexicon   (field, term, df, cf, tf and dl from .. to)     files by range of (field, term)
   files     (kind, file, first, last, rows)                 sparse dictionary: the range of each file
 
 The text is tokenized once, for the forward table; the others come from it.
-``read("postings")`` gives a row for each posting, ``read("blocks")`` the columns
-beside the lists. A
+``read("postings")`` gives a row for each posting, ``read("blocks")`` one for each
+block of a term, from the bounds alone. A
 search reads only the files that can hold its terms. A batch of documents is a
 new segment, statistics are summed when read, and segments of like size are
 put together as they gather (E10). Versions, which are lists of segments with
@@ -59,6 +60,8 @@ BLOCK_BITS = 10
 PACK_ROWS = 1_000_000
 #: Sampled postings for each file, to cut the terms' ranges by.
 SAMPLE = 1_000
+#: Postings of a stored row, beyond which a term's next block begins another one.
+ROW_POSTINGS = 16_384
 #: Segments of one size (powers of FAN postings) that are put together.
 FAN = 4
 #: Times that a publisher starts again from a newer version.
@@ -69,7 +72,7 @@ _LEXICON = ["field", "term", "df", "cf"]
 _STATS = ["field", "n_docs", "n_with_field", "total_len"]
 _EXTENT = "min_tf int, max_tf int, min_dl int, max_dl int"
 _SCHEMAS = {
-    "postings": f"field string, term string, block long, n long, cf long, {_EXTENT}, docs array<long>, tfs array<int>, dls array<int>",
+    "postings": f"field string, term string, block long, n long, cf long, {_EXTENT}, bounds binary, docs binary, tfs binary, dls binary",
     "blocks": f"field string, term string, block long, n long, cf long, {_EXTENT}",
     "lexicon": f"field string, term string, df long, cf long, {_EXTENT}",
     "forward": "doc_id long, field string, dl int, n_terms int, block long, entries array<struct<term:string,tf:int>>",
@@ -79,9 +82,13 @@ _SCHEMAS = {
 #: Tables that are columns of another one.
 _TABLE = {"blocks": "postings"}
 _COUNTED = "doc_id long, field string, dl int, entries array<struct<term:string,tf:int>>"
-_PIECE = "pid int, key string, block long, postings binary"
+_PIECES = "pid int, part int, pieces binary"
+_PLAIN = "field string, term string, block long, doc_id long, tf int, dl int"
+_PIECE = pa.schema([("key", pa.string()), ("block", pa.int64()), ("postings", pa.binary())])
 #: Document, blocks after the piece's first one, tf (negative: the document's id is null), dl.
 _POSTING_BYTES = np.dtype([("doc", "<i8"), ("block", "<i4"), ("tf", "<i4"), ("dl", "<i4")])
+#: A block of a stored row that has several.
+_BOUNDS = np.dtype([("block", "<i8"), ("n", "<i4"), ("cf", "<i8"), *[(c, "<i4") for c in ("min_tf", "max_tf", "min_dl", "max_dl")]])
 
 
 @dataclass
@@ -134,10 +141,10 @@ class Index:
 
         Rows of other terms that share these files come too; the lexicon has a row for each segment.
         """
-        schema, files = _SCHEMAS[kind], self.files_with(kind, fields, terms)
+        schema, files = _SCHEMAS[_TABLE.get(kind, kind)], self.files_with(kind, fields, terms)
         rows = self.spark.read.schema(schema).parquet(*files) if files else self.spark.createDataFrame([], schema)
         rows = rows.filter(F.col("field").isin(fields))
-        return _entries(rows) if kind == "postings" else rows
+        return _entries(rows) if kind == "postings" else _bounds(rows) if kind == "blocks" else rows
 
     def postings_of(self, fields: list[str], terms: list[str] | None = None) -> DataFrame:
         """Postings of ``fields``; of a stored index only the files that can hold ``terms``."""
@@ -226,9 +233,53 @@ def _postings(tokenized: DataFrame) -> DataFrame:
 
 
 def _entries(stored: DataFrame) -> DataFrame:
-    """A row for each posting of the stored lists."""
-    return stored.select("field", "term", "block", F.inline(F.arrays_zip("docs", "tfs", "dls"))) \
-        .select("field", "term", "block", F.col("docs").alias("doc_id"), F.col("tfs").alias("tf"), F.col("dls").alias("dl"))
+    """A row for each posting of the stored rows."""
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                at, block, n = _blocks_in(batch)
+                of = np.repeat(at, n)
+                docs, tf, dl = (_numbers(batch.column(c), t) for c, t in (("docs", "<i8"), ("tfs", "<i4"), ("dls", "<i4")))
+                yield pa.RecordBatch.from_arrays([
+                    *[batch.column(c).take(pa.array(of)) for c in ("field", "term")], pa.array(np.repeat(block, n)),
+                    pa.array(docs, mask=tf < 0), pa.array(np.abs(tf)), pa.array(dl)], ["field", "term", "block", "doc_id", "tf", "dl"])
+
+    return map_arrow(stored.select("field", "term", "block", "n", "bounds", "docs", "tfs", "dls"), run, _PLAIN)
+
+
+def _bounds(stored: DataFrame) -> DataFrame:
+    """A row for each block of the stored rows."""
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                at, block, n = _blocks_in(batch)
+                own, many = _numbers(batch.column("bounds"), _BOUNDS), np.bincount(at, minlength=batch.num_rows)[at] > 1
+                out = {c: batch.column(c).take(pa.array(at)) for c in ("field", "term")} | {"block": block, "n": n}
+                for c in ("cf", "min_tf", "max_tf", "min_dl", "max_dl"):
+                    values = batch.column(c).to_numpy()[at]
+                    values[many] = own[c]
+                    out[c] = values
+                yield from pa.table(out).to_batches()
+
+    return map_arrow(stored.drop("docs", "tfs", "dls"), run, _SCHEMAS["blocks"])
+
+
+def _numbers(column: pa.Array, kind) -> np.ndarray:
+    """The numbers in the bytes of ``column``, one row's after the other's."""
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int32)[column.offset:column.offset + len(column) + 1]
+    kind = np.dtype(kind)
+    return np.frombuffer(data, kind, (ends[-1] - ends[0]) // kind.itemsize, ends[0]) if data is not None else np.zeros(0, kind)
+
+
+def _blocks_in(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each block in the stored rows: its row, its number and how many postings it has."""
+    sizes = pc.binary_length(batch.column("bounds")).to_numpy() // _BOUNDS.itemsize
+    at = np.repeat(np.arange(batch.num_rows), np.maximum(sizes, 1))
+    block, n = batch.column("block").to_numpy()[at], batch.column("n").to_numpy()[at]
+    many, own = sizes[at] > 0, _numbers(batch.column("bounds"), _BOUNDS)
+    block[many], n[many] = own["block"], own["n"]
+    return at, block, n
 
 
 def postings_by_document(index: Index, fields: list[str]) -> tuple[DataFrame, bool]:
@@ -277,22 +328,25 @@ def build_index(docs: DataFrame, fields=("text",), id_col: str = "doc_id",
 def _write_postings(rows: DataFrame, fields: list[str], path: str, files: int, count: int) -> None:
     """Files by range of (field, term, block), sorted by these, from forward rows.
 
-    A task puts the postings of some blocks together by term, so that the
-    shuffle carries a row for a term in a stretch of blocks and not one for each
-    posting. Field and term are one string there (a character for the field,
-    in the fields' order), the postings fixed numbers of bytes. A sample of the postings
-    says where the files' ranges end.
+    A task puts the postings of some blocks together by term, and these pieces
+    by ranges of terms (parts of a file with about PACK_ROWS postings), so that
+    the shuffle carries a row for a part and some blocks, neither one for each
+    posting nor for each term. Field and term are one string there (a character
+    for the field, in the fields' order), the postings fixed numbers of bytes.
+    A sample of the postings says where the parts end. A file's parts come in
+    order, each is sorted as arrays.
     """
     rows = rows.select("doc_id", "field", "dl", "block", "entries")
-    cuts = _cuts(rows, fields, files, count)
-    pieces = map_arrow(rows, lambda batches: _pieces(batches, fields, cuts), _PIECE)
-    map_arrow(pieces.repartitionById(files, F.col("pid")).sortWithinPartitions("key", "block").select("key", "block", "postings"),
-              lambda batches: _block_extents(_unpacked(b, fields) for b in batches if b.num_rows), _SCHEMAS["postings"]).write.parquet(path)
+    per = max(1, -(-count // (files * PACK_ROWS)))
+    cuts = _cuts(rows, fields, files, count, per)
+    pieces = map_arrow(rows, lambda batches: _bundles(_pieces(batches, fields, cuts), per), _PIECES)
+    map_arrow(pieces.repartitionById(files, F.col("pid")).sortWithinPartitions("part").select("part", "pieces"),
+              lambda batches: _by_term(_block_extents(_unpacked(p, fields) for p in _parts(batches))), _SCHEMAS["postings"]).write.parquet(path, compression="zstd")
 
 
-def _cuts(rows: DataFrame, fields: list[str], files: int, count: int) -> list[tuple[str, int]]:
-    """(key, block) at which the 2nd, 3rd ... file starts, by a sample of SAMPLE postings for each file."""
-    if files == 1:
+def _cuts(rows: DataFrame, fields: list[str], files: int, count: int, per: int = 1) -> list[tuple[str, int]]:
+    """(key, block) at which the 2nd, 3rd ... part starts, ``per`` a file, by a sample of SAMPLE postings for each file."""
+    if files * per == 1:
         return []
     share = min(1.0, SAMPLE * files / max(1, count))
     near = min(1.0, 16 * share)  # of the rows first, then of what they hold
@@ -300,7 +354,78 @@ def _cuts(rows: DataFrame, fields: list[str], files: int, count: int) -> list[tu
     some = some.select("field", "block", F.explode("entries.term").alias("term"))
     some = some.sample(share / near, 2) if share < near else some
     found = sorted((chr(33 + fields.index(r["field"])) + r["term"], r["block"]) for r in some.collect())
-    return sorted({found[len(found) * i // files] for i in range(1, files)}) if found else []
+    return sorted({found[len(found) * i // (files * per)] for i in range(1, files * per)}) if found else []
+
+
+def _bundles(pieces, per: int):
+    """A row for the pieces of a part (``pid`` of ``_pieces``) that come together; ``per`` parts make a file."""
+    compressed = pa.ipc.IpcWriteOptions(compression="zstd")
+    for batch in pieces:
+        part = batch.column(0).to_numpy()
+        starts = np.flatnonzero(np.diff(part, prepend=-1))
+        for lo, hi in zip(starts, [*starts[1:], len(part)]):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, _PIECE, options=compressed) as to:
+                to.write_batch(batch.slice(lo, hi - lo).select(_PIECE.names))
+            yield pa.RecordBatch.from_arrays([pa.array([part[lo] // per], pa.int32()), pa.array([part[lo]], pa.int32()),
+                                              pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["pid", "part", "pieces"])
+
+
+def _parts(batches):
+    """The pieces of each part, sorted by key and block, from bundles in order of their parts."""
+    kept, last = [], None
+
+    def whole() -> pa.RecordBatch:
+        rows = pa.Table.from_batches(kept, _PIECE).combine_chunks().to_batches()[0]
+        _, rank = _ranked(rows.column(0))
+        return rows.take(pa.array(np.lexsort((rows.column(1).to_numpy(), rank))))
+
+    for batch in batches:
+        for part, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if kept and part != last:
+                yield whole()
+                kept = []
+            kept += pa.ipc.open_stream(data.as_buffer()).read_all().to_batches()
+            last = part
+    if kept:
+        yield whole()
+
+
+def _by_term(batches):
+    """Stored rows from the rows of blocks in their files' order: one for a term's neighbouring blocks of a batch."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        field, term = (batch.column(c).dictionary_encode().indices.to_numpy() for c in ("field", "term"))
+        n = batch.column("n").to_numpy()
+        same = (field[1:] == field[:-1]) & (term[1:] == term[:-1])
+        before = np.cumsum(n) - n
+        first = np.flatnonzero(np.concatenate([[True], ~same]))
+        chunk = (before - np.repeat(before[first], np.diff([*first, len(n)]))) // ROW_POSTINGS
+        starts = np.flatnonzero(np.concatenate([[True], ~same | (chunk[1:] != chunk[:-1])]))
+        sizes = np.diff([*starts, len(n)])
+        rows = pa.table({c: batch.column(c).take(pa.array(starts)) for c in ("field", "term", "block")})
+        bounds, out = np.empty(len(n), _BOUNDS), {}
+        for c in _BOUNDS.names:
+            bounds[c] = values = batch.column(c).to_numpy()
+            if c != "block":
+                how = np.minimum if c.startswith("min") else np.maximum if c.startswith("max") else np.add
+                out[c] = how.reduceat(values, starts)
+        many = sizes > 1
+        out["bounds"] = _as_bytes(bounds[np.repeat(many, sizes)], np.where(many, sizes, 0))
+        docs, tf, dl = (batch.column(c).flatten() for c in ("docs", "tfs", "dls"))
+        tf = np.where(docs.is_null().to_numpy(zero_copy_only=False), -tf.to_numpy(), tf.to_numpy())
+        for c, values in (("docs", pc.fill_null(docs, 0).to_numpy()), ("tfs", tf), ("dls", dl.to_numpy())):
+            out[c] = _as_bytes(values, out["n"])
+        for c, values in out.items():
+            rows = rows.append_column(c, values if isinstance(values, pa.Array) else pa.array(values))
+        yield from rows.combine_chunks().to_batches()
+
+
+def _as_bytes(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """``values`` as bytes, so many a row."""
+    ends = (np.concatenate([[0], np.cumsum(sizes)]) * values.dtype.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(values.tobytes())])
 
 
 def _pieces(batches, fields: list[str], cuts: list[tuple[str, int]]):
@@ -386,7 +511,7 @@ def _write_flat(postings: DataFrame, fields: list[str], path: str, files: int) -
             .repartitionByRange(files, "key", "block").sortWithinPartitions("key", "block", "doc_id")
             .select(name.alias("field"), F.expr("substring(key, 2)").alias("term"), "block", "doc_id", F.shiftright("whole", 32).cast("int").alias("tf"),
                     F.col("whole").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("dl")))
-    map_arrow(rows, _block_extents, _SCHEMAS["postings"]).write.parquet(path)
+    map_arrow(rows, lambda batches: _by_term(_block_extents(batches)), _SCHEMAS["postings"]).write.parquet(path, compression="zstd")
 
 
 def _block_extents(batches):
@@ -444,7 +569,7 @@ def _segment(index: Index, base: str, forward: bool, files: int | None) -> dict:
     forward = forward and index.tokenized is not None
 
     def read(kind: str) -> DataFrame:
-        return spark.read.schema(_SCHEMAS[kind]).parquet(f"{at}/{_TABLE.get(kind, kind)}")
+        return spark.read.schema(_SCHEMAS[kind]).parquet(f"{at}/{kind}")
 
     if index.tokenized is not None:
         direct = f"{at}/forward" if forward else scratch_path(spark, "forward")
@@ -467,7 +592,7 @@ def _segment(index: Index, base: str, forward: bool, files: int | None) -> dict:
     else:
         _write_flat(postings, fields, f"{at}/postings", files)
     whole = [f(f"{n}_{c}").alias(f"{n}_{c}") for c in ("tf", "dl") for n, f in (("min", F.min), ("max", F.max))]
-    write_clustered(read("blocks").groupBy("field", "term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf"), *whole),
+    write_clustered(read("postings").groupBy("field", "term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf"), *whole),
                     f"{at}/lexicon", ["field", "term"], -(-files // 4))
     ranges = None
     for kind in ("postings", "lexicon"):
