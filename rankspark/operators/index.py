@@ -13,7 +13,8 @@ lexicon is a (partially pre-aggregated) ``groupBy``.
 
 A stored index is a list of segments, each written once and never changed:
 
-  forward   (doc_id, field, dl, n_terms, block, entries)   the direct index, by document (E9; optional)
+  forward   (doc_id, field, dl, n_terms, block, words, sizes, tfs)  the direct index, by document (E9; optional): a
+                                                            row's terms one after the other, their lengths, their tf
   doclen    (doc_id, field, dl)                             only where there is no forward table
   postings  (field, term, block, n, cf, tf and dl from .. to, bounds, docs, tfs, dls)  files by range of (field,
                                                             term, block); a term's postings in a stretch of blocks
@@ -75,12 +76,13 @@ _SCHEMAS = {
     "postings": f"field string, term string, block long, n long, cf long, {_EXTENT}, bounds binary, docs binary, tfs binary, dls binary",
     "blocks": f"field string, term string, block long, n long, cf long, {_EXTENT}",
     "lexicon": f"field string, term string, df long, cf long, {_EXTENT}",
-    "forward": "doc_id long, field string, dl int, n_terms int, block long, entries array<struct<term:string,tf:int>>",
+    "forward": "doc_id long, field string, dl int, n_terms int, block long, words binary, sizes binary, tfs binary",
     "doclen": "doc_id long, field string, dl int",
     "files": "kind string, file string, first struct<field:string,term:string>, last struct<field:string,term:string>, rows long",
 }
 #: Tables that are columns of another one.
 _TABLE = {"blocks": "postings"}
+_CODED = "doc_id long, field string, dl int, n_terms int, words binary, sizes binary, tfs binary"
 _COUNTED = "doc_id long, field string, dl int, entries array<struct<term:string,tf:int>>"
 _PIECES = "pid int, part int, pieces binary"
 _PLAIN = "field string, term string, block long, doc_id long, tf int, dl int"
@@ -103,9 +105,14 @@ class Index:
     path: str | None = None
     version: int = 0
     segments: tuple = ()  # manifest entries of a stored index
-    tokenized: DataFrame | None = dc_field(default=None, repr=False)
+    coded: DataFrame | None = dc_field(default=None, repr=False)  # the direct index's rows as stored
     _ranges: dict = dc_field(default_factory=dict, repr=False)
 
+    @property
+    def tokenized(self) -> DataFrame | None:
+        """(doc_id, field, dl, entries) of the direct index."""
+        return None if self.coded is None else _decoded(self.coded)
+
     @property
     def forward(self) -> DataFrame | None:
         if self.tokenized is None:
@@ -178,8 +185,8 @@ def token_rows(docs: DataFrame, fields, id_col: str = "doc_id",
     return rows.select("doc_id", F.inline(F.array(*items)))
 
 
-def counted_rows(docs: DataFrame, fields: tuple, id_col: str, analyzer: Analyzer, doc_field: str | None) -> DataFrame:
-    """(doc_id, field, dl, entries): the rows of ``token_rows`` with their terms counted, in term order.
+def coded_rows(docs: DataFrame, fields: tuple, id_col: str, analyzer: Analyzer, doc_field: str | None) -> DataFrame:
+    """The rows of ``token_rows`` with their terms counted, in term order, as stored.
 
     The tokens of a batch of documents are numbered in term order and sorted
     as numbers (row, term), so nothing is shuffled and no string is compared
@@ -193,7 +200,7 @@ def counted_rows(docs: DataFrame, fields: tuple, id_col: str, analyzer: Analyzer
             if batch.num_rows:
                 yield _counted(batch, fields, whole)
 
-    return map_arrow(rows, run, _COUNTED)
+    return map_arrow(rows, run, _CODED)
 
 
 def _ranked(strings: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -219,13 +226,42 @@ def _counted(batch: pa.RecordBatch, fields: tuple, whole: str | None) -> pa.Reco
     keys.sort()
     starts = np.flatnonzero(np.diff(keys, prepend=-1))
     row, rank = np.divmod(keys[starts], size)
-    entries = pa.StructArray.from_arrays([terms.take(pa.array(rank)), pa.array(np.diff([*starts, len(keys)]).astype(np.int32))], ["term", "tf"])
-    offsets = np.searchsorted(row, np.arange(n * len(names) + 1)).astype(np.int32)
+    found = terms.take(pa.array(rank))
+    offsets = np.searchsorted(row, np.arange(n * len(names) + 1))
+    _, at, data = found.buffers()
+    at = np.frombuffer(at, np.int32)[found.offset:found.offset + len(found) + 1] if len(found) else np.zeros(1, np.int32)
+    words = pa.Array.from_buffers(pa.binary(), n * len(names), [None, pa.py_buffer(at[offsets].tobytes()), data])
+    n_terms = np.diff(offsets)
     return pa.RecordBatch.from_arrays([
         batch.column(0).take(pa.array(np.repeat(np.arange(n), len(names)))),
         pa.array(names, pa.string()).take(pa.array(np.tile(np.arange(len(names)), n))),
-        pa.array(np.stack(lengths, axis=1).ravel().astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), entries)],
-        ["doc_id", "field", "dl", "entries"])
+        pa.array(np.stack(lengths, axis=1).ravel().astype(np.int32)), pa.array(n_terms.astype(np.int32)), words, _as_bytes(np.diff(at), n_terms),
+        _as_bytes(np.diff([*starts, len(keys)]).astype(np.int32), n_terms)],
+        ["doc_id", "field", "dl", "n_terms", "words", "sizes", "tfs"])
+
+
+def _listed(batch: pa.RecordBatch) -> pa.ListArray:
+    """The entries (term, tf) of coded rows."""
+    sizes, tf = (_numbers(batch.column(c), "<i4") for c in ("sizes", "tfs"))
+    words = batch.column("words")
+    _, ends, data = words.buffers()
+    first = np.frombuffer(ends, np.int32)[words.offset] if len(words) else 0
+    at = (first + np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])).astype(np.int32)
+    terms = pa.Array.from_buffers(pa.string(), len(sizes), [None, pa.py_buffer(at.tobytes()), data]) if len(sizes) else pa.array([], pa.string())
+    n = pc.binary_length(batch.column("tfs")).to_numpy() // 4
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.StructArray.from_arrays([terms, pa.array(tf)], ["term", "tf"]))
+
+
+def _entered(batches, names: list[str]):
+    """Batches of coded rows: the columns ``names``, and their entries."""
+    for batch in batches:
+        if batch.num_rows:
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], _listed(batch)], [*names, "entries"])
+
+
+def _decoded(coded: DataFrame) -> DataFrame:
+    names = ["doc_id", "field", "dl"]
+    return map_arrow(coded.select(*names, "words", "sizes", "tfs"), lambda batches: _entered(batches, names), _COUNTED)
 
 
 def _postings(tokenized: DataFrame) -> DataFrame:
@@ -282,15 +318,31 @@ def _blocks_in(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return at, block, n
 
 
-def postings_by_document(index: Index, fields: list[str]) -> tuple[DataFrame, bool]:
+def postings_by_document(index: Index, fields: list[str], terms: pa.Array | None = None) -> tuple[DataFrame, bool]:
     """Postings of ``fields``, and whether each document's rows of a field come together, in one task.
 
+    Where there is a direct index, those of ``terms`` (few; None: all) alone.
+
     They do in a stored direct index, unless an id repeats or is null: whoever
     needs whole documents then has to group them.
     """
-    if index.tokenized is None:
+    if index.coded is None:
         return index.postings.filter(F.col("field").isin(fields)).select(*_POSTING), False
-    rows = _postings(index.tokenized.filter(F.col("field").isin(fields)))
+    asked = index.spark.sparkContext.broadcast(terms)
+
+    def run(batches):
+        for batch in batches:
+            entries = _listed(batch).flatten()
+            at = np.arange(len(entries))
+            if asked.value is not None:
+                at = at[pc.index_in(entries.field("term"), asked.value).is_valid().to_numpy(zero_copy_only=False)]
+            row = pa.array(np.repeat(np.arange(batch.num_rows), batch.column("n_terms").to_numpy())[at])
+            found = entries.take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([batch.column("field").take(row), found.field("term"), batch.column("doc_id").take(row),
+                                              found.field("tf"), batch.column("dl").take(row)], _POSTING)
+
+    rows = map_arrow(index.coded.filter(F.col("field").isin(fields)).select("doc_id", "field", "dl", "n_terms", "words", "sizes", "tfs"), run,
+                     "field string, term string, doc_id long, tf int, dl int")
     if not index.segments:
         return rows, False
     ids = index.doclen.filter(F.col("field") == fields[0]).groupBy("doc_id").count()
@@ -317,12 +369,12 @@ def build_index(docs: DataFrame, fields=("text",), id_col: str = "doc_id",
     """Lazy in-session index over a wide frame (id + one text column per field)."""
     fields = tuple(fields)
     rows = token_rows(docs, fields, id_col, analyzer, doc_field)
-    tok = counted_rows(docs, fields, id_col, analyzer, doc_field)
-    postings = _postings(tok)
+    coded = coded_rows(docs, fields, id_col, analyzer, doc_field)
+    postings = _postings(_decoded(coded))
     doclen = rows.select("doc_id", "field", F.size("tokens").cast("int").alias("dl"))
     effective_doc_field = doc_field if (doc_field and len(fields) > 1) else fields[0]
     return Index(postings, doclen, lexicon_of(postings), stats_of(doclen), fields,
-                 effective_doc_field, analyzer, tokenized=tok)
+                 effective_doc_field, analyzer, coded=coded)
 
 
 def _write_postings(rows: DataFrame, fields: list[str], path: str, files: int, count: int) -> None:
@@ -336,10 +388,11 @@ def _write_postings(rows: DataFrame, fields: list[str], path: str, files: int, c
     A sample of the postings says where the parts end. A file's parts come in
     order, each is sorted as arrays.
     """
-    rows = rows.select("doc_id", "field", "dl", "block", "entries")
+    names = ["doc_id", "field", "dl", "block"]
+    rows = rows.select(*names, "words", "sizes", "tfs")
     per = max(1, -(-count // (files * PACK_ROWS)))
     cuts = _cuts(rows, fields, files, count, per)
-    pieces = map_arrow(rows, lambda batches: _bundles(_pieces(batches, fields, cuts), per), _PIECES)
+    pieces = map_arrow(rows, lambda batches: _bundles(_pieces(_entered(batches, names), fields, cuts), per), _PIECES)
     map_arrow(pieces.repartitionById(files, F.col("pid")).sortWithinPartitions("part").select("part", "pieces"),
               lambda batches: _by_term(_block_extents(_unpacked(p, fields) for p in _parts(batches))), _SCHEMAS["postings"]).write.parquet(path, compression="zstd")
 
@@ -351,7 +404,8 @@ def _cuts(rows: DataFrame, fields: list[str], files: int, count: int, per: int =
     share = min(1.0, SAMPLE * files / max(1, count))
     near = min(1.0, 16 * share)  # of the rows first, then of what they hold
     some = rows.sample(near, 1) if near < 1 else rows
-    some = some.select("field", "block", F.explode("entries.term").alias("term"))
+    some = map_arrow(some, lambda batches: _entered(batches, ["field", "block"]), "field string, block long, entries array<struct<term:string,tf:int>>") \
+        .select("field", "block", F.explode("entries.term").alias("term"))
     some = some.sample(share / near, 2) if share < near else some
     found = sorted((chr(33 + fields.index(r["field"])) + r["term"], r["block"]) for r in some.collect())
     return sorted({found[len(found) * i // (files * per)] for i in range(1, files * per)}) if found else []
@@ -560,23 +614,23 @@ def _joined(left: dict, found: pa.Table) -> pa.Table:
 def _segment(index: Index, base: str, forward: bool, files: int | None) -> dict:
     """Write one segment of ``index``'s documents and return its manifest entry.
 
-    Anything that has postings and lengths will do. With tokenized rows (a new
+    Anything that has postings and lengths will do. With coded rows (a new
     index, or stored forward tables) blocks are consecutive rows of the forward
     table; without, hashes of the document ids.
     """
     spark, name = index.spark, uuid.uuid4().hex[:12]
     at = f"{base}/segments/{name}"
-    forward = forward and index.tokenized is not None
+    forward = forward and index.coded is not None
 
     def read(kind: str) -> DataFrame:
         return spark.read.schema(_SCHEMAS[kind]).parquet(f"{at}/{kind}")
 
-    if index.tokenized is not None:
+    if index.coded is not None:
         direct = f"{at}/forward" if forward else scratch_path(spark, "forward")
         # Blocks of several segments hardly ever share a number; where they do, a bound holds for both.
         block = F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS) + F.lit(int(name[:5], 16) << 43)
-        (index.tokenized.select("doc_id", "field", "dl", F.size("entries").alias("n_terms"), block.alias("block"), "entries")
-         .write.parquet(direct))
+        (index.coded.select("doc_id", "field", "dl", "n_terms", block.alias("block"), "words", "sizes", "tfs")
+         .write.parquet(direct, compression="zstd"))
         rows = spark.read.schema(_SCHEMAS["forward"]).parquet(direct)
         count = rows.agg(F.sum("n_terms").cast("long").alias("n")).first()["n"] or 0
         lengths = rows.select(*_LENGTH)
@@ -587,7 +641,7 @@ def _segment(index: Index, base: str, forward: bool, files: int | None) -> dict:
         lengths.write.parquet(f"{at}/doclen")
     files = files or files_for(spark, count)
     fields = sorted({*index.fields, index.doc_field})
-    if index.tokenized is not None:
+    if index.coded is not None:
         _write_postings(rows, fields, f"{at}/postings", files, count)
     else:
         _write_flat(postings, fields, f"{at}/postings", files)
@@ -643,7 +697,7 @@ def _opened(spark: SparkSession, base: str, number: int, manifest: dict) -> Inde
     if len(segments) > 1:
         lexicon = lexicon.groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
     with_forward = [s for s in segments if s["forward"]]
-    tokenized = union("forward", with_forward) if len(with_forward) == len(segments) else None
+    coded = union("forward", with_forward) if len(with_forward) == len(segments) else None
     direct, plain = union("forward", with_forward), union("doclen", [s for s in segments if not s["forward"]])
     lengths = [d.select(*_LENGTH) for d in (direct, plain) if d is not None]
     total: dict[str, list[int]] = {}
@@ -654,7 +708,7 @@ def _opened(spark: SparkSession, base: str, number: int, manifest: dict) -> Inde
                                   "field string, n_docs long, n_with_field long, total_len long")
     return Index(_entries(union("postings", segments)).select(*_POSTING), lengths[0] if len(lengths) == 1 else lengths[0].unionByName(lengths[1]),
                  lexicon, stats, tuple(manifest["fields"]), manifest["doc_field"],
-                 Analyzer(tuple(manifest["stop_words"]) or None, manifest["stem"]), base, number, tuple(segments), tokenized)
+                 Analyzer(tuple(manifest["stop_words"]) or None, manifest["stem"]), base, number, tuple(segments), coded)
 
 
 def _rebased(spark: SparkSession, base: str, change) -> Index:
@@ -768,14 +822,15 @@ def merge_index(a: Index, b: Index, shift_ids: int | None = None) -> Index:
     stat_cols = ["field", "n_docs", "n_with_field", "total_len"]
     stats = a.stats.select(*stat_cols).unionByName(b.stats.select(*stat_cols)) \
         .groupBy("field").agg(*[F.sum(c).alias(c) for c in stat_cols[1:]])
-    tokenized = None
-    if a.tokenized is not None and b.tokenized is not None:
-        bt = b.tokenized.select(*_LENGTH, "entries")
+    coded = None
+    if a.coded is not None and b.coded is not None:
+        own = [*_LENGTH, "n_terms", "words", "sizes", "tfs"]
+        bt = b.coded.select(*own)
         if shift_ids:
             bt = bt.withColumn("doc_id", F.col("doc_id") + F.lit(shift_ids))
-        tokenized = a.tokenized.select(*_LENGTH, "entries").unionByName(bt)
+        coded = a.coded.select(*own).unionByName(bt)
     return Index(postings, doclen, lexicon, stats, a.fields, a.doc_field, a.analyzer,
-                 tokenized=tokenized)
+                 coded=coded)
 
 
 def forward_index(index: Index) -> DataFrame:
@@ -785,7 +840,7 @@ def forward_index(index: Index) -> DataFrame:
     forward table (no shuffle); only one stored without it regroups its
     postings by document.
     """
-    if index.tokenized is not None:
+    if index.coded is not None:
         return index.forward
     return (index.postings.groupBy("doc_id", "field")
             .agg(F.array_sort(F.collect_list(F.struct("term", "tf"))).alias("entries")))

@@ -57,7 +57,7 @@ def search_scanned(index: Index, stats: DataFrame, models: dict, fields: list[st
                       StructField("doc_id", LongType()), StructField("score", DoubleType())])
     if not len(vid):
         return spark.createDataFrame([], out)
-    rows, whole = postings_by_document(index, fields)
+    rows, whole = postings_by_document(index, fields, pc.unique(asked["term"].combine_chunks()))
     columns = [f"w{m}" for m in range(len(models))]
     weights = rows.join(F.broadcast(spark.createDataFrame(weighted)), ["field", "term"]).select(
         "doc_id", "vid", *[contribution(m, p).alias(c) for c, (m, p) in zip(columns, models.values())])
