@@ -25,8 +25,9 @@ def files_for(spark: SparkSession, rows: int) -> int:
     return max(1, -(-rows // FILE_ROWS), min(spark.sparkContext.defaultParallelism, -(-rows // LEAST_ROWS)))
 
 
-def write_clustered(df: DataFrame, path: str, keys: list[str], files: int) -> None:
-    df.repartitionByRange(files, *keys).sortWithinPartitions(*keys).write.parquet(path)
+def write_clustered(df: DataFrame, path: str, keys: list[str], files: int, change=lambda rows: rows) -> None:
+    """``change``: what becomes of the rows once they are dealt out, such as a sum by ``keys``."""
+    change(df.repartitionByRange(files, *keys)).sortWithinPartitions(*keys).write.parquet(path)
 
 
 def file_ranges(spark: SparkSession, path: str, schema: str, keys: list[str]) -> DataFrame:

@@ -87,7 +87,9 @@ _COUNTED = "doc_id long, field string, dl int, entries array<struct<term:string,
 _PIECES = "pid int, part int, pieces binary"
 _PLAIN = "field string, term string, block long, doc_id long, tf int, dl int"
 _PIECE = pa.schema([("key", pa.string()), ("block", pa.int64()), ("postings", pa.binary())])
-#: Document, blocks after the piece's first one, tf (negative: the document's id is null), dl.
+#: A bundle's pieces: the bytes of a piece's postings, and in its first row those of all, by their place in a posting.
+_BUNDLE = pa.schema([("key", pa.string()), ("block", pa.int64()), ("size", pa.int32()), ("postings", pa.binary())])
+#: Steps from document to document, blocks after the piece's first one, tf (negative: the document's id is null), dl.
 _POSTING_BYTES = np.dtype([("doc", "<i8"), ("block", "<i4"), ("tf", "<i4"), ("dl", "<i4")])
 #: A block of a stored row that has several.
 _BOUNDS = np.dtype([("block", "<i8"), ("n", "<i4"), ("cf", "<i8"), *[(c, "<i4") for c in ("min_tf", "max_tf", "min_dl", "max_dl")]])
@@ -413,18 +415,33 @@ def _cuts(rows: DataFrame, fields: list[str], files: int, count: int, per: int =
 
 def _bundles(pieces, per: int):
     """A row for the pieces of a part (``pid`` of ``_pieces``) that come together; ``per`` parts make a file."""
-    compressed = pa.ipc.IpcWriteOptions(compression="zstd")
+    compressed, width = pa.ipc.IpcWriteOptions(compression="zstd"), _POSTING_BYTES.itemsize
     for batch in pieces:
         part = batch.column(0).to_numpy()
         starts = np.flatnonzero(np.diff(part, prepend=-1))
         for lo, hi in zip(starts, [*starts[1:], len(part)]):
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, _PIECE, options=compressed) as to:
-                to.write_batch(batch.slice(lo, hi - lo).select(_PIECE.names))
+            own = batch.slice(lo, hi - lo)
+            raw = _numbers(own.column("postings"), np.uint8)
+            woven = pa.array([np.concatenate([raw[i::width] for i in range(width)]).tobytes(), *[b""] * (hi - lo - 1)], pa.binary())
+            with pa.ipc.new_stream(sink, _BUNDLE, options=compressed) as to:
+                to.write_batch(pa.RecordBatch.from_arrays([own.column("key"), own.column("block"), pc.binary_length(own.column("postings")), woven], schema=_BUNDLE))
             yield pa.RecordBatch.from_arrays([pa.array([part[lo] // per], pa.int32()), pa.array([part[lo]], pa.int32()),
                                               pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["pid", "part", "pieces"])
 
 
+def _unbundled(data: pa.Buffer):
+    """The pieces of a bundle as they were."""
+    width = _POSTING_BYTES.itemsize
+    for own in pa.ipc.open_stream(data).read_all().to_batches():
+        woven, at = _numbers(own.column("postings"), np.uint8), 0
+        raw = np.empty_like(woven)
+        for i in range(width):
+            end = at + len(raw[i::width])
+            raw[i::width], at = woven[at:end], end
+        yield pa.RecordBatch.from_arrays([own.column("key"), own.column("block"), _as_bytes(raw, own.column("size").to_numpy())], schema=_PIECE)
+
+
 def _parts(batches):
     """The pieces of each part, sorted by key and block, from bundles in order of their parts."""
     kept, last = [], None
@@ -439,7 +456,7 @@ def _parts(batches):
             if kept and part != last:
                 yield whole()
                 kept = []
-            kept += pa.ipc.open_stream(data.as_buffer()).read_all().to_batches()
+            kept += _unbundled(data.as_buffer())
             last = part
     if kept:
         yield whole()
@@ -482,6 +499,20 @@ def _as_bytes(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(values.tobytes())])
 
 
+def _steps(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """From each number to the next one; those at ``starts``, where a row begins, as they are."""
+    steps = np.diff(values, prepend=0)
+    steps[starts] = values[starts]
+    return steps
+
+
+def _sums(steps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of ``_steps``, so many a row."""
+    values = np.cumsum(steps)
+    starts = (np.cumsum(sizes) - sizes)[sizes > 0]
+    return values - np.repeat(values[starts] - steps[starts], sizes[sizes > 0])
+
+
 def _pieces(batches, fields: list[str], cuts: list[tuple[str, int]]):
     """Forward rows' postings by (field, term), for whole blocks, PACK_ROWS of them or more at once."""
     kept, held = [], 0
@@ -523,9 +554,9 @@ def _packed(rows: pa.RecordBatch, fields: list[str], cuts: list[tuple[str, int]]
     null = docs.is_null().to_numpy(zero_copy_only=False)[at]
     tf = entries.field("tf").to_numpy()[order]
     postings = np.empty(len(key), _POSTING_BYTES)
-    postings["doc"] = pc.fill_null(docs, 0).to_numpy()[at]
-    postings["tf"], postings["dl"] = np.where(null, -tf, tf), rows.column(2).to_numpy()[at]
     starts = np.flatnonzero(np.diff(key, prepend=-1))
+    postings["doc"] = _steps(pc.fill_null(docs, 0).to_numpy()[at], starts)
+    postings["tf"], postings["dl"] = np.where(null, -tf, tf), rows.column(2).to_numpy()[at]
     names = pc.binary_join_element_wise(pa.array([chr(33 + i) for i in range(len(fields))]).take(pa.array(key[starts] // len(terms))),
                                         terms.take(pa.array(key[starts] % len(terms))), "")
     first = block[starts]
@@ -551,7 +582,8 @@ def _unpacked(pieces: pa.RecordBatch, fields: list[str]) -> pa.RecordBatch:
         pa.DictionaryArray.from_arrays(names.take(at), pa.array(fields, pa.string())),
         pa.DictionaryArray.from_arrays(at, pc.utf8_slice_codeunits(coded.dictionary, 1)),
         pa.array(np.repeat(pieces.column(1).to_numpy(), lengths) + postings["block"]),
-        pa.array(postings["doc"], mask=postings["tf"] < 0), pa.array(np.abs(postings["tf"])), pa.array(np.ascontiguousarray(postings["dl"]))],
+        pa.array(_sums(postings["doc"], lengths), mask=postings["tf"] < 0), pa.array(np.abs(postings["tf"])),
+        pa.array(np.ascontiguousarray(postings["dl"]))],
         ["field", "term", "block", "doc_id", "tf", "dl"])
 
 
@@ -646,8 +678,9 @@ def _segment(index: Index, base: str, forward: bool, files: int | None) -> dict:
     else:
         _write_flat(postings, fields, f"{at}/postings", files)
     whole = [f(f"{n}_{c}").alias(f"{n}_{c}") for c in ("tf", "dl") for n, f in (("min", F.min), ("max", F.max))]
-    write_clustered(read("postings").groupBy("field", "term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf"), *whole),
-                    f"{at}/lexicon", ["field", "term"], -(-files // 4))
+    # Dealt out by range first: adding up then needs no shuffle of its own.
+    write_clustered(read("postings").drop("block", "bounds", "docs", "tfs", "dls"), f"{at}/lexicon", ["field", "term"], -(-files // 4),
+                    lambda rows: rows.groupBy("field", "term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf"), *whole))
     ranges = None
     for kind in ("postings", "lexicon"):
         own = file_ranges(spark, f"{at}/{kind}", _SCHEMAS[kind], ["field", "term"]).select(F.lit(kind).alias("kind"), "*")
