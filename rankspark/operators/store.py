@@ -12,18 +12,22 @@ from dataclasses import dataclass, field as dc_field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from rankspark.operators.clustered import MAX_KEYS, file_ranges, files_for, files_holding
 
 #: Ids that go into the scan as a filter; more of them choose files only.
 FILTER_IDS = 1000
+#: Bytes of text in a file, which a task sorts in memory.
+FILE_BYTES = 256 << 20
 
 
 def write_store(articles: DataFrame, path: str, id_col: str = "id", files: int | None = None) -> "Store":
     """Write ``articles`` (ids: long, unique) as a store at a new ``path``."""
     base, spark = path.rstrip("/"), articles.sparkSession
-    rows = articles.count()
-    files = files or files_for(spark, rows)
+    size = sum((F.coalesce(F.octet_length(f.name), F.lit(0)) for f in articles.schema if isinstance(f.dataType, StringType)), F.lit(0))
+    rows, length = articles.agg(F.count(F.lit(1)), F.sum(size.cast("long"))).first()
+    files = files or max(files_for(spark, rows), -(-(length or 0) // FILE_BYTES))
     (articles.repartitionByRange(files, id_col).sortWithinPartitions(id_col).write
      .option(f"parquet.bloom.filter.enabled#{id_col}", "true")
      .option(f"parquet.bloom.filter.expected.ndv#{id_col}", str(max(1, rows // files)))
