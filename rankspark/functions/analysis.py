@@ -39,6 +39,11 @@ def tokenize(text: Column | str) -> Column:
                     lambda x: x != "")
 
 
+def spaced(text: Column | str) -> Column:
+    """The words of ``tokenize`` in one string, a space for each run between them (and before or after them)."""
+    return F.regexp_replace(F.lower(F.coalesce(_as_col(text), F.lit(""))), TOKEN_SPLIT, " ")
+
+
 def remove_stop_words(tokens: Column, stop_words=ENGLISH_STOP_WORDS) -> Column:
     stop = F.array(*[F.lit(w) for w in stop_words])
     return F.filter(tokens, lambda x: ~F.array_contains(stop, x))
@@ -71,6 +76,11 @@ class Analyzer:
     stop_words: tuple | None = None
     stem: bool = False
 
+    @property
+    def plain(self) -> bool:
+        """Whether its terms are just the words."""
+        return not self.stop_words and not self.stem
+
     def tokens(self, text: Column | str) -> Column:
         toks = tokenize(text)
         if self.stop_words:

@@ -49,7 +49,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankspark.functions.analysis import DEFAULT, Analyzer, s_stem
+from rankspark.functions.analysis import DEFAULT, Analyzer, s_stem, spaced
 from rankspark.operators import versions
 from rankspark.operators.clustered import MAX_KEYS, file_ranges, files_for, files_holding, write_clustered
 from rankspark.session import map_arrow, materialize, scratch_path
@@ -195,7 +195,8 @@ def coded_rows(docs: DataFrame, fields: tuple, id_col: str, analyzer: Analyzer,
     but once a batch.
     """
     whole = doc_field if len(fields) > 1 else None
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), *[analyzer.tokens(F.col(f)).alias(f"_t{k}") for k, f in enumerate(fields)])
+    words = spaced if analyzer.plain else analyzer.tokens  # plain words are cut apart in Arrow
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), *[words(F.col(f)).alias(f"_t{k}") for k, f in enumerate(fields)])
 
     def run(batches):
         for batch in batches:
@@ -214,10 +215,18 @@ def _ranked(strings: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return coded.dictionary.take(order), rank[coded.indices.to_numpy()]
 
 
+def _words(column: pa.Array) -> pa.Array:
+    """Lists of words, from these or from words with a space between them."""
+    if not pa.types.is_string(column.type):
+        return column
+    text = pc.ascii_trim(column, " ")
+    return pc.split_pattern(pc.if_else(pc.equal(text, ""), pa.scalar(None, pa.string()), text), " ")
+
+
 def _counted(batch: pa.RecordBatch, fields: tuple, whole: str | None) -> pa.RecordBatch:
     n, names = batch.num_rows, [*fields, *([whole] if whole else [])]
-    lists = [batch.column(1 + k) for k in range(len(fields))]
-    lengths = [pc.list_value_length(x).to_numpy().astype(np.int64) for x in lists]
+    lists = [_words(batch.column(1 + k)) for k in range(len(fields))]
+    lengths = [pc.fill_null(pc.list_value_length(x), 0).to_numpy().astype(np.int64) for x in lists]
     terms, rank = _ranked(pa.concat_arrays([x.flatten() for x in lists]))
     row = np.concatenate([np.repeat(np.arange(n) * len(names) + k, x) for k, x in enumerate(lengths)])
     size = max(1, len(terms))
@@ -320,10 +329,11 @@ def _blocks_in(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return at, block, n
 
 
-def postings_by_document(index: Index, fields: list[str], terms: pa.Array | None = None) -> tuple[DataFrame, bool]:
+def postings_by_document(index: Index, fields: list[str], terms: pa.Array | None = None, numbered: bool = False) -> tuple[DataFrame, bool]:
     """Postings of ``fields``, and whether each document's rows of a field come together, in one task.
 
-    Where there is a direct index, those of ``terms`` (few; None: all) alone.
+    Where there is a direct index, those of ``terms`` (few; None: all) alone; ``numbered``: with a number ``key``, the
+    term's place in ``terms`` times the fields plus the field's place, instead of the two strings.
 
     They do in a stored direct index, unless an id repeats or is null: whoever
     needs whole documents then has to group them.
@@ -337,14 +347,21 @@ def postings_by_document(index: Index, fields: list[str], terms: pa.Array | None
             entries = _listed(batch).flatten()
             at = np.arange(len(entries))
             if asked.value is not None:
-                at = at[pc.index_in(entries.field("term"), asked.value).is_valid().to_numpy(zero_copy_only=False)]
+                place = pc.fill_null(pc.index_in(entries.field("term"), asked.value), -1).to_numpy()
+                at = np.flatnonzero(place >= 0)
             row = pa.array(np.repeat(np.arange(batch.num_rows), batch.column("n_terms").to_numpy())[at])
+            if numbered:
+                field = pc.index_in(batch.column("field"), pa.array(fields, pa.string())).to_numpy()
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(place[at].astype(np.int64) * len(fields) + field[row.to_numpy()]), batch.column("doc_id").take(row),
+                    entries.field("tf").take(pa.array(at)), batch.column("dl").take(row)], ["key", "doc_id", "tf", "dl"])
+                continue
             found = entries.take(pa.array(at))
             yield pa.RecordBatch.from_arrays([batch.column("field").take(row), found.field("term"), batch.column("doc_id").take(row),
                                               found.field("tf"), batch.column("dl").take(row)], _POSTING)
 
     rows = map_arrow(index.coded.filter(F.col("field").isin(fields)).select("doc_id", "field", "dl", "n_terms", "words", "sizes", "tfs"), run,
-                     "field string, term string, doc_id long, tf int, dl int")
+                     "key long, doc_id long, tf int, dl int" if numbered else "field string, term string, doc_id long, tf int, dl int")
     if not index.segments:
         return rows, False
     ids = index.doclen.filter(F.col("field") == fields[0]).groupBy("doc_id").count()

@@ -43,12 +43,14 @@ def search_scanned(index: Index, stats: DataFrame, models: dict, fields: list[st
     spark = index.spark
     asked = stats.select("topic_id", "field", "term", "qtf", "df", "cf", "n", "avgdl").toArrow().combine_chunks()
     topic = _encoded(asked["topic_id"])
-    terms = _encoded(asked["term"]).indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    named = _encoded(asked["term"])
+    terms = named.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     field = pc.index_in(asked["field"], pa.array(fields, asked["field"].type)).to_numpy().astype(np.int64)
     qtf = asked["qtf"].to_numpy().astype(np.int64)
-    key = (terms * len(fields) + field) * (int(qtf.max(initial=0)) + 1) + qtf
-    _, first, vid = np.unique(key, return_index=True, return_inverse=True)
-    weighted = asked.take(pa.array(first)).drop_columns(["topic_id"]).append_column("vid", pa.array(np.arange(len(first)), pa.int32()))
+    place = terms * len(fields) + field
+    _, first, vid = np.unique(place * (int(qtf.max(initial=0)) + 1) + qtf, return_index=True, return_inverse=True)
+    weighted = asked.take(pa.array(first)).drop_columns(["topic_id"]).append_column("vid", pa.array(np.arange(len(first)), pa.int32())) \
+        .append_column("key", pa.array(place[first]))
     numbers = topic.indices.to_numpy(zero_copy_only=False)
     order = np.lexsort((vid, field, numbers))
     numbers, vid, field = numbers[order], vid[order], field[order]
@@ -57,9 +59,10 @@ def search_scanned(index: Index, stats: DataFrame, models: dict, fields: list[st
                       StructField("doc_id", LongType()), StructField("score", DoubleType())])
     if not len(vid):
         return spark.createDataFrame([], out)
-    rows, whole = postings_by_document(index, fields, pc.unique(asked["term"].combine_chunks()))
+    rows, whole = postings_by_document(index, fields, named.dictionary, True)
     columns = [f"w{m}" for m in range(len(models))]
-    weights = rows.join(F.broadcast(spark.createDataFrame(weighted)), ["field", "term"]).select(
+    on = ["key"] if "key" in rows.columns else ["field", "term"]
+    weights = rows.join(F.broadcast(spark.createDataFrame(weighted)), on).select(
         "doc_id", "vid", *[contribution(m, p).alias(c) for c, (m, p) in zip(columns, models.values())])
     if not whole:
         weights = weights.groupBy("doc_id", "vid").agg(*[F.sum(c).alias(c) for c in columns]) \
