@@ -57,7 +57,7 @@ from rankspark.session import map_arrow, materialize, scratch_path
 DOC_FIELD = "_doc"
 #: A block is 2 ** BLOCK_BITS consecutive rows of the forward table.
 BLOCK_BITS = 10
-#: Postings that a task gathers before it puts them together by term.
+#: Postings of a part of a file; a task gathers twice as many before it puts them together by term.
 PACK_ROWS = 1_000_000
 #: Sampled postings for each file, to cut the terms' ranges by.
 SAMPLE = 1_000
@@ -531,13 +531,13 @@ def _sums(steps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _pieces(batches, fields: list[str], cuts: list[tuple[str, int]]):
-    """Forward rows' postings by (field, term), for whole blocks, PACK_ROWS of them or more at once."""
+    """Forward rows' postings by (field, term), for whole blocks, twice PACK_ROWS of them or more at once."""
     kept, held = [], 0
     for batch in batches:
         if batch.num_rows:
             kept.append(batch)
             held += len(batch.column(4).flatten())
-            if held >= PACK_ROWS:
+            if held >= 2 * PACK_ROWS:
                 rows = pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
                 block = rows.column(3).to_numpy()
                 done = int(np.flatnonzero(block != block[-1])[-1]) + 1 if block[0] != block[-1] else 0
