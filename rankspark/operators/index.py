@@ -18,7 +18,8 @@ A stored index is a list of segments, each written once and never changed:
   doclen    (doc_id, field, dl)                             only where there is no forward table
   postings  (field, term, block, n, cf, tf and dl from .. to, bounds, docs, tfs, dls)  files by range of (field,
                                                             term, block); a term's postings in a stretch of blocks
-                                                            as numbers of fixed size, beside what they can
+                                                            as numbers (documents as steps, like bytes
+                                                            together), beside what they can
                                                             contribute, in all and (bounds) in each block
   lexicon   (field, term, df, cf, tf and dl from .. to)     files by range of (field, term)
   files     (kind, file, first, last, rows)                 sparse dictionary: the range of each file
@@ -52,7 +53,7 @@ from pyspark.sql import functions as F
 from rankspark.functions.analysis import DEFAULT, Analyzer, s_stem, spaced
 from rankspark.operators import versions
 from rankspark.operators.clustered import MAX_KEYS, file_ranges, files_for, files_holding, write_clustered
-from rankspark.session import map_arrow, materialize, scratch_path
+from rankspark.session import map_arrow, materialize, scratch_path, shuffles_dropped
 
 DOC_FIELD = "_doc"
 #: A block is 2 ** BLOCK_BITS consecutive rows of the forward table.
@@ -63,6 +64,11 @@ PACK_ROWS = 1_000_000
 SAMPLE = 1_000
 #: Postings of a stored row, beyond which a term's next block begins another one.
 ROW_POSTINGS = 16_384
+#: Stretches of blocks that bounds are looked at for, and blocks (as a power of 2) that a task scores together.
+STRETCHES = 2048
+UNIT_BITS = 4
+#: Postings that a task of a search reads.
+TASK_POSTINGS = 4_000_000
 #: Segments of one size (powers of FAN postings) that are put together.
 FAN = 4
 #: Times that a publisher starts again from a newer version.
@@ -81,7 +87,7 @@ _SCHEMAS = {
     "files": "kind string, file string, first struct<field:string,term:string>, last struct<field:string,term:string>, rows long",
 }
 #: Tables that are columns of another one.
-_TABLE = {"blocks": "postings"}
+_TABLE = {"blocks": "postings", "stored": "postings"}
 _CODED = "doc_id long, field string, dl int, n_terms int, words binary, sizes binary, tfs binary"
 _COUNTED = "doc_id long, field string, dl int, entries array<struct<term:string,tf:int>>"
 _PIECES = "pid int, part int, pieces binary"
@@ -108,6 +114,7 @@ class Index:
     version: int = 0
     segments: tuple = ()  # manifest entries of a stored index
     coded: DataFrame | None = dc_field(default=None, repr=False)  # the direct index's rows as stored
+    unstemmed: Index | None = dc_field(default=None, repr=False)  # what ``stemmed_index`` was made of
     _ranges: dict = dc_field(default_factory=dict, repr=False)
 
     @property
@@ -146,7 +153,7 @@ class Index:
         return out
 
     def read(self, kind: str, fields: list[str], terms: list[str] | None = None) -> DataFrame:
-        """Rows of postings, blocks or lexicon of ``fields``, from the files that can hold ``terms`` alone.
+        """Rows of postings, blocks or lexicon (stored: postings as they are stored) of ``fields``, from the files that can hold ``terms`` alone.
 
         Rows of other terms that share these files come too; the lexicon has a row for each segment.
         """
@@ -163,6 +170,8 @@ class Index:
 
     def lexicon_of(self, fields: list[str], terms: DataFrame, known: list[str] | None = None) -> DataFrame:
         """(field, term, df, cf) of the terms of ``terms`` (column term) in ``fields``; ``known``: the same as a list."""
+        if known is not None and _by_stem(self, fields):
+            return _stemmed_lexicon(self, fields[0], known)
         rows = self.read("lexicon", fields, known) if self.segments else self.lexicon.filter(F.col("field").isin(fields))
         rows = rows.select(*_LEXICON).join(terms, "term", "left_semi")
         if len(self.segments) > 1:
@@ -286,7 +295,7 @@ def _entries(stored: DataFrame) -> DataFrame:
             if batch.num_rows:
                 at, block, n = _blocks_in(batch)
                 of = np.repeat(at, n)
-                docs, tf, dl = (_numbers(batch.column(c), t) for c, t in (("docs", "<i8"), ("tfs", "<i4"), ("dls", "<i4")))
+                docs, tf, dl = _stored_numbers(batch)
                 yield pa.RecordBatch.from_arrays([
                     *[batch.column(c).take(pa.array(of)) for c in ("field", "term")], pa.array(np.repeat(block, n)),
                     pa.array(docs, mask=tf < 0), pa.array(np.abs(tf)), pa.array(dl)], ["field", "term", "block", "doc_id", "tf", "dl"])
@@ -300,13 +309,8 @@ def _bounds(stored: DataFrame) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 at, block, n = _blocks_in(batch)
-                own, many = _numbers(batch.column("bounds"), _BOUNDS), np.bincount(at, minlength=batch.num_rows)[at] > 1
                 out = {c: batch.column(c).take(pa.array(at)) for c in ("field", "term")} | {"block": block, "n": n}
-                for c in ("cf", "min_tf", "max_tf", "min_dl", "max_dl"):
-                    values = batch.column(c).to_numpy()[at]
-                    values[many] = own[c]
-                    out[c] = values
-                yield from pa.table(out).to_batches()
+                yield from pa.table(out | _extents_in(batch, at)).to_batches()
 
     return map_arrow(stored.drop("docs", "tfs", "dls"), run, _SCHEMAS["blocks"])
 
@@ -324,11 +328,187 @@ def _blocks_in(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarra
     sizes = pc.binary_length(batch.column("bounds")).to_numpy() // _BOUNDS.itemsize
     at = np.repeat(np.arange(batch.num_rows), np.maximum(sizes, 1))
     block, n = batch.column("block").to_numpy()[at], batch.column("n").to_numpy()[at]
-    many, own = sizes[at] > 0, _numbers(batch.column("bounds"), _BOUNDS)
-    block[many], n[many] = own["block"], own["n"]
+    many, own = sizes[at] > 0, _numbers(batch.column("bounds"), np.uint8)
+    block[many] = _sums(_column_of(own, sizes, "block"), sizes)
+    n[many] = _column_of(own, sizes, "n")
     return at, block, n
 
 
+def _extents_in(batch: pa.RecordBatch, at: np.ndarray) -> dict:
+    """cf and extents of each block in the stored rows; ``at``: the blocks' rows."""
+    sizes = pc.binary_length(batch.column("bounds")).to_numpy() // _BOUNDS.itemsize
+    many, own = sizes[at] > 0, _numbers(batch.column("bounds"), np.uint8)
+    found = {c: _column_of(own, sizes, c) for c in ("n", "cf", "min_tf", "max_tf", "min_dl", "max_dl")}
+    found["cf"] += found.pop("n").astype(np.int64) * found["min_tf"]
+    for c in ("tf", "dl"):
+        found[f"max_{c}"] += found[f"min_{c}"]
+    out = {c: batch.column(c).to_numpy()[at] for c in found}
+    for c, values in found.items():
+        out[c][many] = values
+    return out
+
+
+def _column_of(woven: np.ndarray, sizes: np.ndarray, name: str) -> np.ndarray:
+    """One number of each block from the bytes of ``_woven_bounds``."""
+    kind, first = _BOUNDS.fields[name]
+    starts, n = np.repeat(np.cumsum(sizes) - sizes, sizes), np.repeat(sizes, sizes)
+    at = starts * _BOUNDS.itemsize + np.arange(len(n)) - starts + first * n
+    out = np.empty((len(n), kind.itemsize), np.uint8)
+    for i in range(kind.itemsize):
+        out[:, i] = woven[at + i * n]
+    return out.view(kind).ravel()
+
+
+def _woven_bounds(bounds: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """So many blocks a row: steps from block to block, what is over the least possible, and like bytes beside each other."""
+    bounds["cf"] -= bounds["n"].astype(np.int64) * bounds["min_tf"]
+    for c in ("tf", "dl"):
+        bounds[f"max_{c}"] -= bounds[f"min_{c}"]
+    bounds["block"] = _steps(bounds["block"], (np.cumsum(sizes) - sizes)[sizes > 0])
+    starts, n = np.repeat(np.cumsum(sizes) - sizes, sizes), np.repeat(sizes, sizes)
+    at, plain = starts * _BOUNDS.itemsize + np.arange(len(n)) - starts, bounds.view(np.uint8).reshape(len(n), _BOUNDS.itemsize)
+    out = np.empty(plain.size, np.uint8)
+    for i in range(_BOUNDS.itemsize):
+        out[at + i * n] = plain[:, i]
+    return _as_bytes(out, sizes * _BOUNDS.itemsize)
+
+
+def _stored_numbers(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents, tf (negative: the document's id is null) and dl of the postings in rows with ``n`` of them."""
+    n = batch.column("n").to_numpy()
+    return _sums(_unplaned(batch.column("docs"), n), n), _unplaned(batch.column("tfs"), n).astype(np.int32), _unplaned(batch.column("dls"), n).astype(np.int32)
+
+
+def _planed(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """So many whole numbers a row: their lowest bytes, the next ones ..., no more than the row's largest number needs."""
+    sizes = np.asarray(sizes, np.int64)
+    values = values.astype(np.int64)
+    values = ((values << 1) ^ (values >> 63)).view(np.uint64)  # the sign is the lowest bit
+    width = np.zeros(len(sizes), np.int64)
+    some = np.flatnonzero(sizes)
+    largest = np.bitwise_or.reduceat(values, (np.cumsum(sizes) - sizes)[some]) if len(some) else values[:0]
+    width[some] = 1
+    for i in range(1, 8):
+        width[some] += largest >> np.uint64(8 * i) != 0
+    ends = np.cumsum(sizes * width)
+    n, wide = np.repeat(sizes, sizes), np.repeat(width, sizes)
+    at = np.repeat(ends - sizes * width - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(values))
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for i in range(int(width.max(initial=0))):
+        if (width[some] > i).all():
+            out[at + i * n] = values >> np.uint64(8 * i) & np.uint64(255)
+        else:
+            own = np.flatnonzero(wide > i)
+            out[at[own] + i * n[own]] = values[own] >> np.uint64(8 * i) & np.uint64(255)
+    return _as_bytes(out, sizes * width)
+
+
+def _unplaned(column: pa.Array, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of ``_planed``."""
+    raw, lengths = _numbers(column, np.uint8), pc.binary_length(column).to_numpy().astype(np.int64)
+    width = lengths // np.maximum(sizes, 1)
+    n, wide = np.repeat(sizes, sizes), np.repeat(width, sizes)
+    at = np.repeat(np.cumsum(lengths) - lengths - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(n))
+    values = np.zeros(len(n), np.uint64)
+    for i in range(int(width.max(initial=0))):
+        own = np.flatnonzero(wide > i)
+        if len(own) == len(wide):
+            values |= raw[at + i * n].astype(np.uint64) << np.uint64(8 * i)
+        else:
+            values[own] |= raw[at[own] + i * n[own]].astype(np.uint64) << np.uint64(8 * i)
+    return (values >> np.uint64(1)).view(np.int64) ^ -(values & np.uint64(1)).view(np.int64)
+
+
+def stretch_bounds(stored: DataFrame, shift: int) -> DataFrame:
+    """(key, stretch, rows, tf and dl from .. to) of stored rows, for every 2 ** ``shift`` blocks; one may come in several rows."""
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                at, block, n = _blocks_in(batch)
+                own, stretch = _extents_in(batch, at), block >> shift
+                starts = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (stretch[1:] != stretch[:-1])]))
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("key").take(pa.array(at[starts])), pa.array(stretch[starts]), pa.array(np.add.reduceat(n, starts)),
+                    *[pa.array((np.minimum if c.startswith("min") else np.maximum).reduceat(own[c], starts)) for c in ("min_tf", "max_tf", "min_dl", "max_dl")]],
+                    ["key", "stretch", "rows", "min_tf", "max_tf", "min_dl", "max_dl"])
+
+    return map_arrow(stored.drop("docs", "tfs", "dls"), run, f"key long, stretch long, rows long, {_EXTENT}")
+
+
+def stretch_postings(stored: DataFrame, shift: int, finer: int, stretches: np.ndarray | None, postings: int) -> DataFrame:
+    """(unit, key, doc_id, tf, dl): the postings in ``stretches`` (None: all), dealt out and sorted by unit.
+
+    A unit is 2 ** ``finer`` blocks, ``postings`` about how many there are. What is shuffled is a row for a term's postings in a unit, not one for each posting.
+    """
+    sc = stored.sparkSession.sparkContext
+    wanted, tasks = sc.broadcast(stretches), max(sc.defaultParallelism, -(-postings // TASK_POSTINGS))
+
+    def split(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at, block, n = _blocks_in(batch)
+            unit = block >> finer
+            starts = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (unit[1:] != unit[:-1])]))
+            n, unit, at = np.add.reduceat(n, starts), unit[starts], at[starts]
+            kept = np.isin(unit >> (shift - finer), wanted.value) if wanted.value is not None else np.ones(len(unit), bool)
+            if not kept.any():
+                continue
+            own, (docs, tf, dl) = np.repeat(kept, n), _stored_numbers(batch)
+            n, docs = n[kept], docs[own]
+            first = np.cumsum(n) - n
+            yield pa.RecordBatch.from_arrays([pa.array(unit[kept]), batch.column("key").take(pa.array(at[kept])), pa.array(n),
+                                              _planed(_steps(docs, first), n), _planed(tf[own], n), _planed(dl[own], n)],
+                                             ["unit", "key", "n", "docs", "tfs", "dls"])
+
+    def plain(batches):
+        for batch in batches:
+            if batch.num_rows:
+                docs, tf, dl = _stored_numbers(batch)
+                at = pa.array(np.repeat(np.arange(batch.num_rows), batch.column("n").to_numpy()))
+                yield pa.RecordBatch.from_arrays([batch.column("unit").take(at), batch.column("key").take(at), pa.array(docs), pa.array(np.abs(tf)), pa.array(dl)],
+                                                 ["unit", "key", "doc_id", "tf", "dl"])
+
+    pieces = map_arrow(stored.select("key", "block", "n", "bounds", "docs", "tfs", "dls"), split, "unit long, key long, n long, docs binary, tfs binary, dls binary")
+    return map_arrow(pieces.repartition(tasks, "unit").sortWithinPartitions("unit"), plain, "unit long, key long, doc_id long, tf int, dl int")
+
+
+def stretch_bits(index: Index) -> int:
+    """Blocks of a stretch, as a power of 2."""
+    rows = index.stats.agg(F.sum("n_docs")).first()[0] or 0
+    return max(0, (int(rows) >> BLOCK_BITS) // STRETCHES).bit_length()
+
+
+def runs_of(batches):
+    """The columns of all rows of each value of the first column, from rows in its order."""
+    kept = []
+
+    def whole():
+        rows = pa.Table.from_batches(kept).combine_chunks()
+        return [rows.column(i) for i in range(rows.num_columns)]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at = batch.column(0).to_numpy()
+        starts = np.flatnonzero(np.diff(at)) + 1
+        for lo, hi in zip([0, *starts], [*starts, len(at)]):
+            if kept and kept[0].column(0)[0].as_py() != at[lo]:
+                yield whole()
+                kept = []
+            kept.append(batch.slice(lo, hi - lo))
+    if kept:
+        yield whole()
+
+
+def repeated_ids(index: Index, field: str) -> bool:
+    """Whether a document's id repeats or is null in a stored index."""
+    if ("repeated", field) not in index._ranges:
+        ids = index.doclen.filter(F.col("field") == field).groupBy("doc_id").count()
+        index._ranges["repeated", field] = ids.filter((F.col("count") > 1) | F.col("doc_id").isNull()).first() is not None
+    return index._ranges["repeated", field]
+
+
 def postings_by_document(index: Index, fields: list[str], terms: pa.Array | None = None, numbered: bool = False) -> tuple[DataFrame, bool]:
     """Postings of ``fields``, and whether each document's rows of a field come together, in one task.
 
@@ -338,6 +518,9 @@ def postings_by_document(index: Index, fields: list[str], terms: pa.Array | None
     They do in a stored direct index, unless an id repeats or is null: whoever
     needs whole documents then has to group them.
     """
+    if numbered and terms is not None and _by_stem(index, fields):
+        places = {t: i for i, t in enumerate(terms.to_pylist())}
+        return _stemmed_postings(index, fields[0], places), True
     if index.coded is None:
         return index.postings.filter(F.col("field").isin(fields)).select(*_POSTING), False
     asked = index.spark.sparkContext.broadcast(terms)
@@ -364,9 +547,7 @@ def postings_by_document(index: Index, fields: list[str], terms: pa.Array | None
                      "key long, doc_id long, tf int, dl int" if numbered else "field string, term string, doc_id long, tf int, dl int")
     if not index.segments:
         return rows, False
-    ids = index.doclen.filter(F.col("field") == fields[0]).groupBy("doc_id").count()
-    odd = ids.filter((F.col("count") > 1) | F.col("doc_id").isNull()).first()
-    return rows, odd is None
+    return rows, not repeated_ids(index, fields[0])
 
 
 def lexicon_of(postings: DataFrame) -> DataFrame:
@@ -500,11 +681,12 @@ def _by_term(batches):
                 how = np.minimum if c.startswith("min") else np.maximum if c.startswith("max") else np.add
                 out[c] = how.reduceat(values, starts)
         many = sizes > 1
-        out["bounds"] = _as_bytes(bounds[np.repeat(many, sizes)], np.where(many, sizes, 0))
+        out["bounds"] = _woven_bounds(bounds[np.repeat(many, sizes)], np.where(many, sizes, 0))
         docs, tf, dl = (batch.column(c).flatten() for c in ("docs", "tfs", "dls"))
         tf = np.where(docs.is_null().to_numpy(zero_copy_only=False), -tf.to_numpy(), tf.to_numpy())
-        for c, values in (("docs", pc.fill_null(docs, 0).to_numpy()), ("tfs", tf), ("dls", dl.to_numpy())):
-            out[c] = _as_bytes(values, out["n"])
+        steps = _steps(pc.fill_null(docs, 0).to_numpy(), np.cumsum(out["n"]) - out["n"])
+        for c, values in (("docs", steps), ("tfs", tf), ("dls", dl.to_numpy())):
+            out[c] = _planed(values, out["n"])
         for c, values in out.items():
             rows = rows.append_column(c, values if isinstance(values, pa.Array) else pa.array(values))
         yield from rows.combine_chunks().to_batches()
@@ -690,14 +872,16 @@ def _segment(index: Index, base: str, forward: bool, files: int | None) -> dict:
         lengths.write.parquet(f"{at}/doclen")
     files = files or files_for(spark, count)
     fields = sorted({*index.fields, index.doc_field})
-    if index.coded is not None:
-        _write_postings(rows, fields, f"{at}/postings", files, count)
-    else:
-        _write_flat(postings, fields, f"{at}/postings", files)
+    with shuffles_dropped(spark):
+        if index.coded is not None:
+            _write_postings(rows, fields, f"{at}/postings", files, count)
+        else:
+            _write_flat(postings, fields, f"{at}/postings", files)
     whole = [f(f"{n}_{c}").alias(f"{n}_{c}") for c in ("tf", "dl") for n, f in (("min", F.min), ("max", F.max))]
     # Dealt out by range first: adding up then needs no shuffle of its own.
-    write_clustered(read("postings").drop("block", "bounds", "docs", "tfs", "dls"), f"{at}/lexicon", ["field", "term"], -(-files // 4),
-                    lambda rows: rows.groupBy("field", "term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf"), *whole))
+    with shuffles_dropped(spark):
+        write_clustered(read("postings").drop("block", "bounds", "docs", "tfs", "dls"), f"{at}/lexicon", ["field", "term"], -(-files // 4),
+                        lambda rows: rows.groupBy("field", "term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf"), *whole))
     ranges = None
     for kind in ("postings", "lexicon"):
         own = file_ranges(spark, f"{at}/{kind}", _SCHEMAS[kind], ["field", "term"]).select(F.lit(kind).alias("kind"), "*")
@@ -964,6 +1148,8 @@ def stem_map(lexicon: DataFrame) -> DataFrame:
 def stemmed_index(index: Index) -> Index:
     """The index under the stemming pipeline, from one without: each distinct term is stemmed once and the postings
     of terms with one stem are added up. Texts are not read again; lengths and collection statistics stay.
+
+    A search of one field of a stored index reads the postings of the terms behind the asked stems alone (``_stemmed_postings``).
     """
     if index.analyzer.stem:
         return index
@@ -971,4 +1157,71 @@ def stemmed_index(index: Index) -> Index:
                 .groupBy("field", F.col("stem").alias("term"), "doc_id").agg(F.sum("tf").cast("int").alias("tf"), F.first("dl").alias("dl"))
                 .select(*_POSTING))
     return Index(postings, index.doclen, lexicon_of(postings), index.stats, index.fields, index.doc_field,
-                 Analyzer(index.analyzer.stop_words, True))
+                 Analyzer(index.analyzer.stop_words, True), unstemmed=index)
+
+
+def _by_stem(index: Index, fields: list[str]) -> bool:
+    """Whether stems' postings can be put together by document: of repeated ids those of one id count as one document's."""
+    base = index.unstemmed
+    return base is not None and bool(base.segments) and len(fields) == 1 and not repeated_ids(base, fields[0])
+
+
+def _behind(index: Index, field: str, stems: list[str]) -> list[tuple[str, str, int, int]]:
+    """(term, stem, df, cf) of the terms behind ``stems`` (few), by the map of the distinct terms; a stem has two or three at most."""
+    known = index._ranges.setdefault(("behind", field), {})
+    new = [s for s in stems if s not in known]
+    if new:
+        base, spark = index.unstemmed, index.spark
+        asked = F.broadcast(spark.createDataFrame([(s,) for s in new], "stem string"))
+        found = stem_map(base.lexicon.filter(F.col("field") == field)).join(asked, "stem", "left_semi").collect()
+        known.update({s: [] for s in new})
+        stem = {r["term"]: r["stem"] for r in found}
+        if stem:
+            terms = F.broadcast(spark.createDataFrame([(t,) for t in stem], "term string"))
+            for r in base.lexicon_of([field], terms, sorted(stem)).collect():
+                known[stem[r["term"]]].append((r["term"], stem[r["term"]], r["df"], r["cf"]))
+    return [r for s in stems for r in known[s]]
+
+
+def _stemmed_postings(index: Index, field: str, places: dict[str, int]) -> DataFrame:
+    """(key, doc_id, tf, dl) of the stems of ``places``, which has their keys; the rows of a document come together."""
+    base, spark = index.unstemmed, index.spark
+    behind = _behind(index, field, list(places))
+    keys = spark.createDataFrame([(field, term, places[stem]) for term, stem, *_ in behind], "field string, term string, key long")
+    stored = base.read("stored", [field], sorted(r[0] for r in behind)).join(F.broadcast(keys), ["field", "term"])
+    bits = min(stretch_bits(base), UNIT_BITS)
+    rows = stretch_postings(stored, bits, bits, None, sum(r[2] for r in behind))
+
+    def added(batches):
+        for _, key, doc, tf, dl in runs_of(batches):
+            key, doc = key.to_numpy(), doc.to_numpy()
+            order = np.lexsort((key, doc))
+            key, doc = key[order], doc[order]
+            starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]))
+            yield pa.RecordBatch.from_arrays([pa.array(key[starts]), pa.array(doc[starts]), pa.array(np.add.reduceat(tf.to_numpy()[order], starts).astype(np.int32)),
+                                              pa.array(dl.to_numpy()[order[starts]])], ["key", "doc_id", "tf", "dl"])
+
+    return map_arrow(rows, added, "key long, doc_id long, tf int, dl int")
+
+
+def _stemmed_lexicon(index: Index, field: str, stems: list[str]) -> DataFrame:
+    """(field, term, df, cf) of ``stems``: as counted where one term is behind a stem, else from the postings put together."""
+    by_stem: dict[str, list] = {}
+    for r in _behind(index, field, stems):
+        by_stem.setdefault(r[1], []).append(r)
+    out = [(field, stem, rows[0][2], rows[0][3]) for stem, rows in by_stem.items() if len(rows) == 1]
+    several = [stem for stem, rows in by_stem.items() if len(rows) > 1]
+
+    def counted(batches):
+        for batch in batches:
+            if batch.num_rows:
+                key = batch.column(0).to_numpy()
+                df, cf = np.bincount(key), np.bincount(key, batch.column(1).to_numpy()).astype(np.int64)
+                at = np.flatnonzero(df)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at]), pa.array(cf[at])], ["key", "df", "cf"])
+
+    if several:
+        rows = _stemmed_postings(index, field, {stem: i for i, stem in enumerate(several)}).select("key", "tf")
+        sums = map_arrow(rows, counted, "key long, df long, cf long").groupBy("key").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+        out += [(field, several[r["key"]], r["df"], r["cf"]) for r in sums.collect()]  # a row a stem
+    return index.spark.createDataFrame(out, "field string, term string, df long, cf long")

@@ -41,25 +41,12 @@ def search_scanned(index: Index, stats: DataFrame, models: dict, fields: list[st
     Scores are rounded; ``stats`` as of ``asked``, few rows.
     """
     spark = index.spark
-    asked = stats.select("topic_id", "field", "term", "qtf", "df", "cf", "n", "avgdl").toArrow().combine_chunks()
-    topic = _encoded(asked["topic_id"])
-    named = _encoded(asked["term"])
-    terms = named.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    field = pc.index_in(asked["field"], pa.array(fields, asked["field"].type)).to_numpy().astype(np.int64)
-    qtf = asked["qtf"].to_numpy().astype(np.int64)
-    place = terms * len(fields) + field
-    _, first, vid = np.unique(place * (int(qtf.max(initial=0)) + 1) + qtf, return_index=True, return_inverse=True)
-    weighted = asked.take(pa.array(first)).drop_columns(["topic_id"]).append_column("vid", pa.array(np.arange(len(first)), pa.int32())) \
-        .append_column("key", pa.array(place[first]))
-    numbers = topic.indices.to_numpy(zero_copy_only=False)
-    order = np.lexsort((vid, field, numbers))
-    numbers, vid, field = numbers[order], vid[order], field[order]
-
+    topics, terms, weighted, numbers, field, vid = numbered(stats, fields)
     out = StructType([StructField("topic_id", stats.schema["topic_id"].dataType), StructField("src", IntegerType()),
                       StructField("doc_id", LongType()), StructField("score", DoubleType())])
     if not len(vid):
         return spark.createDataFrame([], out)
-    rows, whole = postings_by_document(index, fields, named.dictionary, True)
+    rows, whole = postings_by_document(index, fields, terms, True)
     columns = [f"w{m}" for m in range(len(models))]
     on = ["key"] if "key" in rows.columns else ["field", "term"]
     weights = rows.join(F.broadcast(spark.createDataFrame(weighted)), on).select(
@@ -68,14 +55,35 @@ def search_scanned(index: Index, stats: DataFrame, models: dict, fields: list[st
         weights = weights.groupBy("doc_id", "vid").agg(*[F.sum(c).alias(c) for c in columns]) \
             .repartition("doc_id").sortWithinPartitions("doc_id")
     found, step = None, max(1, MAX_PLACES // (k * len(models)))
-    for low in range(0, len(topic.dictionary), step):
+    for low in range(0, len(topics), step):
         lo, hi = np.searchsorted(numbers, [low, low + step])
-        plan = spark.sparkContext.broadcast((topic.dictionary.slice(low, step), numbers[lo:hi] - low, field[lo:hi], vid[lo:hi], len(first)))
+        plan = spark.sparkContext.broadcast((topics.slice(low, step), numbers[lo:hi] - low, field[lo:hi], vid[lo:hi], len(weighted)))
         part = map_arrow(weights, _scanner(plan, columns, k, decimals), out)
         found = part if found is None else found.unionByName(part)
     return found.groupBy("topic_id", "src", "doc_id").agg(F.max("score").alias("score"))
 
 
+def numbered(stats: DataFrame, fields: list[str]) -> tuple[pa.Array, pa.Array, pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+    """A batch's statistics (few rows) as numbers.
+
+    Its topics; its terms; a row for each ``vid``, a term in a field with its multiplicity in a topic (``key``: the term's
+    place times the fields plus the field's), with its statistics; and the topics' numbers, fields and vids, in this order.
+    """
+    asked = stats.select("topic_id", "field", "term", "qtf", "df", "cf", "n", "avgdl").toArrow().combine_chunks()
+    topic = _encoded(asked["topic_id"])
+    named = _encoded(asked["term"])
+    terms = named.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    field = pc.index_in(asked["field"], pa.array(fields, asked["field"].type)).to_numpy().astype(np.int64)
+    qtf = asked["qtf"].to_numpy().astype(np.int64)
+    place = terms * len(fields) + field
+    _, first, vid = np.unique(place * (int(qtf.max(initial=0)) + 1) + qtf, return_index=True, return_inverse=True)
+    weighted = asked.take(pa.array(first)).drop_columns(["topic_id"]).append_column("vid", pa.array(np.arange(len(first)), pa.int32())) \
+        .append_column("key", pa.array(place[first]))
+    numbers = topic.indices.to_numpy(zero_copy_only=False)
+    order = np.lexsort((vid, field, numbers))
+    return topic.dictionary, named.dictionary, weighted, numbers[order], field[order], vid[order]
+
+
 def _encoded(column) -> pa.DictionaryArray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.dictionary_encode(null_encoding="encode")

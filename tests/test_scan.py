@@ -113,3 +113,24 @@ def test_words_are_cut_apart_as_by_the_expression(spark):
     assert "array" not in str(index.coded._jdf.queryExecution().optimizedPlan().children().head().schema())  # a string a field, not a list
     numbered = I.postings_by_document(index, ["abstract", "title"], pa.array(["b", "a", "none"]), True)[0]
     assert sorted(map(tuple, numbered.collect())) == [(0, 4, 1, 4), (1, 4, 1, 4), (2, 3, 1, 1), (3, 3, 1, 1)]
+
+
+def test_stemmed_search_reads_the_asked_terms_alone(spark, tmp_path):
+    """The postings of the terms behind the asked stems come from the stored index, put together by document, not by a join of all."""
+    from rankspark.functions.analysis import PIPELINE, Analyzer
+
+    words = ["gene", "genes", "study", "studies", "braf", "cell", "cells", "the", "mouse"]
+    rows = [(i, " ".join(words[(i * k + k) % len(words)] for k in range(1, 2 + i % 11))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    stored = write_index(build_index(docs, ("text",), analyzer=Analyzer(stop_words=PIPELINE.stop_words)), str(tmp_path / "plain"))
+    mapped, direct = stemmed_index(stored), build_index(docs, ("text",), analyzer=PIPELINE)
+    q = spark.createDataFrame([(1, "genes studies"), (2, "cell of the mice"), (3, "braf braf cells study"), (4, "absent")], "topic_id int, text string")
+    rows, whole = postings_by_document(mapped, ["text"], pa.array(["gene", "study"]), True)
+    assert whole and rows.columns == ["key", "doc_id", "tf", "dl"]
+    assert rows.count() == direct.postings.filter("term IN ('gene', 'study')").count()
+    for model in ("bm25_doc", "bb2"):
+        assert sorted(S.search(mapped, q, model, "document", 20).collect()) == sorted(S.search(direct, q, model, "document", 20).collect())
+    twice = write_index(build_index(docs.union(docs.limit(5)), ("text",), analyzer=Analyzer(stop_words=PIPELINE.stop_words)), str(tmp_path / "twice"))
+    again = stemmed_index(twice)
+    assert not postings_by_document(again, ["text"], pa.array(["gene"]), True)[1]
+    assert S.search(again, q, "bm25_doc", "document", 20).count() > 0

@@ -104,3 +104,57 @@ def test_pruning_starts_by_itself(spark, docs, monkeypatch):
     found = search(docs, q, "bm25_doc", "document", 20)
     assert sorted(found.collect()) == want
     assert found.filter(F.col("rank") == 1).count() > 0
+
+
+def test_ids_that_repeat_or_are_null(spark, small_blocks):
+    """The rows of one id lie in many blocks, none of which bounds its score."""
+    rows = [(7 if i % 10 == 0 else None if i % 10 == 1 else i, "braf " + "gene " * (i % 3) + "x " * (i % 23)) for i in range(400)]
+    index = write_index(build_index(spark.createDataFrame(rows, "doc_id long, text string"), ("text",)), scratch_path(spark, "repeated"))
+    q = spark.createDataFrame([(1, "braf gene"), (2, "gene x")], "topic_id int, text string")
+    for k in (1, 5):
+        want = search(index, q, "bb2", "document", k, prune=False).collect()
+        assert sorted(search(index, q, "bb2", "document", k, prune=True).collect(), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("mode", ["document", "field_max"])
+def test_few_rows_are_kept_between_the_steps(spark, docs, articles, mode, monkeypatch):
+    """No row for each topic and document that is scored: only hits and bounds of stretches are written."""
+    from rankspark.operators import topk
+
+    index, model = (docs, "bm25_doc") if mode == "document" else (articles, "bm25_field")
+    queries = (T.free_text_queries if mode == "document" else topic_queries)(spark, SF)
+    written, keep = {}, topk.materialize
+
+    def counted(df, name):
+        kept = keep(df, name)
+        written[name] = kept.count()
+        return kept
+
+    monkeypatch.setattr(topk, "materialize", counted)
+    monkeypatch.setattr(I, "STRETCHES", 16, raising=False)
+    pruned = search_pruned(index, queries, model, mode, 1)
+    pairs = S.score_table(index, queries, {"s": (model, None)}, mode).count()
+    assert sorted(pruned.run.collect()) == sorted(search(index, queries, model, mode, 1, prune=False).collect())
+    assert max(written.values()) < 0.3 * pairs, (written, pairs)
+
+
+def test_large_batches_and_stretches(spark, articles, monkeypatch):
+    """Batches beyond the bound take joins; blocks are looked at in stretches, and topics in several passes."""
+    from rankspark.operators import topk
+
+    queries = topic_queries(spark, SF)
+    want = sorted(search(articles, queries, "bm25_field", "field_max", 20, prune=False).collect())
+    assert sorted(search_pruned(articles, queries, "bm25_field", "field_max", 20, max_rows=10).run.collect()) == want
+    for at, name, value in ((I, "STRETCHES", 16), (I, "UNIT_BITS", 1), (topk, "MAX_PLACES", 300), (topk, "CHUNK", 3)):
+        monkeypatch.setattr(at, name, value)
+    assert sorted(search_pruned(articles, queries, "bm25_field", "field_max", 20).run.collect()) == want
+
+
+def test_numbers_as_bytes():
+    import numpy as np
+
+    values = np.array([5, -3, 1 << 40, -(1 << 62), 0, 127, -128, 300, 7], np.int64)
+    for sizes in ([9], [1] * 9, [2, 3, 0, 4], [4, 5]):
+        sizes = np.array(sizes)
+        assert (I._unplaned(I._planed(values, sizes), sizes) == values).all()
+    assert len(I._planed(np.arange(-50, 50), np.array([100]))[0].as_py()) == 100  # a byte each
