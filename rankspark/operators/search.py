@@ -32,8 +32,8 @@ from rankspark.operators.store import Store
 from rankspark.session import materialize
 
 SCORE_DECIMALS = 6
-#: Postings of the query terms beyond which a search looks for the first k only.
-PRUNE_POSTINGS = 1_000_000_000
+#: Postings of the query terms beyond which a search looks for the first k only (a join would shuffle each topic and document).
+PRUNE_POSTINGS = 10_000_000
 RUN_COLUMNS = ["topic_id", "doc_id", "rank", "score"]
 
 
