@@ -27,7 +27,7 @@ from rankspark.functions.analysis import query_terms
 from rankspark.functions.models import DEFAULT_K, contribution, contribution_bounds
 from rankspark.operators.clustered import MAX_KEYS
 from rankspark.operators.guards import BROADCAST_MAX_ROWS, checked_broadcast
-from rankspark.operators.index import Index
+from rankspark.operators.index import Index, repeated_ids
 from rankspark.operators.store import Store
 from rankspark.session import materialize
 
@@ -135,7 +135,7 @@ def search(index: Index, queries: DataFrame, model: str = "bm25_doc", mode: str
     bag of words) or "field_max" (per-field statistics, best field wins).
     ``prune``: leave out what cannot be among the first k (``topk``); by
     default where the query terms have more than PRUNE_POSTINGS postings in a
-    stored index and the model has a bound. The run is the same either way.
+    stored index, the model has a bound and no id repeats. The run is then the same.
     """
     k = k or DEFAULT_K[mode]
     query = asked(index, queries, mode, fields, max_rows)
@@ -146,7 +146,8 @@ def search(index: Index, queries: DataFrame, model: str = "bm25_doc", mode: str
     matches = _matches(index, query, max_rows)
     if matches is None:
         return top_k(_scanned(index, query, [(model, params)], mode, fields, k), "score", k)
-    if prune is None and matches > PRUNE_POSTINGS and contribution_bounds(model, params) is not None:
+    if (prune is None and matches > PRUNE_POSTINGS and contribution_bounds(model, params) is not None
+            and not repeated_ids(index, _fields_for(index, mode, fields)[0])):
         return search(index, queries, model, mode, k, params, fields, max_rows, True)
     return top_k(score_table(index, queries, {"s": (model, params)}, mode, fields, max_rows, query), "s", k)
 
