@@ -69,6 +69,8 @@ STRETCHES = 2048
 UNIT_BITS = 4
 #: Postings that a task of a search reads.
 TASK_POSTINGS = 4_000_000
+#: Postings of stored rows that are made from bytes, or into bytes, at once.
+PORTION = 200_000
 #: Segments of one size (powers of FAN postings) that are put together.
 FAN = 4
 #: Times that a publisher starts again from a newer version.
@@ -291,14 +293,13 @@ def _postings(tokenized: DataFrame) -> DataFrame:
 def _entries(stored: DataFrame) -> DataFrame:
     """A row for each posting of the stored rows."""
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                at, block, n = _blocks_in(batch)
-                of = np.repeat(at, n)
-                docs, tf, dl = _stored_numbers(batch)
-                yield pa.RecordBatch.from_arrays([
-                    *[batch.column(c).take(pa.array(of)) for c in ("field", "term")], pa.array(np.repeat(block, n)),
-                    pa.array(docs, mask=tf < 0), pa.array(np.abs(tf)), pa.array(dl)], ["field", "term", "block", "doc_id", "tf", "dl"])
+        for batch in _portioned(batches):
+            at, block, n = _blocks_in(batch)
+            of = np.repeat(at, n)
+            docs, tf, dl = _stored_numbers(batch)
+            yield pa.RecordBatch.from_arrays([
+                *[batch.column(c).take(pa.array(of)) for c in ("field", "term")], pa.array(np.repeat(block, n)),
+                pa.array(docs, mask=tf < 0), pa.array(np.abs(tf)), pa.array(dl)], ["field", "term", "block", "doc_id", "tf", "dl"])
 
     return map_arrow(stored.select("field", "term", "block", "n", "bounds", "docs", "tfs", "dls"), run, _PLAIN)
 
@@ -379,9 +380,32 @@ def _stored_numbers(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.n
     return _sums(_unplaned(batch.column("docs"), n), n), _unplaned(batch.column("tfs"), n).astype(np.int32), _unplaned(batch.column("dls"), n).astype(np.int32)
 
 
+def _portions(sizes: np.ndarray) -> list[tuple[int, int]]:
+    """Rows from .. to that have about PORTION postings together."""
+    at = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // PORTION, prepend=-1))
+    return list(zip(at.tolist(), [*at[1:].tolist(), len(sizes)]))
+
+
+def _portioned(batches):
+    """Batches of stored rows (with ``n``) cut into portions, as their bytes are few for what they hold."""
+    for batch in batches:
+        if batch.num_rows:
+            for lo, hi in _portions(batch.column("n").to_numpy()):
+                yield batch.slice(lo, hi - lo)
+
+
 def _planed(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     """So many whole numbers a row: their lowest bytes, the next ones ..., no more than the row's largest number needs."""
     sizes = np.asarray(sizes, np.int64)
+    parts, at = [], 0
+    for lo, hi in _portions(sizes):
+        end = at + int(sizes[lo:hi].sum())
+        parts.append(_planes(values[at:end], sizes[lo:hi]))
+        at = end
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
+
+
+def _planes(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     values = values.astype(np.int64)
     values = ((values << 1) ^ (values >> 63)).view(np.uint64)  # the sign is the lowest bit
     width = np.zeros(len(sizes), np.int64)
@@ -444,9 +468,7 @@ def stretch_postings(stored: DataFrame, shift: int, finer: int, stretches: np.nd
     wanted, tasks = sc.broadcast(stretches), max(sc.defaultParallelism, -(-postings // TASK_POSTINGS))
 
     def split(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _portioned(batches):
             at, block, n = _blocks_in(batch)
             unit = block >> finer
             starts = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (unit[1:] != unit[:-1])]))
@@ -462,12 +484,11 @@ def stretch_postings(stored: DataFrame, shift: int, finer: int, stretches: np.nd
                                              ["unit", "key", "n", "docs", "tfs", "dls"])
 
     def plain(batches):
-        for batch in batches:
-            if batch.num_rows:
-                docs, tf, dl = _stored_numbers(batch)
-                at = pa.array(np.repeat(np.arange(batch.num_rows), batch.column("n").to_numpy()))
-                yield pa.RecordBatch.from_arrays([batch.column("unit").take(at), batch.column("key").take(at), pa.array(docs), pa.array(np.abs(tf)), pa.array(dl)],
-                                                 ["unit", "key", "doc_id", "tf", "dl"])
+        for batch in _portioned(batches):
+            docs, tf, dl = _stored_numbers(batch)
+            at = pa.array(np.repeat(np.arange(batch.num_rows), batch.column("n").to_numpy()))
+            yield pa.RecordBatch.from_arrays([batch.column("unit").take(at), batch.column("key").take(at), pa.array(docs), pa.array(np.abs(tf)), pa.array(dl)],
+                                             ["unit", "key", "doc_id", "tf", "dl"])
 
     pieces = map_arrow(stored.select("key", "block", "n", "bounds", "docs", "tfs", "dls"), split, "unit long, key long, n long, docs binary, tfs binary, dls binary")
     return map_arrow(pieces.repartition(tasks, "unit").sortWithinPartitions("unit"), plain, "unit long, key long, doc_id long, tf int, dl int")

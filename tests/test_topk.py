@@ -153,9 +153,11 @@ def test_large_batches_and_stretches(spark, articles, monkeypatch):
     assert sorted(search_pruned(articles, queries, "bm25_field", "field_max", 20).run.collect()) == want
 
 
-def test_numbers_as_bytes():
+@pytest.mark.parametrize("portion", [200_000, 3])
+def test_numbers_as_bytes(portion, monkeypatch):
     import numpy as np
 
+    monkeypatch.setattr(I, "PORTION", portion)
     values = np.array([5, -3, 1 << 40, -(1 << 62), 0, 127, -128, 300, 7], np.int64)
     for sizes in ([9], [1] * 9, [2, 3, 0, 4], [4, 5]):
         sizes = np.array(sizes)
